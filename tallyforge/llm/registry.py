@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_reputation", "chat_format", "mixing", "exact_dedup")
+MODULES = ("quality", "pieces", "url_reputation", "chat_format", "mixing", "token_counts", "exact_dedup", "vector_search", "licenses")
 
 
 def _modules():

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 
@@ -58,39 +59,48 @@ def _word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def batch_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(numbers, doc)``: the distinct shingles of each text, doc rising from 0, numbers rising within a doc."""
+def batch_words(texts: pa.Array, letters: np.ndarray = _LOWER, space: np.ndarray = _SPACE):
+    """``(numbers, doc, starts, ends, data)`` of the words of all texts, in order.
+
+    ``letters`` maps each byte to the one that counts, ``space`` tells which mapped bytes part words; starts and
+    ends are places in ``data``, the mapped bytes of all texts.
+    """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     n = len(texts)
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    empty = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.uint64), empty, empty, empty, np.zeros(0, dtype=np.uint8)
     if n == 0:
         return none
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else none[-1]
     offsets = offsets - offsets[0]
     if not len(data):
         return none
-    data = _LOWER[data]
-    inside = ~_SPACE[data]
+    data = letters[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
     first[begins] = inside[begins]  # a text's first word starts anew even where no space parts it from the text before
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return none
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     stops = offsets[1:][offsets[1:] > 0] - 1
     last[stops] = inside[stops]
     ends = np.flatnonzero(last) + 1
-    words = _word_numbers(data, starts, ends)
-    doc = np.searchsorted(offsets[1:], starts, side="right")
+    return _word_numbers(data, starts, ends), np.searchsorted(offsets[1:], starts, side="right"), starts, ends, data
+
+
+def batch_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(numbers, doc)``: the distinct shingles of each text, doc rising from 0, numbers rising within a doc."""
+    words, doc, *_ = batch_words(texts)
+    if not len(words):
+        return words, doc
     with np.errstate(over="ignore"):
-        count = np.bincount(doc, minlength=n)
+        count = np.bincount(doc)
         place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
         factor = _power_table(_SHINGLE_BASE, 8)
         total = np.zeros(len(words), dtype=np.uint64)
@@ -110,7 +120,7 @@ def batch_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, most_bytes: int = 2 << 20):
     """``(start, stop)`` row ranges of about ``most_bytes`` of text each; one long text is a range of its own."""
-    size = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start, held = 0, 0
     for i, b in enumerate(size.tolist()):
         if held and held + b > most_bytes:
