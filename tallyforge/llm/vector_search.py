@@ -126,6 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     shards, blocks = max(1, -(-size["rows"] // shard_vectors)), max(1, -(-size["asked"] // block_queries))
     cand = whole.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
     asked = whole.where("asked").select("dim", F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "v"])
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of their own, as both sides come from one table
     keys = ["dim", "shard", "block"]
     home = F.pmod("block", F.lit(shards))
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
