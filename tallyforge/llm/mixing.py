@@ -112,6 +112,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return line.join(taken, "row", "left").select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its words are taken, rounded to whole documents.
+
+    Rows that the mix leaves out go, rows of a source to repeat come back twice or three times; all columns stay.
+    Rows that share an id are repeated alike.
+    """
+    times = mix(docs, id_col, text_col, source_col).where("size > 0").groupBy("id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    taken = times.where("__times > 0").withColumnRenamed("id", "__taken")
+    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("__taken"))).drop("__taken")
+    return joined.withColumn("__times", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times")
+
+
 def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 

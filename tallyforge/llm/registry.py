@@ -12,7 +12,10 @@ def _modules():
 
 
 def queries() -> dict:
-    return {name: query for module in _modules() for name, query in module.QUERIES.items()}
+    import corpus_pipeline
+
+    found = {name: query for module in _modules() for name, query in module.QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
