@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions.expressions import calendar, step_index, steps_between
 from tallyforge.spec import ANCHOR, SERIES, STEP, PrepSpec
@@ -78,11 +79,11 @@ def rolling(value: Column, window: int, over) -> dict[str, Column]:
 
 
 def smoothed(values: DataFrame, value: str, alphas=ALPHAS) -> DataFrame:
-    """``values`` with ``ewm<alpha>``: exponentially weighted levels that hold through gaps.
+    """``values`` with ``ewm<100 alpha>``: exponentially weighted levels that hold through gaps.
 
     The recurrence runs along one series at a time, in Arrow batches sorted by step; series are the parallelism.
     """
-    names = [f"ewm{a}" for a in alphas]
+    names = [f"ewm{round(a * 100)}" for a in alphas]
 
     def run(frame):
         frame = frame.sort_values(STEP)
@@ -91,10 +92,8 @@ def smoothed(values: DataFrame, value: str, alphas=ALPHAS) -> DataFrame:
             frame[name] = seen.ewm(alpha=a, adjust=False, ignore_na=True).mean()
         return frame
 
-    schema = values.schema
-    for name in names:
-        schema = schema.add(name, "double")
-    return values.groupBy(SERIES).applyInPandas(run, schema)
+    shape = T.StructType([*values.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
+    return values.groupBy(SERIES).applyInPandas(run, shape)
 
 
 def origin_features(panel: DataFrame, spec: PrepSpec, step: str, bucket: int, period: int | None = None, measure_lags: dict[str, int] | None = None, with_ewm: bool = True) -> tuple[DataFrame, dict[str, str]]:
@@ -123,8 +122,8 @@ def origin_features(panel: DataFrame, spec: PrepSpec, step: str, bucket: int, pe
             add(f"{m}_lead_{k}", f"lead:{m}", F.lag(m, k - bucket).over(order) if k > bucket else F.col(m))
     if with_ewm:
         rows = smoothed(rows, target)
-        families |= {f"ewm{a}": f"ewm:{a}" for a in ALPHAS}
-    ewm = [f"ewm{a}" for a in ALPHAS] if with_ewm else []
+        families |= {f"ewm{round(a * 100)}": f"ewm:{a}" for a in ALPHAS}
+    ewm = [f"ewm{round(a * 100)}" for a in ALPHAS] if with_ewm else []
     return rows.select(SERIES, step_index(F.col(STEP), step).alias("index"), *ewm, *[c.alias(n) for n, c in cols.items()]), families
 
 

@@ -61,7 +61,7 @@ def row_workspace(source: DataFrame, spec: PrepSpec, as_of: str | None = None, *
     train = marked.where("split = 'train'").withColumnRenamed("y", target)
     profile = build_profile(splits.labels_as_of(train, cuts.val_start, UNIT_DAYS[spec.censor.unit]) if spec.censor else train, profile_spec)
     framed, families = features.row_features(marked, F.col("split") == "train", spec, [ROW, ANCHOR, "y", LOWER, "__upper", "split"])
-    return Workspace(spec, {"all": framed.withColumn("period", F.date_trunc("week", ANCHOR).cast("date"))}, {"all": families}, profile, "week", cuts=cuts)
+    return Workspace(spec, {"all": framed.withColumn("period", F.date_trunc("week", ANCHOR).cast("date")).cache()}, {"all": families}, profile, "week", cuts=cuts)
 
 
 def series_workspace(source: DataFrame, spec: PrepSpec, step: str, with_ewm: bool = True) -> Workspace:
@@ -75,7 +75,7 @@ def series_workspace(source: DataFrame, spec: PrepSpec, step: str, with_ewm: boo
     for lo, hi in features.buckets_for(spec.horizon):
         frame, own = features.series_features(grid, ahead, spec, (lo, hi), step, in_train, profile["genes"]["period"], profile["genes"]["measure_lags"], with_ewm)
         name = f"{lo}-{hi}"
-        frames[name] = splits.bucket_splits(frame, cuts).withColumn("period", F.col("step"))
+        frames[name] = splits.bucket_splits(frame, cuts).withColumn("period", F.col("step")).cache()  # every recipe fits on it
         families[name] = own
     return Workspace(spec, frames, families, profile, step, step, cuts)
 

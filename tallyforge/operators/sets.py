@@ -56,7 +56,7 @@ def centres(candidates: DataFrame, decisions: DataFrame, margin: int = MARGIN) -
 
 def fitted_box(rows: DataFrame, by: list[str]) -> DataFrame:
     """The size that fits a set: the upper medians, and the truncated medians that tiles are cut with."""
-    return rows.groupBy(*by).agg(upper_median("width").alias("width"), upper_median("height").alias("height"), F.median("width").cast("int").alias("tile_width"), F.median("height").cast("int").alias("tile_height"))
+    return rows.groupBy(*by).agg(upper_median("width").cast("int").alias("width"), upper_median("height").cast("int").alias("height"), F.median("width").cast("int").alias("tile_width"), F.median("height").cast("int").alias("tile_height"))
 
 
 def sized(rows: DataFrame, by: list[str], native: bool = False) -> DataFrame:
