@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from tallyforge.llm.shingles import _power_table, mix
+from tallyforge.llm.shingles import mix, stretch_numbers
 
 _BASE = 0xD6E8FEB86659FD93 | 1
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -78,11 +78,7 @@ def batch_pretokens(texts: list[str]):
             begin = begin[:n]
     starts = np.flatnonzero(begin)
     ends = np.append(starts[1:], n)
-    with np.errstate(over="ignore"):
-        power, inverse = _power_table(_BASE, n + 1), _power_table(pow(_BASE, -1, 2**64), n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_letters()[codes] * power[:n], out=sums[1:])
-        numbers = mix((sums[ends] - sums[starts]) * inverse[starts])
+    numbers = stretch_numbers(_letters()[codes], starts, ends, _BASE)
     return numbers, np.searchsorted(stops, starts, side="right"), starts, ends, codes
 
 

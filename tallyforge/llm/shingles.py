@@ -32,7 +32,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
     """``base ** 0 .. base ** (n - 1)`` modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 8, 1 << max(n - 1, 1).bit_length())
         with np.errstate(over="ignore"):
             have = np.full(size, base, dtype=np.uint64)
             have[0] = 1
@@ -49,14 +49,28 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def stretch_numbers(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A number for each stretch ``letters[starts[i]:ends[i]]``; stretches rise and don't overlap.
+
+    Powers count from a stretch's own start, so their table is as long as the longest stretch only.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    n, first = len(letters), int(starts[0])
+    power = _power_table(base, int((ends - starts).max()))
+    place = np.arange(first, n, dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(starts, append=n))
+    np.minimum(place, len(power) - 1, out=place)  # places in gaps, which no stretch sums up
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n - first + 1, dtype=np.uint64)
+        np.multiply(letters[first:], power[place], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        return mix(sums[ends - first] - sums[starts - first])
+
+
 def _word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each word ``data[starts[i]:ends[i]]``."""
-    with np.errstate(over="ignore"):
-        power = _power_table(_WORD_BASE, len(data) + 1)
-        inverse = _power_table(pow(_WORD_BASE, -1, 2**64), len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts])
+    return stretch_numbers(_LETTER[data], starts, ends, _WORD_BASE)
 
 
 def batch_words(texts: pa.Array, letters: np.ndarray = _LOWER, space: np.ndarray = _SPACE):
