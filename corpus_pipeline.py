@@ -10,13 +10,12 @@ from tallyforge.llm.mixing import apply_mix
 from tallyforge.llm.ngram_join import keep_one
 from tallyforge.llm.pieces import encode
 from tallyforge.llm.quality import keep_good
-from tallyforge.llm.shared import table, written
-from tallyforge.ship import ship
+from tallyforge.llm.shared import ready, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on all of them, does not reject."""
-    ship(spark)
+    ready(spark)
     return keep_good(docs)
 
 
@@ -27,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similar shingle sets form."""
-    ship(spark)
+    ready(spark)
     return keep_one(docs)
 
 
@@ -40,7 +39,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and the scores of the best segmentations of each document."""
     import public_tokenizers
 
-    ship(spark)
+    ready(spark)
     found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_edits=False)
     return found.select(F.col("id").alias("doc_id"), "n_pieces", "scores", "ids", "exact")
 
