@@ -246,7 +246,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Sets are the distinct 5-word shingles of the whole text (see ``shingles``); two texts link when their Jaccard
     similarity is 0.75 or more.  Null, empty and blank texts have no shingle and no link.  Repeated rows and rows
-    with equal sets share a component; ids must not repeat with different texts.  Other columns are not read.
+    with equal sets share a component; ids must not repeat with different texts.  Rows without an id can't be
+    named by others: they take no part and come back with nulls.  Other columns are not read.
 
     1. Shingles go to ``parts`` fragments of their order as packed blocks, are counted there, and those that occur
        twice or more come back; texts with too few of them to have a partner are done.
@@ -257,7 +258,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     parts = min(parts or fragments_of(spark), 1 << 15)
-    sets = written(gram_sets(docs, id_col, text_col, parts))
+    nameless = docs.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "n_shingles", "component")])
+    sets = written(gram_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, parts))
     classes = sets.where("n > 0").groupBy("number", "n").agg(F.min("id").alias("rep"))
     able = sets.where("grams IS NOT NULL")
     reps = able.groupBy("number", "n").agg(F.min("id").alias("id")).select("id")
@@ -276,7 +278,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         labels = _merge(labels, links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     labels = _merge(labels, _rest(rare, able, labels))
     own = sets.join(classes, ["number", "n"], "left").join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component"))
+    return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component")).unionByName(nameless)
 
 
 def _rest(rare: DataFrame, able: DataFrame, labels: DataFrame) -> DataFrame:
