@@ -213,3 +213,79 @@ def labels_of(definition: DataFrame) -> DataFrame:
 def label_for(picks: list[Column]) -> Column:
     """A label from picks by position; questions without an answer are n/a."""
     return F.concat_ws(" / ", *[F.coalesce(p, F.lit("n/a")) for p in picks])
+
+
+def saved_classes(pool: DataFrame) -> DataFrame:
+    """``tile, label`` of the tiles with a class."""
+    return pool.where("label IS NOT NULL").select("tag", "idx", "label")
+
+
+def definitions_used(pool: DataFrame) -> DataFrame:
+    return pool.where("classdef IS NOT NULL").select("classdef").distinct()
+
+
+def confirmed_frames(rows: DataFrame) -> DataFrame:
+    """Frames with a confirmed object, with how many and how many negatives."""
+    negative = F.coalesce("negative", F.lit(False))
+    return rows.groupBy("recording", "frame").agg(F.count_if(~negative).alias("objects"), F.count_if(negative).alias("ignored")).where("objects > 0")
+
+
+def boxes_by_frame(candidates: DataFrame) -> DataFrame:
+    """Per frame the candidates' positives and negatives, as arrays in the order of their index."""
+    negative, box = F.coalesce("negative", F.lit(False)), F.struct("idx", *BOX)
+    return candidates.groupBy("dataset", "frame").agg(F.sort_array(F.collect_list(F.when(~negative, box))).alias("boxes"), F.sort_array(F.collect_list(F.when(negative, box))).alias("negatives"))
+
+
+def other_width(frames: DataFrame, capture_width: int) -> DataFrame:
+    """One row ``width, n, of``: the most common frame width that is not the model's, of equal ones the smallest."""
+    counts = frames.groupBy(F.col("frame_width").alias("width")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("of"))  # one row
+    best = counts.where(F.col("width") != capture_width).agg(F.max(F.struct("n", (-F.col("width")).alias("w"))).alias("b")).where("b IS NOT NULL")
+    return best.join(F.broadcast(total)).select((-F.col("b.w")).alias("width"), F.col("b.n").alias("n"), "of")
+
+
+def out_of_reach(rows: DataFrame, reach: int) -> DataFrame:
+    """Objects wider or higher than a model reaches, by recording; any of them is a reason to refuse training."""
+    far = F.greatest(F.col("width"), F.col("height"))
+    return rows.where(~F.coalesce("negative", F.lit(False)) & (far > reach)).groupBy("recording").agg(F.count("*").alias("n"), F.max(far).alias("largest"))
+
+
+def candidate_page(candidates: DataFrame, decisions: DataFrame, number: int, size: int, hide_done: bool = False) -> DataFrame:
+    """One page of the candidates still to review, with what was decided so far."""
+    rows = pending(candidates, decisions, hide_done).join(decisions.select("dataset", "idx", "keep", "discard", "height_delta"), ["dataset", "idx"], "left")
+    return rows.orderBy("dataset", "idx").offset(number * size).limit(size)
+
+
+def opened(candidates: DataFrame) -> DataFrame:
+    """Pool tiles of all datasets at once: non-negative boxes with the size their dataset's tiles are cut to."""
+    sizes = candidates.where("NOT coalesce(negative, false)").groupBy("dataset").agg(F.median("width").cast("int").alias("tile_width"), F.median("height").cast("int").alias("tile_height"))
+    return ordinals(candidates).join(sizes, "dataset").select(F.format_string("%s_k%05d", "dataset", "ordinal").alias("tile"), F.col("dataset").alias("tag"), "idx", "tile_width", "tile_height")
+
+
+def open_sources(pool: DataFrame, closed: DataFrame) -> DataFrame:
+    """Tags in the pool that were not closed."""
+    return pool.select(F.coalesce("tag", F.lit("untagged")).alias("tag")).distinct().join(closed.select("tag").distinct(), "tag", "left_anti")
+
+
+def draw_size(drawn: DataFrame, existing: DataFrame | None, by: list[str]) -> str:
+    """Where drawn boxes may go: ``replace`` unless the set there holds more boxes, which is never shrunk."""
+    if existing is None:
+        return "replace"
+    had = existing.groupBy(*by).agg(F.count("*").alias("had"))
+    now = drawn.groupBy(*by).agg(F.count("*").alias("now"))
+    shrinks = not had.join(now, by, "left").where("coalesce(now, 0) < had").isEmpty()
+    return "new" if shrinks else "replace"
+
+
+def promote_to(fresh: DataFrame, existing: DataFrame | None, mode: str) -> DataFrame:
+    """The set after a promotion: ``new`` refuses a set that is there, ``overwrite`` replaces it, ``merge`` restates.
+
+    An empty promotion never replaces a set.
+    """
+    if mode not in ("new", "overwrite", "merge"):
+        raise SetError(f"no mode {mode!r}")
+    if fresh.isEmpty():
+        raise SetError("nothing was judged, so the set stays as it is")
+    if existing is not None and mode == "new":
+        raise SetError("a set of that name is there already")
+    return fresh if existing is None or mode == "overwrite" else merge_sets(existing, fresh)

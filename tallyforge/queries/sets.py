@@ -191,7 +191,55 @@ def index_cleanup(spark, sf_dir):
     return assets.without_tiles(index, removed).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+def pool_classes(spark, sf_dir):
+    """Saved classes and the definitions they were judged under, counted."""
+    rows = pool(spark, sf_dir)
+    n = ops.definitions_used(rows).agg(F.count("*").alias("definitions"))
+    return ops.saved_classes(rows).groupBy("tag", "label").agg(F.count("*").alias("n")).join(F.broadcast(n))
+
+
+def confirmed_frames(spark, sf_dir):
+    return ops.confirmed_frames(set_rows(spark, sf_dir))
+
+
+def boxes_by_frame(spark, sf_dir):
+    out = ops.boxes_by_frame(candidates(spark, sf_dir))
+    return out.select("dataset", "frame", F.size("boxes").alias("boxes"), F.size("negatives").alias("negatives"), F.get("boxes", F.lit(0))["idx"].alias("first"))
+
+
+def other_width(spark, sf_dir):
+    frames = derived(spark, sf_dir).select("frame", "frame_width").distinct()
+    return ops.other_width(frames, 400).select(c("width").cast("long").alias("width"), "n", "of")
+
+
+def out_of_reach(spark, sf_dir):
+    return ops.out_of_reach(set_rows(spark, sf_dir), 70)
+
+
+def candidate_page(spark, sf_dir):
+    return ops.candidate_page(candidates(spark, sf_dir), decisions(spark, sf_dir), 1, 50).select("dataset", "idx", "keep", "discard", "height_delta")
+
+
+def opened_tiles(spark, sf_dir):
+    return ops.opened(candidates(spark, sf_dir))
+
+
+def open_sources(spark, sf_dir):
+    closed = orders(spark, sf_dir).select(F.concat(F.lit("rec"), c("o_orderkey") % 3, F.lit("_cnn-20240101-000000")).alias("tag"))
+    return ops.open_sources(pool(spark, sf_dir), closed)
+
+
+def promote_to_set(spark, sf_dir):
+    """A set after a merged promotion of the judged pool: rows per source and whether negative."""
+    fresh = ops.promoted(pool(spark, sf_dir), candidates(spark, sf_dir), decisions(spark, sf_dir)).where("recording < 'rec4'")
+    kinds = {n: "int" for n in ("left", "top", "width", "height")}
+    fresh = fresh.withColumns({n: c(n).cast(k) for n, k in kinds.items()})
+    merged = ops.promote_to(fresh.select(set_rows(spark, sf_dir).columns), set_rows(spark, sf_dir), "merge")
+    return merged.groupBy("source", "negative").agg(F.count("*").alias("n"))
+
+
 NAMES = (
+    "pool_classes", "confirmed_frames", "boxes_by_frame", "other_width", "out_of_reach", "candidate_page", "opened_tiles", "open_sources", "promote_to_set",
     "pending_candidates", "corrected_centres", "exhaustive_negatives", "skipped_rows", "fitted_box", "sized_boxes", "promote_rows", "merge_sets", "frame_examples", "class_channel_map",
     "set_summary", "set_meta", "fold_judgements", "fold_reviews", "fold_modes", "pool_overview", "first_pool", "tile_ordinals", "synthetic_negatives", "class_labels", "label_shares",
     "tag_parsing", "orphaned_sets", "known_recordings", "assets_for", "openable", "candidates_file", "index_cleanup",
@@ -206,6 +254,18 @@ CASE WHEN id % 13 = 0 THEN 'synthetic' ELSE 'rec' || (frame % 8) || '_cnn-202401
 _SRC = "src AS (SELECT DISTINCT 'set' || (o_custkey % 200) AS s, CASE WHEN o_orderkey % 11 = 0 THEN 'synthetic' ELSE 'rec' || (o_orderkey % 97) END AS source FROM orders), live AS (SELECT DISTINCT 'rec' || (c_custkey % 97) AS recording FROM customer WHERE c_custkey % 97 < 3)"
 
 ORACLES = {
+    "pool_classes": f"WITH {_C} SELECT dataset AS tag, label, count(*) AS n, 1::BIGINT AS definitions FROM cand WHERE idx % 2 = 0 AND idx % 5 < 2 GROUP BY 1, 2",
+    "confirmed_frames": f"WITH {_S} SELECT recording, frame, count(*) FILTER (NOT negative) AS objects, count(*) FILTER (negative) AS ignored FROM st GROUP BY 1, 2 HAVING count(*) FILTER (NOT negative) > 0",
+    "boxes_by_frame": f"WITH {_C} SELECT dataset, frame, (count(*) FILTER (NOT negative))::INTEGER AS boxes, (count(*) FILTER (negative))::INTEGER AS negatives, min(idx) FILTER (NOT negative) AS first FROM cand GROUP BY 1, 2",
+    "other_width": f"WITH {B}, f AS (SELECT DISTINCT frame, frame_width FROM b) SELECT frame_width::BIGINT AS width, count(*) AS n, (SELECT count(*) FROM f) AS of FROM f WHERE frame_width <> 400 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
+    "out_of_reach": f"WITH {_S} SELECT recording, count(*) AS n, max(greatest(width, height))::INTEGER AS largest FROM st WHERE NOT negative AND greatest(width, height) > 70 GROUP BY 1",
+    "candidate_page": f"WITH {_C} SELECT dataset, idx, keep, discard, dh::INTEGER AS height_delta FROM cand LEFT JOIN dec USING (idx) WHERE NOT coalesce(reviewed, FALSE) ORDER BY dataset, idx LIMIT 50 OFFSET 50",
+    "opened_tiles": f"""WITH {_C}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY idx) - 1 AS k FROM cand WHERE NOT negative)
+SELECT dataset || '_k' || lpad(k::VARCHAR, greatest(5, length(k::VARCHAR))::INTEGER, '0') AS tile, dataset AS tag, idx, trunc(median(width) OVER (PARTITION BY dataset))::INTEGER AS tile_width, trunc(median(height) OVER (PARTITION BY dataset))::INTEGER AS tile_height FROM p""",
+    "open_sources": f"WITH {_C} SELECT DISTINCT dataset AS tag FROM cand WHERE idx % 2 = 0 AND dataset NOT IN ('rec0_cnn-20240101-000000', 'rec1_cnn-20240101-000000', 'rec2_cnn-20240101-000000')",
+    "promote_to_set": f"""WITH {_C}, {_S[_S.index("st AS"):]}, fr AS (SELECT dataset AS recording, frame, l2 AS "left", t2 AS top, width, h2 AS height, dataset AS source, idx % 5 = 2 AS negative FROM ctr WHERE idx % 2 = 0 AND idx % 5 <= 2 AND dataset < 'rec4'),
+k AS (SELECT source, negative FROM st WHERE source <> 'synthetic' AND source NOT IN (SELECT source FROM fr) AND NOT EXISTS (SELECT 1 FROM fr WHERE fr.recording = st.recording AND fr.frame = st.frame AND fr."left" = st."left" AND fr.top = st.top AND fr.width = st.width AND fr.height = st.height))
+SELECT source, negative, count(*) AS n FROM (SELECT * FROM k UNION ALL SELECT source, negative FROM fr) GROUP BY ALL""",
     "pending_candidates": f"WITH {_C} SELECT dataset, idx FROM cand LEFT JOIN dec USING (idx) WHERE NOT coalesce(reviewed, FALSE) AND NOT coalesce(keep, FALSE) AND NOT coalesce(discard, FALSE)",
     "corrected_centres": f'WITH {_C} SELECT idx, l2 + width // 2 AS x, t2 + h2 // 2 AS y, l2 AS "left", t2 AS top, width::BIGINT AS width, h2 AS height FROM ctr',
     "exhaustive_negatives": f"""WITH {_C}, e AS (SELECT *, idx % 3 <> 0 AND idx % 30 = 1 AS k FROM ctr WHERE frame % 2 = 0), q AS (SELECT frame, idx, l2 + width // 2 AS x, t2 + h2 // 2 AS y FROM e WHERE NOT k)

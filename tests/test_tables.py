@@ -128,3 +128,15 @@ def test_judgements_fold_in_batches(spark, tmp_path):
     fold(spark.createDataFrame([("a", 1, "label", "x"), ("b", 1, "exclude", None), ("c", 2, "label", "z")], kind), 0)
     fold(spark.createDataFrame([("b", 3, "label", "y"), ("c", 4, "clear", None)], kind), 1)
     assert {(r["tile"], r["label"], r["excluded"]) for r in spark.read.parquet(f"{path}2").collect()} == {("a", "x", False), ("b", "y", False)}
+
+
+def test_promotions_never_destroy_a_set(spark):
+    kind = "recording string, frame string, left int, top int, width int, height int, label string, negative boolean, source string"
+    rows = spark.createDataFrame([("r", "f", 1, 1, 5, 5, "a", False, "s1")], kind)
+    none = rows.where("false")
+    for bad in ((none, rows, "overwrite"), (rows, rows, "new"), (rows, None, "append")):
+        with pytest.raises(sets.SetError):
+            sets.promote_to(*bad)
+    assert sets.promote_to(rows, None, "new").count() == 1
+    assert sets.draw_size(rows, rows.union(rows), ["recording"]) == "new"
+    assert sets.draw_size(rows, rows, ["recording"]) == "replace" == sets.draw_size(rows, None, ["recording"])
