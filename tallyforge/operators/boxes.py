@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# When boxes are one object, how near is near, the margin of a canvas, the lowest score, cells apart.
 MIN_SHARE, MAX_ROWS_APART, NEAR, MARGIN = 0.5, 1.5, 40, 30
 FLOOR = 0.05
 SEPARATION = 3

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import known
 
+# When a forecast may be trusted, the band's level, and the names of the checks.
 BASELINE_RATIO, COVERAGE_RANGE, MIN_TEST_ROWS, MIN_TEST_STEPS = 0.9, (0.65, 0.95), 30, 13
 LEVEL = 0.8
+BEATS, CALIBRATED, SHARP, ENOUGH = "beats the naive baseline", "band is calibrated", "band is sharper than the data's own spread", "enough history to judge"
 
 
 def wape(y: Column, p: Column) -> Column:
@@ -120,16 +122,13 @@ def significant_gain(new: DataFrame, best: DataFrame) -> DataFrame:
 
 def judge(model_error: float | None, baseline_error: float | None, band_coverage: float | None, test_rows: int, test_steps: int | None = None, needs_band: bool = True, width: float | None = None, own_spread: float | None = None) -> dict:
     """The verdict on the untouched test rows, each failed check with its numbers."""
-    checks = []
+    low, high = COVERAGE_RANGE
     ratio = model_error / baseline_error if model_error is not None and baseline_error else float("inf")
-    checks.append(("beats the naive baseline", ratio <= BASELINE_RATIO, f"ratio {ratio:.2f}, needs {BASELINE_RATIO} or less"))
+    found = {BEATS: (ratio <= BASELINE_RATIO, f"error ratio {ratio:.2f} of at most {BASELINE_RATIO}")}
     if needs_band:
-        low, high = COVERAGE_RANGE
-        fine = band_coverage is not None and low <= band_coverage <= high
-        checks.append(("band is calibrated", fine, "no band could be fitted" if band_coverage is None else f"covered {band_coverage:.0%}, needs {low:.0%} to {high:.0%}"))
-        if width is not None and own_spread is not None:
-            checks.append(("band is sharper than the data's own spread", width < own_spread, f"{width:.3g} wide, the target's own range is {own_spread:.3g}"))
-    enough = test_rows >= MIN_TEST_ROWS and (test_steps is None or test_steps >= MIN_TEST_STEPS)
-    checks.append(("enough history to judge", enough, f"{test_rows} test rows" + ("" if test_steps is None else f", {test_steps} steps")))
-    failed = [name for name, passed, _ in checks if not passed]
-    return {"trusted": not failed, "failed": failed, "checks": [{"check": n, "passed": bool(p), "detail": d} for n, p, d in checks]}
+        found[CALIBRATED] = (band_coverage is not None and low <= band_coverage <= high, f"covered {'nothing' if band_coverage is None else format(band_coverage, '.0%')}, {low:.0%} to {high:.0%} wanted")
+    if needs_band and None not in (width, own_spread):
+        found[SHARP] = (width < own_spread, f"width {width:.3g} against a spread of {own_spread:.3g}")
+    found[ENOUGH] = (test_rows >= MIN_TEST_ROWS and (test_steps is None or test_steps >= MIN_TEST_STEPS), f"{test_rows} rows, {test_steps if test_steps is not None else 'any'} steps")
+    failed = [name for name, (passed, _) in found.items() if not passed]
+    return {"trusted": not failed, "failed": failed, "checks": [{"check": name, "passed": bool(passed), "detail": detail} for name, (passed, detail) in found.items()]}

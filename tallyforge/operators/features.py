@@ -9,14 +9,15 @@ from pyspark.sql import types as T
 from tallyforge.functions.expressions import calendar, step_index, steps_between
 from tallyforge.spec import ANCHOR, SERIES, STEP, PrepSpec
 
-BUCKETS = ((1, 1), (2, 4), (5, 8), (9, 13), (14, 26), (27, 52))
+# The last horizons of the stretches that get a model each, and the features' lags, windows and rates.
+BUCKET_ENDS = (1, 4, 8, 13, 26, 52)
 LAGS, WINDOWS, ALPHAS = (0, 1, 2, 3), (4, 8, 13, 26, 52), (0.1, 0.3, 0.5)
 
 
 def buckets_for(horizon: int) -> list[tuple[int, int]]:
     """The stretches of the horizon that get a model each."""
-    out = [(lo, min(hi, horizon)) for lo, hi in BUCKETS if lo <= horizon]
-    return out + ([(BUCKETS[-1][1] + 1, horizon)] if horizon > BUCKETS[-1][1] else [])
+    ends = [*(end for end in BUCKET_ENDS if end < horizon), horizon]
+    return list(zip([1, *(end + 1 for end in ends)], ends))
 
 
 def level_codes(train: DataFrame, dim: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tallyforge.operators.profile import build_profile
 from tallyforge.plans.prepare import as_date, panel, prepare_rows, scaffold
 from tallyforge.spec import ANCHOR, LOWER, ROW, STEP, UNIT_DAYS, PrepSpec
 
+# The search's defaults.
 POPULATION, ELITE, PLATEAU, TOURNAMENT, HALVING_ROWS, SAMPLE_PERCENT = 16, 3, 5, 3, 50_000, 20
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import known
 from tallyforge.spec import LOWER, SERIES, STEP, UPPER, PrepSpec
 
+# What counts as a season, the longest lead, what counts as a leak, the shortest season.
 SEASON_ACF, MAX_LAG, LEAK_CORRELATION, MIN_LAG = 0.3, 26, 0.99, 4
 
 
@@ -149,16 +148,13 @@ def build_profile(train: DataFrame, spec: PrepSpec) -> dict:
 
 def suggest_genes(spec: PrepSpec, profile: dict) -> dict:
     """Objectives that suit the target, leaking inputs to leave out, the season and useful lags."""
-    target = profile["columns"].get(spec.named("target")[0], {})
-    objectives = ["logistic"] if spec.task == "classification" else ["squared", "absolute"]
-    if spec.task == "regression":
-        zeros = profile.get("zero_share", {}).get("median", target.get("zeros") or 0)
-        if (target.get("min") if target.get("min") is not None else -1) >= 0 and (zeros or 0) > 0.3:
-            objectives += ["tweedie", "poisson"]
-        if profile.get("censored", 0) > 0:
-            objectives.append("aft")
-    genes = {"objectives": objectives, "exclude": sorted(profile["leaks"])}
+    own = profile["columns"].get(spec.named("target")[0], {})
+    quiet = profile["zero_share"]["median"] if "zero_share" in profile else own.get("zeros")
+    counts = own.get("min") is not None and own["min"] >= 0 and (quiet or 0) > 0.3
+    wanted = {"logistic": spec.task == "classification", "squared": spec.task == "regression", "absolute": spec.task == "regression", "tweedie": spec.task == "regression" and counts, "poisson": spec.task == "regression" and counts, "aft": profile.get("censored", 0) > 0}
+    genes = {"objectives": [name for name, fits in wanted.items() if fits], "exclude": sorted(profile["leaks"])}
     if spec.mode == "series":
-        genes["period"] = profile.get("period")
-        genes["measure_lags"] = {m: v["lag"] for m, v in profile.get("leads", {}).items() if v["n"] and abs(v["corr"]) > 2 / math.sqrt(v["n"])}
+        # A correlation of noise stays within 2 / sqrt(n) nineteen times in twenty.
+        leads = {m: v for m, v in profile.get("leads", {}).items() if v["n"]}
+        genes |= {"period": profile.get("period"), "measure_lags": {m: v["lag"] for m, v in leads.items() if v["corr"] ** 2 * v["n"] > 4}}
     return genes

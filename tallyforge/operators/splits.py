@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.spec import ANCHOR, LOWER, STEP, UPPER
 
+# Weeks for cases to resolve, and of validation and test; least steps of test, validation, training.
 MATURITY_WEEKS, VAL_WEEKS, TEST_WEEKS = 26, 13, 13
+TEST_STEPS, VAL_STEPS, TRAIN_STEPS = 13, 26, 26
 
 
 class SplitError(ValueError):
@@ -53,19 +55,23 @@ def labels_as_of(rows: DataFrame, cut: dt.date, unit_days: float) -> DataFrame:
     return rows.withColumns({LOWER: F.when(waited >= 0, low), UPPER: F.when(waited >= 0, high)})
 
 
-def series_cut_points(steps: int, horizon: int, min_train: int = 26) -> tuple[int, int]:
-    """``(val_start, test_start)`` as places among the sorted distinct steps."""
-    test, val = max(horizon, 13), max(26, 2 * horizon)
-    if steps - test - val < min_train:
-        spare = steps - min_train
-        if spare < 2 * horizon:
-            raise SplitError(f"{steps} steps cannot hold {min_train} to train and {horizon} each for validation and test")
-        test = max(horizon, spare // 3)
-        val = spare - test
-    return steps - test - val, steps - test
+def series_cut_points(steps: int, horizon: int, min_train: int = TRAIN_STEPS) -> tuple[int, int]:
+    """``(val_start, test_start)`` as places among the sorted distinct steps.
+
+    Test and validation get their wanted lengths where training keeps its least one; a shorter history gives a
+    third of what training leaves to test, a horizon at least, and the rest to validation.
+    """
+    judged = steps - min_train
+    test = max(TEST_STEPS, horizon)
+    wanted = test + max(VAL_STEPS, 2 * horizon)
+    if judged >= wanted:
+        return steps - wanted, steps - test
+    if judged < 2 * horizon:
+        raise SplitError(f"{steps} steps are too few: {min_train} to train on and {horizon} each to validate and test")
+    return min_train, steps - max(judged // 3, horizon)
 
 
-def series_cuts(panel: DataFrame, horizon: int, min_train: int = 26) -> DataFrame:
+def series_cuts(panel: DataFrame, horizon: int, min_train: int = TRAIN_STEPS) -> DataFrame:
     """``__step, place, split`` for every distinct step; the window runs over distinct steps only."""
     steps = panel.select(STEP).distinct()
     val, test = series_cut_points(steps.count(), horizon, min_train)

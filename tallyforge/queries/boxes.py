@@ -38,14 +38,13 @@ def boxes_iou_pairs(spark, sf_dir):
 
 
 def boxes_near_pairs(spark, sf_dir):
-    """Corners near one another across frames, among the strongest few of each frame: how many per box."""
-    rows = ops.strongest(derived(spark, sf_dir), 3)
-    return ops.near_pairs(rows, 12).groupBy(c("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
+    """Corners near one another across frames: how many per box."""
+    return ops.near_pairs(derived(spark, sf_dir), 2).groupBy(c("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
 
 
 def score_frames(spark, sf_dir):
     p, t, f = _sides(spark, sf_dir)
-    return ops.match_frames(p.where("score > 0.9"), t.where("score > 0.8"), f)
+    return ops.match_frames(p, t, f)
 
 
 def score_summary(spark, sf_dir):
@@ -85,7 +84,7 @@ def nms_peaks(spark, sf_dir):
 
 
 def peak_boxes(spark, sf_dir):
-    return ops.boxes_from_peaks(_cells(spark, sf_dir).where("score > 0.95"), 31, 11).select("frame", "x", "y", "left", "top", "width", "height")
+    return ops.boxes_from_peaks(_cells(spark, sf_dir).where(c("score") >= ops.FLOOR), 31, 11).select("frame", "x", "y", "left", "top", "width", "height")
 
 
 def rescaled_boxes(spark, sf_dir):
@@ -115,7 +114,7 @@ def frame_sample(spark, sf_dir):
 
 
 def chrome_cells(spark, sf_dir):
-    rows = derived(spark, sf_dir).where("score > 0.5")
+    rows = derived(spark, sf_dir)
     facings = rows.select("recording", "frame").distinct().withColumn("radians", c("frame") * 0.09)
     return rounded(ops.chrome_cells(rows.select("recording", "frame", "left", "top"), facings), 6)
 
@@ -149,7 +148,7 @@ NAMES = ("boxes_overlap_pairs", "boxes_iou_pairs", "boxes_near_pairs", "score_fr
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _CELLS = f"WITH {B}, cell AS (SELECT frame, \"left\" % 20 AS x, top % 20 AS y, max(score) AS score FROM b GROUP BY ALL)"
-_FRAMES = f"""WITH {B}, p AS (SELECT * FROM b WHERE idx % 2 = 0 AND score > 0.9), t AS (SELECT * FROM b WHERE idx % 2 = 1 AND frame % 5 <> 0 AND score > 0.8),
+_FRAMES = f"""WITH {B}, p AS (SELECT * FROM b WHERE idx % 2 = 0), t AS (SELECT * FROM b WHERE idx % 2 = 1 AND frame % 5 <> 0),
 m AS (SELECT p.frame, p.id AS a, t.id AS b FROM p JOIN t ON p.frame = t.frame AND {_OVER}),
 fr AS (SELECT f.frame, (SELECT count(*) FROM p WHERE p.frame = f.frame) AS predictions, (SELECT count(*) FROM t WHERE t.frame = f.frame) AS truths,
   (SELECT count(DISTINCT b) FROM m WHERE m.frame = f.frame) AS hits, (SELECT count(DISTINCT a) FROM m WHERE m.frame = f.frame) AS matched FROM (SELECT DISTINCT frame FROM b) f)"""
@@ -158,8 +157,8 @@ ORACLES = {
     "boxes_overlap_pairs": f"WITH {B} SELECT p.id, count(*) AS n, sum(t.id)::BIGINT AS ids FROM b p JOIN b t ON p.frame = t.frame AND p.idx % 2 = 0 AND t.idx % 2 = 1 AND t.frame % 5 <> 0 AND {_OVER} GROUP BY 1",
     "boxes_iou_pairs": f"""WITH {B}, q AS (SELECT p.frame, p.id AS a_id, t.id AS b_id, greatest(least(p."left" + p.width, t."left" + t.width) - greatest(p."left", t."left"), 0) * greatest(least(p.top + p.height, t.top + t.height) - greatest(p.top, t.top), 0) AS i, p.width * p.height + t.width * t.height AS s
 FROM b p JOIN b t ON p.frame = t.frame AND p.idx % 2 = 0 AND t.idx % 2 = 1 AND t.frame % 5 <> 0) SELECT frame, a_id, b_id FROM q WHERE i / (s - i)::DOUBLE >= 0.6""",
-    "boxes_near_pairs": f"""WITH {B}, s AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) <= 3)
-SELECT x.id, count(*) AS n, sum(y.id)::BIGINT AS ids FROM s x JOIN s y ON x.id < y.id AND abs(x."left" - y."left") <= 12 AND abs(x.top - y.top) <= 12 GROUP BY 1""",
+    "boxes_near_pairs": f"""WITH {B}, d AS (SELECT i AS dx FROM range(-2, 3) t(i))
+SELECT x.id, count(*) AS n, sum(y.id)::BIGINT AS ids FROM b x CROSS JOIN d JOIN b y ON y."left" = x."left" + dx AND x.id < y.id AND abs(x.top - y.top) <= 2 GROUP BY 1""",
     "score_frames": f"{_FRAMES} SELECT frame, predictions, truths, hits, truths - hits AS misses, predictions - matched AS spurious FROM fr",
     "score_summary": f"""{_FRAMES} SELECT count(*) AS frames, sum(hits)::BIGINT AS hits, sum(truths - hits)::BIGINT AS misses, sum(predictions - matched)::BIGINT AS spurious, count(*) FILTER (truths = 0 AND predictions > 0) AS false_positive_frames,
 round(sum(hits) / sum(truths)::DOUBLE, 6) AS recall, count(*) FILTER (truths = hits AND predictions = matched) AS clean_frames FROM fr""",
@@ -169,7 +168,7 @@ SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.idx % 9 = 0 AND k.fr
     "score_histogram": f"WITH {B} SELECT idx % 2 = 0 AS on_object, least(floor(score * 40 + 1e-9)::BIGINT + 1, 40) AS bin, count(*) AS n FROM b GROUP BY ALL",
     "topk_per_frame": f"WITH {B} SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS place, score FROM b QUALIFY place <= 5",
     "local_maxima": f"{_CELLS} SELECT * FROM cell c WHERE score >= 0.05 AND NOT EXISTS (SELECT 1 FROM cell d WHERE d.frame = c.frame AND abs(d.x - c.x) <= 1 AND abs(d.y - c.y) <= 1 AND d.score > c.score)",
-    "peak_boxes": f"{_CELLS} SELECT frame, x, y, greatest(x - 15, 0)::INTEGER AS \"left\", greatest(y - 5, 0)::INTEGER AS top, 31 AS width, 11 AS height FROM cell WHERE score > 0.95",
+    "peak_boxes": f"{_CELLS} SELECT frame, x, y, greatest(x - 15, 0)::INTEGER AS \"left\", greatest(y - 5, 0)::INTEGER AS top, 31 AS width, 11 AS height FROM cell WHERE score >= 0.05",
     "rescaled_boxes": f'WITH {B}, f AS (SELECT *, 320 / frame_width::DOUBLE AS k FROM b) SELECT id, round_even("left" * k, 0)::INTEGER AS "left", round_even(top * k, 0)::INTEGER AS top, round_even(width * k, 0)::INTEGER AS width, round_even(height * k, 0)::INTEGER AS height FROM f',
     "tile_rectangles": f"""WITH {B}, q AS (SELECT *, round_even(width * 25 / 100.0::DOUBLE, 0)::INTEGER AS px, round_even(height * 25 / 100.0::DOUBLE, 0)::INTEGER AS py FROM b),
 w AS (SELECT *, "left" - px >= 0 AND top - py >= 0 AND "left" + width + px <= frame_width AND top + height + py <= frame_height AS big, "left" + width <= frame_width AND top + height <= frame_height AS bare FROM q)
@@ -178,7 +177,7 @@ SELECT id, ("left" - CASE WHEN big THEN px ELSE 0 END)::INTEGER AS tile_left, (t
 SELECT id, x AS src_left, y AS src_top, greatest(u - x, 0) AS src_width, greatest(v - y, 0) AS src_height, x - l + 30 AS dst_left, y - t + 30 AS dst_top FROM q""",
     "window_floor": f"WITH {B} SELECT recording, max(ceil(ceil(greatest(width, height) / 2 / 0.8) / 8) * 8)::BIGINT AS \"window\" FROM b GROUP BY 1",
     "frame_sample": "WITH f AS (SELECT DISTINCT printf('f%04d', o_orderkey % 100) AS frame FROM orders), r AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS k, count(*) OVER () AS n FROM f) SELECT frame FROM r WHERE k IN (SELECT i * n // 7 FROM range(7) t(i))",
-    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, "left" // 32 AS cx, top // 32 AS cy, degrees(frame * 0.09) - 360 * floor(degrees(frame * 0.09) / 360) AS d FROM b WHERE score > 0.5),
+    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, "left" // 32 AS cx, top // 32 AS cy, degrees(frame * 0.09) - 360 * floor(degrees(frame * 0.09) / 360) AS d FROM b),
 g AS (SELECT *, coalesce(lead(d) OVER w, min(d) OVER (PARTITION BY recording, cx, cy) + 360) - d AS gap FROM a WINDOW w AS (PARTITION BY recording, cx, cy ORDER BY d))
 SELECT recording, cx, cy, count(*) AS n, round(360 - max(gap), 6) AS span FROM g GROUP BY ALL HAVING count(*) >= 12 AND 360 - max(gap) > 90""",
     "despike": f"""WITH {B}, p AS (SELECT 'rec' || (idx % 40) AS recording, frame, arg_max("left", id)::DOUBLE AS x, arg_max(top, id)::DOUBLE AS y FROM b GROUP BY ALL),

@@ -126,7 +126,7 @@ def tile_ordinals(spark, sf_dir):
 
 
 def synthetic_negatives(spark, sf_dir):
-    return ops.synthetic_negatives(set_rows(spark, sf_dir).where("left % 40 = 0"), 700, 120)
+    return ops.synthetic_negatives(set_rows(spark, sf_dir), 4000, 2200)
 
 
 def class_labels(spark, sf_dir):
