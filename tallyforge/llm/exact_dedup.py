@@ -30,23 +30,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.sha2("norm", 256) if digest_all else F.lit(None).cast("string")
     facts = written(rows.select("id", "chars", F.char_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), digest.alias("digest")))
 
-    lengths = facts.groupBy("len").agg(F.count("*").alias("same_len")).where("same_len > 1").drop("same_len")
-    same_length = facts.join(lengths, "len", "left_semi")
-    prefixes = same_length.groupBy("len", "prefix").agg(F.count("*").alias("same_prefix")).where("same_prefix > 1")
-    marked = facts.join(prefixes, ["len", "prefix"], "left")
-    survivors = marked.where(F.col("same_prefix").isNotNull()).select("id", "chars", "len", "prefix", "digest")
-    if not digest_all:
-        wanted = survivors.select("id").distinct()
-        full = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(wanted, "id", "left_semi")
-        full = full.select("id", F.char_length("text").alias("chars"), F.regexp_replace("text", SPACE_CLASS + "+", "").alias("norm"))
-        survivors = written(full.select("id", "chars", F.char_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), F.sha2("norm", 256).alias("digest")))
-        survivors = survivors.join(prefixes, ["len", "prefix"], "left_semi")
+    prefixes = facts.groupBy("len", "prefix").agg(F.count("*").alias("same_prefix"))
+    lengths = prefixes.groupBy("len").agg(F.sum("same_prefix").alias("same_len")).where("same_len > 1")
+    prefixes = prefixes.where("same_prefix > 1").join(lengths, "len", "left_semi").select("len", "prefix", F.lit(True).alias("shared"))
     keys = ["len", "prefix", "digest"]
-    groups = survivors.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), F.col("id"))).alias("best"))
-    grouped = survivors.join(groups, keys).select("id", F.col("best.id").alias("keep_id"), "group_size", "digest")
-    alone = marked.where(F.col("same_prefix").isNull()).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    both = grouped.unionByName(alone)
-    return both.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    if digest_all:
+        survivors, alone = facts, None
+    else:
+        marked = facts.join(prefixes, ["len", "prefix"], "left")
+        wanted = marked.where("shared").select(F.col("id").alias("__id")).distinct()
+        full = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        full = full.join(wanted, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+        full = full.select("id", F.char_length("text").alias("chars"), F.regexp_replace("text", SPACE_CLASS + "+", "").alias("norm"))
+        full = written(full.select("id", "chars", F.char_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), F.sha2("norm", 256).alias("digest")))
+        survivors, alone = full.join(prefixes, ["len", "prefix"], "left_semi"), marked.where("shared IS NULL").select("id", "digest")
+    # Counted before any join, with map-side combine: the rows of one large group never meet in a task.
+    source = survivors if digest_all else full
+    groups = source.groupBy(*keys).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), F.col("id"))).alias("best"))
+    groups = groups.join(prefixes, ["len", "prefix"], "left_semi")
+    found = survivors.join(groups, keys, "left").select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "digest")
+    if alone is not None:
+        found = found.unionByName(alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest"))
+    return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
