@@ -88,6 +88,14 @@ def score(per_frame: DataFrame) -> DataFrame:
     )
 
 
+def beats(model: DataFrame, teacher: DataFrame) -> DataFrame:
+    """One row from two scores: whether the model finds as much with no more spurious boxes, and more of one kind."""
+    t = teacher.select(F.col("recall").alias("t_recall"), F.col("spurious").alias("t_spurious"))  # one row
+    no_worse = (F.col("recall") >= F.col("t_recall")) & (F.col("spurious") <= F.col("t_spurious"))
+    better = (F.col("recall") > F.col("t_recall")) | (F.col("spurious") < F.col("t_spurious"))
+    return model.join(F.broadcast(t)).select("recall", "t_recall", "spurious", "t_spurious", (no_worse & better).alias("beats"))
+
+
 def outside_kept(points: DataFrame, kept: DataFrame, key: list[str]) -> DataFrame:
     """Points (``x, y``) that lie in no kept box (``left, top, width, height``) of their frame: the negatives."""
     boxes = kept.select(*[F.col(k).alias("k_" + k) for k in key], *[F.col(c).alias("k_" + c) for c in BOX])

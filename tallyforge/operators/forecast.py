@@ -9,7 +9,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate, features, models, splits
@@ -212,6 +212,21 @@ def search(ws: Workspace, budget: Budget | None = None, warm: list[Recipe] = (),
     return board
 
 
+BOARD = "families array<string>, objective string, depth int, rounds int, rate double, fitness double"
+
+
+def save_board(spark: SparkSession, board: Board, path: str) -> None:
+    """The board's recipes with their fitness, best first."""
+    rows = [(list(e.recipe.families), e.recipe.objective, e.recipe.depth, e.recipe.rounds, e.recipe.rate, e.fitness) for e in board.entries]
+    spark.createDataFrame(rows, BOARD).coalesce(1).write.mode("overwrite").json(path)
+
+
+def saved_recipes(spark: SparkSession, path: str, top: int = 25) -> list[Recipe]:
+    """Recipes of an earlier board, to start a search from or to fit anew."""
+    rows = spark.read.schema(BOARD).json(path).orderBy("fitness", F.size("families")).limit(top).collect()
+    return [Recipe(tuple(r["families"]), r["objective"], r["depth"], r["rounds"], r["rate"]) for r in rows]
+
+
 def finish(ws: Workspace, recipe: Recipe) -> dict:
     """The frozen winner: validation and test predictions, bands, forecast and verdict; test rows are read here only."""
     by = ["bucket"]

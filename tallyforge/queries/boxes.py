@@ -51,6 +51,13 @@ def score_summary(spark, sf_dir):
     return rounded(ops.score(score_frames(spark, sf_dir)), 6)
 
 
+def beats_teacher(spark, sf_dir):
+    """Confident predictions against all of them, on the same truths."""
+    p, t, f = _sides(spark, sf_dir)
+    sure = ops.score(ops.match_frames(p.where("score >= 0.5"), t, f))
+    return rounded(ops.beats(sure, ops.score(ops.match_frames(p, t, f))), 6)
+
+
 def kept_extent_negatives(spark, sf_dir):
     """Centres of boxes not kept that lie in no kept box of their frame."""
     rows = derived(spark, sf_dir)
@@ -144,7 +151,7 @@ def sweep_udf(spark, sf_dir):
     return rounded(ops.sweep(frames, predict, "frame long, x double, y double, score double", floor=0.5), 6)
 
 
-NAMES = ("boxes_overlap_pairs", "boxes_iou_pairs", "boxes_near_pairs", "score_frames", "score_summary", "kept_extent_negatives", "counts_above", "score_histogram", "topk_per_frame", "local_maxima", "nms_peaks", "peak_boxes", "rescaled_boxes", "tile_rectangles", "canvas_geometry", "window_floor", "frame_sample", "chrome_cells", "despike", "track", "sweep_udf")
+NAMES = ("boxes_overlap_pairs", "boxes_iou_pairs", "boxes_near_pairs", "score_frames", "score_summary", "beats_teacher", "kept_extent_negatives", "counts_above", "score_histogram", "topk_per_frame", "local_maxima", "nms_peaks", "peak_boxes", "rescaled_boxes", "tile_rectangles", "canvas_geometry", "window_floor", "frame_sample", "chrome_cells", "despike", "track", "sweep_udf")
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _CELLS = f"WITH {B}, cell AS (SELECT frame, \"left\" % 20 AS x, top % 20 AS y, max(score) AS score FROM b GROUP BY ALL)"
@@ -162,6 +169,9 @@ SELECT x.id, count(*) AS n, sum(y.id)::BIGINT AS ids FROM b x CROSS JOIN d JOIN
     "score_frames": f"{_FRAMES} SELECT frame, predictions, truths, hits, truths - hits AS misses, predictions - matched AS spurious FROM fr",
     "score_summary": f"""{_FRAMES} SELECT count(*) AS frames, sum(hits)::BIGINT AS hits, sum(truths - hits)::BIGINT AS misses, sum(predictions - matched)::BIGINT AS spurious, count(*) FILTER (truths = 0 AND predictions > 0) AS false_positive_frames,
 round(sum(hits) / sum(truths)::DOUBLE, 6) AS recall, count(*) FILTER (truths = hits AND predictions = matched) AS clean_frames FROM fr""",
+    "beats_teacher": f"""{_FRAMES}, s AS (SELECT p.id AS a, t.id AS b FROM p JOIN t ON p.frame = t.frame AND p.score >= 0.5 AND {_OVER}),
+x AS (SELECT (SELECT count(DISTINCT b) FROM s) / (SELECT count(*) FROM t)::DOUBLE AS recall, sum(hits) / sum(truths)::DOUBLE AS t_recall, (SELECT count(*) FROM p WHERE score >= 0.5) - (SELECT count(DISTINCT a) FROM s) AS spurious, sum(predictions - matched)::BIGINT AS t_spurious FROM fr)
+SELECT round(recall, 6) AS recall, round(t_recall, 6) AS t_recall, spurious, t_spurious, recall >= t_recall AND spurious <= t_spurious AND (recall > t_recall OR spurious < t_spurious) AS beats FROM x""",
     "kept_extent_negatives": f"""WITH {B}, q AS (SELECT frame, id, "left" + width // 2 AS x, top + height // 2 AS y FROM b WHERE idx % 9 <> 0)
 SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.idx % 9 = 0 AND k.frame = q.frame AND q.x >= k."left" AND q.x < k."left" + k.width AND q.y >= k.top AND q.y < k.top + k.height)""",
     "counts_above": "SELECT k AS step, (SELECT count(*) FROM orders WHERE o_orderkey * 37 % 101 >= k) AS n FROM range(101) r(k)",

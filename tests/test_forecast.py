@@ -145,7 +145,7 @@ def test_models(spark, tmp_path):
         models.fit_model(rows, "guess", ["a"])
 
 
-def test_search_is_deterministic_and_stops(spark):
+def test_search_is_deterministic_and_stops(spark, tmp_path):
     families = {f"f{i}": f"f{i}" for i in range(6)}
     ws = forecast.Workspace(SPEC, {"1-1": None}, {"1-1": families}, {"leaks": {"f5": "constant gap"}, "rows": 10, "genes": {"objectives": ["squared", "absolute"]}}, "week")
     tries = []
@@ -159,6 +159,8 @@ def test_search_is_deterministic_and_stops(spark):
     assert boards[0].entries == sorted(boards[0].entries, key=forecast.Entry.rank)
     assert not any("f5" in e.recipe.families for e in boards[0].entries)
     assert len(set(tries)) * 2 == len(tries)
+    forecast.save_board(spark, boards[0], str(tmp_path / "board"))
+    assert forecast.saved_recipes(spark, str(tmp_path / "board"), 1) == [boards[0].entries[0].recipe]
     warm = forecast.Recipe(("f0", "f1"), "squared")
     assert forecast.search(ws, forecast.Budget(population=4, generations=1, threads=1), [warm], scorer=scorer).entries[0].fitness == 0
     assert forecast.search(ws, forecast.Budget(population=4, generations=50, plateau=2, threads=1), scorer=scorer).stopped == "plateau"
