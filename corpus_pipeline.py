@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.exact_dedup import drop_copies
 from tallyforge.llm.mixing import apply_mix
-from tallyforge.llm.ngram_join import keep_one
+from tallyforge.llm.ngram_join import keep_one_row
 from tallyforge.llm.pieces import encode
 from tallyforge.llm.quality import keep_good
 from tallyforge.llm.shared import ready, table, written
@@ -27,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similar shingle sets form."""
     ready(spark)
-    return keep_one(docs)
+    return keep_one_row(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import SPACE_CLASS, table, written
+from tallyforge.llm.shared import ROW, SPACE_CLASS, named, numbered, table, written
 
 PREFIX_CHARS = 64
 
@@ -55,9 +55,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each text, all columns; which one as in ``exact_groups``.
+
+    Of rows equal in that too, rows without an id come last and one is taken by its place in the stored table, so
+    a repeated or missing id neither saves a copy nor takes rows of other texts along.
+    """
+    rows = numbered(docs)
+    found = exact_groups(rows.select(named(id_col).alias("__name"), text_col), "__name", text_col)
+    gone = found.where(~F.col("kept")).select(F.col("id.row").alias("__gone"))
+    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
 def op8_exact_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import fragments_of, table, written
+from tallyforge.llm.shared import ROW, fragments_of, named, numbered, table, written
 from tallyforge.llm.shingles import batch_shingles, mix, slices
 
 #: Texts link when LINK[1] * overlap >= LINK[0] * union.
@@ -307,6 +307,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 
 
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``keep_one``, whatever the ids: rows link by numbers of their own, so rows without an id and rows that
+    repeat one take part each. One row stays of each group: the smallest id's, missing ids last, then the first stored."""
+    rows = numbered(docs)
+    found = similar_groups(rows.select(ROW, text_col), ROW, text_col).select(F.col("id").alias(ROW), "component")
+    kept = found.join(rows.select(ROW, named(id_col).alias("name")), ROW).groupBy("component").agg(F.min("name").alias("name"))
+    return rows.join(kept.select(F.col("name.row").alias("__kept")), F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+
+
 def op7_ngram_join(spark, sf_dir):
     found = similar_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -18,6 +18,9 @@ BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+#: The column of a row's own number, for rows whose ids are missing or repeated.
+ROW = "__row"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one is set."""
@@ -35,6 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` stored once with a number of its own for each row, the same whenever it is read."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def named(id_col: str) -> Column:
+    """What orders the rows of a ``numbered`` table and tells each apart: by id, missing ids last, then by row."""
+    return F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+
+
 def fragments_of(spark: SparkSession) -> int:
     """As many parts as the cluster deals a shuffle into, which its owner sets to fit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -53,3 +53,24 @@ def test_empty_tables_and_extra_columns(spark, k):
 def test_run_on_small_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("NOT exact").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_dedup_with_missing_and_repeated_ids(spark):
+    """Copies go and no other text with them, whatever the ids of the rows."""
+    near = ["w%d" % i for i in range(60)]
+    rows = [(None, "ab", None, "s", 1), (1, "a  b", None, "s", 1), (None, "only here", None, "s", 1), (None, "nor this", None, "s", 1)]
+    rows += [(2, "x y", None, "s", 1), (2, "another text", None, "s", 1), (3, "x  y", None, "s", 1)]
+    rows += [(4, "same", "a", "s", 1), (4, "same", "b", "s", 1), (None, "twin", "a", "s", 1), (None, "twin", "a", "s", 1)]
+    rows += [(None, " ".join(near), None, "s", 1), (5, " ".join(near[:-1] + ["z"]), None, "s", 1), (5, "far off", None, "s", 1), (None, " ".join(["z"] + near[1:]), None, "s", 1)]
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    once = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert once.columns == docs.columns
+    texts = sorted(r.text for r in once.collect())
+    assert texts == sorted({r[1] for r in rows} - {"ab", "x y"})
+    left = corpus_pipeline.near_dedup(spark, once, "")
+    assert left.columns == docs.columns
+    found = sorted((str(r.doc_id), r.text[:9]) for r in left.collect())
+    assert found == sorted([("1", "a  b"), ("None", "only here"), ("None", "nor this"), ("2", "another t"), ("3", "x  y"), ("4", "same"), ("None", "twin"), ("5", "w0 w1 w2 "), ("5", "far off")])
