@@ -36,12 +36,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and the scores of the best segmentations of each document."""
+    """Piece ids of the best segmentation of each document, what the next best change in it, and the scores of all."""
     import public_tokenizers
 
     ready(spark)
-    found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_edits=False)
-    return found.select(F.col("id").alias("doc_id"), "n_pieces", "scores", "ids", "exact")
+    found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_pieces", "scores", "ids", "edits", "exact")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

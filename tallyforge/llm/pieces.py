@@ -126,7 +126,7 @@ def _arcs(t: PieceTable, codes: np.ndarray):
 
 def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
     """``(scores, ids)`` of equally long rows: scores is rows x n_best (-inf where there are fewer paths), ids is
-    rows x length: the best path's pieces from the left, then NONE; ~c stands for a character c that is no piece."""
+    rows x n_best x length: each path's pieces from the left, then NONE; ~c stands for a character c that is no piece."""
     m, n = codes.shape
     piece, arc = _arcs(t, codes)
     width = len(arc)
@@ -168,18 +168,19 @@ def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
             hope[r, c] = cost + best[r, to]
             held[r] += 1
         active = active[found[active] < n_best]
-    ids = np.full((m, n), NONE, dtype=np.int32)
-    here, rows, at = goal[:, 0], np.arange(m), np.zeros(m, dtype=np.int64)
+    ids = np.full((m * n_best, n), NONE, dtype=np.int32)
+    here, paths, at = goal.ravel(), np.arange(m * n_best), np.zeros(m * n_best, dtype=np.int64)
     for i in range(n):
         going = here > 0
-        rows, here, at = rows[going], here[going], at[going]
-        if not len(rows):
+        paths, here, at = paths[going], here[going], at[going]
+        if not len(paths):
             break
+        rows = paths // n_best
         size = used[rows, here].astype(np.int64)
         id_ = piece[size - 1, rows, at + size]
-        ids[rows, i] = np.where(id_ >= 0, id_, ~codes[rows, at].astype(np.int32))
+        ids[paths, i] = np.where(id_ >= 0, id_, ~codes[rows, at].astype(np.int32))
         here, at = parent[rows, here], at + size
-    return scores, ids
+    return scores, ids.reshape(m, n_best, n)
 
 
 def search_one(t: PieceTable, text: str, n_best: int) -> list[tuple[float, list[int]]]:
@@ -268,10 +269,11 @@ def _segments(t: PieceTable, texts: list[str]):
 
 
 def _best_of_distinct(t: PieceTable, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_best: int):
-    """``(scores, sizes, ids)`` of distinct stretches: scores is stretches x n_best, ids the best paths' in a row."""
+    """``(scores, sizes, ids)`` of distinct stretches: scores is stretches x n_best; path k of stretch r has sizes[r * n_best + k]
+    pieces, 0 where there is none; ids has those of all paths in a row."""
     count = len(starts)
     scores = np.full((count, n_best), -np.inf)
-    found: list = [None] * count
+    found: dict[int, np.ndarray] = {}
     size = ends - starts
     parts, order = [], []
     for n in np.unique(size[size <= TOGETHER]).tolist():
@@ -279,28 +281,28 @@ def _best_of_distinct(t: PieceTable, codes: np.ndarray, starts: np.ndarray, ends
         for a in range(0, len(rows), AT_ONCE):
             some = rows[a : a + AT_ONCE]
             scores[some], ids = _search_together(t, codes[starts[some][:, None] + np.arange(n)], n_best)
+            ids, some = ids.reshape(-1, n), (some[:, None] * n_best + np.arange(n_best)).ravel()
             odd = ((ids < 0) & (ids != NONE)).any(axis=1)
             for i in np.flatnonzero(odd).tolist():
-                found[some[i]] = np.array([x for j in ids[i].tolist() if j != NONE for x in ([j] if j >= 0 else [t.byte_ids[b] for b in chr(~j).encode("utf-8", "surrogatepass")])], dtype=np.int32)
+                found[int(some[i])] = np.array([x for j in ids[i].tolist() if j != NONE for x in ([j] if j >= 0 else [t.byte_ids[b] for b in chr(~j).encode("utf-8", "surrogatepass")])], dtype=np.int32)
             ids, some = ids[~odd], some[~odd]
             kept = ids != NONE
             order.append(np.repeat(some, kept.sum(axis=1)))
             parts.append(ids[kept])
     for r in np.flatnonzero(size > TOGETHER).tolist():
         text = codes[starts[r] : ends[r]].tobytes().decode("utf-32-le", "surrogatepass")
-        paths = search_one(t, text, n_best)
-        scores[r, : len(paths)] = [score for score, _ in paths]
-        found[r] = np.array(_ids(t, text, paths[0][1]), dtype=np.int32)
-    for r, ids in enumerate(found):
-        if ids is not None:
-            order.append(np.full(len(ids), r))
-            parts.append(ids)
+        for k, (score, lengths) in enumerate(search_one(t, text, n_best)):
+            scores[r, k] = score
+            found[r * n_best + k] = np.array(_ids(t, text, lengths), dtype=np.int32)
+    for path, ids in found.items():
+        order.append(np.full(len(ids), path))
+        parts.append(ids)
     of, flat = np.concatenate([*order, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*parts, np.zeros(0, np.int32)])
-    return scores, np.bincount(of, minlength=count), flat[np.argsort(of, kind="stable")].astype(np.int32)
+    return scores, np.bincount(of, minlength=count * n_best), flat[np.argsort(of, kind="stable")].astype(np.int32)
 
 
 class Memory:
-    """Distinct stretches that were searched before, by number: scores and best ids."""
+    """Distinct stretches that were searched before, by number: scores and ids of the n best."""
 
     def __init__(self, t: PieceTable, n_best: int):
         self.t, self.n_best = t, n_best
@@ -323,7 +325,7 @@ class Memory:
         new = ~held
         if new.any():
             scores, sizes, flat = _best_of_distinct(self.t, codes, starts[new], ends[new], self.n_best)
-            out[new] = np.arange(len(sizes)) + len(self.sizes)
+            out[new] = np.arange(len(scores)) + len(self.scores)
             numbers_all = np.concatenate((self.numbers, numbers[new]))
             rows = np.concatenate((self.rows, out[new]))
             order = np.argsort(numbers_all)
@@ -332,6 +334,11 @@ class Memory:
             self.offset = np.concatenate(([0], np.cumsum(self.sizes)))
         return out
 
+    def path(self, row: int, k: int) -> list[int]:
+        """Ids of a remembered stretch's segmentation k, 0 the best."""
+        at = row * self.n_best + k
+        return self.flat[self.offset[at] : self.offset[at + 1]].tolist()
+
 
 def _combine(losses: list[tuple[int, list[float]]], n_best: int) -> list[tuple[float, dict[int, int]]]:
     """The n smallest sums of one loss per stretch: ``(loss, {stretch: which alternative})``.
@@ -345,6 +352,17 @@ def _combine(losses: list[tuple[int, list[float]]], n_best: int) -> list[tuple[f
     return sums
 
 
+def segmentations(ids: list[int], edits: list) -> list[list[int]]:
+    """The piece ids of all n best segmentations, best first, from the best one's and the others' edits."""
+    out = [list(ids)]
+    for edit in edits:
+        changed = list(ids)
+        for first, taken, new in sorted(edit, key=lambda e: e[0], reverse=True):
+            changed[first : first + taken] = new
+        out.append(changed)
+    return out
+
+
 def encode_texts(memory: Memory, texts: list[str | None], with_edits: bool = True):
     """For each text: ``(ids, scores, edits)``.
 
@@ -363,9 +381,9 @@ def encode_texts(memory: Memory, texts: list[str | None], with_edits: bool = Tru
         if not len(own):
             yield np.zeros(0, dtype=np.int32), [0.0], []
             continue
-        n = memory.sizes[own]
+        n = memory.sizes[own * n_best]
         at = np.cumsum(n) - n
-        ids = memory.flat[np.repeat(memory.offset[own] - at, n) + np.arange(n.sum())]
+        ids = memory.flat[np.repeat(memory.offset[own * n_best] - at, n) + np.arange(n.sum())]
         total = float(memory.scores[own, 0].sum())
         others = []
         if n_best > 1:
@@ -375,11 +393,7 @@ def encode_texts(memory: Memory, texts: list[str | None], with_edits: bool = Tru
         combos = _combine(others, n_best)
         edits = []
         for _, chosen in combos[1:] if with_edits else ():
-            edit = []
-            for i, k in sorted(chosen.items()):
-                here = cut[d] + i
-                text = codes[starts[here] : ends[here]].tobytes().decode("utf-32-le", "surrogatepass")
-                edit.append((int(at[i]), int(n[i]), _ids(t, text, search_one(t, text, n_best)[k][1])))
+            edit = [(int(at[i]), int(n[i]), memory.path(own[i], k)) for i, k in sorted(chosen.items())]
             edits.append(edit)
         yield ids, [total - s for s, _ in combos], edits
 
@@ -420,8 +434,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def op2_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
-    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_edits=False)
-    return found.select(F.col("id").alias("doc_id"), "n_pieces", "scores", "exact")
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_pieces", "scores", "ids", "edits", "exact")
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}

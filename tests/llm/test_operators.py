@@ -424,6 +424,22 @@ def test_encode_table(spark, docs, none):
     assert pieces.encode(none, PATH).count() == 0
 
 
+def test_alternatives_have_their_scores(spark, tmp_path):
+    """Each of the n best segmentations is built, is another one, gives the text back and sums to its score."""
+    texts = ["thereof internationalization hello", "the 漢字 😀", "a", "", None, "aaaa" * 12 + " xyz", "ñandú, a,b\nthe the the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = pieces.piece_table(PATH)
+    score = {i: s for i, s in table.known.values()}
+    for r in pieces.op2_sentencepiece(spark, str(tmp_path)).collect():
+        paths = pieces.segmentations(r.ids, r.edits)
+        assert len(paths) == len(r.scores) == len({tuple(p) for p in paths})
+        assert len(paths) == pieces.N_BEST or not texts[r.doc_id] or len(texts[r.doc_id]) == 1
+        for path, want in zip(paths, r.scores):
+            assert pieces.decode(table, path) == (texts[r.doc_id] or "")
+            if set(path) <= set(score):
+                assert sum(score[i] for i in path) == pytest.approx(want, abs=1e-6)
+
+
 # Quality
 
 
