@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: How many rows of a column are looked at to tell its number format, as many as the format's own rule says.
-FORMAT_ROWS = 1000
 DECIMAL_COMMA, THOUSANDS_COMMA = r"^\s*-?\d{1,3}(\.\d{3})*,\d+\s*$|^\s*-?\d+,\d+\s*$", r"^\s*-?\d{1,3}(,\d{3})+(\.\d+)?\s*$"
 PLAIN = r"^\s*-?\d+(\.\d+)?\s*$"
 SEPARATORS = ",;\t|"
@@ -83,10 +81,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.option("multiLine", bool(head and head["h"].startswith("["))).json(path)
 
 
-def number_formats(rows: DataFrame, most: int = FORMAT_ROWS) -> DataFrame:
-    """``column, format`` of each text column: decimal_comma or thousands_comma where all of its first values fit."""
+def number_formats(rows: DataFrame) -> DataFrame:
+    """``column, format`` of each text column: decimal_comma or thousands_comma where all of its values fit; one pass."""
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
-    head = rows.select(*texts).limit(most)
 
     def kind(c: str):
         v = F.when(F.trim(F.col(c)) != "", F.col(c))
@@ -95,7 +92,7 @@ def number_formats(rows: DataFrame, most: int = FORMAT_ROWS) -> DataFrame:
         grouped = F.coalesce(F.bool_and(v.rlike(THOUSANDS_COMMA) | v.rlike(PLAIN)), F.lit(False)) & F.coalesce(F.bool_or(v.rlike(THOUSANDS_COMMA)), F.lit(False))
         return F.struct(F.lit(c).alias("column"), F.when(fits(PLAIN), F.lit(None)).when(decimal, "decimal_comma").when(grouped, "thousands_comma").alias("format"))
 
-    return head.agg(F.array(*[kind(c) for c in texts]).alias("k")).select(F.inline("k"))
+    return rows.agg(F.array(*[kind(c) for c in texts]).alias("k")).select(F.inline("k"))
 
 
 def parsed_number(value, form: str):

@@ -31,6 +31,13 @@ def test_number_formats(spark):
     assert [r["a"] for r in typed] == [1234.5, 755.96, None] and typed[0]["b"] == 1234.5
 
 
+def test_number_formats_look_at_all_rows(spark):
+    late = "CASE WHEN id = 2999 THEN {} ELSE '1.234,50' END AS {}"
+    rows = spark.range(3000).selectExpr("id", late.format("'n/a'", "remark"), late.format("'7,25'", "price")).coalesce(1)
+    assert {r["column"]: r["format"] for r in files.number_formats(rows).collect()} == {"remark": None, "price": "decimal_comma"}
+    assert files.typed_numbers(rows).where("remark IS NULL OR price IS NULL").count() == 0
+
+
 def test_json_and_lines(spark, tmp_path):
     (tmp_path / "array.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 2}\n')
