@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -46,65 +47,79 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, Counter]:
     return {name: c for name, c in found.items() if c}
 
 
-def _best(grams: list[int], templates: dict[str, Counter], min_dice: float):
-    """``(name, begin, end, dice)`` for each template that a line's bigrams, or a window of them, come near to.
+def _spans(at: np.ndarray, size: int, min_dice: float, units: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Where a template of ``size`` bigrams, some of which stand at the places ``at``, can reach the threshold.
 
-    A line can reach the threshold with a template only if their sizes are within a factor (2 - t) / t; other
-    templates are passed over, or, for lines too long, looked for in windows as long as the template.
+    Windows as long as the template lie inside a unit and begin at one of its bigrams or end with the unit: any
+    other window can be moved on without losing a bigram.  Runs are compared whole; they can reach the threshold
+    only if the sizes are within a factor (2 - t) / t.
     """
-    for name, want in templates.items():
-        size = want.total()
-        if len(grams) * (2 - min_dice) < size * min_dice:
-            continue
-        if size * (2 - min_dice) >= len(grams) * min_dice:
-            spans = [(0, len(grams))]
-        else:
-            at = [i for i, g in enumerate(grams) if g in want]
-            spans = sorted({(b, b + size) for i in at for b in range(max(0, i - size + 1), min(i, len(grams) - size) + 1)}) if len(at) >= min_dice * size else []
-        best = None
-        for begin, end in spans:
-            dice = 2 * (Counter(grams[begin:end]) & want).total() / (end - begin + size)
-            if dice >= min_dice and (best is None or dice > best[3]):
-                best = (name, begin, end, dice)
-        if best:
-            yield best
-
-
-def _scan_texts(ids: pa.Array, texts: pa.Array, templates: dict[str, Counter], min_dice: float) -> list[tuple]:
+    first, last = runs
+    length = last - first
+    hits = np.searchsorted(at, last) - np.searchsorted(at, first)
+    fit = (length * (2 - min_dice) >= size * min_dice) & (size * (2 - min_dice) >= length * min_dice) & (hits > 0) & (2 * hits >= min_dice * (length + size) - 1e-9)
+    found = set(zip(first[fit].tolist(), last[fit].tolist()))
+    least = max(1, math.ceil(min_dice * size - 1e-9))
+    if len(at) >= least:
+        begin, end = at[: len(at) - least + 1], at[least - 1 :]
+        begin, end = begin[end - begin < size], end[end - begin < size]
+        unit = np.searchsorted(units[0], begin, side="right") - 1
+        begin = np.minimum(begin, units[1][unit] - size)
+        inside = (begin >= units[0][unit]) & (end < units[1][unit])
+        found |= {(x, x + size) for x in begin[inside].tolist()}
+    return sorted(found)
+
+
+def _scan_texts(ids: pa.Array, texts: pa.Array, templates: dict[str, Counter], min_dice: float, across_lines: bool) -> list[tuple]:
     words, doc, starts, ends, data = batch_words(texts, _LETTERS, _GAPS)
     if len(words) < 2:
         return []
-    breaks = np.cumsum(data == 10)
-    line = breaks[starts]
+    line = np.cumsum(data == 10)[starts]
     grams = _bigrams(words)
+    same_doc = doc[1:] == doc[:-1]
+    same_line = same_doc & (line[1:] == line[:-1])
+
+    def parts(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of joined words, as ranges of their bigrams."""
+        first = np.concatenate(([0], np.flatnonzero(~joined) + 1))
+        return first, np.append(first[1:], len(words)) - 1
+
+    joined = same_doc if across_lines else same_line
+    units, lines = parts(joined), parts(same_line)
+    runs = tuple(np.concatenate(x) for x in zip(units, lines)) if across_lines else lines
     wanted = np.array(sorted({g for c in templates.values() for g in c}), dtype=np.uint64)
-    joined = (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
-    hit = joined & np.isin(grams, wanted)
-    # Lines as runs of words, and how many of their bigrams some template has.
-    first = np.concatenate(([0], np.flatnonzero(~joined) + 1))
-    last = np.concatenate((first[1:], [len(words)]))
-    sums = np.concatenate(([0], np.cumsum(hit)))
-    hits = sums[last - 1] - sums[first]
-    small = min(c.total() for c in templates.values())
+    places = np.flatnonzero(joined & np.isin(grams, wanted))
+    known = grams[places]
     rows = []
-    for k in np.flatnonzero(hits >= np.maximum(1, np.ceil(min_dice * np.minimum(small, (small + last - first - 1) / 2) - 1e-9))).tolist():
-        a, b = int(first[k]), int(last[k])
-        d = int(doc[a])
-        base = int(np.searchsorted(doc, d))
-        top = int(line[a] - line[base])
-        for name, begin, end, dice in _best(grams[a : b - 1].tolist(), templates, min_dice):
-            passage = data[starts[a + begin] : ends[a + end]].tobytes().decode(errors="replace")
-            rows.append((ids[d].as_py(), name, top, a + begin - base, end - begin, dice, passage))
+    for name, want in templates.items():
+        size = want.total()
+        at = places[np.isin(known, np.array(list(want), dtype=np.uint64))]
+        scored = []
+        for begin, end in _spans(at, size, min_dice, units, runs):
+            dice = 2 * (Counter(grams[begin:end].tolist()) & want).total() / (end - begin + size)
+            if dice >= min_dice:
+                scored.append((-dice, begin, end))
+        taken = np.zeros(len(words) if scored else 0, dtype=bool)
+        for loss, begin, end in sorted(scored):
+            if taken[begin : end + 1].any():
+                continue
+            taken[begin : end + 1] = True
+            d = int(doc[begin])
+            base = int(np.searchsorted(doc, d))
+            passage = data[starts[begin] : ends[end]].tobytes().decode(errors="replace")
+            rows.append((ids[d].as_py(), name, int(line[begin] - line[base]), begin - base, end - begin, -loss, passage))
     return rows
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_dice: float = MIN_DICE, across_lines: bool = False) -> DataFrame:
     """One row for each passage near a licence template: ``id, license, line, first_word, n_bigrams, dice, passage``.
 
     Texts are normalised: A-Z lower-cased, other ASCII characters than letters and digits are gaps.  A passage
-    is a line, or in a line too long for the template the best window of the template's length; its Dice
-    coefficient over bigrams, counted with repeats, is at least ``min_dice``; the earliest of equal windows is
-    given.  ``line`` counts non-empty lines' newlines from the text's first word, ``first_word`` counts words.
+    is a line, or a window of the template's length in a line; its Dice coefficient over bigrams, counted with
+    repeats, is at least ``min_dice``.  With ``across_lines`` newlines are gaps too: passages are windows of the
+    whole text, lines, and whole texts.  Of a template's passages that share words the best is given, of equal
+    ones the earliest; those that share none are all given.  ``line`` counts non-empty lines' newlines from the
+    text's first word, ``first_word`` counts words.
     Null, empty and one-word texts give no row; repeated rows give theirs again; other columns are not read.
     """
     wanted = template_bigrams(TEMPLATES if templates is None else templates)
@@ -112,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def scan_batches(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            rows = [r for a, b in slices(texts) for r in _scan_texts(ids.slice(a, b - a), texts.slice(a, b - a), wanted, min_dice)] if wanted else []
+            rows = [r for a, b in slices(texts) for r in _scan_texts(ids.slice(a, b - a), texts.slice(a, b - a), wanted, min_dice, across_lines)] if wanted else []
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
                 names = ("id", "license", "line", "first_word", "n_bigrams", "dice", "passage")
@@ -122,7 +137,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op10_license_scan(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return scan(table(spark, sf_dir, "documents"), across_lines=True).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op10_license_scan": op10_license_scan}

@@ -330,6 +330,17 @@ def test_license_scan(spark, none):
     assert licenses.scan(table, templates={"one": "word"}).count() == 0
 
 
+def test_license_scan_across_lines(spark, tmp_path):
+    """Wrapped notices behind comment marks, notices in lines a little longer than they, and several in one text."""
+    wrapped = "import x\n# " + licenses.TEMPLATES["BSD-3-Clause"].replace("binary", "binary\n#").replace("that", "\n# that") + "\ndef f(): pass"
+    near = "Note: this work is licensed under the GNU General Public Licence, version 3, see file"
+    twice = "x " * 30 + "Released under the MIT License. " + "y " * 30 + "Released under the MIT License. z"
+    rows = [(1, wrapped), (2, near), (3, twice), (4, "Released under\nthe MIT License."), (5, "nothing\nof the\nkind"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = Counter((r.doc_id, r.license, round(r.dice, 6)) for r in licenses.op10_license_scan(spark, str(tmp_path)).collect())
+    assert found == {(1, "BSD-3-Clause", 1.0): 1, (2, "GPL-3.0", round(18 / 22, 6)): 1, (3, "MIT", 1.0): 2, (4, "MIT", 1.0): 1}
+
+
 def test_license_scan_against_all_lines(spark):
     """Every line against every template, without size bounds or windows."""
     rng = random.Random(4)
