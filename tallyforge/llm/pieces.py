@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.pretokens import _BASE, _letters
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import table, with_id
 from tallyforge.llm.shingles import _power_table, mix, slices, stretch_numbers
 
 BLANK = "▁"
@@ -134,7 +135,10 @@ def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
     best[:, 0] = 0
     for j in range(1, n + 1):
         best[:, j] = np.max([best[:, j - size] + arc[size - 1][:, j] for size in range(1, min(width, j) + 1)], axis=0)
+    # A place is opened at most n_best times: its k-th opening is its k-th best path to the end, and no segmentation
+    # of the n best needs a worse one. That bounds what is ever held, however many paths are equally good.
     cap = 1 + n_best * (n + 1) * width
+    opened = np.zeros((m, n + 1), dtype=np.int64)
     hope = np.full((m, cap), -np.inf)
     place, gone, parent, used = (np.empty((m, cap), dtype=kind) for kind in (np.int16, np.float64, np.int32, np.int16))
     gone[:, 0] = 0
@@ -145,7 +149,8 @@ def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
     goal = np.zeros((m, n_best), dtype=np.int64)
     active = np.arange(m)
     while len(active):
-        top = hope[active, : held[active].max()].argmax(axis=1)
+        upto = held[active].max()
+        top = upto - 1 - hope[active, :upto][:, ::-1].argmax(axis=1)  # of equal ones the last found, which lies further left
         live = hope[active, top] > -np.inf
         active, top = active[live], top[live]
         hope[active, top] = -np.inf
@@ -155,12 +160,15 @@ def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
         scores[rows, found[rows]] = g[done]
         goal[rows, found[rows]] = top[done]
         found[rows] += 1
-        rows, tops, at, g = active[~done], top[~done], at[~done], g[~done]
+        more = ~done & (opened[active, at] < n_best)
+        rows, tops, at, g = active[more], top[more], at[more], g[more]
+        opened[rows, at] += 1
         for size in range(1, width + 1):
             can = at >= size
             step = np.full(len(rows), -np.inf)
             step[can] = arc[size - 1][rows[can], at[can]]
             ok = step > -np.inf
+            ok[ok] = opened[rows[ok], at[ok] - size] < n_best
             r = rows[ok]
             c = held[r]
             to, cost = at[ok] - size, g[ok] + step[ok]
@@ -184,21 +192,33 @@ def _search_together(t: PieceTable, codes: np.ndarray, n_best: int):
 
 
 def search_one(t: PieceTable, text: str, n_best: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations of one string as ``(score, piece lengths from the left)``."""
+    """The n best segmentations of one string as ``(score, piece lengths from the left)``.
+
+    Of equally promising paths the one that is nearer to the left end goes first, and each place is opened at most
+    ``n_best`` times, so the search takes at most ``n_best`` steps a character, however many paths are equally good.
+    """
     n = len(text)
-    arcs: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    best = [0.0] + [-np.inf] * n
-    for j in range(1, n + 1):
+
+    def arcs(j: int):
+        """Lengths and scores of the pieces that end at place j; looked up again rather than held for a long text."""
         for size in range(1, min(t.longest, j) + 1):
             piece = t.known.get(text[j - size : j])
-            if piece or size == 1:
-                score = piece[1] if piece else t.unknown
-                arcs[j].append((size, score))
-                best[j] = max(best[j], best[j - size] + score)
-    queue: list = [(-best[n], 0, n, 0.0, None)]
+            if piece:
+                yield size, piece[1]
+            elif size == 1:
+                yield size, t.unknown
+
+    best = array("d", bytes(8 * (n + 1)))
+    for j in range(1, n + 1):
+        best[j] = max(best[j - size] + score for size, score in arcs(j))
+    queue: list = [(-best[n], n, 0, 0.0, None)]
+    opened = [0] * (n + 1)
     out, serial = [], 0
     while queue and len(out) < n_best:
-        _, _, at, g, path = heapq.heappop(queue)
+        _, at, _, g, path = heapq.heappop(queue)
+        if at and opened[at] == n_best:
+            continue
+        opened[at] += 1
         if at == 0:
             lengths = []
             while path:
@@ -206,9 +226,10 @@ def search_one(t: PieceTable, text: str, n_best: int) -> list[tuple[float, list[
                 path = path[1]
             out.append((g, lengths))
             continue
-        for size, score in arcs[at]:
-            serial += 1
-            heapq.heappush(queue, (-(g + score + best[at - size]), serial, at - size, g + score, (size, path)))
+        for size, score in arcs(at):
+            if opened[at - size] < n_best:
+                serial += 1
+                heapq.heappush(queue, (-(g + score + best[at - size]), at - size, serial, g + score, (size, path)))
     return out
 
 
@@ -398,7 +419,7 @@ def encode_texts(memory: Memory, texts: list[str | None], with_edits: bool = Tru
         yield ids, [total - s for s, _ in combos], edits
 
 
-RESULT = "id long, n_pieces int, scores array<double>, ids array<int>, edits array<array<struct<first:int,out:int,ids:array<int>>>>, exact boolean"
+RESULT = "n_pieces int, scores array<double>, ids array<int>, edits array<array<struct<first:int,out:int,ids:array<int>>>>, exact boolean"
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_best: int = N_BEST, with_ids: bool = True, with_edits: bool = True) -> DataFrame:
@@ -408,8 +429,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     The pieces' own scores are summed, whatever kind of model they come from; a character that is no piece costs
     the lowest score and ten more and becomes its bytes.  Blanks are marked and one is put before the text, as
-    the model asks for.  Null and empty texts have no pieces and one segmentation of score 0; repeated rows are
-    encoded each; other columns are not read.  Without ``with_ids`` ids are null, without ``with_edits`` edits.  Each task searches
+    the model asks for.  Null and empty texts have no pieces and one segmentation of score 0; of equally good
+    segmentations any may come first; repeated rows are encoded each; ids keep their type; other columns are not
+    read.  Without ``with_ids`` ids are null, without ``with_edits`` edits.  Each task searches
     its distinct stretches once, as long as it remembers them; nothing is shuffled.
     """
     edit = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("out", pa.int32()), ("ids", pa.list_(pa.int32()))])))
@@ -428,7 +450,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 arrays = [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int32())), pa.array(edits, edit), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n_pieces", "scores", "ids", "edits", "exact"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode_batches, RESULT)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode_batches, with_id(docs, id_col, RESULT))
 
 
 def op2_sentencepiece(spark, sf_dir):

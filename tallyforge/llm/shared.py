@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyforge.ship import ship
 
@@ -48,6 +49,11 @@ def named(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
 
 
+def with_id(docs: DataFrame, id_col: str, rest: str) -> StructType:
+    """The columns ``rest`` (``name type, ...``) after a column ``id`` of the type that ids have in ``docs``."""
+    return StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(rest)])
+
+
 def fragments_of(spark: SparkSession) -> int:
     """As many parts as the cluster deals a shuffle into, which its owner sets to fit the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
