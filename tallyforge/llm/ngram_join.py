@@ -8,20 +8,25 @@ n-gram among the rarest of both (the prefix filter), which is exact.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import ROW, fragments_of, named, numbered, table, written
+from tallyforge.llm.shared import named, numbered, table, with_id, written
 from tallyforge.llm.shingles import batch_shingles, mix, slices
 
 #: Texts link when LINK[1] * overlap >= LINK[0] * union.
 LINK = (3, 4)
-SLICE_BYTES = 4 << 20
+#: Text in a slice and in a fragment of the n-gram order, up to INPUT_BYTES of text in all. A slice gives a row to
+#: each fragment, so beyond that both grow with the root of the input: 57 and 226 MB at 100 TB.
+SLICE_BYTES, FRAGMENT_BYTES, INPUT_BYTES = 4 << 20, 16 << 20, 1 << 39
 #: Bits of an n-gram's number that count: two n-grams are mistaken for one another with a chance of 2**-48.
 BITS = 48
 #: Fragments in which the overlap of a pair is counted.
@@ -29,8 +34,10 @@ PAIR_FRAGMENTS = 4
 #: Rounds in which each text is compared to one leader per rare n-gram before the remaining pairs are tested.
 LEADER_ROUNDS = 2
 #: Texts in a block of the remaining pairs' test, and n-grams whose overlaps it counts at a time.
-BLOCK_TEXTS = 384
+BLOCK_TEXTS = 192
 BLOCK_GRAMS = 4096
+#: Parts of one shuffle, at most; a part holds several fragments beyond that.
+SHUFFLE_PARTS = 1 << 15
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -57,21 +64,21 @@ def _owners_back(a: bytes, b: bytes) -> np.ndarray:
     return np.repeat(of, np.frombuffer(b, dtype="<u4")) if b else of
 
 
-def _short_slices(texts: pa.Array):
-    for a, b in slices(texts, SLICE_BYTES):
+def _short_slices(texts: pa.Array, slice_bytes: int):
+    for a, b in slices(texts, slice_bytes):
         for i in range(a, b, 1 << 16):
             yield i, min(b, i + (1 << 16))
 
 
-def _cut(parts: int):
-    """Texts to rows by fragment, and one row with each slice's ids, set sizes and set numbers (fragment < 0)."""
+def _cut(parts: int, slice_bytes: int):
+    """Texts to rows by fragment, and one row with each slice's set sizes, set numbers and ids (fragment < 0)."""
 
     def run(batches):
         task, serial = TaskContext.get().partitionId(), 0
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for batch in batches:
-            for a, b in _short_slices(batch.column(1)):
-                me = (task << 32) + serial
+            for a, b in _short_slices(batch.column(1), slice_bytes):
+                me = (task << 24) + serial
                 serial += 1
                 numbers, doc = batch_shingles(batch.column(1).slice(a, b - a))
                 size = np.bincount(doc, minlength=b - a)
@@ -79,26 +86,25 @@ def _cut(parts: int):
                     sums = np.concatenate(([0], np.cumsum(mix(numbers ^ np.uint64(0x5851F42D4C957F2D))))).astype(np.uint64)
                     stops = np.cumsum(size)
                     sets = sums[stops] - sums[stops - size]
-                ids = np.asarray(batch.column(0).slice(a, b - a).cast(pa.int64()))
-                rows = [(-1 - me, me, ids.astype("<i8").tobytes(), size.astype("<i8").tobytes(), sets.astype("<u8").tobytes())]
-                fragment = ((numbers >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
+                rows = [(-1 - me, me, size.astype("<i8").tobytes(), b"", sets.astype("<u8").tobytes())]
+                fragment = ((numbers >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32)
                 order = np.argsort(fragment, kind="stable")
                 grams, of = numbers[order] >> np.uint64(64 - BITS), doc[order]
-                edges = np.searchsorted(fragment[order], np.arange(parts + 1))
-                for f in range(parts):
-                    i, j = edges[f], edges[f + 1]
-                    if i < j:
-                        rows.append((f, me, *_owners(of[i:j]), _pack(grams[i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fragment", "slice", "a", "b", "grams"])
+                edges = np.flatnonzero(np.diff(fragment[order], prepend=np.uint32(parts), append=np.uint32(parts)))
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    rows.append((int(fragment[order[i]]), me, *_owners(of[i:j]), _pack(grams[i:j])))
+                ids = batch.column(0).slice(a, b - a)
+                owned = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), owned], ["fragment", "slice", "a", "b", "grams", "ids"])
 
     return run
 
 
 def _count(data: pa.Table) -> pa.Table:
     """A fragment's n-grams that occur in two texts or more, by slice, with the log of how many they occur in."""
-    names, kinds = ["slice", "a", "b", "grams", "df"], (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names, kinds = ["slice", "a", "b", "grams", "df", "ids"], (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     if data.column("fragment")[0].as_py() < 0:
-        return pa.table([data.column(n) for n in names[:4]] + [pa.nulls(data.num_rows, pa.binary())], names)
+        return pa.table([*(data.column(n) for n in names[:4]), pa.nulls(data.num_rows, pa.binary()), data.column("ids")], names)
     grams = [_unpack(x) for x in data.column("grams").to_pylist()]
     of = [_owners_back(a, b) for a, b in zip(data.column("a").to_pylist(), data.column("b").to_pylist())]
     where = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
@@ -114,10 +120,10 @@ def _count(data: pa.Table) -> pa.Table:
     names_of = data.column("slice").to_pylist()
     edges = np.searchsorted(where, np.arange(len(names_of) + 1))
     rows = [(names_of[r], *_owners(of[i:j]), _pack(grams[i:j]), df[i:j].tobytes()) for r, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 5, kinds)], names)
+    return pa.table([*(pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([],) * 5, kinds)), pa.nulls(len(rows), data.schema.field("ids").type)], names)
 
 
-SETS = "id long, n long, number long, alone long, grams binary"
+SETS = "row long, n long, number long, alone long, grams binary"
 
 
 def _assemble(data: pa.Table) -> pa.Table:
@@ -125,29 +131,37 @@ def _assemble(data: pa.Table) -> pa.Table:
     head, grams, of, df = None, [], [], []
     for a, b, g, d in zip(*(data.column(n).to_pylist() for n in ("a", "b", "grams", "df"))):
         if d is None:
-            head = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), np.frombuffer(g, "<u8")
+            head = np.frombuffer(a, "<i8"), np.frombuffer(g, "<u8")
         else:
             grams.append(_unpack(g))
             of.append(_owners_back(a, b))
             df.append(np.frombuffer(d, np.uint8))
-    ids, size, sets = head
+    size, sets = head
+    ids = data.column("ids").combine_chunks().flatten()  # only the slice's first row has any
+    rows = (data.column("slice")[0].as_py() << 16) + np.arange(len(size))
     if grams:
         grams, of, df = np.concatenate(grams), np.concatenate(of), np.concatenate(df)
         order = np.lexsort((grams, df, of))
         grams, of = grams[order], of[order]
-    edges = np.searchsorted(of, np.arange(len(ids) + 1)) if len(of) else np.zeros(len(ids) + 1, dtype=np.int64)
+    edges = np.searchsorted(of, np.arange(len(size) + 1)) if len(of) else np.zeros(len(size) + 1, dtype=np.int64)
     shared = np.diff(edges)
     can = (size > 0) & (shared * LINK[1] >= size * LINK[0])
     blobs = [_pack(grams[edges[i] : edges[i + 1]]) if ok else None for i, ok in enumerate(can.tolist())]
-    return pa.table([pa.array(ids), pa.array(size), pa.array(sets.view(np.int64)), pa.array(size - shared), pa.array(blobs, pa.binary())], ["id", "n", "number", "alone", "grams"])
+    return pa.table([ids, pa.array(rows), pa.array(size), pa.array(sets.view(np.int64)), pa.array(size - shared), pa.array(blobs, pa.binary())], ["id", "row", "n", "number", "alone", "grams"])
 
 
-def gram_sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """``id, n, number, alone, grams``: see ``_assemble``; ``alone`` counts n-grams of no other text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = rows.mapInArrow(_cut(parts), "fragment long, slice long, a binary, b binary, grams binary")
-    counted = cut.groupBy("fragment").applyInArrow(_count, "slice long, a binary, b binary, grams binary, df binary")
-    return counted.groupBy("slice").applyInArrow(_assemble, SETS)
+def gram_sets(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
+    """``id, row, n, number, alone, grams``: see ``_assemble``; ``row`` is a number of each row's own, ``alone``
+    counts n-grams of no other text.  ``parts`` is the number of fragments; by default the size of all texts tells it."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    grown = max(1.0, size / INPUT_BYTES) ** 0.5
+    parts = parts or max(1, math.ceil(size / (FRAGMENT_BYTES * grown)))
+    dealt = min(parts, SHUFFLE_PARTS)
+    ids = StructField("ids", ArrayType(docs.schema[id_col].dataType))
+    cut = rows.mapInArrow(_cut(parts, int(SLICE_BYTES * grown)), StructType.fromDDL("fragment long, slice long, a binary, b binary, grams binary").add(ids))
+    counted = cut.repartition(dealt, "fragment").groupBy("fragment").applyInArrow(_count, StructType.fromDDL("slice long, a binary, b binary, grams binary, df binary").add(ids))
+    return counted.repartition(dealt, "slice").groupBy("slice").applyInArrow(_assemble, with_id(docs, id_col, SETS))
 
 
 def _needed(n: np.ndarray) -> np.ndarray:
@@ -156,12 +170,17 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(batches):
+    """The n-grams by which a text can find partners, with the size of the largest partner that it can have.
+
+    A link of sizes n and m needs an overlap of 3/7 (n + m), and no overlap is above the n-grams that a text shares.
+    """
     for batch in batches:
         ids, n, alone = (np.asarray(batch.column(i)) for i in range(3))
         grams = [_unpack(x)[: max(0, int(k))] for x, k in zip(batch.column(3).to_pylist(), n - _needed(n) + 1 - alone)]
         size = [len(g) for g in grams]
         flat = np.concatenate([*grams, np.zeros(0, np.uint64)]).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, size)), pa.array(np.repeat(n, size))], ["gram", "id", "n"])
+        most = (n - alone) * (LINK[0] + LINK[1]) // LINK[0] - n
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, size)) for x in (ids, n, most))], ["gram", "id", "n", "most"])
 
 
 def _pieces(batches):
@@ -184,8 +203,9 @@ def _linked(overlap: Column, a: Column, b: Column) -> Column:
     return overlap * LINK[1] >= (a + b - overlap) * LINK[0]
 
 
-def _lengths_fit(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * LINK[1]) >= (F.greatest(a, b) * LINK[0])
+def _can_link(n_a: Column, most_a: Column, n_b: Column, most_b: Column) -> Column:
+    """Whether sizes and shared n-grams of two texts leave room for a link."""
+    return (n_a <= most_b) & (n_b <= most_a)
 
 
 def true_links(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -197,40 +217,81 @@ def true_links(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where(_linked(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _test_block(data: pa.Table) -> pa.Table:
-    """Links between components found in a block of texts: enough of them to join what is linked."""
-    comp = np.asarray(data.column("comp"))
-    n = np.asarray(data.column("n"))
-    grams = [_unpack(x) for x in data.column("grams").to_pylist()]
-    flat = np.concatenate(grams)
-    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    kinds, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    several = times > 1
-    column = np.cumsum(several) - 1
-    kept = several[at]
-    row, at = row[kept], column[at[kept]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    overlap = np.zeros((len(grams), len(grams)), dtype=np.float32)
-    for begin in range(0, int(several.sum()), BLOCK_GRAMS):  # one fragment after the other
-        i, j = np.searchsorted(at, (begin, begin + BLOCK_GRAMS))
-        part = np.zeros((len(grams), BLOCK_GRAMS), dtype=np.float32)
-        part[row[i:j], at[i:j] - begin] = 1
-        overlap += part @ part.T
-    link = overlap * LINK[1] >= (n[:, None] + n[None, :] - overlap) * LINK[0]
-    link &= comp[:, None] < comp[None, :]
+PAIR = ["field", "band", "i", "band2", "j"]
+PAIR_DDL = "field long, band int, i long, band2 int, j long"
+
+
+def _sides(data: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the rows of the two blocks of a pair, each by id, and whether the pair is one block with itself."""
+    side, ids = np.asarray(data.column("side")), np.asarray(data.column("id"))
+    order = np.argsort(ids, kind="stable")
+    first, second = order[side[order] == 0], order[side[order] == 1]
+    same = data.column("band")[0].as_py() == data.column("band2")[0].as_py() and data.column("i")[0].as_py() == data.column("j")[0].as_py()
+    return first, (first if same else second), same
+
+
+def _hopeful(data: pa.Table) -> pa.Table:
+    """The rows of a pair of blocks that can link with some row of the other block in another component."""
+    a, b, _ = _sides(data)
+    n, most, comp = (np.asarray(data.column(c)) for c in ("n", "most", "comp"))
+    can = (n[a][:, None] <= most[b][None, :]) & (n[b][None, :] <= most[a][:, None]) & (comp[a][:, None] != comp[b][None, :])
+    kept = np.unique(np.concatenate((a[can.any(axis=1)], b[can.any(axis=0)])))
+    return data.take(pa.array(kept)).select([*PAIR, "side", "id", "n", "comp"])
+
+
+def _partial(data: pa.Table) -> pa.Table:
+    """The overlaps of all pairs of two blocks within one fragment of the n-gram order, as one row."""
+    a, b, _ = _sides(data)
+    grams = data.column("grams").to_pylist()
+    overlap = np.zeros((len(a), len(b)), dtype=np.float32)
+    left, right = ([_unpack(grams[k]) for k in x] for x in (a, b))
+    kinds = np.intersect1d(np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*right, np.zeros(0, np.uint64)]))
+
+    def marks(sets):
+        row = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        at = np.searchsorted(kinds, flat)
+        held = at < len(kinds)
+        held[held] = kinds[at[held]] == flat[held]
+        row, at = row[held], at[held]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (row_a, at_a), (row_b, at_b) = marks(left), marks(right)
+    for begin in range(0, len(kinds), BLOCK_GRAMS):
+        parts = []
+        for row, at, size in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            i, j = np.searchsorted(at, (begin, begin + BLOCK_GRAMS))
+            part = np.zeros((size, BLOCK_GRAMS), dtype=np.float32)
+            part[row[i:j], at[i:j] - begin] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[1].T
+    n, comp = np.asarray(data.column("n")).astype("<i8"), np.asarray(data.column("comp")).astype("<i8")
+    blobs = [n[a].tobytes(), comp[a].tobytes(), n[b].tobytes(), comp[b].tobytes(), overlap.astype("<i4").tobytes()]
+    return pa.table([*(data.column(c).slice(0, 1) for c in PAIR), *(pa.array([x], pa.binary()) for x in blobs)], [*PAIR, "na", "ca", "nb", "cb", "overlap"])
+
+
+def _sum_blocks(data: pa.Table) -> pa.Table:
+    """Links between components, from a pair of blocks' overlaps summed over the fragments: enough to join what is linked."""
+    na, ca, nb, cb = (np.frombuffer(data.column(c)[0].as_py(), "<i8") for c in ("na", "ca", "nb", "cb"))
+    overlap = np.zeros((len(na), len(nb)), dtype=np.int64)
+    for raw in data.column("overlap").to_pylist():
+        overlap += np.frombuffer(raw, "<i4").reshape(overlap.shape)
+    link = overlap * LINK[1] >= (na[:, None] + nb[None, :] - overlap) * LINK[0]
+    link &= ca[:, None] != cb[None, :]
+    x, y = np.nonzero(link)
     out, root = [], {}
 
-    def end(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
+    def end(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
 
-    for x, y in np.unique(np.stack((comp[np.nonzero(link)[0]], comp[np.nonzero(link)[1]])), axis=1).T.tolist():
-        x, y = end(x), end(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((x, y))
+    for p, q in np.unique(np.stack((np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y]))), axis=1).T.tolist():
+        p, q = end(p), end(q)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((p, q))
     a, b = zip(*out) if out else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -245,9 +306,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: ``id, n_shingles, component``, the smallest id that links lead to.
 
     Sets are the distinct 5-word shingles of the whole text (see ``shingles``); two texts link when their Jaccard
-    similarity is 0.75 or more.  Null, empty and blank texts have no shingle and no link.  Repeated rows and rows
-    with equal sets share a component; ids must not repeat with different texts.  Rows without an id can't be
-    named by others: they take no part and come back with nulls.  Other columns are not read.
+    similarity is 0.75 or more.  Null, empty and blank texts have no shingle and no link.  Rows are told apart by
+    numbers of their own, so rows that repeat an id take part each; rows without an id do too, and a group of
+    such rows only has the component null.  Ids keep their type; other columns are not read.  An empty table gives
+    an empty result.
 
     1. Shingles go to ``parts`` fragments of their order as packed blocks, are counted there, and those that occur
        twice or more come back; texts with too few of them to have a partner are done.
@@ -256,64 +318,72 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     4. What buckets still hold in different components is tested against each other in blocks, in full.
        Components, not pairs, leave a block, so no group's pairs are ever written out.
     """
-    spark = docs.sparkSession
-    parts = min(parts or fragments_of(spark), 1 << 15)
-    nameless = docs.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "n_shingles", "component")])
-    sets = written(gram_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col, parts))
-    classes = sets.where("n > 0").groupBy("number", "n").agg(F.min("id").alias("rep"))
-    able = sets.where("grams IS NOT NULL")
-    reps = able.groupBy("number", "n").agg(F.min("id").alias("id")).select("id")
-    able = written(able.join(reps, "id", "left_semi").dropDuplicates(["id"]))
-    pieces = able.select("id", "n", "grams").mapInArrow(_pieces, "id long, f int, n long, grams binary")
-    rare = written(able.select("id", "n", "alone", "grams").mapInArrow(_prefixes, "gram long, id long, n long"))
+    sets = written(gram_sets(docs, id_col, text_col, parts))
+    name = F.struct(F.col("id").isNull().alias("nameless"), F.col("id").alias("id"))
+    classes = written(sets.where("n > 0").groupBy("number", "n").agg(F.min("row").alias("rep"), F.min(name).alias("name")))
+    able = written(sets.where("grams IS NOT NULL").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "alone", "grams"))
+    pieces = written(able.select("id", "n", "grams").mapInArrow(_pieces, "id long, f int, n long, grams binary"))
+    rare = written(able.mapInArrow(_prefixes, "gram long, id long, n long, most long"))
     labels = able.select("id", F.col("id").alias("comp"))
     for turn in range(LEADER_ROUNDS):
-        lead = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")
+        lead = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "most", "comp")
         now = rare.join(labels, "id")
         leaders = now.groupBy("gram").agg(F.min(lead).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram", "lead")
-        meet = now.join(leaders, "gram").where((F.col("comp") != F.col("lead.comp")) & _lengths_fit(F.col("n"), F.col("lead.n")))
+        meet = now.join(leaders, "gram").where((F.col("comp") != F.col("lead.comp")) & _can_link(F.col("n"), F.col("most"), F.col("lead.n"), F.col("lead.most")))
         pairs = meet.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
         links = written(true_links(pairs, pieces))
         a, b = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
         labels = _merge(labels, links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    labels = _merge(labels, _rest(rare, able, labels))
-    own = sets.join(classes, ["number", "n"], "left").join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component")).unionByName(nameless)
+    labels = _merge(labels, _rest(rare, pieces, labels)).withColumnRenamed("id", "rep")
+    leading = labels.join(classes.select("rep", "name"), "rep").groupBy("comp").agg(F.min("name").alias("lead"))
+    known = classes.join(labels.join(leading, "comp").select("rep", "lead"), "rep", "left").select("number", "n", F.coalesce("lead.id", "name.id").alias("component"))
+    own = sets.select("id", "number", "n").join(known, ["number", "n"], "left")
+    return own.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
-def _rest(rare: DataFrame, able: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest(rare: DataFrame, pieces: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges between components from testing all that still meet in a bucket, block against block.
 
-    Texts that meet, directly or through others, form a field; a field is cut into blocks, and each pair of blocks
-    is one task's group, so a field that holds a large part of all texts is spread over many tasks.
+    Texts that meet, directly or through others, form a field; a field's texts go by size into bands a third apart,
+    since no link reaches further than the next band, and a band is cut into blocks.  Each pair of blocks of one
+    or of neighbouring bands is a group of its own, so a field that holds a large part of all texts is spread over
+    many tasks.  Ids and sizes are dealt first; sets follow only for texts whose size and shared n-grams leave
+    room for a link with some text of the other block, and only their overlaps per fragment come back to be summed.
     """
     now = rare.join(labels, "id")
-    mixed = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("gram", "first")
-    live = written(now.join(mixed, "gram").select("id", "n", "comp", "first").distinct())
-    fields = components(live.select(F.col("id").alias("a"), F.col("first").alias("b")))
-    members = live.select("id", "n", "comp").distinct().join(fields, "id")
-    blocks = F.ceil(F.count("*") / (BLOCK_TEXTS / 2)).cast("long")
-    sizes = members.groupBy("component").agg(blocks.alias("blocks"))
-    members = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = members.join(able.select("id", "grams"), "id")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.where("blocks = 1 OR mine <> other").select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "n", "comp", "grams")
-    return dealt.groupBy("component", "i", "j").applyInArrow(_test_block, "a long, b long")
+    buckets = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.min("n").alias("least"), F.max("most").alias("largest"))
+    buckets = buckets.where("lo <> hi").select("gram", "first", "least", "largest")
+    live = written(now.join(buckets, "gram").where("least <= most AND n <= largest").select("id", "n", "most", "comp", "first").distinct())
+    fields = components(live.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "field")
+    band = F.floor(F.log("n") / math.log(LINK[1] / LINK[0])).cast("int")
+    members = live.select("id", "n", "most", "comp").distinct().join(fields, "id", "left")
+    members = written(members.select("id", "n", "most", "comp", F.coalesce("field", "id").alias("field"), band.alias("band")))
+    sizes = written(members.groupBy("field", "band").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("long").alias("blocks")))
+    members = members.join(sizes, ["field", "band"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    facts = ["id", "n", "most", "comp"]
+    other = lambda step: sizes.select("field", (F.col("band") + step).alias("band"), "blocks")
+    inside = members.withColumn("other", numbers)
+    low = F.col("mine") <= F.col("other")
+    inside = inside.select("field", "band", F.least("mine", "other").alias("i"), F.col("band").alias("band2"), F.greatest("mine", "other").alias("j"), F.when(low, 0).otherwise(1).alias("side"), *facts)
+    upper = members.drop("blocks").join(other(-1), ["field", "band"]).withColumn("j", numbers).select("field", "band", F.col("mine").alias("i"), (F.col("band") + 1).alias("band2"), "j", F.lit(0).alias("side"), *facts)
+    lower = members.drop("blocks").join(other(1), ["field", "band"]).withColumn("i", numbers).select("field", (F.col("band") - 1).alias("band"), "i", F.col("band").alias("band2"), F.col("mine").alias("j"), F.lit(1).alias("side"), *facts)
+    dealt = inside.unionByName(upper).unionByName(lower)
+    hopeful = written(dealt.groupBy(*PAIR).applyInArrow(_hopeful, f"{PAIR_DDL}, side int, id long, n long, comp long"))
+    sets = hopeful.join(pieces.select("id", "f", "grams"), "id")
+    counted = sets.groupBy(*PAIR, "f").applyInArrow(_partial, f"{PAIR_DDL}, na binary, ca binary, nb binary, cb binary, overlap binary")
+    return counted.groupBy(*PAIR).applyInArrow(_sum_blocks, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each group of similar texts; all columns stay."""
-    gone = similar_groups(docs, id_col, text_col).where("component <> id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-
-
-def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``keep_one``, whatever the ids: rows link by numbers of their own, so rows without an id and rows that
-    repeat one take part each. One row stays of each group: the smallest id's, missing ids last, then the first stored."""
-    rows = numbered(docs)
-    found = similar_groups(rows.select(ROW, text_col), ROW, text_col).select(F.col("id").alias(ROW), "component")
-    kept = found.join(rows.select(ROW, named(id_col).alias("name")), ROW).groupBy("component").agg(F.min("name").alias("name"))
-    return rows.join(kept.select(F.col("name.row").alias("__kept")), F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+    """``docs`` with one row of each group of similar texts, all columns: the smallest id's, missing ids last, then
+    the first stored.  Rows are told apart by numbers of their own, so rows without an id and rows that repeat one
+    take part each; texts without words are no group and stay.  The list of rows that go is stored first: where it
+    is small it is sent to the texts, which then do not move."""
+    rows, row = numbered(docs)
+    found = similar_groups(rows.select(named(id_col, row).alias("name"), F.col(text_col).alias("text")), "name", "text")
+    gone = written(found.where("id.row <> component.row").select(F.col("id.row").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def op7_ngram_join(spark, sf_dir):

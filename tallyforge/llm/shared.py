@@ -19,14 +19,13 @@ BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-#: The column of a row's own number, for rows whose ids are missing or repeated.
-ROW = "__row"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset and all runs on one machine, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,14 +38,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` stored once with a number of its own for each row, the same whenever it is read."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()))
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` stored once with a number of its own for each row, the same whenever it is read, and that column's name."""
+    row = free_name(df, "__row")
+    return written(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def named(id_col: str) -> Column:
+def named(id_col: str, row: str) -> Column:
     """What orders the rows of a ``numbered`` table and tells each apart: by id, missing ids last, then by row."""
-    return F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    return F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(row).alias("row"))
 
 
 def with_id(docs: DataFrame, id_col: str, rest: str) -> StructType:
