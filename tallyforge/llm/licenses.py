@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import table
+from tallyforge.llm.shared import table, with_id
 from tallyforge.llm.shingles import batch_words, mix, slices
 
-#: Fixed: notices by which texts state their licence.
+#: Fixed: notices by which texts state their licence, and two short licences' whole texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -24,6 +24,21 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+        IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 MIN_DICE = 0.8
 
@@ -33,7 +48,7 @@ _LETTERS[[b for b in range(128) if not chr(b).isalnum() and b != 10]] = 32
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[10, 32]] = True
 
-RESULT = "id long, license string, line int, first_word int, n_bigrams int, dice double, passage string"
+RESULT = "license string, line int, first_word int, n_bigrams int, dice double, passage string"
 
 
 def _bigrams(words: np.ndarray) -> np.ndarray:
@@ -47,26 +62,21 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, Counter]:
     return {name: c for name, c in found.items() if c}
 
 
-def _spans(at: np.ndarray, size: int, min_dice: float, units: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Where a template of ``size`` bigrams, some of which stand at the places ``at``, can reach the threshold.
+def _spans(at: np.ndarray, unit: np.ndarray, size: int, min_dice: float) -> list[tuple[int, int]]:
+    """Where a template of ``size`` bigrams, some of which stand at the places ``at`` of the units ``unit``, can reach
+    the threshold: windows of every length that begin and end with such a bigram, which the best ones do.
 
-    Windows as long as the template lie inside a unit and begin at one of its bigrams or end with the unit: any
-    other window can be moved on without losing a bigram.  Runs are compared whole; they can reach the threshold
-    only if the sizes are within a factor (2 - t) / t.
+    A window reaches the threshold only if its length and the template's are within a factor (2 - t) / t, and if it
+    holds enough of the template's bigrams.
     """
-    first, last = runs
-    length = last - first
-    hits = np.searchsorted(at, last) - np.searchsorted(at, first)
-    fit = (length * (2 - min_dice) >= size * min_dice) & (size * (2 - min_dice) >= length * min_dice) & (hits > 0) & (2 * hits >= min_dice * (length + size) - 1e-9)
-    found = set(zip(first[fit].tolist(), last[fit].tolist()))
-    least = max(1, math.ceil(min_dice * size - 1e-9))
-    if len(at) >= least:
-        begin, end = at[: len(at) - least + 1], at[least - 1 :]
-        begin, end = begin[end - begin < size], end[end - begin < size]
-        unit = np.searchsorted(units[0], begin, side="right") - 1
-        begin = np.minimum(begin, units[1][unit] - size)
-        inside = (begin >= units[0][unit]) & (end < units[1][unit])
-        found |= {(x, x + size) for x in begin[inside].tolist()}
+    longest = math.floor(size * (2 - min_dice) / min_dice + 1e-9)
+    found = set()
+    for k in range(min(longest, len(at))):  # windows that hold k + 1 of the template's bigrams
+        length = at[k:] - at[: len(at) - k] + 1
+        fit = (length <= longest) & (2 * (k + 1) >= min_dice * (length + size) - 1e-9) & (unit[k:] == unit[: len(at) - k])
+        if fit.any():
+            begin = at[: len(at) - k][fit]
+            found |= set(zip(begin.tolist(), (begin + length[fit]).tolist()))
     return sorted(found)
 
 
@@ -79,14 +89,8 @@ def _scan_texts(ids: pa.Array, texts: pa.Array, templates: dict[str, Counter], m
     same_doc = doc[1:] == doc[:-1]
     same_line = same_doc & (line[1:] == line[:-1])
 
-    def parts(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs of joined words, as ranges of their bigrams."""
-        first = np.concatenate(([0], np.flatnonzero(~joined) + 1))
-        return first, np.append(first[1:], len(words)) - 1
-
     joined = same_doc if across_lines else same_line
-    units, lines = parts(joined), parts(same_line)
-    runs = tuple(np.concatenate(x) for x in zip(units, lines)) if across_lines else lines
+    units = np.concatenate(([0], np.cumsum(~joined)))  # of each word: the text, or the line, that passages stay in
     wanted = np.array(sorted({g for c in templates.values() for g in c}), dtype=np.uint64)
     places = np.flatnonzero(joined & np.isin(grams, wanted))
     known = grams[places]
@@ -95,7 +99,7 @@ def _scan_texts(ids: pa.Array, texts: pa.Array, templates: dict[str, Counter], m
         size = want.total()
         at = places[np.isin(known, np.array(list(want), dtype=np.uint64))]
         scored = []
-        for begin, end in _spans(at, size, min_dice, units, runs):
+        for begin, end in _spans(at, units[at], size, min_dice):
             dice = 2 * (Counter(grams[begin:end].tolist()) & want).total() / (end - begin + size)
             if dice >= min_dice:
                 scored.append((-dice, begin, end))
@@ -115,12 +119,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row for each passage near a licence template: ``id, license, line, first_word, n_bigrams, dice, passage``.
 
     Texts are normalised: A-Z lower-cased, other ASCII characters than letters and digits are gaps.  A passage
-    is a line, or a window of the template's length in a line; its Dice coefficient over bigrams, counted with
-    repeats, is at least ``min_dice``.  With ``across_lines`` newlines are gaps too: passages are windows of the
-    whole text, lines, and whole texts.  Of a template's passages that share words the best is given, of equal
-    ones the earliest; those that share none are all given.  ``line`` counts non-empty lines' newlines from the
+    is a window, of any length, of a line; its Dice coefficient over bigrams, counted with repeats, is at least
+    ``min_dice``.  With ``across_lines`` newlines are gaps too: passages are windows of the whole text.  Of a
+    template's passages that share words the best is given, of equal ones the earliest; those that share none are
+    all given.  ``line`` counts non-empty lines' newlines from the
     text's first word, ``first_word`` counts words.
-    Null, empty and one-word texts give no row; repeated rows give theirs again; other columns are not read.
+    Null, empty and one-word texts give no row, nor does an empty table; repeated rows give theirs again; ids keep
+    their type; other columns are not read.
     """
     wanted = template_bigrams(TEMPLATES if templates is None else templates)
 
@@ -129,11 +134,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             ids, texts = batch.column(0), batch.column(1)
             rows = [r for a, b in slices(texts) for r in _scan_texts(ids.slice(a, b - a), texts.slice(a, b - a), wanted, min_dice, across_lines)] if wanted else []
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+                kinds = (ids.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
                 names = ("id", "license", "line", "first_word", "n_bigrams", "dice", "passage")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan_batches, RESULT)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan_batches, with_id(docs, id_col, RESULT))
 
 
 def op10_license_scan(spark, sf_dir):

@@ -188,8 +188,8 @@ def _fit_scorer(doc, dim, value, target, steps: int = 200, decay: float = 1e-4):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Votes on every text, EM over the counts of vote patterns (3**7 at most), then the scorer.
 
-    The scorer is fitted on at most about ``train_rows`` rows, the ones with the smallest hashes of their text,
-    against the label model's posteriors.  An empty table gives a model that keeps everything.
+    The scorer is fitted on about ``train_rows`` distinct texts (twice as many at most), the ones with the smallest
+    hashes, against the label model's posteriors.  An empty table gives a model that keeps everything.
     """
 
     def votes(batches):
@@ -203,8 +203,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     if not len(patterns):
         return QualityModel(0.2, np.full((2, len(LABELLERS), 3), 1 / 3), np.zeros(DIMS), -1.0)
     prior, accuracy = fit_labels(patterns, n)
-    share = min(1.0, train_rows / n.sum())
-    near = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40)) < int(share * (1 << 40))
+    # Drawn by hashes of distinct texts, so that no text that is repeated without end fills the sample.
+    distinct = texts.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    kinds = distinct.agg(F.approx_count_distinct("hash", 0.01).alias("n")).first()["n"]
+    share = min(1.0, train_rows / max(kinds, 1))
+    near = F.pmod("hash", F.lit(1 << 40)) < int(share * (1 << 40))
+    drawn = distinct.where(near).groupBy("hash").agg(F.min("text").alias("text")).select("text")
 
     def featured(batches):
         for batch in batches:
@@ -215,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                 rows = [(dim[i:j].astype(np.int32), value[i:j]) for i, j in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(vote(part).astype(np.int32)), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["pattern", "dim", "value"])
 
-    sample = texts.where(near).mapInArrow(featured, "pattern int, dim array<int>, value array<double>").limit(2 * train_rows).toPandas()
+    sample = drawn.mapInArrow(featured, "pattern int, dim array<int>, value array<double>").limit(2 * train_rows).toPandas()
     if not len(sample):
         return QualityModel(prior, accuracy, np.zeros(DIMS), -1.0)
     doc = np.repeat(np.arange(len(sample)), sample["dim"].map(len))

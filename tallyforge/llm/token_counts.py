@@ -10,9 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.llm.pretokens import batch_pretokens, text_of
-from tallyforge.llm.shared import table, written
+from tallyforge.llm.shared import table, with_id, written
 from tallyforge.llm.shingles import slices
 
 #: Pre-tokens whose counts are sent to every task: 2**17 of 12 bytes at most. All others are joined by a shuffle.
@@ -80,7 +81,7 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         tokenizer = _tokenizer(path)
         for batch in batches:
-            sizes = [len(e.ids) for a in range(0, batch.num_rows, 2048) for e in tokenizer.encode_batch(batch.column(1).slice(a, 2048).to_pylist(), add_special_tokens=False)]
+            sizes = [len(e) for a in range(0, batch.num_rows, 2048) for e in tokenizer.encode_batch(batch.column(1).slice(a, 2048).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), batch.column(2)], ["number", "n", "freq"])
 
     return pretokens.select("number", "piece", "freq").mapInArrow(encode, "number long, n int, freq long")
@@ -105,7 +106,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per row of ``docs``: ``id, n_bytes, n_tokens``, as the tokenizer file at ``path`` gives them.
 
     Null counts as empty: 0 bytes, 0 tokens.  Special strings in a text are one token each.  Repeated rows are
-    counted each.  Other columns are not read.
+    counted each.  Ids keep their type; other columns are not read.  An empty table gives an empty result.
 
     Every distinct pre-token is encoded once.  The counts of at most ``most_frequent`` of them are sent to all
     tasks, which add up what they cover per document; the remaining (document, pre-token, frequency) rows are
@@ -143,11 +144,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 names = ["row", "id", "n_bytes", "covered", "number", "freq"]
                 yield pa.RecordBatch.from_arrays([docs_at[0], batch.column(0).slice(a, b - a), size, pa.array(n), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())], names)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([docs_at[1], pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(kinds[kind]), pa.array(freq.astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([docs_at[1], pa.nulls(len(rows), batch.column(0).type), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(kinds[kind]), pa.array(freq.astype(np.int64))], names)
             base += batch.num_rows
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = rows.mapInArrow(cover, "row long, id long, n_bytes long, covered long, number long, freq long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = with_id(docs, id_col, "row long, n_bytes long, covered long, number long, freq long")
+    seen = rows.mapInArrow(cover, StructType([columns["row"], columns["id"], *columns[2:]]))
     seen = written(seen.withColumn("row", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("row")))
     rare = seen.where("number IS NOT NULL").join(dictionary.select("number", "n"), "number")
     rest = rare.groupBy("row").agg(F.sum(F.col("freq") * F.col("n")).alias("rest"))

@@ -14,8 +14,13 @@ MAX_BAD = 0.25
 BOUND_SDS = 1.645
 #: Limits of a level's prior strength, in pages.
 STRENGTH = (2.0, 10000.0)
-#: Copies of each host's verdict, among which a host's pages are dealt.
-SALTS = 64
+#: A host of more than this share of all pages is hot (there are at most as many as its inverse): its pages are
+#: dealt among so many copies of its verdict.
+HOT_SHARE, SALTS = 0.001, 64
+#: Fixed: second labels under which country domains of two letters register names, as in ``co.uk``.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
+ADDRESS = r"^[0-9.]+(:[0-9]+)?$"
+TWO_LABELS = r"(^|\.)(" + "|".join(SECOND_LEVELS) + r")\.[a-z]{2}$"
 
 
 def url_host(url: Column) -> Column:
@@ -38,9 +43,12 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _parents(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last one); an IPv4 address is its own of both."""
-    address = host.rlike(r"^[0-9.]+(:[0-9]+)?$")
-    return F.when(address, host).otherwise(F.substring_index(host, ".", -2)), F.when(address, host).otherwise(F.substring_index(host, ".", -1))
+    """Registered domain and suffix: the last two labels and the last one, or the last three and two where the suffix
+    is a country's second level such as ``co.uk``; an IPv4 address is its own of both."""
+    labels = F.when(host.rlike(TWO_LABELS), 2).otherwise(1)
+    last = lambda n: F.array_join(F.slice(F.split(host, r"\."), F.greatest(-F.size(F.split(host, r"\.")), -n), n), ".")
+    address = host.rlike(ADDRESS)
+    return F.when(address, host).otherwise(last(labels + 1)), F.when(address, host).otherwise(last(labels))
 
 
 def _strength(groups: DataFrame) -> Column:
@@ -88,13 +96,18 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     ``outcomes`` is ``id, bad`` with bad 0 or 1 for pages that were labelled; ids it repeats count by their
     worst label.  A rule decides where one fits; otherwise a page goes when the lower bound of its host's
     posterior rate of bad pages exceeds ``max_bad``.  Null urls and urls without ``://`` share the empty host,
-    which is judged like any other.  Repeated rows are judged alike.  Other columns are not read.
+    which is judged like any other.  Repeated rows are judged alike.  An empty table gives an
+    empty result.  Ids keep their type; other columns are not read.
     """
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     marks = outcomes.groupBy("id").agg(F.max("bad").alias("bad"))
     rated = host_reputations(urls.select("id", "host").join(marks, "id", "left").select("host", "bad"))
-    rated = rated.select("host", "bad_lower", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    urls = urls.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    sizes = urls.groupBy("host").count()
+    hot = sizes.join(F.broadcast(sizes.agg(F.sum("count").alias("all")))).where(F.col("count") > HOT_SHARE * F.col("all")).select("host", F.lit(SALTS).alias("salts"))
+    hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
+    salts = F.coalesce("salts", F.lit(1))
+    rated = rated.join(hot, "host", "left").select("host", "bad_lower", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    urls = urls.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id", "path"), salts).cast("int"))
     found = matching_rule(F.col("host"), F.col("path"), rules)
     judged = urls.join(rated, ["host", "salt"], "left").withColumn("found", found)
     verdict = F.coalesce("found.verdict", F.when(F.col("bad_lower") > max_bad, F.lit("block")).otherwise(F.lit("allow")))
@@ -102,9 +115,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
 
 
 def op3_url_reputation(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    outcomes = labels.select(F.col("doc_id").alias("id"), (1 - F.col("quality")).cast("int").alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), outcomes).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    """Outcomes are the quality labels of the documents that the pages hold; a page's url ends in its document's number."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.expr(r"try_cast(nullif(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1), '') AS long)")
+    held = pages.select(F.col("page_id").alias("id"), number.alias("doc_id")).where("doc_id IS NOT NULL")
+    outcomes = held.join(labels, "doc_id").select("id", (1 - F.col("quality")).cast("int").alias("bad"))
+    return judge_urls(pages, outcomes).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 QUERIES = {"op3_url_reputation": op3_url_reputation}
@@ -113,10 +129,12 @@ ORACLES = {
     "op3_url_reputation": r"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-l AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels GROUP BY 1),
+l AS (SELECT page_id, max(1 - quality) AS bad FROM pages JOIN labels
+      ON doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT) GROUP BY 1),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM u LEFT JOIN l USING (page_id) GROUP BY 1),
-p AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host ELSE regexp_extract(host, '([^.]*\.)?[^.]*$', 0) END AS domain,
-             CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix FROM h),
+k AS (SELECT *, regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') AS address, regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') AS two FROM h),
+p AS (SELECT *, CASE WHEN address THEN host WHEN two THEN regexp_extract(host, '([^.]*\.)?[^.]*\.[^.]*$', 0) ELSE regexp_extract(host, '([^.]*\.)?[^.]*$', 0) END AS domain,
+             CASE WHEN address THEN host WHEN two THEN regexp_extract(host, '[^.]*\.[^.]*$', 0) ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix FROM k),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM p GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
 g AS (SELECT 'h' AS lv, n, bad FROM p UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
