@@ -5,18 +5,22 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyforge.llm.shared import table, written
 
 SCALE = 1024
 TOP = 10
 LEAF = 128
-#: Vectors in one shard's tree and queries in one block, which bound what a task holds.
+#: Vectors in one shard's tree, which with a batch of queries is what a task holds.
 SHARD_VECTORS = 8192
-BLOCK_QUERIES = 2048
+#: Shards that a query has searched after each round; its k-th best score so far goes along to the next.
+ROUNDS = (1, 4, 16)
+#: Parts of one shuffle, at most; a part holds several shards beyond that, one after the other.
+SHUFFLE_PARTS = 1 << 15
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -93,54 +97,81 @@ def whole_vector(vector: Column, scale: int = SCALE) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def _search_block(k: int):
-    def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(vectors) and len(queries):
-            tree = KdTree(vectors["vec_id"].to_numpy(np.int64), np.array(vectors["v"].tolist(), dtype=np.int64))
-            asked = np.array(queries["v"].tolist(), dtype=np.int64)
-            bounds = tree.bounds(asked)
-            for i, (q, floor) in enumerate(zip(queries["query_id"].tolist(), queries["floor"].tolist())):
-                floor = None if pd.isna(floor) else int(floor)
-                out += [(q, vec, score) for score, vec in tree.search(q, asked[i], bounds[i], k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+ROWS = ["dim", "shard", "asked", "id", "floor", "v"]
+
+
+def _search_sorted(k: int):
+    """Searches rows sorted by shard, each shard's vectors before its queries: builds the tree, then streams queries by it."""
+
+    def answers(tree: KdTree, ids: np.ndarray, asked: np.ndarray, floors: list) -> pa.RecordBatch:
+        bounds = tree.bounds(asked)
+        found = [(q, vec, score) for i, (q, floor) in enumerate(zip(ids.tolist(), floors)) for score, vec in tree.search(q, asked[i], bounds[i], k, floor)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        key, held, tree = None, [], None
+        for batch in batches:
+            columns = {c: batch.column(i) for i, c in enumerate(ROWS)}
+            dim, shard, asked, ids = (np.asarray(columns[c]) for c in ROWS[:4])
+            flat = np.asarray(columns["v"].flatten())
+            offset = np.concatenate(([0], np.cumsum(dim)))
+            cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(asked) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+                if i == j:
+                    continue
+                points = flat[offset[i] : offset[j]].reshape(j - i, -1)
+                if key != (dim[i], shard[i]):
+                    key, held, tree = (dim[i], shard[i]), [], None
+                if not asked[i]:
+                    held.append((ids[i:j], points))
+                elif held or tree:
+                    if tree is None:
+                        tree, held = KdTree(*(np.concatenate(x) for x in zip(*held))), []
+                    yield answers(tree, ids[i:j], points, columns["floor"].slice(i, j - i).to_pylist())
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, shard_vectors: int = SHARD_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best rows by integer inner product, ties to smaller ids.
 
     Queries are the rows of ``vectors`` for which ``is_query`` holds; every row but those with the query's own
-    id is a candidate.  Components count as ``floor(1024 * x)``.  Vectors that are null or hold a null or
-    non-finite component take no part; vectors are compared only with those of their own length; rows that
-    repeat an id are candidates each.  Scores are 64-bit numbers, so components must stay below 2**28 or so.
-    Fewer candidates than k give fewer rows; an empty table gives none.
-
-    Rows are dealt to shards by a hash of their id, queries to blocks; a task searches one shard's tree for one
-    block.  Each block first searches its home shard, and the k-th score found there goes along to all others.
+    id is a candidate.  Components count as ``floor(1024 * x)``.  Vectors that are null or empty or hold a null
+    or non-finite component take no part, nor do rows without an id; vectors are compared only with those of their own
+    length; rows that repeat an id are candidates each.  Ids are whole numbers, others are refused.  Scores are
+    64-bit numbers, so components must stay below 2**28 or so.  Fewer candidates than k give fewer rows; an empty
+    table gives none.
+
+    Rows are dealt to shards by a hash of their id and place.  In a few rounds each query goes to more shards: its
+    home first, and the k-th best score found so far goes along to the next ones.  A task sorts its shard's
+    vectors before the shard's queries, builds the tree once and streams the queries by it, so vectors are
+    shuffled once a round and a task holds one shard and a batch of queries.
     """
-    whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("asked"), whole_vector(F.col(vector_col)).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
-    whole = written(whole.withColumn("dim", F.size("v")))
-    size = whole.agg(F.count("*").alias("rows"), F.count_if("asked").alias("asked")).first()
-    shards, blocks = max(1, -(-size["rows"] // shard_vectors)), max(1, -(-size["asked"] // block_queries))
-    cand = whole.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    asked = whole.where("asked").select("dim", F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "v"])
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of their own, as both sides come from one table
-    keys = ["dim", "shard", "block"]
-    home = F.pmod("block", F.lit(shards))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-
-    def search(pairs_of_candidates: DataFrame, pairs_of_queries: DataFrame) -> DataFrame:
-        return pairs_of_candidates.groupBy(*keys).cogroup(pairs_of_queries.groupBy(*keys)).applyInPandas(_search_block(k), RESULT)
-
-    spread = cand.withColumn("block", F.explode(every))
-    first = written(search(spread.where(home == F.col("shard")), asked.withColumn("shard", home).withColumn("floor", F.lit(None).cast("long"))))
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    others = asked.join(floors, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(home != F.col("shard"))
-    rest = search(spread.where(home != F.col("shard")), others)
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"ids must be whole numbers: {id_col}")
+    whole = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("asked"), whole_vector(F.col(vector_col)).alias("v")).where("size(v) > 0 AND id IS NOT NULL")
+    whole = written(whole.withColumn("dim", F.size("v")).withColumn("place", F.monotonically_increasing_id()))
+    shards = max(1, -(-whole.count() // shard_vectors))
+    none = F.lit(None).cast("long").alias("floor")
+    cand = whole.select("dim", F.pmod(F.xxhash64("id", "place"), F.lit(shards)).alias("shard"), F.lit(0).alias("asked"), "id", none, "v")
+    asked = written(whole.where("asked").select("dim", "id", "v").dropDuplicates(["id", "v"]))
+    home = F.pmod(F.xxhash64("id", F.lit("home")), F.lit(shards))
+    found, done = None, 0
+    for upto in sorted({min(r, shards) for r in (*ROUNDS, shards)}):
+        floors = asked.withColumn("floor", none)
+        if found is not None:
+            order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            found = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+            kth = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+            floors = asked.join(kth, "id", "left")
+        turns = F.explode(F.sequence(F.lit(done).cast("long"), F.lit(upto - 1).cast("long")))
+        dealt = floors.withColumn("turn", turns).select("dim", F.pmod(home + F.col("turn"), F.lit(shards)).alias("shard"), F.lit(1).alias("asked"), "id", "floor", "v")
+        sorted_ = cand.unionByName(dealt).repartition(min(shards, SHUFFLE_PARTS), "dim", "shard").sortWithinPartitions("dim", "shard", "asked")
+        fresh = sorted_.select(*ROWS).mapInArrow(_search_sorted(k), RESULT)
+        found, done = fresh if found is None else found.unionByName(fresh), upto
+    # One id may be asked with several vectors; such queries share their id's rows, as ranks by id do.
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
