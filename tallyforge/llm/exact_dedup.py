@@ -61,14 +61,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """``docs`` with one row of each text, all columns; which one as in ``exact_groups``.
 
-    Of rows equal in that too, one is taken by its place in the stored table, so a repeated or missing id neither
+    Of rows equal in that too, one is taken by its place in the stored table (``stored`` as in ``numbered``), so a repeated or missing id neither
     saves a copy nor takes rows of other texts along.  The list of rows that go is stored first: where it is small
     it is sent to the texts, which then do not move.
     """
-    rows, row = numbered(docs)
+    rows, row = numbered(docs, stored)
     found = exact_groups(rows.select(named(id_col, row).alias("name"), F.col(text_col).alias("text")), "name", "text")
     gone = written(found.where(~F.col("kept")).select(F.col("id.row").alias(row)))
     return rows.join(gone, row, "left_anti").select(*[rows[c] for c in docs.columns])

@@ -135,13 +135,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _mixed(docs, F.col(id_col), F.col(source_col), F.col(text_col), _drawn(id_col, text_col, F.monotonically_increasing_id()), weights, block_words)
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", stored: bool = False) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its words are taken, rounded to whole documents.
 
     Rows that the mix leaves out go, rows of a source to repeat come back twice or three times; all columns stay.
-    Rows are told apart by a number of their own, so those that share an id or have none are decided each.
+    Rows are told apart by a number of their own (``stored`` as in ``numbered``), so those that share an id or have
+    none are decided each.
     """
-    rows, row = numbered(docs)
+    rows, row = numbered(docs, stored)
     found = _mixed(rows, F.col(row), F.col(source_col), F.col(text_col), _drawn(id_col, text_col, F.col(row)), WEIGHTS, BLOCK_WORDS)
     times = free_name(rows, "__times")
     often = found.where("size > 0").select(F.col("id").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)

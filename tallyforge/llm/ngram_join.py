@@ -25,8 +25,8 @@ from tallyforge.llm.shingles import batch_shingles, mix, slices
 #: Texts link when LINK[1] * overlap >= LINK[0] * union.
 LINK = (3, 4)
 #: Text in a slice and in a fragment of the n-gram order, up to INPUT_BYTES of text in all. A slice gives a row to
-#: each fragment, so beyond that both grow with the root of the input: 57 and 226 MB at 100 TB.
-SLICE_BYTES, FRAGMENT_BYTES, INPUT_BYTES = 4 << 20, 16 << 20, 1 << 39
+#: each fragment, so beyond that both grow with the root of the input, to 110 MB at 100 TB.
+SLICE_BYTES, FRAGMENT_BYTES, INPUT_BYTES = 4 << 20, 4 << 20, 1 << 37
 #: Bits of an n-gram's number that count: two n-grams are mistaken for one another with a chance of 2**-48.
 BITS = 48
 #: Fragments in which the overlap of a pair is counted.
@@ -375,12 +375,12 @@ def _rest(rare: DataFrame, pieces: DataFrame, labels: DataFrame) -> DataFrame:
     return counted.groupBy(*PAIR).applyInArrow(_sum_blocks, "a long, b long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """``docs`` with one row of each group of similar texts, all columns: the smallest id's, missing ids last, then
-    the first stored.  Rows are told apart by numbers of their own, so rows without an id and rows that repeat one
+    the first stored (``stored`` as in ``numbered``).  Rows are told apart by numbers of their own, so rows without an id and rows that repeat one
     take part each; texts without words are no group and stay.  The list of rows that go is stored first: where it
     is small it is sent to the texts, which then do not move."""
-    rows, row = numbered(docs)
+    rows, row = numbered(docs, stored)
     found = similar_groups(rows.select(named(id_col, row).alias("name"), F.col(text_col).alias("text")), "name", "text")
     gone = written(found.where("id.row <> component.row").select(F.col("id.row").alias(row)))
     return rows.join(gone, row, "left_anti").select(*[rows[c] for c in docs.columns])

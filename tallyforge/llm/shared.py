@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -46,9 +47,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` stored once with a number of its own for each row, the same whenever it is read, and that column's name."""
+def numbered(df: DataFrame, stored: bool = False) -> tuple[DataFrame, str]:
+    """``df`` with a column, whose name is given too, that tells its rows apart and is the same whenever it is read.
+
+    Where ``df`` is ``stored``, that is plain rows of Parquet files, it is the row's place in its file, with a
+    64-bit number of the file's path; else ``df`` is stored once with numbers.
+    """
     row = free_name(df, "__row")
+    if stored:
+        try:
+            return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), row
+        except AnalysisException:  # rows that no file holds
+            pass
     return written(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
