@@ -11,10 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.shared import with_places
+
 # When boxes are one object, how near is near, the margin of a canvas, the lowest score, cells apart.
 MIN_SHARE, MAX_ROWS_APART, NEAR, MARGIN = 0.5, 1.5, 40, 30
 FLOOR = 0.05
+#: Peaks of box maps, jitter of training windows and cells of the heat map, cells of the screen.
+PEAK_FLOOR, PEAK_LIMIT = 0.3, 100
+JITTER, STRIDE = 0.40, 4
+CHROME_CELL = 50
 SEPARATION = 3
+#: Width of the strips in which boxes of a frame meet.
+COLUMN = 64
 BOX = ("left", "top", "width", "height")
 
 
@@ -46,14 +54,23 @@ def _side(rows: DataFrame, prefix: str, key: list[str]) -> DataFrame:
     return rows.select(*[F.col(k).alias(prefix + k) for k in key], F.col("id").alias(prefix + "id"), *[F.col(c).alias(prefix + c) for c in BOX])
 
 
-def frame_pairs(a: DataFrame, b: DataFrame, test: Callable[..., Column], key: list[str]) -> DataFrame:
-    """``key..., a_id, b_id`` of boxes of one frame for which ``test(a, b)`` holds."""
-    left, right = _side(a, "a_", key), _side(b, "b_", key)
-    same = [F.col("a_" + k) == F.col("b_" + k) for k in key]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return left.join(right, on & test(of("a_"), of("b_"))).select(*[F.col("a_" + k).alias(k) for k in key], "a_id", "b_id")
+def frame_pairs(a: DataFrame, b: DataFrame, test: Callable[..., Column], key: list[str], column: int = COLUMN) -> DataFrame:
+    """``key..., a_id, b_id`` of boxes of one frame that share columns and for which ``test(a, b)`` holds.
+
+    A frame is cut into strips of ``column`` pixels; boxes meet in the strips that both reach into, and a pair
+    counts in the first of them, so a frame with many boxes is many keys and only boxes side by side are compared.
+    """
+    strip = lambda x: F.floor(x / column)
+
+    def side(rows: DataFrame, p: str) -> DataFrame:
+        first, last = strip(F.col(p + "left")), strip(F.col(p + "left") + F.greatest(F.col(p + "width"), F.lit(1)) - 1)
+        return _side(rows, p, key).withColumns({p + "first": first, p + "strip": F.explode(F.sequence(first, last))})
+
+    on = F.col("a_strip") == F.col("b_strip")
+    for k in key:
+        on = on & (F.col("a_" + k) == F.col("b_" + k))
+    here = F.col("a_strip") == F.greatest("a_first", "b_first")
+    return side(a, "a_").join(side(b, "b_"), on & here & test(of("a_"), of("b_"))).select(*[F.col("a_" + k).alias(k) for k in key], "a_id", "b_id")
 
 
 def near_pairs(rows: DataFrame, tolerance: int = NEAR) -> DataFrame:
@@ -130,12 +147,17 @@ def strongest(candidates: DataFrame, most: int, key: str = "frame") -> DataFrame
     return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def local_maxima(cells: DataFrame, key: list[str], floor: float = FLOOR) -> DataFrame:
-    """Cells (``x, y, score``) at least as strong as all of their eight neighbours, above ``floor``."""
+def local_maxima(cells: DataFrame, key: list[str], floor: float = PEAK_FLOOR, limit: int | None = PEAK_LIMIT) -> DataFrame:
+    """Cells (``x, y, score``) at least as strong as all of their eight neighbours and as ``floor``; of each group of
+    ``key`` the ``limit`` strongest, equal ones by row and column."""
     around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
     others = cells.select(*key, F.col("score").alias("other"), F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in around])).alias("p")).select(*key, "p.x", "p.y", "other")
     beaten = others.groupBy(*key, "x", "y").agg(F.max("other").alias("strongest"))
-    return cells.where(F.col("score") >= floor).join(beaten, [*key, "x", "y"], "left").where(F.col("strongest").isNull() | (F.col("score") >= F.col("strongest"))).drop("strongest")
+    peaks = cells.where(F.col("score") >= floor).join(beaten, [*key, "x", "y"], "left").where(F.col("strongest").isNull() | (F.col("score") >= F.col("strongest"))).drop("strongest")
+    if limit is None:
+        return peaks
+    order = Window.partitionBy(*key).orderBy(F.col("score").desc(), "y", "x")
+    return peaks.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= limit).drop("__place")
 
 
 def suppress(cells: DataFrame, key: list[str], separation: int = SEPARATION, limit: int = 300) -> DataFrame:
@@ -209,15 +231,24 @@ def canvas(rows: DataFrame, margin: int = MARGIN) -> DataFrame:
     return rows.withColumns({"src_left": x0, "src_top": y0, "src_width": F.greatest(x1 - x0, F.lit(0)), "src_height": F.greatest(y1 - y0, F.lit(0)), "dst_left": x0 - (left - margin), "dst_top": y0 - (top - margin)})
 
 
-def minimum_window(width: Column, height: Column, downscale: int = 2, jitter: float = 0.1, snap: int = 8) -> Column:
-    """The smallest training window that holds the box under jitter, snapped up."""
-    side = F.ceil(F.greatest(width, height) / downscale / (1 - 2 * jitter))
-    return (F.ceil(side / snap) * snap).cast("long")
+def minimum_window(width: Column, height: Column, downscale: int = 2, jitter: float = JITTER, stride: int = STRIDE) -> Column:
+    """The smallest training window, in pixels of the downscaled frame, that holds a box of this size whole wherever
+    jitter puts it, snapped up to whole cells of the heat map."""
+    side = F.ceil(F.greatest(width, height) / downscale / (1.0 - 2.0 * jitter))
+    return (F.ceil(side / stride) * stride).cast("long")
+
+
+def window_floor(sizes: DataFrame, capture_width: int | None = None) -> DataFrame:
+    """``window`` for fitted box sizes (``width, height``): at the capture width, where one is given, boxes are scaled
+    from the ``frame_width`` that they were drawn at."""
+    ratio = F.lit(float(capture_width)) / F.col("frame_width") if capture_width else F.lit(1.0)
+    scaled = sizes.withColumns({"width": F.bround(F.col("width") * ratio).cast("int"), "height": F.bround(F.col("height") * ratio).cast("int")})
+    return scaled.withColumn("window", minimum_window(F.col("width"), F.col("height")))
 
 
 def spread_sample(frames: DataFrame, count: int, key: str = "frame") -> DataFrame:
     """``count`` frames evenly spread over all, by name."""
-    numbered = frames.select(key).distinct().orderBy(key).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(frames.select(key).schema.add("place", "long"))
+    numbered = with_places(frames.select(key).distinct(), [key], "place")
     n = numbered.count()
     take = min(count, n)
     places = frames.sparkSession.range(take).select(F.floor(F.col("id") * n / max(take, 1)).alias("place"))
@@ -232,10 +263,12 @@ def angles_apart(rows: DataFrame, by: list[str], angle: str = "degrees") -> Data
     return ring.withColumn("gap", gap).groupBy(*by).agg(F.count("*").alias("n"), (360 - F.max("gap")).alias("span"))
 
 
-def chrome_cells(peaks: DataFrame, facings: DataFrame, size: int = 32, spread_degrees: float = 90.0, min_frames: int = 12) -> DataFrame:
-    """Screen cells whose detections stay while the heading turns: seen in many frames over a wide arc."""
+def chrome_cells(peaks: DataFrame, facings: DataFrame, size: int = CHROME_CELL, spread_degrees: float = 90.0, min_frames: int = 12) -> DataFrame:
+    """Screen cells whose detections stay while the heading turns: seen in many frames over a wide arc.
+
+    A detection belongs to the cell that its centre, divided by the cell's size, rounds to (halves to even)."""
     joined = peaks.join(facings, ["recording", "frame"])
-    cells = joined.select("recording", F.floor(F.col("left") / size).alias("cx"), F.floor(F.col("top") / size).alias("cy"), F.expr("pmod(degrees(radians), 360.0)").alias("degrees"))
+    cells = joined.select("recording", *[F.bround((F.col(edge) + F.col(extent) / 2) / size).cast("long").alias(cell) for cell, edge, extent in (("cx", "left", "width"), ("cy", "top", "height"))], F.expr("pmod(degrees(radians), 360.0)").alias("degrees"))
     return angles_apart(cells, ["recording", "cx", "cy"]).where((F.col("n") >= min_frames) & (F.col("span") > spread_degrees))
 
 

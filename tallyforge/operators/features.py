@@ -34,8 +34,8 @@ def row_features(rows: DataFrame, train: Column, spec: PrepSpec, keep: list[str]
     ``train`` marks the rows that levels, frequencies, minima and the trend's origin are taken from.
     """
     seen = rows.where(train)
-    dims = [d for d in spec.inputs() if d in spec.named("dimension")]
-    measures = [m for m in spec.inputs() if m in spec.named("measure")]
+    dims = [d for d in spec.predictors() if d in spec.with_role("dimension")]
+    measures = [m for m in spec.predictors() if m in spec.with_role("measure")]
     heads = seen.agg(F.min(ANCHOR).alias("__start"), *[F.min(m).alias(f"__min_{m}") for m in measures]).first()
     out, families, made = rows, {}, []
     for d in dims:
@@ -59,7 +59,7 @@ def row_features(rows: DataFrame, train: Column, spec: PrepSpec, keep: list[str]
 
 def extended(panel: DataFrame, spec: PrepSpec, step: str) -> DataFrame:
     """The panel with every series carried to the last step of all, by the rule of each column's aggregation."""
-    dims, names = spec.named("dimension"), spec.named("measure") + spec.named("target")
+    dims, names = spec.with_role("dimension"), spec.with_role("measure", "target")
     last = panel.agg(F.max(STEP).alias("__last"))  # one row
     ends = panel.groupBy(SERIES, *dims).agg(F.max(STEP).alias("__end")).join(F.broadcast(last)).where("__end < __last")
     more = ends.select(SERIES, *dims, F.explode(F.slice(steps_between(F.col("__end"), F.col("__last"), step), F.lit(2), F.greatest(F.size(steps_between(F.col("__end"), F.col("__last"), step)) - 1, F.lit(0)))).alias(STEP))
@@ -99,7 +99,7 @@ def smoothed(values: DataFrame, value: str, alphas=ALPHAS) -> DataFrame:
 
 def origin_features(panel: DataFrame, spec: PrepSpec, step: str, bucket: int, period: int | None = None, measure_lags: dict[str, int] | None = None, with_ewm: bool = True) -> tuple[DataFrame, dict[str, str]]:
     """``__series, index`` and what is known at each origin, every value from the origin or before; and families."""
-    target, measures = spec.named("target")[0], spec.named("measure")
+    target, measures = spec.with_role("target")[0], spec.with_role("measure")
     rows = extended(panel, spec, step)
     order = Window.partitionBy(SERIES).orderBy(STEP)
     cols, families = {}, {}
@@ -135,7 +135,7 @@ def series_features(panel: DataFrame, scaffold: DataFrame, spec: PrepSpec, bucke
     future rows are the scaffold's steps at horizons within the bucket.
     """
     lo, b = bucket
-    dims, target = spec.named("dimension"), spec.named("target")[0]
+    dims, target = spec.with_role("dimension"), spec.with_role("target")[0]
     base, families = origin_features(panel, spec, step, b, period, measure_lags, with_ewm)
     last = panel.agg(F.max(step_index(F.col(STEP), step)).alias("__last"))  # one row
     past = panel.select(F.col(SERIES).alias("series"), *dims, F.col(STEP).alias("step"), F.col(target).alias("y"), F.lit(False).alias("future"))

@@ -56,7 +56,7 @@ def row_workspace(source: DataFrame, spec: PrepSpec, as_of: str | None = None, *
     rows, _ = prepare_rows(source, spec)
     latest = as_date(as_of or (spec.censor.as_of if spec.censor and spec.censor.as_of else None) or rows.agg(F.max(ANCHOR)).first()[0])
     cuts = splits.row_cuts(rows, latest, **cut_weeks)
-    target = spec.named("target")[0]
+    target = spec.with_role("target")[0]
     marked = rows.withColumn("split", splits.split_of(F.col(ANCHOR), cuts)).withColumnRenamed(target, "y")
     profile_spec = spec
     train = marked.where("split = 'train'").withColumnRenamed("y", target)

@@ -126,7 +126,7 @@ def zero_shares(panel: DataFrame, target: str) -> DataFrame:
 
 def build_profile(train: DataFrame, spec: PrepSpec) -> dict:
     """The profile of training rows as a small dict of scalars: what the search starts from."""
-    target, measures = spec.named("target")[0], spec.named("measure")
+    target, measures = spec.with_role("target")[0], spec.with_role("measure")
     numbers = measures + ([target] if spec.task == "regression" else [])
     profile: dict = {"mode": spec.mode, "rows": train.count(), "columns": {}, "leaks": {}}
     for row in number_stats(train, numbers).collect() if numbers else ():
@@ -148,7 +148,7 @@ def build_profile(train: DataFrame, spec: PrepSpec) -> dict:
 
 def suggest_genes(spec: PrepSpec, profile: dict) -> dict:
     """Objectives that suit the target, leaking inputs to leave out, the season and useful lags."""
-    own = profile["columns"].get(spec.named("target")[0], {})
+    own = profile["columns"].get(spec.with_role("target")[0], {})
     quiet = profile["zero_share"]["median"] if "zero_share" in profile else own.get("zeros")
     counts = own.get("min") is not None and own["min"] >= 0 and (quiet or 0) > 0.3
     wanted = {"logistic": spec.task == "classification", "squared": spec.task == "regression", "absolute": spec.task == "regression", "tweedie": spec.task == "regression" and counts, "poisson": spec.task == "regression" and counts, "aft": profile.get("censored", 0) > 0}

@@ -12,6 +12,8 @@ from tallyforge.functions.expressions import all_of, upper_median
 from tallyforge.operators.boxes import BOX, MARGIN, corrected, outside_kept
 
 MIN_HEIGHT = 4
+#: The longer side that frames are scaled to, and how often the largest object has to fit into the reach.
+LONG_SIDE, REACH_MARGIN = 768, 1.5
 
 
 class SetError(ValueError):
@@ -89,10 +91,11 @@ def promoted(pool: DataFrame, candidates: DataFrame, decisions: DataFrame) -> Da
 
 
 def merge_sets(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Existing rows stay unless their source or their very box is stated anew; synthetic rows are never carried."""
+    """Existing rows stay unless their source (a missing one is like any other) or their very box is stated anew;
+    synthetic rows are never carried."""
     old = existing.where("source IS NULL OR source <> 'synthetic'")
-    sources = fresh.select(F.col("source").alias("__s")).where("__s IS NOT NULL").distinct()
-    old = old.join(sources, F.col("source") == F.col("__s"), "left_anti")
+    sources = fresh.select(F.col("source").alias("__s")).distinct()
+    old = old.join(sources, F.col("source").eqNullSafe(F.col("__s")), "left_anti")
     key = ["recording", "frame", *BOX]
     boxes = fresh.select(*[F.col(c).alias("__" + c) for c in key]).distinct()
     return old.join(boxes, all_of(F.col(c).eqNullSafe(F.col("__" + c)) for c in key), "left_anti").unionByName(fresh)
@@ -244,10 +247,15 @@ def other_width(frames: DataFrame, capture_width: int) -> DataFrame:
     return best.join(F.broadcast(total)).select((-F.col("b.w")).alias("width"), F.col("b.n").alias("n"), "of")
 
 
-def out_of_reach(rows: DataFrame, reach: int) -> DataFrame:
-    """Objects wider or higher than a model reaches, by recording; any of them is a reason to refuse training."""
-    far = F.greatest(F.col("width"), F.col("height"))
-    return rows.where(~F.coalesce("negative", F.lit(False)) & (far > reach)).groupBy("recording").agg(F.count("*").alias("n"), F.max(far).alias("largest"))
+def out_of_reach(rows: DataFrame, reach: int, long_side: int = LONG_SIDE) -> DataFrame:
+    """Objects longer than a model can size, by recording; any of them is a reason to refuse training.
+
+    Sizes count as the model sees them, in frames whose longer side is scaled to ``long_side``; an object has to
+    fit 1.5 times into the reach.
+    """
+    scale = F.lit(float(long_side)) / F.greatest("frame_width", "frame_height")
+    far = F.greatest(F.col("width"), F.col("height")) * scale
+    return rows.where(~F.coalesce("negative", F.lit(False)) & (far > reach / REACH_MARGIN)).groupBy("recording").agg(F.count("*").alias("n"), F.max(far).alias("largest"))
 
 
 def candidate_page(candidates: DataFrame, decisions: DataFrame, number: int, size: int, hide_done: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.shared import with_places
 from tallyforge.spec import ANCHOR, LOWER, STEP, UPPER
 
 # Weeks for cases to resolve, and of validation and test; least steps of test, validation, training.
@@ -115,8 +116,8 @@ def assign(keys: DataFrame, key: Column, ratio: dict[str, int], seed: int) -> Da
     Keys are range-partitioned by that order and numbered by position, so no task holds all of them.
     """
     names = keys.select(key.cast("string").alias("key")).where("key IS NOT NULL").distinct()
-    placed = names.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), "key")), "key").rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1])).toDF("key string, place long")
-    counts = shares(names.count(), ratio)
+    placed = with_places(names.withColumn("drawn", F.crc32(F.concat(F.lit(f"{seed}:"), "key"))), ["drawn", "key"], "place")
+    counts = shares(placed.count(), ratio)
     train, val = counts["train"], counts["train"] + counts["val"]
     return placed.select("key", F.when(F.col("place") < train, "train").when(F.col("place") < val, "val").otherwise("test").alias("split"))
 

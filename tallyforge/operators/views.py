@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import all_of
 from tallyforge.operators.evaluate import apply_band, fit_band
+from tallyforge.sources.shared import with_places
 from tallyforge.spec import SERIES, STEP
 
 MAX_LINES, MAX_BREAKDOWN, DRAWS = 12, 3, 200
@@ -129,9 +130,10 @@ def load_band(forecast: DataFrame, residuals: DataFrame, unit_days: float, draws
     """``week, lower, upper``: tenth and ninetieth percentile of simulated weekly counts.
 
     Every draw moves each predicted date by a residual picked by a hash of the row and the draw, so reruns agree.
-    Weeks a draw leaves empty count as 0. Residuals are numbered once; rows x draws is the simulation's own size.
+    Weeks a draw leaves empty count as 0. Residuals are numbered once and stored; where they are small Spark sends
+    them to the rows, so that draws are counted where they are made and only counts per draw and week move.
     """
-    pool = residuals.select("resid").where("resid IS NOT NULL").orderBy("resid").rdd.zipWithIndex().map(lambda x: (x[1], float(x[0][0]))).toDF("k long, resid double")
+    pool = with_places(residuals.select(F.col("resid").cast("double")).where("resid IS NOT NULL"), ["resid"], "k")
     n = pool.count()
     moved = forecast.select("row", "predicted_date", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     moved = moved.withColumn("k", F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(max(n, 1)))).join(pool, "k")

@@ -1,19 +1,20 @@
-"""Boxes, derived from orders by arithmetic: a hundred frames, dense indices, scores with ties."""
+"""Boxes, derived from orders by arithmetic: a frame for every 400 keys, dense indices, scores with ties."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators import boxes as ops
+from tallyforge.operators.sets import fitted_box
 from tallyforge.queries.common import c, orders, rounded
 
 _DERIVED = {
-    "frame": "o_orderkey % 100", "id": "o_orderkey", "idx": "o_orderkey div 100", "left": "o_custkey * 13 % 400", "top": "o_orderkey * 7 % 60",
+    "frame": "o_orderkey div 400", "id": "o_orderkey", "idx": "o_orderkey % 400", "left": "o_custkey * 13 % 400", "top": "o_orderkey * 7 % 60",
     "width": "20 + o_orderkey % 57", "height": "10 + o_orderkey % 21", "score": "(o_orderkey * 37 % 101) / 100D", "label": "o_orderpriority",
-    "recording": "concat('rec', o_orderkey % 4)", "frame_width": "400 + 100 * (o_orderkey % 100 % 3)", "frame_height": "90",
+    "recording": "concat('rec', o_orderkey % 4)", "frame_width": "400 + 100 * (o_orderkey div 400 % 3)", "frame_height": "90",
 }
-B = """b AS (SELECT o_orderkey % 100 AS frame, o_orderkey AS id, o_orderkey // 100 AS idx, o_custkey * 13 % 400 AS "left", o_orderkey * 7 % 60 AS top, 20 + o_orderkey % 57 AS width, 10 + o_orderkey % 21 AS height,
-  (o_orderkey * 37 % 101) / 100.0::DOUBLE AS score, o_orderpriority AS label, 'rec' || (o_orderkey % 4) AS recording, 400 + 100 * (o_orderkey % 100 % 3) AS frame_width, 90 AS frame_height FROM orders)"""
+B = """b AS (SELECT o_orderkey // 400 AS frame, o_orderkey AS id, o_orderkey % 400 AS idx, o_custkey * 13 % 400 AS "left", o_orderkey * 7 % 60 AS top, 20 + o_orderkey % 57 AS width, 10 + o_orderkey % 21 AS height,
+  (o_orderkey * 37 % 101) / 100.0::DOUBLE AS score, o_orderpriority AS label, 'rec' || (o_orderkey % 4) AS recording, 400 + 100 * (o_orderkey // 400 % 3) AS frame_width, 90 AS frame_height FROM orders)"""
 _OVER = """least(p."left" + p.width, t."left" + t.width) - greatest(p."left", t."left") >= 0.5 * least(p.width, t.width) AND abs(p.top - t.top) <= 1.5 * greatest(p.height, t.height)"""
 
 
@@ -87,7 +88,7 @@ def local_maxima(spark, sf_dir):
 
 
 def nms_peaks(spark, sf_dir):
-    return ops.suppress(_cells(spark, sf_dir), ["frame"], limit=20)
+    return ops.suppress(_cells(spark, sf_dir), ["frame"])
 
 
 def peak_boxes(spark, sf_dir):
@@ -113,7 +114,9 @@ def canvas_geometry(spark, sf_dir):
 
 
 def window_floor(spark, sf_dir):
-    return derived(spark, sf_dir).groupBy("recording").agg(F.max(ops.minimum_window(c("width"), c("height"))).alias("window"))
+    """Each recording's fitted box, drawn in frames 500 wide, and its smallest window at a capture width of 320."""
+    sizes = fitted_box(derived(spark, sf_dir), ["recording"]).select("recording", c("tile_width").alias("width"), c("tile_height").alias("height"), F.lit(500).alias("frame_width"))
+    return ops.window_floor(sizes, 320).select("recording", "width", "height", "window")
 
 
 def frame_sample(spark, sf_dir):
@@ -123,11 +126,11 @@ def frame_sample(spark, sf_dir):
 def chrome_cells(spark, sf_dir):
     rows = derived(spark, sf_dir)
     facings = rows.select("recording", "frame").distinct().withColumn("radians", c("frame") * 0.09)
-    return rounded(ops.chrome_cells(rows.select("recording", "frame", "left", "top"), facings), 6)
+    return rounded(ops.chrome_cells(rows.select("recording", "frame", "left", "top", "width", "height"), facings), 6)
 
 
 def _tracks(spark, sf_dir):
-    return derived(spark, sf_dir).withColumns({"recording": F.concat(F.lit("rec"), c("idx") % 40), "frame": c("frame")})
+    return derived(spark, sf_dir).withColumn("recording", F.concat(F.lit("rec"), F.expr("frame div 50"), F.lit("-"), c("idx") % 8))
 
 
 def despike(spark, sf_dir):
@@ -177,7 +180,7 @@ SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM b k WHERE k.idx % 9 = 0 AND k.fr
     "counts_above": "SELECT k AS step, (SELECT count(*) FROM orders WHERE o_orderkey * 37 % 101 >= k) AS n FROM range(101) r(k)",
     "score_histogram": f"WITH {B} SELECT idx % 2 = 0 AS on_object, least(floor(score * 40 + 1e-9)::BIGINT + 1, 40) AS bin, count(*) AS n FROM b GROUP BY ALL",
     "topk_per_frame": f"WITH {B} SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS place, score FROM b QUALIFY place <= 5",
-    "local_maxima": f"{_CELLS} SELECT * FROM cell c WHERE score >= 0.05 AND NOT EXISTS (SELECT 1 FROM cell d WHERE d.frame = c.frame AND abs(d.x - c.x) <= 1 AND abs(d.y - c.y) <= 1 AND d.score > c.score)",
+    "local_maxima": f"{_CELLS} SELECT * FROM cell c WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM cell d WHERE d.frame = c.frame AND abs(d.x - c.x) <= 1 AND abs(d.y - c.y) <= 1 AND d.score > c.score) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY score DESC, y, x) <= 100",
     "peak_boxes": f"{_CELLS} SELECT frame, x, y, greatest(x - 15, 0)::INTEGER AS \"left\", greatest(y - 5, 0)::INTEGER AS top, 31 AS width, 11 AS height FROM cell WHERE score >= 0.05",
     "rescaled_boxes": f'WITH {B}, f AS (SELECT *, 320 / frame_width::DOUBLE AS k FROM b) SELECT id, round_even("left" * k, 0)::INTEGER AS "left", round_even(top * k, 0)::INTEGER AS top, round_even(width * k, 0)::INTEGER AS width, round_even(height * k, 0)::INTEGER AS height FROM f',
     "tile_rectangles": f"""WITH {B}, q AS (SELECT *, round_even(width * 25 / 100.0::DOUBLE, 0)::INTEGER AS px, round_even(height * 25 / 100.0::DOUBLE, 0)::INTEGER AS py FROM b),
@@ -185,12 +188,14 @@ w AS (SELECT *, "left" - px >= 0 AND top - py >= 0 AND "left" + width + px <= fr
 SELECT id, ("left" - CASE WHEN big THEN px ELSE 0 END)::INTEGER AS tile_left, (top - CASE WHEN big THEN py ELSE 0 END)::INTEGER AS tile_top, (width + CASE WHEN big THEN 2 * px ELSE 0 END)::INTEGER AS tile_width, (height + CASE WHEN big THEN 2 * py ELSE 0 END)::INTEGER AS tile_height FROM w WHERE big OR bare""",
     "canvas_geometry": f"""WITH {B}, q AS (SELECT id, "left" AS l, top AS t, greatest("left" - 30, 0) AS x, greatest(top - 30, 0) AS y, least("left" + width + 30, frame_width) AS u, least(top + height + 30, frame_height) AS v FROM b)
 SELECT id, x AS src_left, y AS src_top, greatest(u - x, 0) AS src_width, greatest(v - y, 0) AS src_height, x - l + 30 AS dst_left, y - t + 30 AS dst_top FROM q""",
-    "window_floor": f"WITH {B} SELECT recording, max(ceil(ceil(greatest(width, height) / 2 / 0.8) / 8) * 8)::BIGINT AS \"window\" FROM b GROUP BY 1",
-    "frame_sample": "WITH f AS (SELECT DISTINCT printf('f%04d', o_orderkey % 100) AS frame FROM orders), r AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS k, count(*) OVER () AS n FROM f) SELECT frame FROM r WHERE k IN (SELECT i * n // 7 FROM range(7) t(i))",
-    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, "left" // 32 AS cx, top // 32 AS cy, degrees(frame * 0.09) - 360 * floor(degrees(frame * 0.09) / 360) AS d FROM b),
+    "window_floor": f"""WITH {B}, m AS (SELECT recording, round_even(trunc(median(width)) * (320 / 500::DOUBLE), 0) AS width, round_even(trunc(median(height)) * (320 / 500::DOUBLE), 0) AS height FROM b GROUP BY 1),
+w AS (SELECT *, ceil(greatest(width, height) / 2::DOUBLE / (1::DOUBLE - 2::DOUBLE * 0.4::DOUBLE))::BIGINT AS s FROM m)
+SELECT recording, width::INTEGER AS width, height::INTEGER AS height, s + CASE WHEN s % 4 = 0 THEN 0 ELSE 4 - s % 4 END AS "window" FROM w""",
+    "frame_sample": "WITH f AS (SELECT DISTINCT printf('f%04d', o_orderkey // 400) AS frame FROM orders), r AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS k, count(*) OVER () AS n FROM f) SELECT frame FROM r WHERE k IN (SELECT i * n // 7 FROM range(7) t(i))",
+    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, round_even(("left" + width / 2.0::DOUBLE) / 50, 0)::BIGINT AS cx, round_even((top + height / 2.0::DOUBLE) / 50, 0)::BIGINT AS cy, degrees(frame * 0.09) - 360 * floor(degrees(frame * 0.09) / 360) AS d FROM b),
 g AS (SELECT *, coalesce(lead(d) OVER w, min(d) OVER (PARTITION BY recording, cx, cy) + 360) - d AS gap FROM a WINDOW w AS (PARTITION BY recording, cx, cy ORDER BY d))
 SELECT recording, cx, cy, count(*) AS n, round(360 - max(gap), 6) AS span FROM g GROUP BY ALL HAVING count(*) >= 12 AND 360 - max(gap) > 90""",
-    "despike": f"""WITH {B}, p AS (SELECT 'rec' || (idx % 40) AS recording, frame, arg_max("left", id)::DOUBLE AS x, arg_max(top, id)::DOUBLE AS y FROM b GROUP BY ALL),
+    "despike": f"""WITH {B}, p AS (SELECT 'rec' || (frame // 50) || '-' || (idx % 8) AS recording, frame, arg_max("left", id)::DOUBLE AS x, arg_max(top, id)::DOUBLE AS y FROM b GROUP BY ALL),
 q AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY frame) AS k, count(*) OVER (PARTITION BY recording) AS n FROM p),
 m AS (SELECT a.recording, a.frame, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.n) AS n, list_sort(list(b.x)) AS xs, list_sort(list(b.y)) AS ys FROM q a LEFT JOIN q b ON a.recording = b.recording AND abs(a.k - b.k) BETWEEN 1 AND 4 GROUP BY a.recording, a.frame)
 SELECT recording, frame, x, y FROM m WHERE n < 9 OR sqrt((x - xs[len(xs) // 2 + 1]) ** 2 + (y - ys[len(ys) // 2 + 1]) ** 2) <= 120""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import assets, sets as ops
 from tallyforge.queries.boxes import B, derived
-from tallyforge.queries.common import c, orders, table
+from tallyforge.queries.common import c, orders, rounded, table
 
 TAG = "concat('rec', frame % 8, '_cnn-20240101-000000')"
 
@@ -213,7 +213,8 @@ def other_width(spark, sf_dir):
 
 
 def out_of_reach(spark, sf_dir):
-    return ops.out_of_reach(set_rows(spark, sf_dir), 70)
+    frames = derived(spark, sf_dir).select("frame", "frame_width", "frame_height").distinct()
+    return rounded(ops.out_of_reach(set_rows(spark, sf_dir).join(frames, "frame"), 150))
 
 
 def candidate_page(spark, sf_dir):
@@ -258,7 +259,8 @@ ORACLES = {
     "confirmed_frames": f"WITH {_S} SELECT recording, frame, count(*) FILTER (NOT negative) AS objects, count(*) FILTER (negative) AS ignored FROM st GROUP BY 1, 2 HAVING count(*) FILTER (NOT negative) > 0",
     "boxes_by_frame": f"WITH {_C} SELECT dataset, frame, (count(*) FILTER (NOT negative))::INTEGER AS boxes, (count(*) FILTER (negative))::INTEGER AS negatives, min(idx) FILTER (NOT negative) AS first FROM cand GROUP BY 1, 2",
     "other_width": f"WITH {B}, f AS (SELECT DISTINCT frame, frame_width FROM b) SELECT frame_width::BIGINT AS width, count(*) AS n, (SELECT count(*) FROM f) AS of FROM f WHERE frame_width <> 400 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
-    "out_of_reach": f"WITH {_S} SELECT recording, count(*) AS n, max(greatest(width, height))::INTEGER AS largest FROM st WHERE NOT negative AND greatest(width, height) > 70 GROUP BY 1",
+    "out_of_reach": f"""WITH {_S}, q AS (SELECT recording, negative, greatest(width, height) * (768 / greatest(400 + 100 * (frame % 3), 90)::DOUBLE) AS px FROM st)
+SELECT recording, count(*) AS n, round(max(px), 6) AS largest FROM q WHERE NOT negative AND px > 150 / 1.5::DOUBLE GROUP BY 1""",
     "candidate_page": f"WITH {_C} SELECT dataset, idx, keep, discard, dh::INTEGER AS height_delta FROM cand LEFT JOIN dec USING (idx) WHERE NOT coalesce(reviewed, FALSE) ORDER BY dataset, idx LIMIT 50 OFFSET 50",
     "opened_tiles": f"""WITH {_C}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY idx) - 1 AS k FROM cand WHERE NOT negative)
 SELECT dataset || '_k' || lpad(k::VARCHAR, greatest(5, length(k::VARCHAR))::INTEGER, '0') AS tile, dataset AS tag, idx, trunc(median(width) OVER (PARTITION BY dataset))::INTEGER AS tile_width, trunc(median(height) OVER (PARTITION BY dataset))::INTEGER AS tile_height FROM p""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate, features, forecast, models, profile, splits
 from tallyforge.plans import prepare
-from tallyforge.spec import Censor, Column, PrepSpec, SpecError, spec_from_dict
+from tallyforge.spec import Censor, Column, PrepSpec, SpecError, parse_spec
 
 DAY = dt.date(2023, 7, 3)
 SPEC = PrepSpec("series", (Column("day", "time"), Column("project", "dimension"), Column("orders", "measure", "last"), Column("units", "target")), step="week", horizon=8)
@@ -32,11 +32,11 @@ def sales(spark):
 def test_spec_refusals():
     for bad in (dict(mode="x"), dict(task="y"), dict(step="decade"), dict(horizon=0), dict(columns=[]), dict(odd=1)):
         with pytest.raises(SpecError):
-            spec_from_dict({"mode": "series", "columns": [dict(name="t", role="time"), dict(name="y", role="target")]} | bad)
+            parse_spec({"mode": "series", "columns": [dict(name="t", role="time"), dict(name="y", role="target")]} | bad)
     with pytest.raises(SpecError):
         Column("a", "target", "median")
-    assert SPEC.digest() == spec_from_dict({"mode": "series", "columns": list(SPEC.columns), "step": "week", "horizon": 8}).digest()
-    assert PrepSpec("row", (Column("a", "anchor"), Column("m", "measure", known=False), Column("n", "measure"), Column("y", "target"))).inputs() == ["n"]
+    assert SPEC.key() == parse_spec({"mode": "series", "columns": list(SPEC.columns), "step": "week", "horizon": 8}).key()
+    assert PrepSpec("row", (Column("a", "anchor"), Column("m", "measure", known=False), Column("n", "measure"), Column("y", "target"))).predictors() == ["n"]
 
 
 def test_panel_has_no_gaps_and_fills_by_rule(sales):

@@ -79,6 +79,8 @@ def test_merge_restates_sources_and_boxes(spark):
     old = spark.createDataFrame([("r", "f", 1, 1, 5, 5, "a", False, "s1"), ("r", "f", 2, 1, 5, 5, "b", False, "s2"), ("r", "g", 9, 9, 5, 5, "c", False, None), ("r", "g", 8, 8, 5, 5, None, True, "synthetic")], kind)
     fresh = spark.createDataFrame([("r", "f", 3, 1, 5, 5, "x", False, "s1"), ("r", "f", 2, 1, 5, 5, "y", False, "s3")], kind)
     assert sorted(r["label"] for r in sets.merge_sets(old, fresh).collect()) == ["c", "x", "y"]
+    nameless = fresh.withColumn("source", F.lit(None).cast("string"))
+    assert sorted(r["label"] for r in sets.merge_sets(old, nameless).collect()) == ["a", "x", "y"]
     with pytest.raises(sets.SetError):
         sets.refuse_mixed(spark.createDataFrame([("r", 10), ("r", 20)], "recording string, frame_width int"))
 
