@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
+import statistics
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -18,7 +20,7 @@ from tallyforge.plans.prepare import as_date, panel, prepare_rows, scaffold
 from tallyforge.spec import ANCHOR, LOWER, ROW, STEP, UNIT_DAYS, PrepSpec
 
 # The search's defaults.
-POPULATION, ELITE, PLATEAU, TOURNAMENT, HALVING_ROWS, SAMPLE_PERCENT = 16, 3, 5, 3, 50_000, 20
+POPULATION, ELITE, PLATEAU, TOURNAMENT, HALVING_ROWS, SAMPLE_PERCENT, RETRIES = 16, 3, 5, 3, 50_000, 20, 5
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,7 @@ def phase(ws: Workspace, recipe: Recipe, learn: tuple[str, ...], judged: str, pe
 class Entry:
     recipe: Recipe
     fitness: float
-    losses: DataFrame | None = None
+    losses: dict = field(default_factory=dict)  # each period's part of the fitness
     sampled: bool = False
 
     def rank(self):
@@ -121,16 +123,16 @@ class Entry:
 
 
 def score(ws: Workspace, recipe: Recipe, percent: int = 100) -> Entry:
-    """A recipe's fitness: its relative error on validation (share of wrong classes for a class target)."""
+    """A recipe's fitness: its relative error on validation (share of wrong classes for a class target), with each
+    period's part of it. One row a period of the validation span comes back."""
     try:
         judged = phase(ws, recipe, ("train",), "val", percent)
         if ws.spec.task == "classification":
-            value = judged.agg(F.avg(F.when(F.col("class") == F.col("actual"), 0.0).otherwise(1.0)).alias("e")).first()["e"]
-        else:
-            value = judged.agg(evaluate.wape(F.col("actual"), F.col("prediction")).alias("e")).first()["e"]
+            judged = judged.select("period", F.lit(1.0).alias("actual"), F.when(F.col("class") == F.col("actual"), 1.0).otherwise(0.0).alias("prediction"))
+        losses = {r["period"]: r["loss"] for r in evaluate.contributions(judged, F.col("period")).collect() if r["loss"] is not None}
     except models.FitError:
-        value = None
-    return Entry(recipe, float("inf") if value is None else float(value), sampled=percent < 100)
+        losses = {}
+    return Entry(recipe, sum(losses.values()) if losses else float("inf"), losses, sampled=percent < 100)
 
 
 @dataclass
@@ -138,7 +140,7 @@ class Budget:
     """Bounds of a search: generations without a gain, seconds, candidates at a time."""
 
     population: int = POPULATION
-    generations: int = 10
+    generations: int = 60
     plateau: int = PLATEAU
     seconds: float = 1200.0
     threads: int = 2
@@ -151,6 +153,19 @@ class Board:
     stopped: str = ""
 
 
+def gained(new: Entry, best: Entry | None) -> bool:
+    """Whether ``new`` is better than ``best`` by more than the noise of their losses, period by period.
+
+    The same rule as ``evaluate.significant_gain``, on the few periods that both entries carry.
+    """
+    if best is None or not math.isfinite(best.fitness):
+        return math.isfinite(new.fitness)
+    if new.fitness >= best.fitness or not new.losses or not best.losses:
+        return False
+    parts = [best.losses[p] - new.losses[p] for p in best.losses.keys() & new.losses.keys()]
+    return len(parts) < 2 or sum(parts) > statistics.stdev(parts) * len(parts) ** 0.5
+
+
 def _mutated(recipe: Recipe, families: list[str], objectives: list[str], rng: random.Random) -> Recipe:
     own = set(recipe.families) ^ {rng.choice(families)} or {rng.choice(families)}
     objective = rng.choice(objectives) if rng.random() < 0.2 else recipe.objective
@@ -191,13 +206,13 @@ def search(ws: Workspace, budget: Budget | None = None, warm: list[Recipe] = (),
         entries = sorted(scored(population, SAMPLE_PERCENT if halve else 100), key=Entry.rank)
         if halve:
             entries = sorted(scored([e.recipe for e in entries[: max(1, len(entries) // 3)]], 100), key=Entry.rank)
-        before = board.entries[0].fitness if board.entries else float("inf")
+        best = board.entries[0] if board.entries else None
         merged = {e.recipe.key(): e for e in [*board.entries, *entries]}
         board.entries = sorted(merged.values(), key=Entry.rank)[:25]
         board.generations += 1
         if on_event:
             on_event(board)
-        stale = 0 if board.entries[0].fitness < before else stale + 1
+        stale = 0 if gained(board.entries[0], best) else stale + 1
         for reason, hit in (("stopped", stop and stop()), ("plateau", stale >= budget.plateau), ("time", time.monotonic() - began > budget.seconds)):
             if hit:
                 board.stopped = reason
@@ -206,7 +221,12 @@ def search(ws: Workspace, budget: Budget | None = None, warm: list[Recipe] = (),
         children = list(elite)
         while len(children) < budget.population:
             a, b = (min(rng.sample(entries, min(TOURNAMENT, len(entries))), key=Entry.rank).recipe for _ in range(2))
-            children.append(_mutated(_crossed(a, b, rng), families, objectives, rng))
+            child = _mutated(_crossed(a, b, rng), families, objectives, rng)
+            for _ in range(RETRIES):  # a recipe that is there already teaches nothing
+                if child.key() not in {c.key() for c in children} and (child.key(), halve) not in known:
+                    break
+                child = _mutated(child, families, objectives, rng)
+            children.append(child)
         population = children
     board.stopped = "generations"
     return board

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("preparation", "evaluation", "profiles", "looks", "boxes", "sets", "fitting")
+MODULES = ("preparation", "evaluation", "profiles", "looks", "boxes", "sets", "files", "fitting")
 
 
 def queries() -> dict:

@@ -125,7 +125,7 @@ def frame_sample(spark, sf_dir):
 
 def chrome_cells(spark, sf_dir):
     rows = derived(spark, sf_dir)
-    facings = rows.select("recording", "frame").distinct().withColumn("radians", c("frame") * 0.09)
+    facings = rows.select("recording", "frame").distinct().withColumn("radians", c("frame") * 0.9)
     return rounded(ops.chrome_cells(rows.select("recording", "frame", "left", "top", "width", "height"), facings), 6)
 
 
@@ -192,7 +192,7 @@ SELECT id, x AS src_left, y AS src_top, greatest(u - x, 0) AS src_width, greates
 w AS (SELECT *, ceil(greatest(width, height) / 2::DOUBLE / (1::DOUBLE - 2::DOUBLE * 0.4::DOUBLE))::BIGINT AS s FROM m)
 SELECT recording, width::INTEGER AS width, height::INTEGER AS height, s + CASE WHEN s % 4 = 0 THEN 0 ELSE 4 - s % 4 END AS "window" FROM w""",
     "frame_sample": "WITH f AS (SELECT DISTINCT printf('f%04d', o_orderkey // 400) AS frame FROM orders), r AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS k, count(*) OVER () AS n FROM f) SELECT frame FROM r WHERE k IN (SELECT i * n // 7 FROM range(7) t(i))",
-    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, round_even(("left" + width / 2.0::DOUBLE) / 50, 0)::BIGINT AS cx, round_even((top + height / 2.0::DOUBLE) / 50, 0)::BIGINT AS cy, degrees(frame * 0.09) - 360 * floor(degrees(frame * 0.09) / 360) AS d FROM b),
+    "chrome_cells": f"""WITH {B}, a AS (SELECT recording, round_even(("left" + width / 2.0::DOUBLE) / 50, 0)::BIGINT AS cx, round_even((top + height / 2.0::DOUBLE) / 50, 0)::BIGINT AS cy, degrees(frame * 0.9) - 360 * floor(degrees(frame * 0.9) / 360) AS d FROM b),
 g AS (SELECT *, coalesce(lead(d) OVER w, min(d) OVER (PARTITION BY recording, cx, cy) + 360) - d AS gap FROM a WINDOW w AS (PARTITION BY recording, cx, cy ORDER BY d))
 SELECT recording, cx, cy, count(*) AS n, round(360 - max(gap), 6) AS span FROM g GROUP BY ALL HAVING count(*) >= 12 AND 360 - max(gap) > 90""",
     "despike": f"""WITH {B}, p AS (SELECT 'rec' || (frame // 50) || '-' || (idx % 8) AS recording, frame, arg_max("left", id)::DOUBLE AS x, arg_max(top, id)::DOUBLE AS y FROM b GROUP BY ALL),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import forecast, models
 from tallyforge.queries.common import CASES, SERIES, c, cases, orders, rounded, table
+from tallyforge.sources.shared import new_path
 from tallyforge.spec import Column, PrepSpec
 from tallyforge.streaming import judgements
 
@@ -16,7 +17,7 @@ FAMILIES = ("dim:o_orderpriority", "lag+0", "lag+1", "roll:4", "roll:13", "cal:m
 
 def fit_series(spark, sf_dir):
     """A frozen recipe over the monthly panel: the forecast of all buckets with bands."""
-    ws = forecast.series_workspace(orders(spark, sf_dir), replace(SERIES, horizon=3), "month", with_ewm=False)
+    ws = forecast.series_workspace(orders(spark, sf_dir), SERIES, "month")
     out = forecast.finish(ws, forecast.Recipe(FAMILIES, "squared", 3, 3))
     return rounded(out["forecast"], 2)
 
@@ -43,8 +44,8 @@ def fit_maps(spark, sf_dir):
 
 
 def search_recipes(spark, sf_dir):
-    """A small search over recipes: the leaderboard."""
-    ws = forecast.series_workspace(orders(spark, sf_dir), replace(SERIES, horizon=1), "month", with_ewm=False)
+    """A small search over recipes, one step ahead: the leaderboard of two generations of three."""
+    ws = forecast.series_workspace(orders(spark, sf_dir), replace(SERIES, horizon=1), "month")
     board = forecast.search(ws, forecast.Budget(population=3, generations=2, threads=2), seed=3)
     rows = [(e.recipe.key(), e.recipe.objective, list(e.recipe.families), float(e.fitness)) for e in board.entries]
     return spark.createDataFrame(rows, "recipe string, objective string, families array<string>, fitness double")
@@ -60,7 +61,7 @@ def stream_judgements(spark, sf_dir):
 
 
 def stream_rollup(spark, sf_dir):
-    """Events rolled up by month as a stream, with a watermark: closed steps only."""
+    """Orders rolled up by thirty days as a stream, with a watermark: closed steps only."""
     schema = orders(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/orders.parquet*").withColumn("o_orderdate", c("o_orderdate").cast("timestamp"))
     return rounded(_drained(spark, judgements.step_rollup(stream, "o_orderdate", "o_totalprice", ["o_orderpriority"], "30 days"), "append"), 2)
@@ -68,23 +69,21 @@ def stream_rollup(spark, sf_dir):
 
 def _drained(spark, stream, mode):
     """What a stream gives once it has read all there is, from a table in the shared folder."""
-    import tempfile
-    import uuid
+    path = new_path(spark, "stream")
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
-
-    def write(batch, epoch):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path + "/out")
+    def write(batch, epoch):  # a batch that comes again after a failure replaces itself
+        batch.write.mode("overwrite").parquet(path + ("/out" if mode == "complete" else f"/out/epoch={epoch}"))
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path + "/out")
+    return spark.read.schema(stream.schema).parquet(path + ("/out" if mode == "complete" else "/out/epoch=*"))
 
 
 NAMES = ("fit_series", "fit_rows", "fit_classes", "fit_maps", "search_recipes", "stream_judgements", "stream_rollup")
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLES = {
+    "stream_rollup": """WITH d AS (SELECT DATE '1970-01-01' + (30 * (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) // 30))::INTEGER AS step, o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS n FROM orders GROUP BY ALL)
+SELECT * FROM d WHERE step + 30 <= (SELECT max(o_orderdate)::DATE FROM orders) - 7""",
     "stream_judgements": """WITH x AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
 SELECT 't' || o_custkey AS tile, CASE WHEN o_orderkey % 5 = 0 THEN 'exclude' ELSE 'label' END AS action, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS label FROM x""",
 }

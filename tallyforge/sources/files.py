@@ -48,30 +48,41 @@ def encodings(spark: SparkSession, path: str, head_bytes: int = 1 << 16) -> Data
     return rows.mapInPandas(detect, "path string, encoding string, line string")
 
 
-def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited files with a header. Encoding and separator are found from the first file where not given.
-
-    cp1252, which Spark's reader does not take, is decoded in Arrow batches and parsed by ``from_csv``.
-    """
-    first = encodings(spark, path).orderBy("path").first()
-    kind, sep = resolve_encoding(b"", encoding) if encoding and encoding != "auto" else first["encoding"], separator or sniff_separator(first["line"])
-    if kind == "cp1252":
-        names = [n.strip().strip('"') for n in first["line"].split(sep)]
-        shape = schema or T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-        def lines(batches):
-            for batch in batches:
-                for content in batch["content"]:
-                    import pandas as pd
-
-                    yield pd.DataFrame({"line": bytes(content).decode("cp1252", errors="replace").splitlines()[1:]})
-
-        text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "line string").where("line <> ''")
-        return text.select(F.from_csv("line", F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)), {"sep": sep}).alias("r")).select("r.*")
-    reader = spark.read.option("header", True).option("sep", sep)
-    if kind.startswith("utf-16"):
-        reader = reader.option("encoding", "UTF-16").option("multiLine", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+#: What cp1252 has where ISO-8859-1 has control characters; the five places that it leaves free stay.
+_CP1252 = {b: bytes([b]).decode("cp1252", errors="ignore") for b in range(0x80, 0xA0)}
+_FROM, _TO = "".join(chr(b) for b, c in _CP1252.items() if c), "".join(_CP1252.values())
+
+
+def _read_kind(spark: SparkSession, paths: list[str], kind: str, sep: str, schema: T.StructType | None, breaks: bool) -> DataFrame:
+    """Files of one encoding and separator. cp1252, which Spark's reader does not take, differs from ISO-8859-1, which
+    it does, in characters that are put right afterwards."""
+    names = {"utf-16": "UTF-16", "cp1252": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8"}
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    reader = reader.option("encoding", names.get(kind, kind)).option("multiLine", breaks or kind.startswith("utf-16"))
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
+    if kind != "cp1252":
+        return rows
+    mended = [(F.translate(F.col(f"`{f.name}`"), _FROM, _TO) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(f.name.translate(str.maketrans(_FROM, _TO))) for f in rows.schema.fields]
+    return rows.select(*mended)
+
+
+def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, schema: T.StructType | None = None, breaks: bool = True) -> DataFrame:
+    """Delimited files with a header. Encoding and separator are found for each file where not given, from its first
+    bytes; files of several kinds are read by kind and put together by name.
+
+    Quoted fields may hold line breaks, so a file is one task; say ``breaks=False`` of files that have none, which
+    Spark then splits (all but UTF-16)."""
+    told = resolve_encoding(b"", encoding) if encoding and encoding != "auto" else None
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for row in encodings(spark, path).orderBy("path").collect():  # one short row per file, as the reader's own listing has
+        kinds.setdefault((told or row["encoding"], separator or sniff_separator(row["line"])), []).append(row["path"])
+    whole = None
+    for (kind, sep), paths in kinds.items():
+        part = _read_kind(spark, paths, kind, sep, schema, breaks)
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    if whole is None:
+        raise ValueError(f"no file at {path}")
+    return whole
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -120,10 +131,14 @@ def describe(rows: DataFrame) -> DataFrame:
     return rows.agg(F.array(*[facts(f) for f in rows.schema.fields]).alias("f")).select(F.inline("f"))
 
 
-def fingerprint(spark: SparkSession, path: str) -> str:
-    """A digest of what the files hold, from each file's own digest."""
-    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).orderBy("d")
-    return hashlib.sha256("".join(r["d"] for r in files.collect()).encode()).hexdigest()
+def fingerprint(spark: SparkSession, path: str, name_only: bool = True) -> str:
+    """A digest of the files below ``path``, taken from their names, lengths and times without reading them.
+
+    It is a sum of one number per file, so it does not depend on their order and no list of files is gathered.
+    """
+    facts = listing(spark, path).select(F.xxhash64(F.substring_index("path", "/", -1) if name_only else F.col("path"), "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    row = facts.agg(F.count("*").alias("n"), F.sum("h").alias("sum"), F.sum(F.pmod(F.col("h") * 31, F.lit(1000003))).alias("check")).first()
+    return hashlib.sha256(f"{row['n']} {row['sum']} {row['check']}".encode()).hexdigest()
 
 
 def prepared(spark: SparkSession, build, cache: str, key: str) -> DataFrame:
@@ -136,8 +151,17 @@ def prepared(spark: SparkSession, build, cache: str, key: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, skip_bad: bool = False) -> DataFrame:
-    """JSON lines with the file each came from; unreadable lines fail, or are left out with ``skip_bad``."""
+def read_lines(spark: SparkSession, path: str, schema: str, skip_bad: bool = False, places: bool = False) -> DataFrame:
+    """JSON lines with the file each came from; unreadable lines fail, or are left out with ``skip_bad``.
+
+    ``places`` adds ``place``: the line's number, from 0, among its file's lines. A file's lines are then numbered in
+    one task, so it is for candidate files, which are addressed by place, not for tables.
+    """
+    if places:
+        text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+        lines = text.select("file", F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("place", "value"))
+        rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE" if skip_bad else "FAILFAST"}).alias("r"), "file", "place")
+        return (rows.where("r IS NOT NULL") if skip_bad else rows).select("r.*", "file", "place")
     mode = "DROPMALFORMED" if skip_bad else "FAILFAST"
     return spark.read.schema(schema).option("mode", mode).json(path).withColumn("file", F.input_file_name())
 
@@ -150,13 +174,30 @@ def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """``file, key, label, excluded``: keyed JSON objects; a bare string is a label of the old form."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     pairs = text.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
     record = F.from_json("value", "label string, excluded boolean", {"mode": "PERMISSIVE"})
     old = ~F.trim("value").startswith("{")
     return pairs.select("file", "key", F.when(old, F.col("value")).otherwise(record["label"]).alias("label"), F.when(old, F.lit(False)).otherwise(F.coalesce(record["excluded"], F.lit(False))).alias("excluded"))
 
 
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """``file, idx, keep, discard, reviewed, rect, height_delta``: keyed JSON objects of judgements by candidate."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    record = "keep boolean, discard boolean, reviewed boolean, rect struct<left:int,top:int,width:int,height:int>, height_delta int"
+    pairs = text.select("file", F.explode(F.from_json("value", f"map<string,struct<{', '.join(p.replace(' ', ':', 1) for p in record.split(', '))}>>")).alias("key", "r"))
+    flag = lambda n: F.coalesce(F.col(f"r.{n}"), F.lit(False)).alias(n)
+    return pairs.select("file", F.col("key").cast("long").alias("idx"), flag("keep"), flag("discard"), flag("reviewed"), F.col("r.rect").alias("rect"), F.coalesce("r.height_delta", F.lit(0)).alias("height_delta"))
+
+
+def read_modes(spark: SparkSession, path: str) -> DataFrame:
+    """``file, frame, exhaustive``: keyed JSON of frames' modes, a bare truth value or an object with one."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    pairs = text.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("frame", "value"))
+    inner = F.from_json("value", "exhaustive boolean")["exhaustive"]
+    return pairs.select("file", "frame", F.when(F.trim("value").startswith("{"), F.coalesce(inner, F.lit(False))).otherwise(F.lower(F.trim("value")) == "true").alias("exhaustive"))
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """``file, source``: the sources that each set's meta file names, synthetic ones left out."""
     meta = spark.read.schema("sources array<string>").option("multiLine", True).json(path).withColumn("file", F.input_file_name())

@@ -24,6 +24,13 @@ def test_delimited_files(spark, tmp_path, encoding, sep):
     assert [(r["Region"], int(r["Quantity"])) for r in rows.orderBy("Quantity").collect()] == [("München", 5), ("Köln", 7)]
 
 
+def test_mixed_folder_and_quoted_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('Stadt;Note;Zahl\n"Köln €";"two\nlines";1\nx;a\x1cb;2\n'.encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("Stadt\tNote\tZahl\nMünchen\tplain\t3\n".encode("utf-16"))
+    rows = files.read_delimited(spark, str(tmp_path)).orderBy("Zahl").collect()
+    assert [(r["Stadt"], r["Note"], int(r["Zahl"])) for r in rows] == [("Köln €", "two\nlines", 1), ("x", "a\x1cb", 2), ("München", "plain", 3)]
+
+
 def test_number_formats(spark):
     rows = spark.createDataFrame([("1.234,50", "1,234.50", "12", "x", "1,5"), ("755,96", "2", "3.5", "1", "1,234"), (None, "", None, None, None)], "a string, b string, c string, d string, e string")
     assert {r["column"]: r["format"] for r in files.number_formats(rows).collect()} == {"a": "decimal_comma", "b": "thousands_comma", "c": None, "d": None, "e": "decimal_comma"}
@@ -46,7 +53,7 @@ def test_json_and_lines(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
     assert files.read_lines(spark, str(tmp_path / "bad.jsonl"), "a int", skip_bad=True).count() == 2
     assert files.bad_lines(spark, str(tmp_path / "bad.jsonl"), "a int").first()["bad"] == 1
-    (tmp_path / "pool.json").write_text(json.dumps({"t1": "old", "t2": {"label": "new", "excluded": False}, "t3": {"excluded": True}}))
+    (tmp_path / "pool.json").write_text(json.dumps({"t1": "old", "t2": {"label": "new", "excluded": False}, "t3": {"excluded": True}}, indent=2))
     rows = {r["key"]: (r["label"], r["excluded"]) for r in files.read_keyed(spark, str(tmp_path / "pool.json")).collect()}
     assert rows == {"t1": ("old", False), "t2": ("new", False), "t3": (None, True)}
     (tmp_path / "maps.jsonl").write_text('{"x": 1}\n{"features": {"x": 2, "y": 3}}\n')
