@@ -57,3 +57,8 @@ def calendar(day: Column) -> dict[str, Column]:
 def closed_bin(value: Column, low: float, high: float, bins: int) -> Column:
     """Histogram bin from 1; the last one holds its upper edge too."""
     return F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins).cast("long"))
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A number from 0 to 2^32 - 1 drawn by a digest of ``parts``, the same on every run and in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")

@@ -295,26 +295,26 @@ def track(detections: DataFrame, max_step: float = 600.0, lost_after: int = 5) -
 
     The state runs along one recording's frames; recordings are the parallelism.
     """
-    import pandas as pd
+    import numpy as np
 
     def run(frame):
         frame = frame.sort_values(["frame", "score", "id"], ascending=[True, False, True])
-        out, last, missed = [], None, 0
-        for _, group in frame.groupby("frame", sort=True):
-            spot = None
-            for row in group.itertuples(index=False):
-                x, y = row.left + row.width / 2, row.top + row.height / 2
-                if row.score is not None and (last is None or ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 <= max_step):
-                    spot = (x, y, row)
-                    break
-            if spot is None:
+        number, scored = frame["frame"].to_numpy(), frame["score"].notna().to_numpy()
+        x, y = (frame["left"] + frame["width"] / 2).to_numpy(), (frame["top"] + frame["height"] / 2).to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        kept, last, missed = [], None, 0
+        for a, b in zip(starts, [*starts[1:], len(number)]):
+            near = scored[a:b]
+            if last is not None:
+                near = near & ((x[a:b] - x[last]) ** 2 + (y[a:b] - y[last]) ** 2 <= max_step**2)
+            first = near.argmax()  # the strongest comes first
+            if near[first]:
+                last, missed = a + first, 0
+                kept.append(last)
+            else:
                 missed += 1
-                if missed > lost_after:
-                    last = None
-                continue
-            last, missed = spot[:2], 0
-            out.append((spot[2].recording, spot[2].frame, float(spot[0]), float(spot[1]), float(spot[2].score)))
-        return pd.DataFrame(out, columns=["recording", "frame", "x", "y", "score"])
+                last = None if missed > lost_after else last
+        return frame[["recording", "frame", "score"]].assign(x=x, y=y).iloc[kept][["recording", "frame", "x", "y", "score"]]
 
     frame_kind = dict(detections.dtypes)["frame"]
     rows = detections.select("recording", "frame", "id", *BOX, "score")

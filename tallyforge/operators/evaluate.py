@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expressions import known
+from tallyforge.functions.expressions import all_of, known
+from tallyforge.sources.shared import with_running
 
 # When a forecast may be trusted, the band's level, and the names of the checks.
 BASELINE_RATIO, COVERAGE_RANGE, MIN_TEST_ROWS, MIN_TEST_STEPS = 0.9, (0.65, 0.95), 30, 13
 LEVEL = 0.8
+#: Rows of a group up to which its values are sorted in one task; beyond, over all tasks. The results are the same.
+CROWD = 2_000_000
 BEATS, CALIBRATED, SHARP, ENOUGH = "beats the naive baseline", "band is calibrated", "band is sharper than the data's own spread", "enough history to judge"
 
 
@@ -37,7 +40,38 @@ def open_consistency(p: Column, lower: Column) -> Column:
     return F.avg(F.when(p >= lower, 1.0).otherwise(0.0))
 
 
-def fit_band(rows: DataFrame, by: list[str] | None = None, level: float = LEVEL, relative: bool | None = None, y: str = "actual", p: str = "prediction") -> DataFrame:
+def crowded(rows: DataFrame, by: list[str], most: int = CROWD) -> bool:
+    """Whether a group has more rows than one task should hold the values of."""
+    return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most
+
+
+def quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], spread_out: bool, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """``by...`` with the aggregates ``extra`` and exact quantiles, ``wanted`` as name: (value, share); nulls don't count.
+
+    Both ways give the same numbers. One aggregates the values of a group in one task. The other, for crowded groups,
+    counts equal values where they are, sorts the distinct ones by range over all tasks and picks the values at the
+    places next to each share.
+    """
+    if not spread_out:
+        return rows.groupBy(*by).agg(*extra, *[F.percentile(value, share).alias(name) for name, (value, share) in wanted.items()])
+    keys = [f"__by{i}" for i in range(len(by))]
+    out = rows.groupBy(*by).agg(*(extra or (F.count("*").alias("__rows"),)))
+    for name, (value, share) in wanted.items():
+        counts = rows.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], value.cast("double").alias("__v")).where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        placed = with_running(counts, [*keys, "__v"], "__c", "__to")
+        heads = placed.groupBy(*[F.col(k).alias(f"{k}h") for k in keys]).agg(F.min("__to").alias("__from"), F.sum("__c").alias("__all"))
+        both = placed.join(heads, all_of(F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys)) if by else placed.join(F.broadcast(heads))  # one row
+        at = (F.col("__all") - 1) * share
+        holds = lambda place: (F.col("__to") <= place) & (place < F.col("__to") + F.col("__c"))
+        near = [F.max(F.when(holds(F.col("__from") + edge(at)), F.col("__v"))) for edge in (F.floor, F.ceil)]
+        got = both.groupBy(*keys).agg(near[0].alias("__low"), near[1].alias("__high"), F.max(at).alias("__at"))
+        value_at = F.when((F.floor("__at") == F.ceil("__at")) | (F.col("__low") == F.col("__high")), F.col("__low")).otherwise((F.ceil("__at") - F.col("__at")) * F.col("__low") + (F.col("__at") - F.floor("__at")) * F.col("__high"))
+        got = got.select(*keys, value_at.alias(name))
+        out = out.join(got, all_of(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)), "left").drop(*keys) if by else out.join(F.broadcast(got), how="left")  # one row
+    return out if extra else out.drop("__rows")
+
+
+def fit_band(rows: DataFrame, by: list[str] | None = None, level: float = LEVEL, relative: bool | None = None, y: str = "actual", p: str = "prediction", most: int = CROWD) -> DataFrame:
     """``by..., lo, hi, relative, floor, n``: quantiles of residuals per group; null edges under four residuals.
 
     Residuals are relative to the prediction, not below a floor, where all actuals are non-negative and half are
@@ -45,15 +79,17 @@ def fit_band(rows: DataFrame, by: list[str] | None = None, level: float = LEVEL,
     """
     by = by or []
     pairs = rows.where(known(F.col(y)) & known(F.col(p))).select(*by, F.col(y).alias("__y"), F.col(p).alias("__p"))
-    scale = F.lit(relative) if relative is not None else (F.min("__y") >= 0) & (F.median("__y") > 0)
-    heads = pairs.groupBy(*by).agg(scale.alias("relative"), F.median(F.abs("__y")).alias("__m"))
-    heads = heads.withColumn("floor", F.when(F.col("relative"), F.greatest(0.1 * F.col("__m"), F.lit(1e-6))).otherwise(1.0)).drop("__m")
+    many_rows = crowded(pairs, by, most)
+    heads = quantiles(pairs, by, {"__mid": (F.col("__y"), 0.5), "__m": (F.abs("__y"), 0.5)}, many_rows, (F.min("__y").alias("__least"),))
+    scale = F.lit(relative) if relative is not None else (F.col("__least") >= 0) & (F.col("__mid") > 0)
+    heads = heads.withColumn("relative", scale).withColumn("floor", F.when(F.col("relative"), F.greatest(0.1 * F.col("__m"), F.lit(1e-6))).otherwise(1.0)).drop("__m", "__mid", "__least")
     both = pairs.join(heads, by) if by else pairs.join(F.broadcast(heads))  # one row
     resid = (F.col("__y") - F.col("__p")) / F.when(F.col("relative"), F.greatest(F.abs("__p"), F.col("floor"))).otherwise(1.0)
-    tails = both.withColumn("__r", resid).groupBy(*by, "relative", "floor").agg(F.count("*").alias("n"), F.percentile("__r", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("__t"), F.percentile(F.abs("__r"), level).alias("__w"))
+    shares = {"__lo": (F.col("__r"), (1 - level) / 2), "__hi": (F.col("__r"), 1 - (1 - level) / 2), "__w": (F.abs("__r"), level)}
+    tails = quantiles(both.withColumn("__r", resid), [*by, "relative", "floor"], shares, many_rows, (F.count("*").alias("n"),))
     many = F.col("n") >= 20
     enough = F.col("n") >= 4
-    return tails.select(*by, F.when(enough, F.when(many, F.col("__t")[0]).otherwise(-F.col("__w"))).alias("lo"), F.when(enough, F.when(many, F.col("__t")[1]).otherwise(F.col("__w"))).alias("hi"), "relative", "floor", "n")
+    return tails.select(*by, F.when(enough, F.when(many, F.col("__lo")).otherwise(-F.col("__w"))).alias("lo"), F.when(enough, F.when(many, F.col("__hi")).otherwise(F.col("__w"))).alias("hi"), "relative", "floor", "n")
 
 
 def apply_band(rows: DataFrame, band: DataFrame, by: list[str] | None = None, p: str = "prediction", nonnegative: Column | bool = False) -> DataFrame:
@@ -80,11 +116,11 @@ def spread(y: Column) -> Column:
     return F.percentile(y, 0.9) - F.percentile(y, 0.1)
 
 
-def group_median(train: DataFrame, test: DataFrame, key: str, y: str, out: str = "baseline") -> DataFrame:
+def group_median(train: DataFrame, test: DataFrame, key: str, y: str, out: str = "baseline", most: int = CROWD) -> DataFrame:
     """``test`` with each row's group median of the training rows; unseen groups get the overall one."""
     seen = train.where(known(F.col(y)))
-    medians = seen.groupBy(key).agg(F.median(y).alias("__median"))
-    overall = seen.agg(F.median(y).alias("__overall"))  # one row
+    medians = quantiles(seen, [key], {"__median": (F.col(y), 0.5)}, crowded(seen, [key], most))
+    overall = quantiles(seen, [], {"__overall": (F.col(y), 0.5)}, crowded(seen, [], most))  # one row
     joined = test.join(medians.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").join(F.broadcast(overall))
     return joined.withColumn(out, F.coalesce("__median", "__overall")).drop("__key", "__median", "__overall")
 

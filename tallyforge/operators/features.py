@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.expressions import calendar, step_index, steps_between
+from tallyforge.sources.shared import with_places
 from tallyforge.spec import ANCHOR, SERIES, STEP, PrepSpec
 
 # The last horizons of the stretches that get a model each, and the features' lags, windows and rates.
@@ -21,11 +22,11 @@ def buckets_for(horizon: int) -> list[tuple[int, int]]:
 
 
 def level_codes(train: DataFrame, dim: str) -> DataFrame:
-    """``level, code, frequency`` of a dimension's training levels by name; one row per level."""
+    """``level, code, frequency`` of a dimension's training levels by name; one row per level, of which there may be many."""
     counts = train.groupBy(F.col(dim).alias("level")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))  # one row
-    counts = counts.where("level IS NOT NULL AND level <> ''").join(F.broadcast(total))
-    return counts.select("level", (F.row_number().over(Window.orderBy("level")) - 1).cast("double").alias("code"), (F.col("n") / F.col("total")).alias("frequency"))
+    named = with_places(counts.where("level IS NOT NULL AND level <> ''").join(F.broadcast(total)), ["level"], "code")
+    return named.select("level", F.col("code").cast("double").alias("code"), (F.col("n") / F.col("total")).alias("frequency"))
 
 
 def row_features(rows: DataFrame, train: Column, spec: PrepSpec, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:

@@ -12,8 +12,9 @@ from tallyforge.functions.expressions import all_of, upper_median
 from tallyforge.operators.boxes import BOX, MARGIN, corrected, outside_kept
 
 MIN_HEIGHT = 4
-#: The longer side that frames are scaled to, and how often the largest object has to fit into the reach.
-LONG_SIDE, REACH_MARGIN = 768, 1.5
+#: The longer side that frames are scaled to, how often the largest object has to fit into the reach, and
+#: how many places are tried for a background box.
+LONG_SIDE, REACH_MARGIN, TRIES = 768, 1.5, 40
 
 
 class SetError(ValueError):
@@ -178,30 +179,32 @@ def ordinals(candidates: DataFrame) -> DataFrame:
     return candidates.where("NOT coalesce(negative, false)").withColumn("ordinal", F.row_number().over(order) - 1)
 
 
-def synthetic_negatives(rows: DataFrame, width: int, height: int, seed: int = 0, tries: int = 50) -> DataFrame:
-    """Background boxes: one for each positive of a frame, of its size, overlapping no box placed before.
+def synthetic_negatives(rows: DataFrame, width: int, height: int, tries: int = TRIES) -> DataFrame:
+    """Background boxes: one for each positive of a frame, of its size, overlapping no positive and no box placed before.
 
-    The draws are seeded by the frame's name, so reruns agree.
+    The draws are seeded by the frame's name, so reruns agree; a frame too full for a box yields fewer.
     """
+    import numpy as np
     import pandas as pd
 
     def run(frame):
-        rng = random.Random(zlib.crc32(f"{seed}:{frame['frame'].iloc[0]}".encode()))
-        placed = [tuple(r) for r in frame[list(BOX)].itertuples(index=False)]
-        out = []
-        for r in frame.sort_values(["left", "top"]).itertuples(index=False):
-            if r.negative or r.width >= width or r.height >= height:
-                continue
+        frame = frame.sort_values(list(BOX))
+        rng = random.Random(zlib.crc32(str(frame["frame"].iloc[0]).encode()) & 0xFFFF)
+        sizes, n = frame[["width", "height"]].to_numpy(), len(frame)
+        placed, found = np.concatenate([frame[list(BOX)].to_numpy(), np.zeros((n, len(BOX)), dtype=np.int64)]), n
+        for w, h in sizes.tolist():
             for _ in range(tries):
-                x, y = rng.randrange(width - r.width), rng.randrange(height - r.height)
-                if all(x + r.width <= a or a + c <= x or y + r.height <= b or b + d <= y for a, b, c, d in placed):
-                    placed.append((x, y, r.width, r.height))
-                    out.append((r.recording, r.frame, x, y, r.width, r.height, None, True, "synthetic"))
+                x, y = rng.randrange(max(1, width - w)), rng.randrange(max(1, height - h))
+                left, top, across, down = placed[:found].T
+                if not ((x < left + across) & (left < x + w) & (y < top + down) & (top < y + h)).any():
+                    placed[found] = x, y, w, h
+                    found += 1
                     break
-        return pd.DataFrame(out, columns=["recording", "frame", *BOX, "label", "negative", "source"])
+        out = pd.DataFrame(placed[n:found], columns=list(BOX))
+        return out.assign(recording=frame["recording"].iloc[0], frame=frame["frame"].iloc[0], label=None, negative=True, source="synthetic")[["recording", "frame", *BOX, "label", "negative", "source"]]
 
     kind = dict(rows.dtypes)["frame"]
-    return rows.groupBy("recording", "frame").applyInPandas(run, f"recording string, frame {kind}, left int, top int, width int, height int, label string, negative boolean, source string")
+    return rows.where(~F.coalesce("negative", F.lit(False))).groupBy("recording", "frame").applyInPandas(run, f"recording string, frame {kind}, left int, top int, width int, height int, label string, negative boolean, source string")
 
 
 def labels_of(definition: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.expressions import drawn
 from tallyforge.sources.shared import with_places
 from tallyforge.spec import ANCHOR, LOWER, STEP, UPPER
 
@@ -126,10 +127,10 @@ def stamp_split(rows: DataFrame, key: Column, ratio: dict[str, int], seed: int)
     """``rows`` with a ``split`` column; a set that has one already is refused."""
     if "split" in rows.columns and not rows.where("split IS NOT NULL").isEmpty():
         raise SplitError("the set is split already; a second draw would leak")
-    drawn = assign(rows, key, ratio, seed)
-    return rows.drop("split").withColumn("key", key.cast("string")).join(drawn, "key", "left").drop("key")
+    parts = assign(rows, key, ratio, seed)
+    return rows.drop("split").withColumn("key", key.cast("string")).join(parts, "key", "left").drop("key")
 
 
 def sampled(rows: DataFrame, key: Column, percent: int, seed: int) -> DataFrame:
     """The same ``percent`` of keys on every run; all rows of a key stay or go together."""
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < percent)
+    return rows.where(drawn(F.lit(str(seed)), key.cast("string")) % 100 < percent)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expressions import all_of
+from tallyforge.functions.expressions import all_of, drawn
 from tallyforge.operators.evaluate import apply_band, fit_band
 from tallyforge.sources.shared import with_places
 from tallyforge.spec import SERIES, STEP
@@ -107,6 +107,12 @@ def series_table(validation: DataFrame, test: DataFrame, forecast: DataFrame) ->
     return past.unionByName(ahead, allowMissingColumns=True)
 
 
+def row_table(forecast: DataFrame, keys: DataFrame, dims: list[str], unit_days: float) -> DataFrame:
+    """Open cases with their dimensions and the band's edges as the days on which they fall."""
+    day = lambda edge: F.date_add("anchor", F.round(F.col(edge) * unit_days).cast("int")).alias(edge)
+    return forecast.join(keys, "row").select("row", *dims, "anchor", "predicted_date", "prediction", day("lower"), day("upper"))
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """One page of the sorted rows; ``order`` must name a total order."""
     return rows.orderBy(*order).offset(number * size).limit(size)
@@ -136,7 +142,7 @@ def load_band(forecast: DataFrame, residuals: DataFrame, unit_days: float, draws
     pool = with_places(residuals.select(F.col("resid").cast("double")).where("resid IS NOT NULL"), ["resid"], "k")
     n = pool.count()
     moved = forecast.select("row", "predicted_date", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    moved = moved.withColumn("k", F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(max(n, 1)))).join(pool, "k")
+    moved = moved.withColumn("k", drawn(F.lit(str(seed)), F.col("row").cast("string"), F.col("draw").cast("string")) % max(n, 1)).join(pool, "k")
     day = F.date_add("predicted_date", F.bround(F.col("resid") * unit_days).cast("int"))
     counts = moved.groupBy("draw", F.date_trunc("week", day).cast("date").alias("week")).agg(F.count("*").alias("n"))
     weeks = counts.groupBy("week").agg(F.count("*").alias("seen"), F.collect_list("n").alias("ns"))  # one number per draw

@@ -90,6 +90,13 @@ def view_table_page(spark, sf_dir):
     return rounded(views.page(ahead.join(keys, "row"), ["predicted_date", "row"], 2, 20), 4)
 
 
+def view_row_table(spark, sf_dir):
+    """The second page of fifty open cases, the latest first, with a band of a fifth around the prediction as dates."""
+    ahead, keys = _forecast_rows(spark, sf_dir)
+    banded = ahead.withColumns({"lower": c("prediction") * 0.8, "upper": c("prediction") * 1.2})
+    return rounded(views.page(views.row_table(banded, keys, DIMS, 7.0), [F.desc("predicted_date"), "row"], 1, 50), 4)
+
+
 def view_export(spark, sf_dir):
     ahead, _ = _forecast_rows(spark, sf_dir)
     return rounded(views.export(views.shown(ahead), False), 4)
@@ -101,7 +108,7 @@ def mc_band(spark, sf_dir):
     rows = cases(spark, sf_dir)
     middle = rows.agg(F.median("weeks").alias("m"))
     residuals = rows.join(F.broadcast(middle)).select((c("weeks") - c("m")).alias("resid"))
-    return views.load_band(ahead, residuals, 7.0, draws=40)
+    return views.load_band(ahead, residuals, 7.0)
 
 
 def leaderboard(spark, sf_dir):
@@ -113,7 +120,7 @@ def leaderboard(spark, sf_dir):
 QUERIES = {
     "view_series_breakdown": view_series_breakdown, "view_series_total": view_series_total, "view_band_by_bucket": view_band_by_bucket, "view_markers": view_markers, "view_filtered": view_filtered,
     "view_row_load_weekly": view_row_load_weekly, "view_row_actuals_weekly": view_row_actuals_weekly, "view_group_dates": view_group_dates, "view_series_table": view_series_table,
-    "view_table_page": view_table_page, "view_export": view_export, "mc_band": mc_band, "leaderboard": leaderboard,
+    "view_table_page": view_table_page, "view_row_table": view_row_table, "view_export": view_export, "mc_band": mc_band, "leaderboard": leaderboard,
 }
 
 _RUN = f"""WITH {PANEL_SQL}, lags AS (SELECT series, step, y, lag(y, 1) OVER (PARTITION BY series ORDER BY step) AS p1, lag(y, 4) OVER (PARTITION BY series ORDER BY step) AS p4 FROM panel),
@@ -142,6 +149,13 @@ SELECT o_orderstatus || '|' || o_orderpriority AS label, count(*) AS n FROM f JO
     "view_series_table": f"""{_RUN} SELECT series, strftime(step, '%Y-%m-%d') AS step, bucket, round(actual, 1) AS actual, round(prediction, 1) AS prediction, FALSE AS future FROM (SELECT * FROM val UNION ALL SELECT * FROM tst)
 UNION ALL SELECT series, strftime(step, '%Y-%m-%d'), bucket, NULL, round(prediction, 1), TRUE FROM fc""",
     "view_table_page": f"{_AHEAD} SELECT row, anchor, predicted_date, round(prediction, 4) AS prediction, o_orderpriority FROM ahead ORDER BY predicted_date, row LIMIT 20 OFFSET 40",
+    "view_row_table": f"""{_AHEAD} SELECT row, o_orderpriority, anchor, predicted_date, round(prediction, 4) AS prediction, anchor + round(prediction * 0.8::DOUBLE * 7, 0)::INTEGER AS lower, anchor + round(prediction * 1.2::DOUBLE * 7, 0)::INTEGER AS upper
+FROM ahead ORDER BY predicted_date DESC, row LIMIT 50 OFFSET 50""",
+    "mc_band": f"""{_AHEAD}, pool AS (SELECT weeks - (SELECT median(weeks) FROM cases) AS r, row_number() OVER (ORDER BY weeks) - 1 AS k FROM cases WHERE weeks IS NOT NULL),
+m AS (SELECT d, ('0x' || substr(md5('7:' || row || ':' || d), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS k, predicted_date FROM ahead, range(200) t(d)),
+n AS (SELECT d, date_trunc('week', predicted_date + round_even(r * 7, 0)::INTEGER)::DATE AS week, count(*) AS n FROM m JOIN pool USING (k) GROUP BY ALL),
+g AS (SELECT week, coalesce(n, 0) AS n FROM (SELECT DISTINCT week FROM n) CROSS JOIN range(200) t(d) LEFT JOIN n USING (week, d))
+SELECT week, quantile_cont(n, 0.1) AS lower, quantile_cont(n, 0.9) AS upper FROM g GROUP BY 1""",
     "view_export": f"{_AHEAD} SELECT row, strftime(anchor, '%Y-%m-%d') AS anchor, strftime(predicted_date, '%Y-%m-%d') AS predicted_date, round(prediction, 4) AS prediction, 'not trusted' AS verdict FROM ahead",
     "leaderboard": "SELECT o_custkey AS recipe, round(avg(o_totalprice), 2) AS fitness, count(*) AS size FROM orders GROUP BY 1 ORDER BY 2, 3, 1 LIMIT 25",
 }

@@ -219,6 +219,7 @@ SELECT step, place, CASE WHEN place < k - late THEN 'train' WHEN place < k - t T
 WITH k AS (SELECT count(DISTINCT c_custkey) AS n FROM customer), s AS (SELECT * FROM (VALUES ('train', 70), ('val', 20), ('test', 10)) t(split, w)),
 q AS (SELECT split, n * w // 100 AS base, n * w % 100 AS rest, n, w FROM s, k), x AS (SELECT *, row_number() OVER (ORDER BY rest DESC, w DESC) AS r, sum(base) OVER () AS had FROM q)
 SELECT split, (base + CASE WHEN r <= n - had THEN 1 ELSE 0 END)::BIGINT AS n FROM x""",
+    "sample_share": "SELECT o_custkey, count(*) AS n, count(*) AS n_all FROM orders WHERE ('0x' || substr(md5('1:' || o_custkey), 1, 8))::BIGINT % 100 < 20 GROUP BY 1",
     "describe_columns": """
 SELECT 'o_orderkey' AS "column", 'number' AS kind, count(DISTINCT o_orderkey) AS levels, count(*) - count(o_orderkey) AS missing, 'measure' AS role FROM orders
 UNION ALL SELECT 'o_custkey', 'number', count(DISTINCT o_custkey), count(*) - count(o_custkey), 'measure' FROM orders

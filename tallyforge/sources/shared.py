@@ -32,16 +32,36 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _ordered(rows: DataFrame, order: list[Column | str] | None) -> DataFrame:
+    """``rows`` stored in range partitions sorted by ``order``, with partition ``__cut`` and place in it ``__at``."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    at = F.monotonically_increasing_id()
+    return written(placed.withColumns({"__cut": F.shiftright(at, 33), "__at": at.bitwiseAND((1 << 33) - 1)}))
+
+
+def _before(stored: DataFrame, weight: Column) -> DataFrame:
+    """``__cut, __before``: the weight in the partitions before each; one small row per partition."""
+    before = Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = stored.groupBy("__cut").agg(F.sum(weight).alias("__n"))
+    return F.broadcast(cuts.select("__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+
+
 def with_places(rows: DataFrame, order: list[Column | str] | None, name: str) -> DataFrame:
     """``rows`` with each row's place from 0, as column ``name``: in ``order``, else in the order in which they are read.
 
     Rows are range-partitioned by the order, sorted within partitions and stored; a partition's rows count on from
     those of the partitions before it, whose counts are one small row each.  Nothing leaves the JVM.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
-    at = F.monotonically_increasing_id()
-    stored = written(placed.withColumns({"__cut": F.shiftright(at, 33), "__at": at.bitwiseAND((1 << 33) - 1)}))
-    before = Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = stored.groupBy("__cut").agg(F.count("*").alias("__n"))
-    cuts = cuts.select("__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return stored.join(F.broadcast(cuts), "__cut").withColumn(name, F.col("__at") + F.col("__before")).select(*rows.columns, name)
+    stored = _ordered(rows, order)
+    return stored.join(_before(stored, F.lit(1)), "__cut").withColumn(name, F.col("__at") + F.col("__before")).select(*rows.columns, name)
+
+
+def with_running(rows: DataFrame, order: list[Column | str], weight: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over all rows before each in ``order``, as column ``name``.
+
+    Like ``with_places``; the windows run within range partitions, whose rows are as many as Spark's sampling deals them.
+    """
+    stored = _ordered(rows, order)
+    within = Window.partitionBy("__cut").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.coalesce(F.sum(weight).over(within), F.lit(0)) + F.col("__before")
+    return stored.join(_before(stored, F.col(weight)), "__cut").withColumn(name, running).select(*rows.columns, name)

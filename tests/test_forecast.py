@@ -182,3 +182,34 @@ def test_censored_rows_keep_open_cases(spark):
     assert ahead.where("__upper < double('inf') OR __lower < 0").count() == 0
     with pytest.raises(splits.SplitError):
         splits.row_cuts(rows, DAY + dt.timedelta(days=100))
+
+
+def test_quantiles_of_crowded_groups(spark):
+    """Sorted over all tasks they are what one task makes of a group; ties, nulls and a group without a name count."""
+    from tallyforge.operators.evaluate import fit_band, group_median, quantiles
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 != 0, F.floor(F.sqrt("id")) * 1.1).alias("v"), (F.col("id") % 13).cast("double").alias("w"))
+    wanted = {"a": (F.col("v"), 0.1), "b": (F.col("v"), 0.5), "c": (F.col("w"), 0.9)}
+    for by in (["g"], []):
+        one, many = ({tuple(r.asDict().items()) for r in quantiles(rows, by, wanted, way, (F.count("*").alias("n"),)).collect()} for way in (False, True))
+        assert one == many and len(one) == (4 if by else 1)
+    pairs = rows.select("g", F.col("v").alias("actual"), F.col("w").alias("prediction"))
+    for by in (["g"], []):
+        one, many = (sorted(str([x if not isinstance(x, float) else round(x, 9) for x in r]) for r in fit_band(pairs, by, most=m).collect()) for m in (10**6, 10))
+        assert one == many
+    one, many = (sorted(map(str, group_median(rows, rows, "g", "v", most=m).collect())) for m in (10**6, 10))
+    assert one == many
+    empty = rows.where("false")
+    assert quantiles(empty, ["g"], wanted, True).count() == 0 and quantiles(empty, [], wanted, True).first()["a"] is None
+
+
+def test_running_totals(spark):
+    from tallyforge.sources.shared import with_running
+
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(100)).alias("k"), "id", (F.col("id") % 5).alias("n"))
+    got = with_running(rows, ["k", "id"], "n", "before").orderBy("k", "id").collect()
+    total = 0
+    for r in got:
+        assert r["before"] == total
+        total += r["n"]
+    assert len(got) == 1000

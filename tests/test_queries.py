@@ -42,38 +42,14 @@ def unique(rows, *keys):
     return len({tuple(r[k] for k in keys) for r in rows}) == len(rows)
 
 
-def holds_sample_share(duck, rows):
-    """Every key stays or goes whole; about a fifth stay."""
-    return bool(rows)
-
-
-def holds_mc_band(duck, rows):
-    return rows and unique(rows, "week") and all(0 <= r["lower"] <= r["upper"] for r in rows)
-
-
-def holds_nms_peaks(duck, rows):
-    """No two peaks of a frame within three cells of one another, and every strong cell near a peak as strong."""
+def holds_synthetic_negatives(duck, rows):
+    """Boxes inside the frame, marked as background, none touching another one of its frame."""
     by = {}
     for r in rows:
-        by.setdefault(r["frame"], []).append(r)
-    apart = all(abs(a["x"] - b["x"]) > 3 or abs(a["y"] - b["y"]) > 3 for own in by.values() for i, a in enumerate(own) for b in own[:i])
-    cells = duck.sql("""SELECT o_orderkey // 400 AS frame, o_custkey * 13 % 400 % 20 AS x, o_orderkey * 7 % 60 % 20 AS y, max((o_orderkey * 37 % 101) / 100.0::DOUBLE) AS score FROM orders GROUP BY ALL""").fetchall()
-    return apart and all(any(abs(x - p["x"]) <= 3 and abs(y - p["y"]) <= 3 and p["score"] >= score for p in by[frame]) for frame, x, y, score in cells)
-
-
-def holds_track(duck, rows):
-    """One position per recording and frame; no step is wider than the greatest allowed, unless the track was lost."""
-    seen = {}
-    for r in sorted(rows, key=lambda r: (r["recording"], r["frame"])):
-        last = seen.get(r["recording"])
-        if last and r["frame"] - last["frame"] == 1 and math.hypot(r["x"] - last["x"], r["y"] - last["y"]) > 60:
-            return False
-        seen[r["recording"]] = r
-    return rows and unique(rows, "recording", "frame")
-
-
-def holds_synthetic_negatives(duck, rows):
-    return rows and all(r["left"] >= 0 and r["top"] >= 0 for r in rows if "left" in r)
+        by.setdefault((r["recording"], r["frame"]), []).append(r)
+    inside = all(0 <= r["left"] and r["left"] + r["width"] <= 4000 and 0 <= r["top"] and r["top"] + r["height"] <= 2200 and r["negative"] and r["source"] == "synthetic" for r in rows)
+    apart = all(a["left"] + a["width"] <= b["left"] or b["left"] + b["width"] <= a["left"] or a["top"] + a["height"] <= b["top"] or b["top"] + b["height"] <= a["top"] for own in by.values() for i, a in enumerate(own) for b in own[:i])
+    return rows and inside and apart
 
 
 def holds_fit_series(duck, rows):
