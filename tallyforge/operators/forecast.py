@@ -52,6 +52,11 @@ class Workspace:
     step: str | None = None
     cuts: object = None
 
+    def release(self) -> None:
+        """Gives the frames' memory back, once no table of this run is read any more."""
+        for frame in self.frames.values():
+            frame.unpersist()
+
 
 def row_workspace(source: DataFrame, spec: PrepSpec, as_of: str | None = None, **cut_weeks) -> Workspace:
     """Rows with features, splits and, per split, the bounds an export at its cut would have shown."""

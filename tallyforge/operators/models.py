@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from importlib import import_module
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -29,6 +30,7 @@ class Fitted:
     model: object
     features: list[str]
     classes: list[str] = field(default_factory=list)
+    backend: str = "tabular"
 
 
 def usable(rows: DataFrame, objective: str, y: str = "y") -> DataFrame:
@@ -93,28 +95,44 @@ def predicted_date(anchor, prediction, unit_days: float):
     return F.date_add(anchor, F.bround(prediction * unit_days).cast("int"))
 
 
+#: What is kept beside a saved model; one without a backend is of the first kind.
+META = "objective string, kind string, features array<string>, classes array<string>, backend string"
+
+
 def save(fitted: Fitted, path: str) -> None:
     fitted.model.write().overwrite().save(f"{path}/model")
     session = SparkSession.getActiveSession()
-    session.createDataFrame([(fitted.objective, type(fitted.model).__module__ + "." + type(fitted.model).__name__, fitted.features, fitted.classes)], "objective string, kind string, features array<string>, classes array<string>").write.mode("overwrite").json(f"{path}/meta")
+    session.createDataFrame([(fitted.objective, type(fitted.model).__module__ + "." + type(fitted.model).__name__, fitted.features, fitted.classes, fitted.backend)], META).write.mode("overwrite").json(f"{path}/meta")
 
 
 def load(path: str) -> Fitted:
-    meta = SparkSession.getActiveSession().read.json(f"{path}/meta").first()
+    meta = SparkSession.getActiveSession().read.schema(META).json(f"{path}/meta").first()
     module, _, name = meta["kind"].rpartition(".")
-    return Fitted(meta["objective"], getattr(import_module(module), name).load(f"{path}/model"), list(meta["features"]), list(meta["classes"] or []))
+    return Fitted(meta["objective"], getattr(import_module(module), name).load(f"{path}/model"), list(meta["features"]), list(meta["classes"] or []), meta["backend"] or "tabular")
+
+
+#: Estimators by name; each takes rows, an objective and the names of the features and gives a ``Fitted``.
+BACKENDS: dict[str, Callable[..., Fitted]] = {"tabular": fit_model}
+
+
+def add_backend(name: str, fit: Callable[..., Fitted]) -> None:
+    """Makes an estimator of the caller's known, or replaces one."""
+    BACKENDS[name] = fit
 
 
-#: Estimators for maps of features, by name; callers may add their own.
-BACKENDS = {"tabular": fit_model}
+def backend(name: str) -> Callable[..., Fitted]:
+    if name not in BACKENDS:
+        raise FitError(f"no estimator {name!r} among {sorted(BACKENDS)}")
+    return BACKENDS[name]
 
 
-def fit_maps(rows: DataFrame, label: str = "label", features: str = "features", backend: str = "tabular") -> Fitted:
+def fit_maps(rows: DataFrame, label: str = "label", features: str = "features", estimator: str = "tabular") -> Fitted:
     """A classifier over maps of features; a feature that a row lacks counts as 0."""
+    fit = backend(estimator)
     names = [r["k"] for r in rows.select(F.explode(F.map_keys(features)).alias("k")).distinct().orderBy("k").collect()]
     wide = rows.select(F.col(label).alias("y"), *[F.coalesce(F.element_at(features, F.lit(n)), F.lit(0.0)).alias(n) for n in names])
     several = rows.select(label).distinct().count() > 2
-    return BACKENDS[backend](wide, "softprob" if several else "logistic", names)
+    return replace(fit(wide, "softprob" if several else "logistic", names), backend=estimator)
 
 
 def predict_maps(fitted: Fitted, rows: DataFrame, features: str = "features") -> DataFrame:

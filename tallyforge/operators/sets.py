@@ -261,10 +261,12 @@ def out_of_reach(rows: DataFrame, reach: int, long_side: int = LONG_SIDE) -> Dat
     return rows.where(~F.coalesce("negative", F.lit(False)) & (far > reach / REACH_MARGIN)).groupBy("recording").agg(F.count("*").alias("n"), F.max(far).alias("largest"))
 
 
-def candidate_page(candidates: DataFrame, decisions: DataFrame, number: int, size: int, hide_done: bool = False) -> DataFrame:
-    """One page of the candidates still to review, with what was decided so far."""
+def candidate_page(candidates: DataFrame, decisions: DataFrame, number: int, size: int, hide_done: bool = False, guess: Column | None = None) -> DataFrame:
+    """One page of the candidates still to review, with what was decided so far; with ``guess``, an expression over
+    candidates, also the class that the reviewer is offered first."""
     rows = pending(candidates, decisions, hide_done).join(decisions.select("dataset", "idx", "keep", "discard", "height_delta"), ["dataset", "idx"], "left")
-    return rows.orderBy("dataset", "idx").offset(number * size).limit(size)
+    page = rows.orderBy("dataset", "idx").offset(number * size).limit(size)
+    return page if guess is None else page.withColumn("guess", guess)
 
 
 def opened(candidates: DataFrame) -> DataFrame:

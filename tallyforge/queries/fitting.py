@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tallyforge.operators import forecast, models
-from tallyforge.queries.common import CASES, SERIES, c, cases, orders, rounded, table
+from tallyforge.queries.common import CASES, CASES_SQL, SERIES, c, cases, orders, rounded, table
 from tallyforge.sources.shared import new_path
 from tallyforge.spec import Column, PrepSpec
 from tallyforge.streaming import judgements
@@ -51,6 +51,31 @@ def search_recipes(spark, sf_dir):
     return spark.createDataFrame(rows, "recipe string, objective string, families array<string>, fitness double")
 
 
+def fit_series_checked(spark, sf_dir):
+    """Each step ahead of each series, with whether its forecast is not below zero and its band in order."""
+    return fit_series(spark, sf_dir).select("series", "step", _sound((c("prediction") >= 0) & (c("lower") <= c("upper"))))
+
+
+def fit_rows_checked(spark, sf_dir):
+    """Each open case, with whether it is expected to wait, and to end no sooner than it began."""
+    return fit_rows(spark, sf_dir).select("row", "anchor", _sound((c("prediction") >= 0) & (c("predicted_date") >= c("anchor")) & (c("lower") <= c("upper"))))
+
+
+def fit_classes_checked(spark, sf_dir):
+    """Each order of the validation span, with whether it got a class that there is, at a chance that there can be."""
+    return fit_classes(spark, sf_dir).select("row", "actual", _sound(c("class").isin("F", "O", "P") & c("probability").between(0, 1)))
+
+
+def fit_maps_checked(spark, sf_dir):
+    """How many events were classified, and whether more than 95 % of them rightly: the label is a rule on one feature."""
+    rows = fit_maps(spark, sf_dir)
+    return rows.agg(F.sum("n").alias("n"), _sound(F.sum(F.when(c("label") == c("class"), c("n"))) > 0.95 * F.sum("n")))
+
+
+def _sound(test):
+    return F.coalesce(test, F.lit(False)).alias("sound")
+
+
 def stream_judgements(spark, sf_dir):
     """Orders as a stream of judgements, folded to each customer's latest state."""
     schema = orders(spark, sf_dir).schema
@@ -79,9 +104,15 @@ def _drained(spark, stream, mode):
     return spark.read.schema(stream.schema).parquet(path + ("/out" if mode == "complete" else "/out/epoch=*"))
 
 
-NAMES = ("fit_series", "fit_rows", "fit_classes", "fit_maps", "search_recipes", "stream_judgements", "stream_rollup")
+NAMES = ("fit_series", "fit_rows", "fit_classes", "fit_maps", "fit_series_checked", "fit_rows_checked", "fit_classes_checked", "fit_maps_checked", "search_recipes", "stream_judgements", "stream_rollup")
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLES = {
+    "fit_series_checked": """WITH m AS (SELECT max(date_trunc('month', o_orderdate)) AS last FROM orders)
+SELECT o_orderpriority AS series, (last + to_months(k::INTEGER))::DATE AS step, TRUE AS sound FROM m, range(1, 7) r(k), (SELECT DISTINCT o_orderpriority FROM orders)""",
+    "fit_rows_checked": f"WITH {CASES_SQL} SELECT o_orderkey AS row, anchor, TRUE AS sound FROM cases WHERE weeks IS NULL",
+    "fit_classes_checked": """WITH e AS (SELECT max(o_orderdate)::DATE AS last FROM orders)
+SELECT o_orderkey AS row, o_orderstatus AS actual, TRUE AS sound FROM orders, e WHERE o_orderdate::DATE >= last - 364 AND o_orderdate::DATE < last - 273""",
+    "fit_maps_checked": "SELECT count(*) AS n, TRUE AS sound FROM events",
     "stream_rollup": """WITH d AS (SELECT DATE '1970-01-01' + (30 * (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) // 30))::INTEGER AS step, o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS n FROM orders GROUP BY ALL)
 SELECT * FROM d WHERE step + 30 <= (SELECT max(o_orderdate)::DATE FROM orders) - 7""",
     "stream_judgements": """WITH x AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)

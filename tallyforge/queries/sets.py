@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import assets, sets as ops
+from tallyforge.operators.boxes import BOX, frame_pairs, iou
 from tallyforge.queries.boxes import B, derived
 from tallyforge.queries.common import c, orders, rounded, table
+from tallyforge.sources.shared import written
 
 TAG = "concat('rec', frame % 8, '_cnn-20240101-000000')"
 
@@ -221,6 +223,25 @@ def candidate_page(spark, sf_dir):
     return ops.candidate_page(candidates(spark, sf_dir), decisions(spark, sf_dir), 1, 50).select("dataset", "idx", "keep", "discard", "height_delta")
 
 
+def candidate_guesses(spark, sf_dir):
+    """The first page with a class offered by the box's shape."""
+    guess = F.when(c("width") > 2 * c("height"), "wide").otherwise("tall")
+    return ops.candidate_page(candidates(spark, sf_dir), decisions(spark, sf_dir), 0, 50, guess=guess).select("dataset", "idx", "guess")
+
+
+def negatives_checked(spark, sf_dir):
+    """Per frame with objects: whether all background boxes lie inside it, meet no object and none other, and are no more than its objects."""
+    columns = ["recording", "frame", *BOX, "placed"]
+    objects = set_rows(spark, sf_dir).where(~c("negative")).withColumn("placed", F.lit(False)).select(*columns)
+    both = objects.unionByName(synthetic_negatives(spark, sf_dir).withColumn("placed", F.lit(True)).select(*columns))
+    both = written(both.withColumn("id", F.monotonically_increasing_id()))
+    clash = frame_pairs(both.where("placed"), both, lambda a, b: iou(a, b) > 0, ["recording", "frame"]).where("a_id <> b_id")
+    clash = clash.groupBy("recording", "frame").agg(F.count("*").alias("clashes"))
+    inside = (c("left") >= 0) & (c("top") >= 0) & (c("left") + c("width") <= 4000) & (c("top") + c("height") <= 2200)
+    frames = both.groupBy("recording", "frame").agg((F.bool_and(~c("placed") | inside) & (2 * F.count_if("placed") <= F.count("*"))).alias("fits"))
+    return frames.join(clash, ["recording", "frame"], "left").select("recording", "frame", (c("fits") & c("clashes").isNull()).alias("sound"))
+
+
 def opened_tiles(spark, sf_dir):
     return ops.opened(candidates(spark, sf_dir))
 
@@ -240,7 +261,7 @@ def promote_to_set(spark, sf_dir):
 
 
 NAMES = (
-    "pool_classes", "confirmed_frames", "boxes_by_frame", "other_width", "out_of_reach", "candidate_page", "opened_tiles", "open_sources", "promote_to_set",
+    "pool_classes", "confirmed_frames", "boxes_by_frame", "other_width", "out_of_reach", "candidate_page", "candidate_guesses", "negatives_checked", "opened_tiles", "open_sources", "promote_to_set",
     "pending_candidates", "corrected_centres", "exhaustive_negatives", "skipped_rows", "fitted_box", "sized_boxes", "promote_rows", "merge_sets", "frame_examples", "class_channel_map",
     "set_summary", "set_meta", "fold_judgements", "fold_reviews", "fold_modes", "pool_overview", "first_pool", "tile_ordinals", "synthetic_negatives", "class_labels", "label_shares",
     "tag_parsing", "orphaned_sets", "known_recordings", "assets_for", "openable", "candidates_file", "index_cleanup",
@@ -262,6 +283,8 @@ ORACLES = {
     "out_of_reach": f"""WITH {_S}, q AS (SELECT recording, negative, greatest(width, height) * (768 / greatest(400 + 100 * (frame % 3), 90)::DOUBLE) AS px FROM st)
 SELECT recording, count(*) AS n, round(max(px), 6) AS largest FROM q WHERE NOT negative AND px > 150 / 1.5::DOUBLE GROUP BY 1""",
     "candidate_page": f"WITH {_C} SELECT dataset, idx, keep, discard, dh::INTEGER AS height_delta FROM cand LEFT JOIN dec USING (idx) WHERE NOT coalesce(reviewed, FALSE) ORDER BY dataset, idx LIMIT 50 OFFSET 50",
+    "candidate_guesses": f"WITH {_C} SELECT dataset, idx, CASE WHEN width > 2 * height THEN 'wide' ELSE 'tall' END AS guess FROM cand LEFT JOIN dec USING (idx) WHERE NOT coalesce(reviewed, FALSE) ORDER BY dataset, idx LIMIT 50",
+    "negatives_checked": f"WITH {_S} SELECT DISTINCT recording, frame, TRUE AS sound FROM st WHERE NOT negative",
     "opened_tiles": f"""WITH {_C}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY idx) - 1 AS k FROM cand WHERE NOT negative)
 SELECT dataset || '_k' || lpad(k::VARCHAR, greatest(5, length(k::VARCHAR))::INTEGER, '0') AS tile, dataset AS tag, idx, trunc(median(width) OVER (PARTITION BY dataset))::INTEGER AS tile_width, trunc(median(height) OVER (PARTITION BY dataset))::INTEGER AS tile_height FROM p""",
     "open_sources": f"WITH {_C} SELECT DISTINCT dataset AS tag FROM cand WHERE idx % 2 = 0 AND dataset NOT IN ('rec0_cnn-20240101-000000', 'rec1_cnn-20240101-000000', 'rec2_cnn-20240101-000000')",

@@ -145,6 +145,18 @@ def test_models(spark, tmp_path):
         models.fit_model(rows, "guess", ["a"])
 
 
+def test_estimators_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([({"a": float(i)}, "hi" if i > 30 else "lo") for i in range(60)], "features map<string,double>, label string")
+    models.add_backend("shallow", lambda wide, objective, names: models.fit_model(wide, objective, names, depth=1, rounds=2))
+    fitted = models.fit_maps(rows, estimator="shallow")
+    models.save(fitted, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    assert fitted.backend == again.backend == "shallow" and again.classes == ["hi", "lo"]
+    assert models.predict_maps(again, rows).where("class = label").count() > 55
+    with pytest.raises(models.FitError):
+        models.fit_maps(rows, estimator="none")
+
+
 def test_search_is_deterministic_and_stops(spark, tmp_path):
     families = {f"f{i}": f"f{i}" for i in range(6)}
     ws = forecast.Workspace(SPEC, {"1-1": None}, {"1-1": families}, {"leaks": {"f5": "constant gap"}, "rows": 10, "genes": {"objectives": ["squared", "absolute"]}}, "week")
