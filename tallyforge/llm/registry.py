@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "pieces", "url_reputation", "chat_format", "mixing", "token_counts", "ngram_join", "exact_dedup", "vector_search", "licenses")
+MODULES = ("quality", "pieces", "url_reputation", "chat_format", "mixing", "token_counts", "ngram_join", "exact_dedup", "vector_search", "licenses", "alignment", "collocations", "simhash")
 
 
 def _modules():
