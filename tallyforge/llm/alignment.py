@@ -214,6 +214,8 @@ class Slice:
         beyond = times - 1
         for plane in range(HELD, int(beyond.max()).bit_length()):
             own = keys if plane == HELD else keys[(beyond >> plane) & 1 == 1]
+            if not len(own):
+                continue
             pairs, docs = own >> 16, (own & 0xFFFF).astype("<u2")
             cut = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
             size = np.diff(np.append(cut, len(own)))
