@@ -40,6 +40,16 @@ def file_cp1252(spark, sf_dir):
     return _read_back(files.read_delimited(spark, path + "/*.csv"))
 
 
+def file_late_sign(spark, sf_dir):
+    """Orders by key as cp1252, of which only the very last line holds a sign that tells it from UTF-8."""
+    path = new_path(spark)
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    last = rows.agg(F.max("o_orderkey").alias("last"))  # one row
+    raw = rows.join(F.broadcast(last)).withColumn("note", F.when(c("o_orderkey") == c("last"), "Köln").otherwise("plain")).drop("last")
+    raw.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return _read_back(files.read_delimited(spark, path + "/*.csv"))
+
+
 def file_encodings(spark, sf_dir):
     """What is found out about the files of three encodings: how many kinds of first line each has."""
     path = new_path(spark)
@@ -159,12 +169,13 @@ def file_prepared(spark, sf_dir):
     return files.prepared(spark, lambda: first.where("false"), folder, key)
 
 
-NAMES = ("file_delimited", "file_cp1252", "file_encodings", "file_json", "file_lines", "file_lines_skipping", "file_bad_lines", "file_keyed", "file_decisions", "file_modes", "file_provenance", "file_listing", "file_feature_maps", "file_run", "file_export", "file_prepared")
+NAMES = ("file_delimited", "file_cp1252", "file_late_sign", "file_encodings", "file_json", "file_lines", "file_lines_skipping", "file_bad_lines", "file_keyed", "file_decisions", "file_modes", "file_provenance", "file_listing", "file_feature_maps", "file_run", "file_export", "file_prepared")
 QUERIES = {name: globals()[name] for name in NAMES}
 _ROWS = "SELECT o_orderkey, o_orderpriority, o_totalprice, 'Köln \u20ac' || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN ';' || chr(10) || 'x' ELSE '' END AS note FROM orders"
 ORACLES = {
     "file_delimited": _ROWS,
     "file_cp1252": _ROWS,
+    "file_late_sign": "SELECT o_orderkey, o_orderpriority, o_totalprice, CASE WHEN o_orderkey = max(o_orderkey) OVER () THEN 'Köln' ELSE 'plain' END AS note FROM orders",
     "file_encodings": "SELECT * FROM (VALUES ('utf-16', 'o_orderkey,sign'), ('utf-8', 'o_orderkey,sign'), ('cp1252', 'o_orderkey,sign')) t(encoding, line)",
     "file_json": _ROWS,
     "file_lines": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 20000 ORDER BY o_orderkey) - 1 AS place FROM orders",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,38 +15,66 @@ PLAIN = r"^\s*-?\d+(\.\d+)?\s*$"
 SEPARATORS = ",;\t|"
 
 
-def resolve_encoding(head: bytes, requested: str | None = None, whole: bool = True) -> str:
-    """The requested encoding, else what a byte order mark says, else UTF-8 where it fits, else cp1252."""
+def resolve_encoding(head: bytes, requested: str | None = None, utf8: bool | None = None) -> str:
+    """The requested encoding, else what a byte order mark says, else UTF-8 where it fits, else cp1252.
+
+    ``utf8`` says whether all bytes of the file are UTF-8; without it ``head`` is all there is."""
     if requested and requested != "auto":
         return codecs.lookup(requested).name
     if head.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
         return "utf-16"
-    if head.startswith(codecs.BOM_UTF8):
-        return "utf-8-sig"
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        decoder.decode(head, final=whole)
-    except UnicodeDecodeError:
+    if utf8 is None:
+        try:
+            head.decode("utf-8")
+            utf8 = True
+        except UnicodeDecodeError:
+            utf8 = False
+    if not utf8:
         return "cp1252"
-    return "utf-8"
+    return "utf-8-sig" if head.startswith(codecs.BOM_UTF8) else "utf-8"
 
 
 def sniff_separator(line: str) -> str:
     return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
-def encodings(spark: SparkSession, path: str, head_bytes: int = 1 << 16) -> DataFrame:
-    """``path, encoding, line`` of every file: its encoding and its first line, from its first bytes."""
+#: Bytes of a first line that are looked at for its separator and its names.
+HEAD_BYTES = 1 << 16
+
+
+def _raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, size, block, at, value``: lines as they stand, which end at newlines only; ``block`` is where the split
+    that holds a line begins in its file, ``at`` orders the lines of a block. Long files are many splits."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def first_lines(spark: SparkSession, path: str, *facts: Column) -> DataFrame:
+    """``path, head`` and aggregates over all lines: the first bytes of each file's first line that isn't blank."""
+    lines = _raw_lines(spark, path)
+    begin = F.min(F.when((F.col("block") == 0) & (F.trim("value") != ""), F.col("at")))
+    found = lines.groupBy("path").agg(begin.alias("at"), *facts)
+    heads = lines.where("block = 0").select("path", "at", F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("head"))
+    return found.join(heads, ["path", "at"], "left").drop("at")
+
+
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``path, encoding, line`` of every file that isn't empty: its encoding, told from all of its bytes, and its first line.
+
+    Lines are checked in the JVM wherever they are split to. Spark's line reader drops the mark of UTF-8 at a file's
+    start, so it shows in a file that is longer than its lines.
+    """
+    bare = F.max("size") - F.sum(F.octet_length("value") + 1)
+    found = first_lines(spark, path, F.bool_and(F.is_valid_utf8("value")).alias("utf8"), (bare >= 2).alias("marked"))
 
-    def detect(batches):
+    def tell(batches):
         for batch in batches:
-            kinds = [resolve_encoding(bytes(h), whole=size <= head_bytes) for h, size in zip(batch["head"], batch["length"])]
-            batch["encoding"] = kinds
-            batch["line"] = [bytes(h).decode(k, errors="replace").splitlines()[0] if len(h) else "" for h, k in zip(batch["head"], kinds)]
+            heads = [b"" if h is None else (codecs.BOM_UTF8 if m else b"") + bytes(h) for h, m in zip(batch["head"], batch["marked"])]
+            batch["encoding"] = [resolve_encoding(h, utf8=bool(u)) for h, u in zip(heads, batch["utf8"])]
+            batch["line"] = [(h.decode(k, errors="ignore").splitlines() or [""])[0] for h, k in zip(heads, batch["encoding"])]
             yield batch[["path", "encoding", "line"]]
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, head_bytes).alias("head"))
-    return rows.mapInPandas(detect, "path string, encoding string, line string")
+    return found.mapInPandas(tell, "path string, encoding string, line string")
 
 
 #: What cp1252 has where ISO-8859-1 has control characters; the five places that it leaves free stay.
@@ -54,11 +83,11 @@ _FROM, _TO = "".join(chr(b) for b, c in _CP1252.items() if c), "".join(_CP1252.v
 
 
 def _read_kind(spark: SparkSession, paths: list[str], kind: str, sep: str, schema: T.StructType | None, breaks: bool) -> DataFrame:
-    """Files of one encoding and separator. cp1252, which Spark's reader does not take, differs from ISO-8859-1, which
-    it does, in characters that are put right afterwards."""
+    """Files of one encoding and separator by Spark's reader. cp1252, which it does not take, differs from ISO-8859-1,
+    which it does, in characters that are put right afterwards."""
     names = {"utf-16": "UTF-16", "cp1252": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8"}
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-    reader = reader.option("encoding", names.get(kind, kind)).option("multiLine", breaks or kind.startswith("utf-16"))
+    reader = reader.option("encoding", names.get(kind, kind)).option("multiLine", breaks)
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
     if kind != "cp1252":
         return rows
@@ -66,19 +95,79 @@ def _read_kind(spark: SparkSession, paths: list[str], kind: str, sep: str, schem
     return rows.select(*mended)
 
 
+def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, first, value``: records of files whose quoted fields may hold line breaks; ``first`` marks a file's first.
+
+    A line begins a record where the quotes before it in its file are even in number. Quotes are counted per split, so
+    every split knows how it begins; only splits that hold a line of odd quotes, or begin within quotes, are sorted and
+    their lines put together, all others are passed on as they are.
+    """
+    lines = _raw_lines(spark, paths).withColumn("quotes", F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))))
+    counts = lines.groupBy("path", "block").agg(F.sum("quotes").alias("own"), F.bool_or(F.col("quotes") % 2 == 1).alias("odd"), F.min("at").alias("least"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("path").alias("p"), F.col("block").alias("b"), "before", "least", (F.col("odd") | (F.col("before") % 2 == 1)).alias("broken"))
+    known = lines.join(counts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
+    whole = known.where("NOT broken").select("path", ((F.col("block") == 0) & (F.col("at") == F.col("least"))).alias("first"), "value")
+    inside = Window.partitionBy("path", "block").orderBy("at")
+    open_ = (F.col("before") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
+    torn = known.where("broken").withColumn("begins", open_ == 0)
+    torn = torn.withColumn("begun", F.last(F.when(F.col("begins"), F.struct("block", "at")), ignorenulls=True).over(inside))
+    # a split that begins within quotes goes on with the last record that an earlier split began
+    ends = torn.groupBy(F.col("path").alias("p"), F.col("block").alias("b")).agg(F.max("begun").alias("last"))
+    ends = ends.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    torn = torn.drop("p", "b").join(ends.select("p", "b", "carried"), (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
+    torn = torn.withColumn("record", F.coalesce("begun", "carried"))
+    opens = (F.col("block") == 0) & (F.col("at") == F.col("least"))
+    joined = torn.groupBy("path", "record").agg(F.bool_or(opens).alias("first"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    return whole.unionByName(joined.select("path", "first", F.array_join(F.col("parts.value"), "\n").alias("value")))
+
+
+#: Types that a column of text is tried as, in this order, with what its values must look like besides.
+TRIED = {"int": ".", "bigint": ".", "double": r"\d", "date": r"^\d{4}-\d{2}-\d{2}$", "timestamp": r"^\d{4}-\d{2}-\d{2}[T ]\d", "boolean": "^(?i)(true|false)$"}
+
+
+def _inferred(rows: DataFrame) -> T.StructType:
+    """The first type of TRIED that all values of each text column have; one pass, one row."""
+    fits = [F.coalesce(F.bool_and(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast(t).isNotNull() & F.col(f"`{n}`").rlike(look)) & F.bool_or(F.col(f"`{n}`").isNotNull()), F.lit(False)) for n in rows.columns for t, look in TRIED.items()]
+    found = rows.agg(*[f.alias(f"f{i}") for i, f in enumerate(fits)]).first()
+    kind = lambda i: next((t for k, t in enumerate(TRIED) if found[i * len(TRIED) + k]), "string")
+    return T.StructType([T.StructField(n, T._parse_datatype_string(kind(i))) for i, n in enumerate(rows.columns)])
+
+
+def _read_records(spark: SparkSession, paths: list[str], kind: str, sep: str, names: list[str], schema: T.StructType | None) -> DataFrame:
+    """Files of one encoding, separator and header, parsed record by record; a long file is many tasks."""
+    text = F.col("value")
+    if kind == "cp1252":
+        text = F.translate(F.decode(text.cast("binary"), "ISO-8859-1"), _FROM, _TO)
+    names = [n if n.strip() else f"_c{i}" for i, n in enumerate(names)]
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    found = records(spark, paths).where(~F.col("first")).select(F.rtrim(text, F.lit("\r")).alias("value")).where("value <> ''")
+    rows = found.select(F.from_csv("value", shape.simpleString()[7:-1].replace(":", " "), options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    if schema is None:
+        schema = _inferred(rows)
+    given = {f.name: f.dataType for f in schema.fields}
+    typed = [F.col(f"`{n}`").try_cast(given[n]).alias(n) for n in names if n in given]
+    return rows.select(*typed, *[F.lit(None).cast(t).alias(n) for n, t in given.items() if n not in names]).select(*[f"`{n}`" for n in given])
+
+
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, schema: T.StructType | None = None, breaks: bool = True) -> DataFrame:
-    """Delimited files with a header. Encoding and separator are found for each file where not given, from its first
-    bytes; files of several kinds are read by kind and put together by name.
+    """Delimited files with a header. Encoding and separator are found for each file where not given, the encoding from
+    all of its bytes; files of several kinds are read by kind and put together by name.
 
-    Quoted fields may hold line breaks, so a file is one task; say ``breaks=False`` of files that have none, which
-    Spark then splits (all but UTF-16)."""
+    Quoted fields may hold line breaks; a long file is many tasks all the same, but for UTF-16, which is read as a
+    whole. ``breaks=False`` says that none do, and Spark's own reader takes the files."""
     told = resolve_encoding(b"", encoding) if encoding and encoding != "auto" else None
-    kinds: dict[tuple[str, str], list[str]] = {}
+    kinds: dict[tuple[str, str, str], list[str]] = {}
     for row in encodings(spark, path).orderBy("path").collect():  # one short row per file, as the reader's own listing has
-        kinds.setdefault((told or row["encoding"], separator or sniff_separator(row["line"])), []).append(row["path"])
+        kinds.setdefault((told or row["encoding"], separator or sniff_separator(row["line"]), row["line"]), []).append(row["path"])
     whole = None
-    for (kind, sep), paths in kinds.items():
-        part = _read_kind(spark, paths, kind, sep, schema, breaks)
+    for (kind, sep, line), paths in kinds.items():
+        if breaks and kind in ("utf-8", "utf-8-sig", "cp1252"):
+            part = _read_records(spark, paths, kind, sep, next(csv.reader([line], delimiter=sep)), schema)
+        else:
+            part = _read_kind(spark, paths, kind, sep, schema, breaks or kind.startswith("utf-16"))
         whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
     if whole is None:
         raise ValueError(f"no file at {path}")
@@ -86,10 +175,19 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON files that hold one array or one object a line."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    head = spark.read.format("binaryFile").load(path).select(F.ltrim(F.substring("content", 1, 64).cast("string")).alias("h")).first()
-    return reader.option("multiLine", bool(head and head["h"].startswith("["))).json(path)
+    """JSON files that each hold one array or one object a line."""
+    kinds: dict[bool, list[str]] = {}
+    array = F.ltrim(F.col("head").cast("string")).startswith("[")
+    for row in first_lines(spark, path).select("path", F.coalesce(array, F.lit(False)).alias("array")).orderBy("path").collect():  # one short row per file
+        kinds.setdefault(row["array"], []).append(row["path"])
+    whole = None
+    for array, paths in kinds.items():
+        reader = spark.read.schema(schema) if schema else spark.read
+        part = reader.option("multiLine", array).json(paths)
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    if whole is None:
+        raise ValueError(f"no file at {path}")
+    return whole
 
 
 def number_formats(rows: DataFrame) -> DataFrame:

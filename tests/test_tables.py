@@ -31,6 +31,56 @@ def test_mixed_folder_and_quoted_breaks(spark, tmp_path):
     assert [(r["Stadt"], r["Note"], int(r["Zahl"])) for r in rows] == [("Köln €", "two\nlines", 1), ("x", "a\x1cb", 2), ("München", "plain", 3)]
 
 
+def test_encoding_by_all_bytes(spark, tmp_path):
+    """A sign that is no UTF-8 in the last of many splits; a mark before plain text; an empty file."""
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"1,plain text\n" * 20_000 + "2,Köln".encode("cp1252"))
+    (tmp_path / "marked.csv").write_bytes(b"\xef\xbb\xbfa,b\n1,x\n")
+    (tmp_path / "open.csv").write_bytes(b"\xef\xbb\xbfa,b\n1,x")
+    (tmp_path / "none.csv").write_bytes(b"")
+    (tmp_path / "blank.csv").write_bytes(b"\n\na;b\n1;x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        found = {r["path"].rsplit("/", 1)[1]: (r["encoding"], r["line"]) for r in files.encodings(spark, str(tmp_path)).collect()}
+        assert found == {"late.csv": ("cp1252", "a,b"), "marked.csv": ("utf-8-sig", "a,b"), "open.csv": ("utf-8-sig", "a,b"), "blank.csv": ("utf-8", "a;b")}
+        rows = files.read_delimited(spark, str(tmp_path / "late.csv"))
+        assert rows.rdd.getNumPartitions() > 3 and rows.where("b = 'Köln'").count() == 1 and rows.count() == 20_001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_across_splits(spark, tmp_path):
+    """Quoted breaks anywhere, records of many splits, quotes within quotes, carriage returns: as one reader of the whole file has it."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        note = rng.choice(["plain", 'say "hi"', "two\nlines", "\n\n", "a;b", "x" * 3000 if i % 90 == 0 else "y", "line\n" * 300 if i % 130 == 0 else "z", ""])
+        rows.append((i, note, rng.choice(["é", "b\nc", "d"])))
+    out = io.StringIO()
+    writer = csv.writer(out, delimiter=";", lineterminator="\n")
+    writer.writerow(["key", "note", "sign"])
+    writer.writerows(rows)
+    (tmp_path / "x.csv").write_text(out.getvalue())
+    (tmp_path / "y.csv").write_text("key;note;sign\r\n1000;one;e\r\n1001;two;f\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        found = sorted(tuple(r) for r in files.read_delimited(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted([(k, n or None, s) for k, n, s in rows] + [(1000, "one", "e"), (1001, "two", "f")])
+
+
+def test_json_of_both_kinds_in_a_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n [{"k": 1},\n {"k": 2}]')
+    (tmp_path / "b.json").write_text('{"k": 3}\n{"k": 4}\n')
+    assert sorted(r["k"] for r in files.read_json(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
 def test_number_formats(spark):
     rows = spark.createDataFrame([("1.234,50", "1,234.50", "12", "x", "1,5"), ("755,96", "2", "3.5", "1", "1,234"), (None, "", None, None, None)], "a string, b string, c string, d string, e string")
     assert {r["column"]: r["format"] for r in files.number_formats(rows).collect()} == {"a": "decimal_comma", "b": "thousands_comma", "c": None, "d": None, "e": "decimal_comma"}
