@@ -13,6 +13,7 @@ import functools
 import hashlib
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tallyforge.llm.shingles import slices
 SLICE_BYTES, SLICE_DOCS = 16 << 20, 1 << 16
 CHUNK_BYTES, CHUNK_STRETCHES = 1 << 20, 1 << 17
 #: Stretches that a task remembers; beyond it forgets all and goes on.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 BLANK = "▁"
 #: A blank between two signs that are no white space: tokens of neither side reach across the place before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -62,6 +63,9 @@ class Aligner:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("models that change characters before segmenting are not supported")
         self.bytes_b = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(BLANK, " ").encode() for p in model.pieces]
+        self.bytes_a = [self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)]
+        self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.said = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.width = len(self.bytes_b)
         self.cut = CUT if not any(re.search(f"[^{BLANK}]{BLANK}", p.piece) for p in model.pieces if p.type != p.BYTE) else None
         self.forget()
@@ -70,7 +74,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
         self.fine, self.counts = bytearray(), array("q")
-        self.pairs, self.times, self.ends = array("q"), array("q"), array("q", [0])
+        self.pairs, self.ends = array("q"), array("q", [0])
 
     def stretches(self, text: str):
         """Lists of stretches of a text that isn't empty, each list with about CHUNK_BYTES characters at most."""
@@ -90,43 +94,53 @@ class Aligner:
     def codes(self, stretches: list[str]) -> np.ndarray:
         """The place of each stretch among those known; new ones are aligned."""
         fresh = [s for s in dict.fromkeys(stretches) if s not in self.known]
-        for begin in range(0, len(fresh), 4096):
-            some = fresh[begin : begin + 4096]
-            left = self.a.encode_batch(some, add_special_tokens=False)
-            for text, a, b in zip(some, left, self.b.encode([s[1:] for s in some], num_threads=1)):
-                self.known[text] = len(self.groups)
-                self._align(text.encode(), a.ids, b)
+        for begin in range(0, len(fresh), 8192):
+            some = fresh[begin : begin + 8192]
+            a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
+            self._align(some, a, self.b.encode([s[1:] for s in some], num_threads=1))
         return np.fromiter(map(self.known.__getitem__, stretches), dtype=np.int64, count=len(stretches))
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> None:
-        left, right = [self.bytes_a.get(x, b"") for x in a], [self.bytes_b[x] for x in b]
-        self.fine.append(b"".join(left) == raw and b"".join(right) == raw)
-        found: dict[int, int] = {}
-        groups = []
-        if self.fine[-1]:
-            i = j = from_a = from_b = 0
-            end_a, end_b = len(left[0]), len(right[0])
-            while True:
-                pair = a[i] * self.width + b[j]
-                found[pair] = found.get(pair, 0) + 1
-                if end_a == end_b:
-                    groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                    i, j = i + 1, j + 1
-                    if i == len(a):
-                        break
-                    from_a, from_b = i, j
-                    end_a, end_b = end_a + len(left[i]), end_b + len(right[j])
-                elif end_a < end_b:
-                    i += 1
-                    end_a += len(left[i])
-                else:
-                    j += 1
-                    end_b += len(right[j])
-        self.counts.extend((len(a), len(b), len(groups), sum(found.values())))
-        self.groups.append(";".join(groups))
-        self.pairs.extend(found)
-        self.times.extend(found.values())
-        self.ends.append(len(self.pairs))
+    def _spelt(self, raws: list[bytes], ids: list[list[int]], flat: list[int], spell: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether each stretch is what its tokens' bytes spell."""
+        if b"".join(map(spell.__getitem__, flat)) == b"".join(raws):
+            places = np.concatenate(([0], np.cumsum(size[np.array(flat, dtype=np.int64)])))
+            stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            if (places[stops] == np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))).all():
+                return np.ones(len(raws), dtype=bool)
+        return np.array([b"".join([spell[x] for x in own]) == raw for raw, own in zip(raws, ids)])
+
+    def _align(self, stretches: list[str], left: list[list[int]], right: list[list[int]]) -> None:
+        """Aligns many stretches at a time: their tokens' ends are places in one line of bytes, which all stretches share as cuts."""
+        raws, flat = [s.encode() for s in stretches], [list(chain.from_iterable(t)) for t in (left, right)]
+        fine = self._spelt(raws, left, flat[0], self.bytes_a, self.size_a) & self._spelt(raws, right, flat[1], self.bytes_b, self.size_b)
+        if not fine.all():
+            left, right = ([x if ok else [] for x, ok in zip(t, fine)] for t in (left, right))
+            flat = [list(chain.from_iterable(t)) for t in (left, right)]
+        n_a, n_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (left, right))
+        a, b = (np.array(t, dtype=np.int64) for t in flat)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        first = np.searchsorted(end_b, end_a - self.size_a[a], side="right")
+        last = np.searchsorted(end_b, end_a, side="left")
+        each = last - first + 1  # the tokens of B that a token of A overlaps
+        at = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
+        pairs = np.repeat(a, each) * self.width + b[at]
+        of_a, of_b = np.repeat(np.arange(len(fine)), n_a), np.repeat(np.arange(len(fine)), n_b)
+        closes_a, closes_b = end_b[last] == end_a if len(a) else fine[:0], np.isin(end_b, end_a, assume_unique=True)
+        n_groups, n_links = np.bincount(of_a, closes_a, len(fine)).astype(np.int64), np.bincount(of_a, each, len(fine)).astype(np.int64)
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        final = np.zeros(len(a) + len(b), dtype=bool)
+        final[len(a) + np.cumsum(n_b)[n_b > 0] - 1] = True
+        order = np.argsort(np.concatenate((group_a * 2, group_b * 2 + 1)), kind="stable")
+        mark = np.where(final, 3, np.where(np.concatenate((closes_a, closes_b)), np.concatenate((np.ones(len(a), int), np.full(len(b), 2))), 0))[order]
+        said = self.said
+        parts = [said[x] + ",|; "[m] for x, m in zip(np.concatenate((a, b))[order].tolist(), mark.tolist())]
+        stops = np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(parts[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        self.known.update(zip(stretches, range(len(self.known), len(self.known) + len(stretches))))
+        self.fine.extend(fine.astype(np.uint8).tobytes())
+        self.counts.frombytes(np.stack((n_a, n_b, n_groups, n_links), axis=1).astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.astype(np.int64).tobytes())
+        self.ends.frombytes((len(self.pairs) - n_links.sum() + np.cumsum(n_links)).astype(np.int64).tobytes())
 
 
 @functools.cache
@@ -176,7 +190,7 @@ class Slice:
         ends = np.array(al.ends)
         n = ends[codes + 1] - ends[codes]
         at = np.repeat(ends[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        self._merge((np.array(al.pairs)[at] << 16) | np.repeat(doc + self.first, n), np.array(al.times)[at] * np.repeat(often, n))
+        self._merge((np.array(al.pairs)[at] << 16) | np.repeat(doc + self.first, n), np.repeat(often, n))
         if len(al.known) > REMEMBERED:
             al.forget()
 
