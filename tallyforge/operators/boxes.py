@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.sources.shared import with_places
+from tallyforge.sources.shared import with_places, written
 
 # When boxes are one object, how near is near, the margin of a canvas, the lowest score, cells apart.
 MIN_SHARE, MAX_ROWS_APART, NEAR, MARGIN = 0.5, 1.5, 40, 30
@@ -21,6 +21,8 @@ PEAK_FLOOR, PEAK_LIMIT = 0.3, 100
 JITTER, STRIDE = 0.40, 4
 CHROME_CELL = 50
 SEPARATION = 3
+#: Side of the tiles that suppression is dealt by.
+TILE = 64
 #: Width of the strips in which boxes of a frame meet.
 COLUMN = 64
 BOX = ("left", "top", "width", "height")
@@ -160,27 +162,49 @@ def local_maxima(cells: DataFrame, key: list[str], floor: float = PEAK_FLOOR, li
     return peaks.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= limit).drop("__place")
 
 
-def suppress(cells: DataFrame, key: list[str], separation: int = SEPARATION, limit: int = 300) -> DataFrame:
-    """Greedy suppression in each group of ``key``: the strongest first, nothing within ``separation`` in both axes.
+def suppress(cells: DataFrame, key: list[str], separation: int = SEPARATION, limit: int | None = 300, tile: int = TILE) -> DataFrame:
+    """Greedy suppression in each group of ``key``: the strongest first, nothing nearer than ``separation`` in both axes;
+    of equal scores the larger x, then the larger y. ``x, y`` are whole numbers.
 
-    A group is one channel of one frame above the threshold, which bounds what a task holds.
+    In each round a task decides the cells of a tile from the strongest on: one that a kept cell is near goes, one is
+    kept if all that are stronger and near have gone, and one near a stronger cell that another tile has yet to decide
+    waits for the next round. Tiles see their neighbours' cells as far as ``separation`` reaches, so a crowded group is
+    many tasks, and rounds are as many as the longest chain of cells that goes from tile to tile.
     """
     import numpy as np
 
-    def run(frame):
-        frame = frame.sort_values(["score", "y", "x"], ascending=[False, True, True])
-        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-        free, kept = np.ones(len(frame), dtype=bool), []
+    reach, names = separation - 1, cells.columns
+    open_, kept, gone = 0, 1, 2
+
+    def decide(frame):
+        order = np.lexsort((frame["y"].to_numpy(), frame["x"].to_numpy(), frame["score"].to_numpy()))[::-1]
+        frame = frame.iloc[order]
+        x, y = (frame[c].to_numpy().astype(np.int64) for c in ("x", "y"))
+        own, state = frame["__own"].to_numpy(), frame["__state"].to_numpy().copy()
+        x, y = x - x.min() + reach, y - y.min() + reach
+        seen = np.zeros((x.max() + reach + 1, y.max() + reach + 1), dtype=np.uint8)  # 1: kept, 2: undecided, of those before
         for i in range(len(frame)):
-            if not free[i]:
-                continue
-            kept.append(i)
-            if len(kept) == limit:
-                break
-            free &= (np.abs(x - x[i]) > separation) | (np.abs(y - y[i]) > separation)
-        return frame.iloc[kept]
-
-    return cells.groupBy(*key).applyInPandas(run, cells.schema)
+            if state[i] == open_ and own[i]:
+                near = seen[x[i] - reach : x[i] + reach + 1, y[i] - reach : y[i] + reach + 1]
+                state[i] = gone if (near & 1).any() else open_ if near.any() else kept
+            if state[i] != gone:
+                seen[x[i], y[i]] |= 1 if state[i] == kept else 2
+        return frame.assign(__state=state)[own][[*names, "__state"]]
+
+    at = lambda c: F.floor(F.col(c) / tile).cast("long")
+    reached = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("long"), F.floor((F.col(c) + reach) / tile).cast("long"))
+    now = cells.withColumn("__state", F.lit(open_))
+    while True:
+        spread = now.withColumns({"__i": F.explode(reached("x")), "__home": at("x")}).withColumn("__j", F.explode(reached("y")))
+        spread = spread.withColumn("__own", (F.col("__i") == F.col("__home")) & (F.col("__j") == at("y"))).where("__own OR __state <> 2").drop("__home")
+        now = written(spread.groupBy(*key, "__i", "__j").applyInPandas(decide, now.schema))
+        if now.where(F.col("__state") == open_).isEmpty():
+            break
+    left = now.where(F.col("__state") == kept).drop("__state")
+    if limit is None:
+        return left
+    order = Window.partitionBy(*key).orderBy(F.col("score").desc(), F.col("x").desc(), F.col("y").desc())
+    return left.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= limit).drop("__place")
 
 
 def boxes_from_peaks(peaks: DataFrame, width: int, height: int) -> DataFrame:

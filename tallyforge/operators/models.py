@@ -1,23 +1,19 @@
-"""Fitted models: Spark ML behind the objectives of a recipe."""
+"""Fitted models: boosted trees behind the objectives of a recipe."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from importlib import import_module
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import known
+from tallyforge.operators import boosting
 from tallyforge.spec import LOWER, UPPER
 
 OBJECTIVES = ("squared", "absolute", "tweedie", "poisson", "aft", "logistic", "softprob")
-MIN_ROWS, NEWEST, SENTINEL = 20, 0.85, -999.0
+MIN_ROWS, NEWEST = 20, 0.85
 
 
 class FitError(ValueError):
@@ -36,58 +32,45 @@ class Fitted:
 def usable(rows: DataFrame, objective: str, y: str = "y") -> DataFrame:
     """Rows that an objective can learn from: known targets, for waiting times also open rows with a bound above 0."""
     if objective == "aft":
-        return rows.where(known(F.col(LOWER)) & (F.col(LOWER) > 0)).withColumns({"__t": F.col(LOWER), "__seen": F.when(F.col(UPPER) == F.col(LOWER), 1.0).otherwise(0.0)})
+        return rows.where(known(F.col(LOWER)) & (F.col(LOWER) > 0)).withColumns({"__t": F.col(LOWER), "__seen": F.coalesce(F.col(UPPER) == F.col(LOWER), F.lit(False))})
     if objective in ("logistic", "softprob"):
         return rows.where(F.col(y).isNotNull())
     return rows.where(known(F.col(y)))
 
 
-def _vector(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Missing inputs become a sentinel that trees can split off, with a flag of their own."""
-    filled = rows.withColumns({f"__{f}": F.when(known(F.col(f).cast("double")), F.col(f).cast("double")).otherwise(SENTINEL) for f in features})
-    return VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="__x").transform(filled).drop(*[f"__{f}" for f in features])
-
-
-def fit_model(rows: DataFrame, objective: str, features: list[str], y: str = "y", order: str | None = None, depth: int = 4, rounds: int = 20, rate: float = 0.1, seed: int = 7) -> Fitted:
-    """One model. Boosting finds its rounds on the newest 15 % by ``order`` and is fitted anew on all rows."""
+def fit_model(
+    rows: DataFrame, objective: str, features: list[str], y: str = "y", order: str | None = None, depth: int = 4, rounds: int = 100, rate: float = 0.1, patience: int = 10, columns: list[Column] | None = None
+) -> Fitted:
+    """One boosted model. With ``order`` it keeps the number of rounds at which a probe, which does not learn from the newest
+    15 %, did best on them. ``columns`` are what ``features`` are worked out from, where those are no columns of ``rows``."""
     if objective not in OBJECTIVES:
         raise FitError(f"no objective {objective!r}")
     good = usable(rows, objective, y)
-    counts = good.agg(F.count("*").alias("n"), F.min(F.col(y).try_cast("double")).alias("low")).first()
-    if counts["n"] < MIN_ROWS:
-        raise FitError(f"{counts['n']} usable rows, {MIN_ROWS} needed")
-    if objective in ("tweedie", "poisson") and (counts["low"] or 0) < 0:
+    labels = objective in ("logistic", "softprob")
+    facts = [F.count("*").alias("n"), F.min(F.col(y).try_cast("double")).alias("low")]
+    facts += [F.array_sort(F.collect_set(F.col(y).cast("string"))).alias("classes")] if labels else []
+    facts += [F.percentile(F.unix_date(order), NEWEST).alias("cut")] if order else []
+    found = good.agg(*facts).first()
+    if found["n"] < MIN_ROWS:
+        raise FitError(f"{found['n']} usable rows, {MIN_ROWS} needed")
+    if objective in ("tweedie", "poisson") and (found["low"] or 0) < 0:
         raise FitError(f"{objective} takes no negative targets")
-    data = _vector(good, features)
-    if objective == "aft":
-        return Fitted(objective, AFTSurvivalRegression(featuresCol="__x", labelCol="__t", censorCol="__seen", maxIter=50).fit(data), features)
-    if objective in ("tweedie", "poisson"):
-        family = {"family": "tweedie", "variancePower": 1.5, "linkPower": 0.0} if objective == "tweedie" else {"family": "poisson", "link": "log"}
-        return Fitted(objective, GeneralizedLinearRegression(featuresCol="__x", labelCol=y, regParam=0.1, maxIter=25, **family).fit(data), features)
-    if objective in ("logistic", "softprob"):
-        index = StringIndexer(inputCol=y, outputCol="__label", stringOrderType="alphabetAsc").fit(data)
-        labelled = index.transform(data)
-        if len(index.labels) == 2 and objective == "logistic":
-            model = GBTClassifier(featuresCol="__x", labelCol="__label", maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed).fit(labelled)
-        else:
-            model = RandomForestClassifier(featuresCol="__x", labelCol="__label", maxDepth=depth, numTrees=rounds, seed=seed).fit(labelled)
-        return Fitted(objective, model, features, list(index.labels))
-    booster = GBTRegressor(featuresCol="__x", labelCol=y, lossType=objective, maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed)
-    if order:
-        cut = data.agg(F.percentile(F.unix_date(order), NEWEST)).first()[0]
-        probe = data.withColumn("__val", F.unix_date(order) > cut)
-        found = booster.copy().setValidationIndicatorCol("__val").setParams(validationTol=0.001).fit(probe)
-        booster.setMaxIter(max(1, found.getNumTrees))
-    return Fitted(objective, booster.fit(data), features)
-
-
-def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:
+    classes = list(found["classes"]) if labels else []
+    if labels:
+        objective = "logistic" if len(classes) == 2 else "softprob"
+    target = F.col("__t") if objective == "aft" else F.array_position(F.lit(classes), F.col(y).cast("string")) - 1 if labels else F.col(y)
+    settings = boosting.Settings(objective, depth, rounds, rate, patience)
+    model = boosting.fit(good, columns or features, settings, target, F.col("__seen") if objective == "aft" else None, F.unix_date(order) > found["cut"] if order else None, max(1, len(classes)) if objective == "softprob" else 1)
+    return Fitted(objective, model, features, classes)
+
+
+def predict(fitted: Fitted, rows: DataFrame, columns: list[Column] | None = None) -> DataFrame:
     """``rows`` with ``prediction``, or with ``class`` and ``probability`` and all ``probabilities`` by class order."""
-    out = fitted.model.transform(_vector(rows, fitted.features)).drop("__x", "rawPrediction")
+    says = boosting.predictions(fitted.model, columns or fitted.features)
     if fitted.objective not in ("logistic", "softprob"):
-        return out
-    names = F.array(*[F.lit(c) for c in fitted.classes])
-    return out.withColumn("probabilities", vector_to_array("probability")).withColumns({"class": F.element_at(names, (F.col("prediction") + 1).cast("int")), "probability": F.array_max("probabilities")}).drop("prediction")
+        return rows.withColumn("prediction", says[0])
+    names, most = F.lit(fitted.classes), F.array_max("probabilities")
+    return rows.withColumn("probabilities", says).withColumns({"class": F.element_at(names, F.array_position("probabilities", most).cast("int")), "probability": most})
 
 
 def predicted_date(anchor, prediction, unit_days: float):
@@ -96,19 +79,18 @@ def predicted_date(anchor, prediction, unit_days: float):
 
 
 #: What is kept beside a saved model; one without a backend is of the first kind.
-META = "objective string, kind string, features array<string>, classes array<string>, backend string"
+META = "objective string, features array<string>, classes array<string>, backend string"
 
 
 def save(fitted: Fitted, path: str) -> None:
-    fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.model.save(f"{path}/model")
     session = SparkSession.getActiveSession()
-    session.createDataFrame([(fitted.objective, type(fitted.model).__module__ + "." + type(fitted.model).__name__, fitted.features, fitted.classes, fitted.backend)], META).write.mode("overwrite").json(f"{path}/meta")
+    session.createDataFrame([(fitted.objective, fitted.features, fitted.classes, fitted.backend)], META).write.mode("overwrite").json(f"{path}/meta")
 
 
 def load(path: str) -> Fitted:
     meta = SparkSession.getActiveSession().read.schema(META).json(f"{path}/meta").first()
-    module, _, name = meta["kind"].rpartition(".")
-    return Fitted(meta["objective"], getattr(import_module(module), name).load(f"{path}/model"), list(meta["features"]), list(meta["classes"] or []), meta["backend"] or "tabular")
+    return Fitted(meta["objective"], boosting.Boosted.load(f"{path}/model"), list(meta["features"]), list(meta["classes"] or []), meta["backend"] or "tabular")
 
 
 #: Estimators by name; each takes rows, an objective and the names of the features and gives a ``Fitted``.
@@ -126,14 +108,16 @@ def backend(name: str) -> Callable[..., Fitted]:
     return BACKENDS[name]
 
 
-def fit_maps(rows: DataFrame, label: str = "label", features: str = "features", estimator: str = "tabular") -> Fitted:
-    """A classifier over maps of features; a feature that a row lacks counts as 0."""
+def _of_map(features: str, names: list[str]) -> list[Column]:
+    return [F.coalesce(F.element_at(features, F.lit(n)), F.lit(0.0)) for n in names]
+
+
+def fit_maps(rows: DataFrame, label: str = "label", features: str = "features", estimator: str = "tabular", **settings) -> Fitted:
+    """A classifier over maps of features, whatever their names; a feature that a row lacks counts as 0."""
     fit = backend(estimator)
     names = [r["k"] for r in rows.select(F.explode(F.map_keys(features)).alias("k")).distinct().orderBy("k").collect()]
-    wide = rows.select(F.col(label).alias("y"), *[F.coalesce(F.element_at(features, F.lit(n)), F.lit(0.0)).alias(n) for n in names])
-    several = rows.select(label).distinct().count() > 2
-    return replace(fit(wide, "softprob" if several else "logistic", names), backend=estimator)
+    return replace(fit(rows, "softprob", names, y=label, columns=_of_map(features, names), **settings), backend=estimator)
 
 
 def predict_maps(fitted: Fitted, rows: DataFrame, features: str = "features") -> DataFrame:
-    return predict(fitted, rows.withColumns({n: F.coalesce(F.element_at(features, F.lit(n)), F.lit(0.0)) for n in fitted.features})).drop(*fitted.features)
+    return predict(fitted, rows, _of_map(features, fitted.features))

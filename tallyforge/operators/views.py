@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expressions import all_of, drawn
+from tallyforge.functions.expressions import all_of, known
 from tallyforge.operators.evaluate import apply_band, fit_band
-from tallyforge.sources.shared import with_places
 from tallyforge.spec import SERIES, STEP
 
 MAX_LINES, MAX_BREAKDOWN, DRAWS = 12, 3, 200
+#: Quantiles by which the residuals of a simulated band stand.
+RESIDUAL_POINTS = 1000
 
 
 def filter_dims(rows: DataFrame, filters: dict[str, list], dims: list[str]) -> DataFrame:
@@ -132,22 +133,59 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def load_band(forecast: DataFrame, residuals: DataFrame, unit_days: float, draws: int = DRAWS, seed: int = 7) -> DataFrame:
+def load_band(forecast: DataFrame, residuals: DataFrame, unit_days: float, draws: int = DRAWS, seed: int = 7, points: int = RESIDUAL_POINTS) -> DataFrame:
     """``week, lower, upper``: tenth and ninetieth percentile of simulated weekly counts.
 
-    Every draw moves each predicted date by a residual picked by a hash of the row and the draw, so reruns agree.
-    Weeks a draw leaves empty count as 0. Residuals are numbered once and stored; where they are small Spark sends
-    them to the rows, so that draws are counted where they are made and only counts per draw and week move.
+    In each draw every case (``anchor, prediction``) resolves ``prediction * (1 + r)`` units after its anchor, r drawn from
+    the relative ``resid`` uals of validation cases. Cases of one anchor that are expected to wait equally long, to a
+    tenth of a day, are counted first, and each draw deals a count out over weeks at once by their chances, so the work
+    does not grow with cases times draws. A count's draws depend on its day, its wait and ``seed``, so reruns agree. Weeks
+    that a draw leaves empty count as 0. Residuals stand as ``points`` quantiles of all of them.
+
+    Without any case or residual the result is empty.
     """
-    pool = with_places(residuals.select(F.col("resid").cast("double")).where("resid IS NOT NULL"), ["resid"], "k")
-    n = pool.count()
-    moved = forecast.select("row", "predicted_date", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    moved = moved.withColumn("k", drawn(F.lit(str(seed)), F.col("row").cast("string"), F.col("draw").cast("string")) % max(n, 1)).join(pool, "k")
-    day = F.date_add("predicted_date", F.bround(F.col("resid") * unit_days).cast("int"))
-    counts = moved.groupBy("draw", F.date_trunc("week", day).cast("date").alias("week")).agg(F.count("*").alias("n"))
-    weeks = counts.groupBy("week").agg(F.count("*").alias("seen"), F.collect_list("n").alias("ns"))  # one number per draw
-    full = F.concat("ns", F.array_repeat(F.lit(0).cast("long"), (F.lit(draws) - F.col("seen")).cast("int")))
-    return weeks.withColumn("x", F.explode(full)).groupBy("week").agg(F.percentile("x", 0.1).alias("lower"), F.percentile("x", 0.9).alias("upper"))
+    import datetime as dt
+
+    import numpy as np
+    import pyarrow as pa
+
+    shares = F.array(*[F.lit((k + 0.5) / points) for k in range(points)])
+    pool = residuals.select(F.col("resid").cast("double").alias("resid")).where(known(F.col("resid"))).agg(F.percentile_approx("resid", shares, 100_000).alias("r")).first()["r"]
+    factor = 1 + np.array(pool or [], dtype=np.float64)
+    days = F.col("prediction") * unit_days
+    alike = forecast.where(F.col("anchor").isNotNull() & known(F.col("prediction"))).groupBy(F.unix_date(F.col("anchor").cast("date")).alias("day"), F.round(days * 10).cast("long").alias("wait")).agg(F.count("*").alias("n"), F.avg(days).alias("days"))
+
+    def deal(batches):
+        first, total = 0, np.zeros((0, draws), dtype=np.int64)  # of weeks from the first on
+        for batch in batches:
+            for day, wait, n, days in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if not len(factor):
+                    continue
+                weeks = (day + np.round(days * factor).astype(np.int64) + 3) // 7  # 1970-01-01 was a Thursday
+                low, high = int(weeks.min()), int(weeks.max())
+                if not len(total) or low < first or high >= first + len(total):
+                    start = min(low, first) if len(total) else low
+                    grown = np.zeros((max(high + 1, first + len(total)) - start + 64, draws), dtype=np.int64)
+                    grown[first - start if len(total) else 0 :][: len(total)] = total
+                    first, total = start, grown
+                rng = np.random.default_rng([seed, day % 2**32, wait % 2**32])
+                times = np.bincount(weeks - low)
+                if n < len(times) // 4:  # few cases: one by one costs less than week by week
+                    at = weeks[rng.integers(0, len(weeks), (draws, n))] - first
+                    np.add.at(total, (at.ravel(), np.repeat(np.arange(draws), n)), 1)
+                else:
+                    total[low - first : high + 1 - first] += rng.multinomial(n, times / len(factor), size=draws).T
+        own = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(own + first), pa.array([total[w].astype("<i8").tobytes() for w in own], pa.binary())], ["week", "draws"])
+
+    def add(data: pa.Table) -> pa.Table:
+        counts = np.sum([np.frombuffer(x, "<i8") for x in data.column("draws").to_pylist()], axis=0)
+        low, high = np.percentile(counts, (10, 90))
+        monday = dt.date(1970, 1, 1) + dt.timedelta(days=data.column("week")[0].as_py() * 7 - 3)
+        return pa.table([pa.array([monday]), pa.array([low]), pa.array([high])], ["week", "lower", "upper"])
+
+    dealt = alike.mapInArrow(deal, "week long, draws binary")
+    return dealt.groupBy("week").applyInArrow(add, "week date, lower double, upper double")
 
 
 def export(rows: DataFrame, trusted: bool) -> DataFrame:

@@ -199,9 +199,9 @@ SELECT recording, cx, cy, count(*) AS n, round(360 - max(gap), 6) AS span FROM g
 q AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY frame) AS k, count(*) OVER (PARTITION BY recording) AS n FROM p),
 m AS (SELECT a.recording, a.frame, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.n) AS n, list_sort(list(b.x)) AS xs, list_sort(list(b.y)) AS ys FROM q a LEFT JOIN q b ON a.recording = b.recording AND abs(a.k - b.k) BETWEEN 1 AND 4 GROUP BY a.recording, a.frame)
 SELECT recording, frame, x, y FROM m WHERE n < 9 OR sqrt((x - xs[len(xs) // 2 + 1]) ** 2 + (y - ys[len(ys) // 2 + 1]) ** 2) <= 120""",
-    "nms_peaks": f"""{_CELLS.replace("WITH b", "WITH RECURSIVE b")}, c AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, y, x) AS k FROM cell),
+    "nms_peaks": f"""{_CELLS.replace("WITH b", "WITH RECURSIVE b")}, c AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, x DESC, y DESC) AS k FROM cell),
 s AS (SELECT frame, k, [{{'x': x, 'y': y, 'score': score}}] AS kept FROM c WHERE k = 1
-  UNION ALL SELECT c.frame, c.k, CASE WHEN len(kept) < 300 AND len(list_filter(kept, lambda p: abs(p.x - c.x) <= 3 AND abs(p.y - c.y) <= 3)) = 0 THEN list_append(kept, {{'x': c.x, 'y': c.y, 'score': c.score}}) ELSE kept END FROM s JOIN c ON c.frame = s.frame AND c.k = s.k + 1),
+  UNION ALL SELECT c.frame, c.k, CASE WHEN len(kept) < 300 AND len(list_filter(kept, lambda p: abs(p.x - c.x) < 3 AND abs(p.y - c.y) < 3)) = 0 THEN list_append(kept, {{'x': c.x, 'y': c.y, 'score': c.score}}) ELSE kept END FROM s JOIN c ON c.frame = s.frame AND c.k = s.k + 1),
 l AS (SELECT frame, unnest(kept) AS p FROM s QUALIFY k = max(k) OVER (PARTITION BY frame))
 SELECT frame, p.x AS x, p.y AS y, p.score AS score FROM l""",
     "track": f"""WITH RECURSIVE {B}, d AS (SELECT 'rec' || (frame // 50) || '-' || (idx % 8) AS recording, frame, id, "left" + width / 2.0::DOUBLE AS x, top + height / 2.0::DOUBLE AS y, score FROM b),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import views
+from tallyforge.operators import evaluate, views
 from tallyforge.plans import prepare
 from tallyforge.queries.common import CASES_SQL, PANEL_SQL, SERIES, c, cases, orders, rounded
 
@@ -103,12 +103,31 @@ def view_export(spark, sf_dir):
 
 
 def mc_band(spark, sf_dir):
-    """Weekly load with a simulated band; the residuals are the cases' own deviations from their median."""
+    """Weekly load with a simulated band; residuals are those of waits that ended, against the median of their priority."""
     ahead, _ = _forecast_rows(spark, sf_dir)
-    rows = cases(spark, sf_dir)
-    middle = rows.agg(F.median("weeks").alias("m"))
-    residuals = rows.join(F.broadcast(middle)).select((c("weeks") - c("m")).alias("resid"))
-    return views.load_band(ahead, residuals, 7.0)
+    seen = cases(spark, sf_dir).where("weeks > 0")
+    middle = evaluate.group_median(seen, seen, "o_orderpriority", "weeks", out="prediction")
+    return views.load_band(ahead, middle.select(((c("weeks") - c("prediction")) / c("prediction")).alias("resid")), 7.0)
+
+
+def mc_band_even(spark, sf_dir):
+    """Weekly load where all residuals are 0.24: all draws agree, so the band is one line."""
+    ahead, _ = _forecast_rows(spark, sf_dir)
+    return views.load_band(ahead, cases(spark, sf_dir).select(F.lit(0.24).alias("resid")), 7.0)
+
+
+def mc_band_checked(spark, sf_dir):
+    """Weeks with an expected load of ten or more, with whether the band holds that load and is as wide as chance makes it."""
+    ahead, _ = _forecast_rows(spark, sf_dir)
+    two = cases(spark, sf_dir).select(F.when(c("o_orderkey") % 2 == 0, 0.0).otherwise(1.0).alias("resid"))
+    band = views.load_band(ahead, two, 7.0)
+    days = c("prediction") * 7
+    ends = ahead.select(F.explode(F.array(F.date_add("anchor", F.bround(days).cast("int")), F.date_add("anchor", F.bround(2 * days).cast("int")))).alias("day"))
+    load = ends.groupBy(F.date_trunc("week", "day").cast("date").alias("week")).agg((F.count("*") / 2).alias("mean")).where("mean >= 10")
+    spread = F.sqrt(c("mean") / 2)
+    held = (c("lower") <= c("mean") + 0.3 * spread + 1) & (c("upper") >= c("mean") - 0.3 * spread - 1)
+    wide = (c("upper") - c("lower")).between(1.4 * spread - 1, 4.2 * spread + 1)
+    return load.join(band, "week", "left").select("week", F.coalesce(held & wide, F.lit(False)).alias("sound"))
 
 
 def leaderboard(spark, sf_dir):
@@ -120,7 +139,7 @@ def leaderboard(spark, sf_dir):
 QUERIES = {
     "view_series_breakdown": view_series_breakdown, "view_series_total": view_series_total, "view_band_by_bucket": view_band_by_bucket, "view_markers": view_markers, "view_filtered": view_filtered,
     "view_row_load_weekly": view_row_load_weekly, "view_row_actuals_weekly": view_row_actuals_weekly, "view_group_dates": view_group_dates, "view_series_table": view_series_table,
-    "view_table_page": view_table_page, "view_row_table": view_row_table, "view_export": view_export, "mc_band": mc_band, "leaderboard": leaderboard,
+    "view_table_page": view_table_page, "view_row_table": view_row_table, "view_export": view_export, "mc_band": mc_band, "mc_band_even": mc_band_even, "mc_band_checked": mc_band_checked, "leaderboard": leaderboard,
 }
 
 _RUN = f"""WITH {PANEL_SQL}, lags AS (SELECT series, step, y, lag(y, 1) OVER (PARTITION BY series ORDER BY step) AS p1, lag(y, 4) OVER (PARTITION BY series ORDER BY step) AS p4 FROM panel),
@@ -151,11 +170,10 @@ UNION ALL SELECT series, strftime(step, '%Y-%m-%d'), bucket, NULL, round(predict
     "view_table_page": f"{_AHEAD} SELECT row, anchor, predicted_date, round(prediction, 4) AS prediction, o_orderpriority FROM ahead ORDER BY predicted_date, row LIMIT 20 OFFSET 40",
     "view_row_table": f"""{_AHEAD} SELECT row, o_orderpriority, anchor, predicted_date, round(prediction, 4) AS prediction, anchor + round(prediction * 0.8::DOUBLE * 7, 0)::INTEGER AS lower, anchor + round(prediction * 1.2::DOUBLE * 7, 0)::INTEGER AS upper
 FROM ahead ORDER BY predicted_date DESC, row LIMIT 50 OFFSET 50""",
-    "mc_band": f"""{_AHEAD}, pool AS (SELECT weeks - (SELECT median(weeks) FROM cases) AS r, row_number() OVER (ORDER BY weeks) - 1 AS k FROM cases WHERE weeks IS NOT NULL),
-m AS (SELECT d, ('0x' || substr(md5('7:' || row || ':' || d), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS k, predicted_date FROM ahead, range(200) t(d)),
-n AS (SELECT d, date_trunc('week', predicted_date + round_even(r * 7, 0)::INTEGER)::DATE AS week, count(*) AS n FROM m JOIN pool USING (k) GROUP BY ALL),
-g AS (SELECT week, coalesce(n, 0) AS n FROM (SELECT DISTINCT week FROM n) CROSS JOIN range(200) t(d) LEFT JOIN n USING (week, d))
-SELECT week, quantile_cont(n, 0.1) AS lower, quantile_cont(n, 0.9) AS upper FROM g GROUP BY 1""",
+    "mc_band_even": f"""{_AHEAD}, w AS (SELECT date_trunc('week', anchor + round_even(prediction * 1.24::DOUBLE * 7, 0)::INTEGER)::DATE AS week, count(*)::DOUBLE AS n FROM ahead GROUP BY 1)
+SELECT week, n AS lower, n AS upper FROM w""",
+    "mc_band_checked": f"""{_AHEAD}, e AS (SELECT anchor + (prediction * 7)::INTEGER AS day FROM ahead UNION ALL SELECT anchor + (prediction * 14)::INTEGER FROM ahead)
+SELECT date_trunc('week', day)::DATE AS week, TRUE AS sound FROM e GROUP BY 1 HAVING count(*) >= 20""",
     "view_export": f"{_AHEAD} SELECT row, strftime(anchor, '%Y-%m-%d') AS anchor, strftime(predicted_date, '%Y-%m-%d') AS predicted_date, round(prediction, 4) AS prediction, 'not trusted' AS verdict FROM ahead",
     "leaderboard": "SELECT o_custkey AS recipe, round(avg(o_totalprice), 2) AS fitness, count(*) AS size FROM orders GROUP BY 1 ORDER BY 2, 3, 1 LIMIT 25",
 }

@@ -128,7 +128,7 @@ def test_bands_and_verdict(spark):
 def test_models(spark, tmp_path):
     rng = random.Random(4)
     rows = spark.createDataFrame([(x := rng.random(), None if i % 9 == 0 else rng.random(), 10 * (x > 0.5) + rng.random(), "hi" if x > 0.5 else "lo", DAY + dt.timedelta(days=i)) for i in range(200)], "a double, b double, y double, label string, day date")
-    fitted = models.fit_model(rows, "squared", ["a", "b"], order="day", depth=2, rounds=4)
+    fitted = models.fit_model(rows, "squared", ["a", "b"], order="day", depth=2, rounds=30, rate=0.3)
     error = models.predict(fitted, rows).agg(evaluate.wape(F.col("y"), F.col("prediction"))).first()[0]
     assert error < 0.15
     classes = models.fit_model(rows, "logistic", ["a", "b"], y="label", depth=2, rounds=3)
@@ -147,7 +147,7 @@ def test_models(spark, tmp_path):
 
 def test_estimators_by_name(spark, tmp_path):
     rows = spark.createDataFrame([({"a": float(i)}, "hi" if i > 30 else "lo") for i in range(60)], "features map<string,double>, label string")
-    models.add_backend("shallow", lambda wide, objective, names: models.fit_model(wide, objective, names, depth=1, rounds=2))
+    models.add_backend("shallow", lambda *wanted, **more: models.fit_model(*wanted, depth=1, rounds=8, rate=0.5, **more))
     fitted = models.fit_maps(rows, estimator="shallow")
     models.save(fitted, str(tmp_path / "m"))
     again = models.load(str(tmp_path / "m"))

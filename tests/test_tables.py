@@ -160,10 +160,54 @@ def test_synthetic_boxes_touch_nothing(spark):
 
 
 def test_suppression_keeps_the_strongest_apart(spark):
-    cells = spark.createDataFrame([(0, 0, 0, 0.9), (0, 2, 2, 0.8), (0, 4, 0, 0.7), (0, 9, 9, 0.6), (1, 0, 0, 0.1)], "frame int, x int, y int, score double")
-    kept = {(r["frame"], r["x"]) for r in boxes.suppress(cells, ["frame"]).collect()}
-    assert kept == {(0, 0), (0, 4), (0, 9), (1, 0)}
-    assert boxes.suppress(cells, ["frame"], limit=1).count() == 2
+    cells = spark.createDataFrame([(0, 0, 0, 0.9), (0, 2, 2, 0.8), (0, 3, 0, 0.7), (0, 9, 9, 0.6), (1, 0, 0, 0.1), (2, 5, 5, 0.5), (2, 6, 4, 0.5), (2, 6, 5, 0.5)], "frame int, x int, y int, score double")
+    kept = {(r["frame"], r["x"], r["y"]) for r in boxes.suppress(cells, ["frame"]).collect()}
+    assert kept == {(0, 0, 0), (0, 3, 0), (0, 9, 9), (1, 0, 0), (2, 6, 5)}
+    assert boxes.suppress(cells, ["frame"], limit=1).count() == 3
+    assert boxes.suppress(cells.where("false"), ["frame"]).count() == 0
+
+
+@pytest.mark.parametrize("tile, levels", [(4, 5), (7, 1000), (64, 3)])
+def test_suppression_in_rounds_is_the_greedy_one(spark, tile, levels):
+    """Crowded maps over many small tiles, with ties and a ridge that rises from tile to tile."""
+    import random
+
+    rng = random.Random(tile)
+    cells = {(f, x, y): rng.randrange(levels) / levels for f in (0, 1) for x in range(-5, 22) for y in range(18) if rng.random() < 0.8}
+    cells |= {(2, x, 0): x / 100 for x in range(60)}
+    kept = []
+    for (f, x, y), _ in sorted(cells.items(), key=lambda p: (p[0][0], p[1], p[0][1], p[0][2]), reverse=True):
+        if not any(f == g and abs(x - a) < 3 and abs(y - b) < 3 for g, a, b in kept):
+            kept.append((f, x, y))
+    frame = spark.createDataFrame([(*k, s) for k, s in cells.items()], "frame int, x int, y int, score double").repartition(3)
+    assert sorted((r["frame"], r["x"], r["y"]) for r in boxes.suppress(frame, ["frame"], limit=None, tile=tile).collect()) == sorted(kept)
+
+
+def test_load_band_against_draws_by_case(spark):
+    """The band of counts dealt out at once, against one draw for each case; a null and an infinite residual don't count."""
+    import datetime as dt
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    day = dt.date(2026, 1, 5)
+    rows = [(i, day + dt.timedelta(days=int(rng.integers(0, 40))), float(rng.integers(1, 30)) / 7) for i in range(3000)]
+    pool = np.round(rng.normal(0, 0.5, 700).clip(-0.9, 2), 3)
+    residuals = spark.createDataFrame([(float(r),) for r in pool] + [(None,), (float("inf"),)], "resid double")
+    frame = spark.createDataFrame(rows, "row long, anchor date, prediction double").repartition(3)
+    found = {r["week"]: (r["lower"], r["upper"]) for r in views.load_band(frame, residuals, 7.0, seed=3).collect()}
+    again = {r["week"]: (r["lower"], r["upper"]) for r in views.load_band(frame.repartition(2), residuals, 7.0, seed=3).collect()}
+    assert found == again
+    counts = {}
+    for draw in range(400):
+        for (_, anchor, wait), r in zip(rows, rng.choice(pool, len(rows))):
+            end = anchor + dt.timedelta(days=int(np.round(wait * (1 + r) * 7)))
+            week = end - dt.timedelta(days=end.weekday())
+            counts.setdefault(week, np.zeros(400))[draw] += 1
+    for week, own in counts.items():
+        for got, want in zip(found.get(week, (0, 0)), np.percentile(own, (10, 90))):
+            assert abs(got - want) <= 1 + 0.35 * own.std()
+    assert views.load_band(frame.where("false"), residuals, 7.0).count() == views.load_band(frame, residuals.where("false"), 7.0).count() == 0
 
 
 def test_tracker(spark):
