@@ -80,8 +80,10 @@ class Boosted:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Raw scores, rows x classes, of values with NaN where missing."""
-        bins = binned(x, self.edges)
-        out = np.tile(np.array(self.base), (len(x), 1))
+        return self.scores_of(binned(x, self.edges))
+
+    def scores_of(self, bins: np.ndarray) -> np.ndarray:
+        out = np.tile(np.array(self.base), (len(bins), 1))
         for trees in self.trees:
             for k, tree in enumerate(trees):
                 out[:, k] += tree.says(bins)
@@ -155,8 +157,7 @@ def losses(objective: str, scores: np.ndarray, y: np.ndarray, seen: np.ndarray)
         return np.exp(m) - y * m
     if objective == "aft":
         z = (np.log(y) - m) / AFT_SCALE
-        with np.errstate(divide="ignore"):
-            tail = np.where(z < _GRID[-1], np.log(np.interp(z, _GRID, _TAIL)), -z * z / 2 - np.log(np.maximum(z, 1)) - 0.92)
+        tail = np.where(z < _GRID[-1], np.interp(z, _GRID, np.log(_TAIL)), -z * z / 2 - np.log(np.maximum(z, 1)) - 0.92)
         return np.where(seen, z * z / 2, -tail)
     p = output(objective, scores)
     return -np.log(np.maximum(p[np.arange(len(p)), y.astype(np.int64)], 1e-15))
@@ -373,13 +374,16 @@ def start(objective: str, y: Column, seen: Column, rows: DataFrame, classes: int
         spread = rows.agg(F.avg(F.abs(y - middle)).alias("w")).first()["w"] or 0.0
         return [float(middle)], max(0.1 * spread, 1e-9)
     mean = rows.agg(F.avg(F.ln(y) if objective == "aft" else y).alias("m")).first()["m"] or 0.0
-    mean = round(mean, 12)
+    return _begin(objective, round(mean, 12)), 1.0
+
+
+def _begin(objective: str, mean: float) -> list[float]:
     if objective in ("tweedie", "poisson"):
-        return [math.log(max(mean, 1e-9))], 1.0
+        return [math.log(max(mean, 1e-9))]
     if objective == "logistic":
         share = min(max(mean, 1e-6), 1 - 1e-6)
-        return [math.log(share / (1 - share))], 1.0
-    return [float(mean)], 1.0
+        return [math.log(share / (1 - share))]
+    return [float(mean)]
 
 
 def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Column, seen: Column | None = None, newest: Column | None = None, classes: int = 1) -> Boosted:
@@ -426,17 +430,28 @@ def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Co
         state["blocks"].unpersist()
 
 
-def fit_local(x: np.ndarray, settings: Settings, y: np.ndarray, seen: np.ndarray, newest: np.ndarray, base: list[float], width: float, edges: list[np.ndarray]) -> Boosted:
-    """The same fit on a bounded sample inside one task."""
-    block = _Block(binned(x, edges), y, seen, newest, [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
+def start_of(objective: str, y: np.ndarray, classes: int) -> tuple[list[float], float]:
+    """``start`` of rows at hand."""
+    if objective == "softprob":
+        return [0.0] * classes, 1.0
+    if objective == "absolute":
+        middle = float(np.percentile(y, 50, method="inverted_cdf"))
+        return [middle], max(0.1 * float(np.abs(y - middle).mean()), 1e-9)
+    mean = round(float((np.log(y) if objective == "aft" else y).mean()), 12)
+    return _begin(objective, mean), 1.0
+
+
+def fit_local(bins: np.ndarray, settings: Settings, y: np.ndarray, seen: np.ndarray, newest: np.ndarray, base: list[float], width: float) -> Boosted:
+    """The same fit inside one task, on a bounded number of rows that are binned already."""
+    block = _Block(bins, y, seen, newest, [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
 
     def sums(trees, growing, level):
-        return _sums([block], settings.objective, trees, growing, level, x.shape[1], width)
+        return _sums([block], settings.objective, trees, growing, level, bins.shape[1], width)
 
     def refresh(trees):
         block.scores = _added(block, trees)
 
-    return Boosted(settings.objective, edges, base, grow(sums, settings, x.shape[1], base, bool(newest.any()), refresh))
+    return Boosted(settings.objective, [], base, grow(sums, settings, bins.shape[1], base, bool(newest.any()), refresh))
 
 
 def histogram(rows: DataFrame, features: list[str], model: Boosted, y: Column, seen: Column | None = None) -> DataFrame:

@@ -11,12 +11,15 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate, features, models, splits
+from tallyforge.operators import boosting, evaluate, features, models, splits
 from tallyforge.operators.profile import build_profile
 from tallyforge.plans.prepare import as_date, panel, prepare_rows, scaffold
+from tallyforge.sources.shared import written
 from tallyforge.spec import ANCHOR, LOWER, ROW, STEP, UNIT_DAYS, PrepSpec
 
 # The search's defaults.
@@ -30,7 +33,7 @@ class Recipe:
     families: tuple[str, ...]
     objective: str
     depth: int = 4
-    rounds: int = 10
+    rounds: int = 60
     rate: float = 0.1
 
     def key(self) -> str:
@@ -140,6 +143,121 @@ def score(ws: Workspace, recipe: Recipe, percent: int = 100) -> Entry:
     return Entry(recipe, sum(losses.values()) if losses else float("inf"), losses, sampled=percent < 100)
 
 
+def packed_frame(ws: Workspace, name: str, percent: int = 100) -> tuple[DataFrame, list[str]]:
+    """One row that holds what recipes learn from and are judged by in one frame, or in a share of its keys; and its columns.
+
+    It is small: the caller sees to it that there are HALVING_ROWS training rows at most. Columns are binned, a byte a value.
+    """
+    frame, columns = ws.frames[name], list(ws.families[name])
+    series, classes = ws.spec.mode == "series", ws.spec.task == "classification"
+    train, judged = frame.where("split = 'train'"), frame.where("split = 'val'")
+    if not series and ws.spec.censor:
+        train = splits.labels_as_of(train, ws.cuts.val_start, UNIT_DAYS[ws.spec.censor.unit])
+        train = train.withColumn("y", F.when(F.col(LOWER) == F.col("__upper"), F.col(LOWER)))
+    if percent < 100:
+        train, judged = (splits.sampled(x, F.col("series" if series else ROW), percent, 1) for x in (train, judged))
+    edges = boosting.bin_edges(train, columns)
+    y = F.col("y")
+    if classes:
+        kinds = train.agg(F.array_sort(F.collect_set(y.cast("string")))).first()[0]
+        y = F.array_position(F.lit(kinds), y.cast("string")) - 1
+    waits = not series and not classes
+    facts = {
+        "y": y, "t": F.col(LOWER) if waits else F.lit(None), "seen": (F.coalesce(F.col(LOWER) == F.col("__upper"), F.lit(False)) if waits else F.lit(True)).cast("int"),
+        "order": F.unix_date(F.col("step" if series else ANCHOR).cast("date")), "period": F.unix_date(F.col("period").cast("date")),
+    }
+    part = lambda rows, own: rows.select(*[boosting._number(c).alias(f"x{i}") for i, c in enumerate(columns)], *[v.cast("double").alias(f"__{n}") for n, v in facts.items()], F.lit(float(own)).alias("__own"))
+
+    names = ["bucket", "bins", *facts, "own"]
+
+    def pack(batches):
+        table = pa.Table.from_batches(list(batches))
+        values = [np.asarray(c.cast(pa.float64()).fill_null(float("nan"))) for c in table.columns]
+        x = np.stack(values[: len(edges)], axis=1)
+        parts = [boosting.binned(x, edges).tobytes(), *(v.tobytes() for v in values[len(edges) :])]
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p], pa.binary()) for p in parts)], names)
+
+    rows = part(train, 1).unionByName(part(judged, 0))
+    order = [c for c in rows.columns if c.startswith("__")]
+    return written(rows.repartition(1).sortWithinPartitions(*order).mapInArrow(pack, "bucket string, " + ", ".join(f"{n} binary" for n in names[1:]))), columns
+
+
+def _fitted_local(values: dict, bins: np.ndarray, objective: str, depth: int, rounds: int, rate: float):
+    """``(period, error, weight)`` of the judged rows by one recipe, fitted on the rows that are to learn from; None where it can't be."""
+    own, y, seen = values["own"] == 1, values["y"], values["seen"] == 1
+    labels = objective in ("logistic", "softprob")
+    target = values["t"] if objective == "aft" else y
+    learn = own & np.isfinite(target) & ((target > 0) if objective == "aft" else (target >= 0) if labels else True)
+    if learn.sum() < models.MIN_ROWS or objective in ("tweedie", "poisson") and target[learn].min() < 0:
+        return None
+    many = int(y[learn].max()) + 1 if labels else 1
+    if labels:
+        objective = "logistic" if many == 2 else "softprob"
+    order = values["order"][learn]
+    newest, t = order > np.percentile(order, 100 * models.NEWEST), target[learn]
+    base, width = boosting.start_of(objective, t, many)
+    model = boosting.fit_local(bins[learn], boosting.Settings(objective, depth, rounds, rate), t, seen[learn] if objective == "aft" else np.ones(len(t), dtype=bool), newest, base, width)
+    judged = ~own & np.isfinite(y)
+    said = boosting.output(objective, model.scores_of(bins[judged]))
+    error, weight = (said.argmax(axis=1) != y[judged], np.ones(judged.sum())) if labels else (np.abs(said[:, 0] - y[judged]), np.abs(y[judged]))
+    periods, at = np.unique(values["period"][judged].astype(np.int64), return_inverse=True)
+    return periods, np.bincount(at, error, len(periods)), np.bincount(at, weight, len(periods))
+
+
+def generation(frames: list[tuple[DataFrame, list[str]]], ws: Workspace, recipes: list[Recipe], sampled: bool) -> list[Entry]:
+    """The entries of many recipes from one stage: a task for each recipe and frame fits and scores it on the packed rows."""
+    spark = frames[0][0].sparkSession
+    columns = {name: own for name, (_, own) in zip(ws.frames, frames)}
+    rows = [(i, name, r.objective, r.depth, r.rounds, r.rate, [columns[name].index(c) for c in features.picked(ws.families[name], set(r.families))]) for i, r in enumerate(recipes) for name in ws.frames]
+    wanted = spark.createDataFrame(rows, "recipe int, bucket string, objective string, depth int, rounds int, rate double, columns array<int>")
+    packed = frames[0][0]
+    for more, _ in frames[1:]:
+        packed = packed.union(more)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                values = {n: np.frombuffer(row[n], np.float64) for n in ("y", "t", "seen", "order", "period", "own")}
+                bins = np.frombuffer(row["bins"], np.uint8).reshape(len(values["y"]), -1)[:, row["columns"]]
+                found = _fitted_local(values, bins, row["objective"], row["depth"], row["rounds"], row["rate"])
+                periods, error, weight = found or ([None], [0.0], [0.0])
+                yield pa.RecordBatch.from_arrays([pa.array([row["recipe"]] * len(periods), pa.int32()), pa.array(periods, pa.int64()), pa.array(error, pa.float64()), pa.array(weight, pa.float64())], ["recipe", "period", "error", "weight"])
+
+    dealt = wanted.repartition(len(rows), "recipe", "bucket").join(F.broadcast(packed), "bucket")  # HALVING_ROWS rows, a byte a value
+    scored = dealt.mapInArrow(run, "recipe int, period long, error double, weight double")
+    losses: list[dict] = [{} for _ in recipes]
+    weights, failed = [0.0] * len(recipes), set()
+    for r in scored.groupBy("recipe", "period").agg(F.sum("error").alias("error"), F.sum("weight").alias("weight")).orderBy("recipe", "period").collect():  # a row for each recipe and period
+        if r["period"] is None:
+            failed.add(r["recipe"])
+        else:
+            losses[r["recipe"]][r["period"]] = r["error"]
+            weights[r["recipe"]] += r["weight"]
+    out = []
+    for i, recipe in enumerate(recipes):
+        own = {p: e / weights[i] for p, e in losses[i].items()} if weights[i] and i not in failed else {}
+        out.append(Entry(recipe, float(f"{sum(own.values()):.9g}") if own else float("inf"), own, sampled))
+    return out
+
+
+def batch_scorer(ws: Workspace):
+    """Scores a generation at a time: on packed rows where there are HALVING_ROWS of them at most, or of a sample that has
+    no more; else recipe by recipe on all rows."""
+    kept: dict[int, list] = {}
+    most = max(1, min(SAMPLE_PERCENT, int(100 * HALVING_ROWS * SAMPLE_PERCENT / 100 / max(1, ws.profile["rows"]))))
+
+    def scored(recipes: list[Recipe], percent: int) -> list[Entry]:
+        if percent == 100 and ws.profile["rows"] > HALVING_ROWS:
+            with ThreadPoolExecutor(2) as pool:
+                return list(pool.map(lambda r: score(ws, r), recipes))
+        share = 100 if percent == 100 else most
+        if share not in kept:
+            kept[share] = [packed_frame(ws, name, share) for name in ws.frames]
+        return generation(kept[share], ws, recipes, percent < 100)
+
+    return scored
+
+
 @dataclass
 class Budget:
     """Bounds of a search: generations without a gain, seconds, candidates at a time."""
@@ -183,28 +301,33 @@ def _crossed(a: Recipe, b: Recipe, rng: random.Random) -> Recipe:
     return Recipe(tuple(sorted(own)), pick(a.objective, b.objective), pick(a.depth, b.depth), pick(a.rounds, b.rounds), pick(a.rate, b.rate))
 
 
-def search(ws: Workspace, budget: Budget | None = None, warm: list[Recipe] = (), seed: int = 7, on_event=None, stop=None, scorer=score) -> Board:
-    """A genetic search over recipes; every fit and score is Spark work, the bookkeeping a few dozen recipes.
+def search(ws: Workspace, budget: Budget | None = None, warm: list[Recipe] = (), seed: int = 7, on_event=None, stop=None, scorer=None) -> Board:
+    """A genetic search over recipes; a generation is fitted and scored in one stage, the bookkeeping is a few dozen recipes.
 
-    Scores are remembered by recipe and by whether they came from a sample. Above ``HALVING_ROWS`` training rows
-    candidates are first scored on a sample of keys and the best third anew on all rows.
+    Scores are remembered by recipe and by whether they came from a sample; one from all rows serves where a sample's
+    would do. Above ``HALVING_ROWS`` training rows candidates are first scored on a sample of keys and the best third
+    anew on all rows. ``scorer(ws, recipe, percent)`` takes the place of the batch's.
     """
     budget, rng, began = budget or Budget(), random.Random(seed), time.monotonic()
     families, objectives = families_of(ws), ws.profile["genes"]["objectives"]
     halve = ws.profile["rows"] > HALVING_ROWS
     known: dict[tuple[str, bool], Entry] = {}
     board, stale = Board(), 0
+    together = batch_scorer(ws) if scorer is None else None
     population = list(warm)[: budget.population]
     while len(population) < budget.population:
         size = rng.randint(1, max(1, len(families) // 2))
         population.append(Recipe(tuple(sorted(rng.sample(families, size))), objectives[len(population) % len(objectives)]))
 
     def scored(recipes, percent):
-        wanted = {(r.key(), percent < 100): r for r in recipes}
+        wanted = {(r.key(), percent < 100 and (r.key(), False) not in known): r for r in recipes}
         new = {k: r for k, r in wanted.items() if k not in known}
-        with ThreadPoolExecutor(budget.threads) as pool:
-            for k, entry in zip(new, pool.map(lambda r: scorer(ws, r, percent), new.values())):
-                known[k] = entry
+        if new and scorer is None:
+            known.update(zip(new, together(list(new.values()), percent)))
+        elif new:
+            with ThreadPoolExecutor(budget.threads) as pool:
+                for k, entry in zip(new, pool.map(lambda r: scorer(ws, r, percent), new.values())):
+                    known[k] = entry
         return [known[k] for k in wanted]
 
     while board.generations < budget.generations:

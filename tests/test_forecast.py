@@ -179,6 +179,62 @@ def test_search_is_deterministic_and_stops(spark, tmp_path):
     assert forecast.search(ws, forecast.Budget(population=4, threads=1), stop=lambda: True, scorer=scorer).stopped == "stopped"
 
 
+def test_a_generation_in_one_stage_scores_as_each_recipe_alone(sales):
+    """The same fitness from tasks on packed rows as from passes over the frames; a recipe that can't be fitted has none."""
+    ws = forecast.series_workspace(sales, SPEC, "week")
+    recipes = [forecast.Recipe(("lag+0", "lag+1", "roll:4"), "squared", 3, 6, 0.3), forecast.Recipe(("lag+0", "season", "dim:project"), "absolute", 2, 5, 0.3), forecast.Recipe(("lag+0",), "tweedie", 2, 4, 0.3)]
+    together = forecast.batch_scorer(ws)(recipes, 100)
+    for entry in together[:2]:
+        alone = forecast.score(ws, entry.recipe)
+        assert entry.fitness == pytest.approx(alone.fitness, rel=0.02) and len(entry.losses) == len(alone.losses)
+    share = forecast.batch_scorer(ws)(recipes[:1], forecast.SAMPLE_PERCENT)[0]
+    assert share.sampled and not together[0].sampled
+    ws.release()
+
+
+def test_boosting_of_waits_and_missing_values(spark, tmp_path):
+    """Trees that know open cases expect them to wait on; missing values go to the side that suits them; a probe stops in time."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        x, wait = rng.random(), 4.0
+        x, wait = (None, 12.0) if i % 5 == 0 else (x, 8.0 if x > 0.6 else 2.0)
+        wait *= 0.9 + 0.2 * rng.random()
+        cut = rng.random() * 10 if i % 2 else None
+        rows.append((x, min(wait, cut) if cut else wait, None if cut and cut < wait else wait, wait, DAY + dt.timedelta(days=i)))
+    frame = spark.createDataFrame(rows, "x double, __lower double, __upper double, truth double, day date").withColumn("y", F.when(F.col("__lower") == F.col("__upper"), F.col("__lower")))
+    aware = models.fit_model(frame, "aft", ["x"], order="day", depth=2, rounds=200, rate=0.3, patience=5)
+    naive = models.fit_model(frame, "absolute", ["x"], order="day", depth=2, rounds=40, rate=0.3)
+    open_ = frame.where("__upper IS NULL")
+    share = [models.predict(m, open_).agg(evaluate.open_consistency(F.col("prediction"), F.col("__lower"))).first()[0] for m in (aware, naive)]
+    assert share[0] >= share[1] and share[0] > 0.9
+    far = models.predict(aware, frame.where("x IS NULL")).agg(F.avg("prediction")).first()[0]
+    assert 8 < far < 20 and aware.model.rounds < 200
+    models.save(aware, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    assert models.predict(again, frame).agg(F.sum("prediction")).first()[0] == pytest.approx(models.predict(aware, frame).agg(F.sum("prediction")).first()[0])
+
+
+def test_derivatives_are_those_of_the_losses():
+    import numpy as np
+
+    from tallyforge.operators import boosting
+
+    rng = np.random.default_rng(1)
+    y, seen = rng.random(50) * 5 + 0.1, rng.random(50) < 0.5
+    for objective in ("squared", "tweedie", "poisson", "aft", "logistic", "softprob"):
+        m = rng.normal(0, 1, (50, 3 if objective == "softprob" else 1))
+        t = rng.integers(0, m.shape[1] if m.shape[1] > 1 else 2, 50) if objective in ("logistic", "softprob") else y
+        g, h = boosting.derivatives(objective, m, t, seen, 1.0)
+        for k in range(m.shape[1]):
+            step = np.zeros(m.shape)
+            step[:, k] = 1e-4
+            slope = (boosting.losses(objective, m + step, t, seen) - boosting.losses(objective, m - step, t, seen)) / 2e-4
+            bend = (boosting.derivatives(objective, m + step, t, seen, 1.0)[0][:, k] - boosting.derivatives(objective, m - step, t, seen, 1.0)[0][:, k]) / 2e-4
+            assert slope == pytest.approx(g[:, k] * (2 if objective == "squared" else 1), abs=2e-3)
+            assert bend * (2 if objective == "softprob" else 1) == pytest.approx(h[:, k], abs=2e-3)
+
+
 def test_censored_rows_keep_open_cases(spark):
     rng = random.Random(3)
     rows = []

@@ -78,6 +78,12 @@ def holds_search_recipes(duck, rows):
     return rows and unique(rows, "recipe") and all(r["fitness"] > 0 and r["families"] for r in rows) and min(r["fitness"] for r in rows) < 1
 
 
+def holds_mc_band(duck, rows):
+    """Each Monday once, with its edges in order; a draw deals out every open case."""
+    open_ = duck.sql("SELECT count(DISTINCT o_custkey) FROM orders").fetchall()[0][0]
+    return unique(rows, "week") and all(0 <= r["lower"] <= r["upper"] for r in rows) and sum(r["lower"] for r in rows) <= open_ <= sum(r["upper"] for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_invariants(spark, duck, name):
     """Queries that SQL can't express: what has to hold of their rows, and that a second run gives the same ones."""
