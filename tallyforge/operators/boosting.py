@@ -23,7 +23,9 @@ from tallyforge.sources.shared import written
 
 #: Bins of a column besides the one of missing values, and rows that are packed together.
 BINS, PACKED = 64, 1 << 14
-#: Trees that a task works out anew in each pass; after so many rounds what they say is stored with the rows.
+#: Parts whose sums meet on the driver at once; those of more meet in tasks first.
+FLAT = 16
+#: After so many rounds what all trees say is worked out from the rows as they came, not from those of the round before.
 REFRESH = 16
 #: Weight below which a side of a split does not stand, and the penalty on a leaf's weight.
 MIN_WEIGHT, SHRINK = 1.0, 1.0
@@ -326,9 +328,9 @@ class Settings:
     shrink: float = SHRINK
 
 
-def grow(sums, s: Settings, columns: int, base: list[float], probing: bool, refresh=None) -> list[list[Tree]]:
-    """The kept model's trees. ``sums(trees, growing, level)`` gives the sums over all rows; ``refresh(trees)`` is told every
-    REFRESH rounds to store what trees so far say, after which ``sums`` gets only later ones."""
+def grow(sums, s: Settings, columns: int, base: list[float], probing: bool, refresh) -> list[list[Tree]]:
+    """The kept model's trees. ``sums(trees, growing, level)`` gives the sums over all rows; ``refresh(trees)`` is told after
+    each round to store what its trees say."""
     classes = len(base)
     trees: list[list[list[Tree]]] = [[], []]
     fresh: list[list[list[Tree]]] = [[], []]
@@ -355,9 +357,8 @@ def grow(sums, s: Settings, columns: int, base: list[float], probing: bool, refr
             if own:
                 trees[model].append(own)
                 fresh[model].append(own)
-        if refresh and (round_ + 1) % REFRESH == 0 and round_ + 1 < s.rounds:
-            refresh(fresh)
-            fresh = [[], []]
+        refresh(fresh)
+        fresh = [[], []]
     if probing:
         got = sums(fresh, [[], [_empty(0) for _ in range(classes)]], 0)
         if not got[-2] / max(got[-1], 1) < best * (1 - 1e-9):
@@ -398,36 +399,44 @@ def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Co
     edges = bin_edges(rows, features)
     table = written(packed(rows, features, edges, y, seen, F.lit(False) if newest is None else newest))
     columns = len(features)
-    blocks = table.rdd.map(_block(columns, base)).persist(StorageLevel.MEMORY_AND_DISK)
-    state = {"blocks": blocks}
+    base_blocks = table.rdd.map(_block(columns, base)).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = base_blocks.getNumPartitions()
+    state: dict = {"now": base_blocks, "past": [], "told": [[], []], "turns": 0}
 
     def sums(trees, growing, level):
-        sent = spark.sparkContext.broadcast((trees, growing))
+        sent = spark.sparkContext.broadcast(growing)
 
         def fold(part):
-            told, grown = sent.value
-            yield _sums(part, s.objective, told, grown, level, columns, width)
+            yield _sums(part, s.objective, trees, sent.value, level, columns, width)
 
         try:
-            return state["blocks"].mapPartitions(fold).treeReduce(np.add, 2)
+            return state["now"].mapPartitions(fold).treeReduce(np.add, 1 if parts <= FLAT else 2)
         finally:
             sent.unpersist()
+            while state["past"]:  # what the sums were read from is stored by now
+                state["past"].pop().unpersist()
 
     def refresh(trees):
-        sent = spark.sparkContext.broadcast(trees)
+        """Rows with what the trees say, from the rows before, or from the first ones where the way from there is long."""
+        for model, more in enumerate(trees):
+            state["told"][model] += more
+        state["turns"] += 1
+        anew = state["turns"] % REFRESH == 0
+        sent = spark.sparkContext.broadcast(state["told"] if anew else trees)
 
         def add(block):
             block.scores = _added(block, sent.value)
             return block
 
-        before, state["blocks"] = state["blocks"], state["blocks"].map(add).persist(StorageLevel.MEMORY_AND_DISK)
-        state["blocks"].count()
-        before.unpersist()
+        if state["now"] is not base_blocks:
+            state["past"].append(state["now"])
+        state["now"] = (base_blocks if anew else state["now"]).map(add).persist(StorageLevel.MEMORY_AND_DISK)
 
     try:
         return Boosted(s.objective, edges, base, grow(sums, s, columns, base, newest is not None, refresh))
     finally:
-        state["blocks"].unpersist()
+        for blocks in (base_blocks, state["now"], *state["past"]):
+            blocks.unpersist()
 
 
 def start_of(objective: str, y: np.ndarray, classes: int) -> tuple[list[float], float]:

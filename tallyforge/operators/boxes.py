@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,35 +171,59 @@ def suppress(cells: DataFrame, key: list[str], separation: int = SEPARATION, lim
     In each round a task decides the cells of a tile from the strongest on: one that a kept cell is near goes, one is
     kept if all that are stronger and near have gone, and one near a stronger cell that another tile has yet to decide
     waits for the next round. Tiles see their neighbours' cells as far as ``separation`` reaches, so a crowded group is
-    many tasks, and rounds are as many as the longest chain of cells that goes from tile to tile.
+    many tasks, and rounds are as many as the longest chain of cells that goes from tile to tile. A tile is known by a
+    64-bit number.
     """
-    import numpy as np
-
-    reach, names = separation - 1, cells.columns
+    reach = separation - 1
     open_, kept, gone = 0, 1, 2
 
-    def decide(frame):
-        order = np.lexsort((frame["y"].to_numpy(), frame["x"].to_numpy(), frame["score"].to_numpy()))[::-1]
-        frame = frame.iloc[order]
-        x, y = (frame[c].to_numpy().astype(np.int64) for c in ("x", "y"))
-        own, state = frame["__own"].to_numpy(), frame["__state"].to_numpy().copy()
-        x, y = x - x.min() + reach, y - y.min() + reach
-        seen = np.zeros((x.max() + reach + 1, y.max() + reach + 1), dtype=np.uint8)  # 1: kept, 2: undecided, of those before
-        for i in range(len(frame)):
-            if state[i] == open_ and own[i]:
-                near = seen[x[i] - reach : x[i] + reach + 1, y[i] - reach : y[i] + reach + 1]
-                state[i] = gone if (near & 1).any() else open_ if near.any() else kept
-            if state[i] != gone:
-                seen[x[i], y[i]] |= 1 if state[i] == kept else 2
-        return frame.assign(__state=state)[own][[*names, "__state"]]
+    def decide(group: list, x: list, y: list, state: list, own: list) -> None:
+        """Decides cells of whole tiles, the strongest of each first."""
+        near: dict = {}  # of each square of the separation's side: its cells that are kept or undecided
+        for i, g in enumerate(group):
+            a, b, now = x[i], y[i], state[i]
+            u, v = a // separation, b // separation
+            if now == open_ and own[i]:
+                found = 0
+                for du in (-1, 0, 1):
+                    for dv in (-1, 0, 1):
+                        for c, d, what in near.get((g, u + du, v + dv), ()):
+                            if abs(a - c) <= reach and abs(b - d) <= reach:
+                                found |= what
+                now = state[i] = gone if found & 1 else open_ if found else kept
+            if now != gone:
+                near.setdefault((g, u, v), []).append((a, b, 1 if now == kept else 2))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            group = held.column("__group")
+            last = pc.index(group, group[-1]).as_py() if held.num_rows else 0  # the last tile may go on in the next batch
+            if last:
+                yield from done(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from done(held)
+
+    def done(table):
+        group, x, y, state, own = (table.column(c).to_pylist() for c in ("__group", "x", "y", "__state", "__own"))
+        decide(group, x, y, state, own)
+        at = table.schema.get_field_index("__state")
+        table = table.set_column(at, table.schema.field(at), pa.array(state, pa.int32())).filter(pa.array(own)).select(names)
+        yield from table.combine_chunks().to_batches()
 
     at = lambda c: F.floor(F.col(c) / tile).cast("long")
     reached = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("long"), F.floor((F.col(c) + reach) / tile).cast("long"))
     now = cells.withColumn("__state", F.lit(open_))
+    names = now.columns
     while True:
         spread = now.withColumns({"__i": F.explode(reached("x")), "__home": at("x")}).withColumn("__j", F.explode(reached("y")))
-        spread = spread.withColumn("__own", (F.col("__i") == F.col("__home")) & (F.col("__j") == at("y"))).where("__own OR __state <> 2").drop("__home")
-        now = written(spread.groupBy(*key, "__i", "__j").applyInPandas(decide, now.schema))
+        spread = spread.withColumn("__own", (F.col("__i") == F.col("__home")) & (F.col("__j") == at("y"))).where("__own OR __state <> 2")
+        spread = spread.withColumn("__group", F.xxhash64(*key, "__i", "__j")).drop("__home", "__i", "__j")
+        strongest = [F.col("score").desc(), F.col("x").desc(), F.col("y").desc()]
+        sorted_ = spread.repartition("__group").sortWithinPartitions("__group", *strongest)
+        now = written(sorted_.mapInArrow(run, now.schema))
         if now.where(F.col("__state") == open_).isEmpty():
             break
     left = now.where(F.col("__state") == kept).drop("__state")

@@ -41,7 +41,10 @@ def open_consistency(p: Column, lower: Column) -> Column:
 
 
 def crowded(rows: DataFrame, by: list[str], most: int = CROWD) -> bool:
-    """Whether a group has more rows than one task should hold the values of."""
+    """Whether a group has more rows than one task should hold the values of. Where Spark's own estimate of all rows'
+    size is below a few bytes for each of ``most`` rows there is nothing to count."""
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 8 * most:
+        return False
     return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most
 
 

@@ -184,7 +184,7 @@ def load_band(forecast: DataFrame, residuals: DataFrame, unit_days: float, draws
         monday = dt.date(1970, 1, 1) + dt.timedelta(days=data.column("week")[0].as_py() * 7 - 3)
         return pa.table([pa.array([monday]), pa.array([low]), pa.array([high])], ["week", "lower", "upper"])
 
-    dealt = alike.mapInArrow(deal, "week long, draws binary")
+    dealt = alike.repartition(int(forecast.sparkSession.conf.get("spark.sql.shuffle.partitions")), "day", "wait").mapInArrow(deal, "week long, draws binary")
     return dealt.groupBy("week").applyInArrow(add, "week date, lower double, upper double")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.sources.shared import written
+
 DECIMAL_COMMA, THOUSANDS_COMMA = r"^\s*-?\d{1,3}(\.\d{3})*,\d+\s*$|^\s*-?\d+,\d+\s*$", r"^\s*-?\d{1,3}(,\d{3})+(\.\d+)?\s*$"
 PLAIN = r"^\s*-?\d+(\.\d+)?\s*$"
 SEPARATORS = ",;\t|"
@@ -98,29 +100,27 @@ def _read_kind(spark: SparkSession, paths: list[str], kind: str, sep: str, schem
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, first, value``: records of files whose quoted fields may hold line breaks; ``first`` marks a file's first.
 
-    A line begins a record where the quotes before it in its file are even in number. Quotes are counted per split, so
-    every split knows how it begins; only splits that hold a line of odd quotes, or begin within quotes, are sorted and
-    their lines put together, all others are passed on as they are.
+    A line with an odd number of quotes opens a record of several lines or ends one, in turn, so the number of such
+    lines before a line tells which record it is part of. They are counted per split first, so every split knows how it
+    begins; only splits with such a line, or that begin within a record, are sorted, and only lines of records that
+    have several are put together. All others are passed on where they are read.
     """
-    lines = _raw_lines(spark, paths).withColumn("quotes", F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))))
-    counts = lines.groupBy("path", "block").agg(F.sum("quotes").alias("own"), F.bool_or(F.col("quotes") % 2 == 1).alias("odd"), F.min("at").alias("least"))
+    lines = _raw_lines(spark, paths)
+    odd = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    lines = lines.withColumn("odd", odd)
+    counts = lines.groupBy("path", "block").agg(F.sum("odd").alias("own"), F.min("at").alias("least"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
-    counts = counts.select(F.col("path").alias("p"), F.col("block").alias("b"), "before", "least", (F.col("odd") | (F.col("before") % 2 == 1)).alias("broken"))
+    counts = written(counts.select(F.col("path").alias("p"), F.col("block").alias("b"), "before", "least", ((F.col("own") > 0) | (F.col("before") % 2 == 1)).alias("broken")))
     known = lines.join(counts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
-    whole = known.where("NOT broken").select("path", ((F.col("block") == 0) & (F.col("at") == F.col("least"))).alias("first"), "value")
-    inside = Window.partitionBy("path", "block").orderBy("at")
-    open_ = (F.col("before") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
-    torn = known.where("broken").withColumn("begins", open_ == 0)
-    torn = torn.withColumn("begun", F.last(F.when(F.col("begins"), F.struct("block", "at")), ignorenulls=True).over(inside))
-    # a split that begins within quotes goes on with the last record that an earlier split began
-    ends = torn.groupBy(F.col("path").alias("p"), F.col("block").alias("b")).agg(F.max("begun").alias("last"))
-    ends = ends.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    torn = torn.drop("p", "b").join(ends.select("p", "b", "carried"), (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
-    torn = torn.withColumn("record", F.coalesce("begun", "carried"))
-    opens = (F.col("block") == 0) & (F.col("at") == F.col("least"))
-    joined = torn.groupBy("path", "record").agg(F.bool_or(opens).alias("first"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
-    return whole.unionByName(joined.select("path", "first", F.array_join(F.col("parts.value"), "\n").alias("value")))
+    known = known.withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("least")))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    torn = known.where("broken").withColumn("turn", F.col("before") + F.coalesce(F.sum("odd").over(inside), F.lit(0)))
+    alone = (F.col("turn") % 2 == 0) & (F.col("odd") == 0)
+    several = torn.where(~alone).groupBy("path", F.floor(F.col("turn") / 2).alias("record"))
+    joined = several.agg(F.bool_or("first").alias("first"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    joined = joined.select("path", "first", F.array_join(F.col("parts.value"), "\n").alias("value"))
+    return known.where("NOT broken").select("path", "first", "value").union(torn.where(alone).select("path", "first", "value")).union(joined)
 
 
 #: Types that a column of text is tried as, in this order, with what its values must look like besides.
