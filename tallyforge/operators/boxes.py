@@ -6,12 +6,15 @@ has the frame as its key unless it says otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.sources.shared import with_places, written
 
@@ -25,6 +28,8 @@ CHROME_CELL = 50
 SEPARATION = 3
 #: Side of the tiles that suppression is dealt by.
 TILE = 64
+#: Positions that are despiked together.
+BLOCK = 1 << 20
 #: Width of the strips in which boxes of a frame meet.
 COLUMN = 64
 BOX = ("left", "top", "width", "height")
@@ -322,53 +327,84 @@ def chrome_cells(peaks: DataFrame, facings: DataFrame, size: int = CHROME_CELL,
     return angles_apart(cells, ["recording", "cx", "cy"]).where((F.col("n") >= min_frames) & (F.col("span") > spread_degrees))
 
 
-def despike(track: DataFrame, tolerance: float = 250.0, side: int = 4, least: int = 9) -> DataFrame:
+def despike(track: DataFrame, tolerance: float = 250.0, side: int = 4, least: int = 9, block: int = BLOCK) -> DataFrame:
     """Positions (``recording, frame, x, y``) without those far from the median of their neighbours.
 
     The neighbours are four places to each side, the place itself left out; short tracks stay as they are.
+
+    Positions are dealt out by their place in the order of all, ``block`` of them together with the ``side`` nearest of
+    both neighbour blocks, so a long recording is many tasks.
     """
-    order = Window.partitionBy("recording").orderBy("frame")
-    many = F.count("*").over(Window.partitionBy("recording"))
+    counts = track.groupBy(F.col("recording").alias("__of")).agg(F.count("*").alias("__n"))
+    placed = with_places(track, ["recording", "frame"], "__place")
+    home, at = F.floor(F.col("__place") / block), F.col("__place") % block
+    copies = F.array_compact(F.array(home, F.when(at < side, home - 1), F.when(at >= block - side, home + 1)))
+    dealt = placed.withColumns({"__home": home, "__block": F.explode(copies)})
+    order = Window.partitionBy("__block", "recording").orderBy("__place")
 
     def middle(c: str) -> Column:
         around = F.array_sort(F.concat(F.collect_list(c).over(order.rowsBetween(-side, -1)), F.collect_list(c).over(order.rowsBetween(1, side))))
         return F.get(around, F.floor(F.size(around) / 2).cast("int"))
 
-    marked = track.withColumns({"n": many, "mx": middle("x"), "my": middle("y")})
+    marked = dealt.withColumns({"mx": middle("x"), "my": middle("y")}).where("__block = __home")
+    marked = marked.join(counts, F.col("recording").eqNullSafe(F.col("__of")))
     far = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) > tolerance
-    return marked.where((F.col("n") < least) | ~F.coalesce(far, F.lit(False))).drop("n", "mx", "my")
+    return marked.where((F.col("__n") < least) | ~F.coalesce(far, F.lit(False))).select(*track.columns)
+
+
+class Follower:
+    """One position per frame: the strongest to begin with, then the strongest within ``max_step`` of the last; after
+    ``lost_after`` frames without one it begins anew. What is carried from frame to frame is a position and a count."""
+
+    def __init__(self, max_step: float, lost_after: int, last: tuple[float, float] | None = None, missed: int = 0):
+        self.reach, self.lost_after, self.last, self.missed = max_step**2, lost_after, last, missed
+
+    def step(self, found: list[tuple[float, float, float]]) -> int | None:
+        """The place of the one kept among a frame's detections (``x, y, score``, the strongest first), if any is."""
+        for k, (x, y, score) in enumerate(found):
+            if score is None or math.isnan(score):
+                continue
+            if self.last is None or (x - self.last[0]) ** 2 + (y - self.last[1]) ** 2 <= self.reach:
+                self.last, self.missed = (x, y), 0
+                return k
+        self.missed += 1
+        if self.missed > self.lost_after:
+            self.last = None
+        return None
 
 
 def track(detections: DataFrame, max_step: float = 600.0, lost_after: int = 5) -> DataFrame:
-    """One position per frame and recording: the strongest to begin with, then the strongest within ``max_step`` of
-    the last; after ``lost_after`` frames without one it begins anew.
+    """``recording, frame, x, y, score``: a ``Follower`` along each recording's frames.
 
-    The state runs along one recording's frames; recordings are the parallelism.
+    Detections come sorted by recording, frame and strength, and are followed as they stream by: a task holds one batch and
+    one frame's detections, however long a recording is.
     """
-    import numpy as np
-
-    def run(frame):
-        frame = frame.sort_values(["frame", "score", "id"], ascending=[True, False, True])
-        number, scored = frame["frame"].to_numpy(), frame["score"].notna().to_numpy()
-        x, y = (frame["left"] + frame["width"] / 2).to_numpy(), (frame["top"] + frame["height"] / 2).to_numpy()
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        kept, last, missed = [], None, 0
-        for a, b in zip(starts, [*starts[1:], len(number)]):
-            near = scored[a:b]
-            if last is not None:
-                near = near & ((x[a:b] - x[last]) ** 2 + (y[a:b] - y[last]) ** 2 <= max_step**2)
-            first = near.argmax()  # the strongest comes first
-            if near[first]:
-                last, missed = a + first, 0
-                kept.append(last)
-            else:
-                missed += 1
-                last = None if missed > lost_after else last
-        return frame[["recording", "frame", "score"]].assign(x=x, y=y).iloc[kept][["recording", "frame", "x", "y", "score"]]
-
-    frame_kind = dict(detections.dtypes)["frame"]
-    rows = detections.select("recording", "frame", "id", *BOX, "score")
-    return rows.groupBy("recording").applyInPandas(run, f"recording string, frame {frame_kind}, x double, y double, score double")
+
+    def run(batches):
+        recording, frame, now, follower = object(), None, [], None
+
+        def close():
+            kept = follower.step([d[:3] for d in now]) if now else None
+            return [] if kept is None else [(recording, frame, *now[kept][:3])]
+
+        for batch in batches:
+            out = []
+            for r, f, left, top, width, height, score in zip(*(c.to_pylist() for c in batch.columns)):
+                if follower is None or r != recording or f != frame:
+                    out += close() if follower else []
+                    if follower is None or r != recording:
+                        follower = Follower(max_step, lost_after)
+                    recording, frame, now = r, f, []
+                now.append((left + width / 2, top + height / 2, score))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names)
+        out = close() if follower else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names)
+
+    shape = T.StructType([detections.schema["recording"], detections.schema["frame"], *(T.StructField(n, T.DoubleType()) for n in ("x", "y", "score"))])
+    kinds, names = [f.type for f in to_arrow_schema(shape)], [f.name for f in shape.fields]
+    numbers = [F.col(c).cast("double").alias(c) for c in (*BOX, "score")]
+    rows = detections.repartition("recording").sortWithinPartitions("recording", "frame", F.col("score").desc_nulls_last(), "id").select("recording", "frame", *numbers)
+    return rows.mapInArrow(run, shape)
 
 
 def sweep(frames: DataFrame, predict: Callable, schema: str = "frame string, x double, y double, score double", floor: float = FLOOR) -> DataFrame:

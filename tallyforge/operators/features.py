@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.expressions import calendar, step_index, steps_between
-from tallyforge.sources.shared import with_places
+from tallyforge.sources.shared import with_places, written
 from tallyforge.spec import ANCHOR, SERIES, STEP, PrepSpec
 
 # The last horizons of the stretches that get a model each, and the features' lags, windows and rates.
@@ -80,22 +81,58 @@ def rolling(value: Column, window: int, over) -> dict[str, Column]:
     return {name: F.when(enough, part.over(frame)) for name, part in parts.items()}
 
 
-def smoothed(values: DataFrame, value: str, alphas=ALPHAS) -> DataFrame:
+def smoothed(values: DataFrame, value: str, alphas=ALPHAS, parts: int | None = None) -> DataFrame:
     """``values`` with ``ewm<100 alpha>``: exponentially weighted levels that hold through gaps.
 
-    The recurrence runs along one series at a time, in Arrow batches sorted by step; series are the parallelism.
+    A level is linear in the one before, so a stretch of a series is known by how much of the level before it is left at
+    its end and what it adds. Series are sorted by range over all tasks; a task smooths what it holds as batches come by,
+    the one series that may have begun in an earlier part as if from nothing. One small row for each part tells how
+    these stretches end; folding them gives the level at which each begins, and its share is added to every row.
     """
-    names = [f"ewm{round(a * 100)}" for a in alphas]
-
-    def run(frame):
-        frame = frame.sort_values(STEP)
-        seen = frame[value].astype("float64")
-        for a, name in zip(alphas, names):
-            frame[name] = seen.ewm(alpha=a, adjust=False, ignore_na=True).mean()
-        return frame
-
-    shape = T.StructType([*values.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
-    return values.groupBy(SERIES).applyInPandas(run, shape)
+    from pyspark import TaskContext
+
+    names, rates = [f"ewm{round(a * 100)}" for a in alphas], list(alphas)
+    spark, plain = values.sparkSession, T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    marks = T.StructType.fromDDL("__part long, __open boolean, __known long")
+    shape = T.StructType([*values.schema.fields, *plain.fields, *marks.fields])
+
+    def run(frames):
+        part, first, now, known, level = TaskContext.get().partitionId(), True, None, 0, None
+        for frame in frames:
+            series, x = frame[SERIES].to_numpy(), frame[value].to_numpy(dtype="float64", na_value=float("nan"))
+            out, count, open_ = [], [], []
+            for s, v in zip(series, x.tolist()):
+                if level is None or s != now:
+                    first = level is None
+                    now, known, level = s, 0, ([0.0] * len(rates) if first else [None] * len(rates))
+                if v == v:
+                    known += 1
+                    level = [v if had is None else (1 - a) * had + a * v for had, a in zip(level, rates)]
+                out.append(level)
+                count.append(known)
+                open_.append(first)
+            columns = list(zip(*out)) if out else [()] * len(names)
+            frame = frame.assign(**{n: pd.Series(c, dtype="float64", index=frame.index) for n, c in zip(names, columns)})
+            yield frame.assign(__part=part, __open=open_, __known=count)
+
+    spread = values.repartitionByRange(parts, SERIES, STEP) if parts else values.repartitionByRange(SERIES, STEP)
+    stored = written(spread.sortWithinPartitions(SERIES, STEP).mapInPandas(run, shape))
+    ended = F.struct(STEP, *names)
+    seen = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), F.struct(STEP, F.col(value).cast("double").alias("x")))
+    cut = F.broadcast(stored.where("__open").select(SERIES).distinct())  # a series for each part at most
+    ends = stored.join(cut, SERIES, "left_semi").groupBy(SERIES, "__part").agg(F.max(ended).alias("end"), F.max("__known").alias("known"), F.min(seen)["x"].alias("x"), F.bool_or("__open").alias("open"))
+    starts, before = [], {}
+    for row in ends.orderBy(SERIES, "__part").collect():  # the parts of these series, two rows for each part at most
+        had = before.get(row[SERIES])
+        begin = had or ([row["x"]] * len(names) if row["x"] is not None else None)
+        if row["open"]:
+            starts.append((row["__part"], had is not None, *(begin or [None] * len(names))))
+        if begin:
+            before[row[SERIES]] = [row["end"][n] + (1 - a) ** row["known"] * b for n, a, b in zip(names, rates, begin)] if row["open"] else [row["end"][n] for n in names]
+    told = spark.createDataFrame(starts, "__of long, __carried boolean, " + ", ".join(f"__{n} double" for n in names))
+    both = stored.join(F.broadcast(told), F.col("__open") & (F.col("__part") == F.col("__of")), "left")  # a row for each part
+    levels = [F.when(~F.col("__open"), F.col(n)).when((F.col("__known") > 0) | F.col("__carried"), F.col(n) + F.pow(F.lit(1 - a), F.col("__known")) * F.col(f"__{n}")).alias(n) for n, a in zip(names, rates)]
+    return both.select(*values.columns, *levels)
 
 
 def origin_features(panel: DataFrame, spec: PrepSpec, step: str, bucket: int, period: int | None = None, measure_lags: dict[str, int] | None = None, with_ewm: bool = True) -> tuple[DataFrame, dict[str, str]]:

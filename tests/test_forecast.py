@@ -103,6 +103,27 @@ def test_features_ignore_what_comes_after_the_origin(sales):
     assert features.buckets_for(8) == [(1, 1), (2, 4), (5, 8)] and features.buckets_for(60)[-1] == (53, 60)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_smoothing_over_parts_is_that_of_whole_series(spark, parts):
+    """A series over many parts, short ones, gaps at the begin and within, a series without values: as along each series."""
+    import pandas as pd
+
+    rng = random.Random(parts)
+    rows = []
+    for series, n in (("a", 300), ("b", 5), ("c", 120), ("d", 9), ("e", 40)):
+        for i in range(n):
+            known = series != "d" and not (series == "c" and i < 70) and rng.random() > 0.2
+            rows.append((series, DAY + dt.timedelta(days=i), rng.random() * 100 if known else None, series * 2))
+    frame = spark.createDataFrame(rows, "__series string, __step date, units double, other string").repartition(4)
+    found = features.smoothed(frame, "units", parts=parts).toPandas().sort_values(["__series", "__step"]).reset_index(drop=True)
+    want = pd.DataFrame(rows, columns=["__series", "__step", "units", "other"]).sort_values(["__series", "__step"]).reset_index(drop=True)
+    assert len(found) == len(want)
+    for a in features.ALPHAS:
+        own = want.groupby("__series")["units"].transform(lambda x: x.ewm(alpha=a, adjust=False, ignore_na=True).mean())
+        assert found[f"ewm{round(a * 100)}"].to_numpy() == pytest.approx(own.to_numpy(), nan_ok=True, rel=1e-9)
+    assert features.smoothed(frame.where("false"), "units").count() == 0
+
+
 def test_profile_reads_training_rows_only(sales):
     grid = prepare.panel(sales, SPEC)
     train = F.col("__step") < F.lit(DAY + dt.timedelta(weeks=80))

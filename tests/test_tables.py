@@ -210,6 +210,26 @@ def test_load_band_against_draws_by_case(spark):
     assert views.load_band(frame.where("false"), residuals, 7.0).count() == views.load_band(frame, residuals.where("false"), 7.0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 7, 1 << 20])
+def test_despiking_over_blocks(spark, block):
+    """Recordings of every length over blocks that cut them anywhere, against the medians of whole recordings."""
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    rows = [(r, f, 500.0 * (rng.random() < 0.15) + f, float(f % 3)) for r, n in (("a", 60), ("b", 8), ("c", 9), ("d", 1), ("e", 33)) for f in range(n)]
+    want = []
+    for r in "abcde":
+        own = [x for x in rows if x[0] == r]
+        for i, (_, f, x, y) in enumerate(own):
+            near = own[max(0, i - 4) : i] + own[i + 1 : i + 5]
+            middle = [statistics.median_high(p[k] for p in near) if near else None for k in (2, 3)]
+            if len(own) < 9 or ((x - middle[0]) ** 2 + (y - middle[1]) ** 2) ** 0.5 <= 250:
+                want.append((r, f))
+    frame = spark.createDataFrame(rows, "recording string, frame int, x double, y double").repartition(3)
+    assert sorted((r["recording"], r["frame"]) for r in boxes.despike(frame, block=block).collect()) == sorted(want)
+
+
 def test_tracker(spark):
     kind = "recording string, frame int, id long, left int, top int, width int, height int, score double"
     rows = [("r", 0, 1, 0, 0, 10, 10, 0.5), ("r", 0, 2, 900, 0, 10, 10, 0.9), ("r", 1, 3, 0, 0, 10, 10, 0.99), ("r", 1, 4, 890, 0, 10, 10, 0.4)]
