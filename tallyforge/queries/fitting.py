@@ -178,6 +178,19 @@ def stream_judgements(spark, sf_dir):
     return _drained(spark, latest, "complete")
 
 
+def stream_upserts(spark, sf_dir):
+    """Orders as a stream of judgements in several epochs, folded into a table by buckets: the records that are left."""
+    source, path = new_path(spark, "events"), new_path(spark, "judged")
+    action = F.when(c("o_orderkey") % 7 == 0, "clear").when(c("o_orderkey") % 5 == 0, "exclude").otherwise("label")
+    events = orders(spark, sf_dir).select(F.concat(F.lit("t"), "o_custkey").alias("tile"), c("o_orderkey").alias("at"), action.alias("action"), c("o_orderpriority").alias("label"))
+    events.repartition(4, F.xxhash64("at")).write.parquet(source)
+    kept = judgements.JudgementTable(spark, path, 8)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = stream.writeStream.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).foreachBatch(kept.fold).start()
+    query.awaitTermination()
+    return kept.records()
+
+
 def stream_rollup(spark, sf_dir):
     """Orders rolled up by thirty days as a stream, with a watermark: closed steps only."""
     schema = orders(spark, sf_dir).schema
@@ -197,7 +210,7 @@ def _drained(spark, stream, mode):
     return spark.read.schema(stream.schema).parquet(path + ("/out" if mode == "complete" else "/out/epoch=*"))
 
 
-NAMES = ("fit_series", "fit_rows", "fit_classes", "fit_maps", "fit_maps_names", "boost_values", "boost_classes", "boost_waits", "boost_histogram", "fit_series_checked", "fit_rows_checked", "fit_classes_checked", "fit_maps_checked", "search_recipes", "stream_judgements", "stream_rollup")
+NAMES = ("fit_series", "fit_rows", "fit_classes", "fit_maps", "fit_maps_names", "boost_values", "boost_classes", "boost_waits", "boost_histogram", "fit_series_checked", "fit_rows_checked", "fit_classes_checked", "fit_maps_checked", "search_recipes", "stream_judgements", "stream_upserts", "stream_rollup")
 QUERIES = {name: globals()[name] for name in NAMES}
 _RULE = f"WITH r AS (SELECT o_orderkey, {PRIORITY} AS priority, {MONTH} AS month, {_KNOWN} AS v FROM orders)"
 ORACLES = {
@@ -218,6 +231,8 @@ SELECT o_orderkey AS row, o_orderstatus AS actual, TRUE AS sound FROM orders, e
     "fit_maps_checked": "SELECT count(*) AS n, TRUE AS sound FROM events",
     "stream_rollup": """WITH d AS (SELECT DATE '1970-01-01' + (30 * (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) // 30))::INTEGER AS step, o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS n FROM orders GROUP BY ALL)
 SELECT * FROM d WHERE step + 30 <= (SELECT max(o_orderdate)::DATE FROM orders) - 7""",
+    "stream_upserts": """WITH x AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT 't' || o_custkey AS tile, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS label, o_orderkey % 5 = 0 AS excluded FROM x WHERE o_orderkey % 7 <> 0""",
     "stream_judgements": """WITH x AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
 SELECT 't' || o_custkey AS tile, CASE WHEN o_orderkey % 5 = 0 THEN 'exclude' ELSE 'label' END AS action, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS label FROM x""",
 }

@@ -244,6 +244,26 @@ def test_assets_are_parsed(spark):
     assert (row["p"], row["r"], row["i"], row["n"]) == ("a/b__rec_cnn", "a/b__rec", 7, None)
 
 
+def test_judgement_table_by_buckets(spark, tmp_path):
+    """A replayed epoch changes nothing, untouched buckets keep their files, a late event does not undo a later one."""
+    kind = "tile string, at long, action string, label string"
+    path = str(tmp_path / "judged")
+    kept = judgements.JudgementTable(spark, path, 4)
+    assert kept.records().count() == 0
+    kept.fold(spark.createDataFrame([(f"t{i}", i, "label", "x") for i in range(40)], kind), 0)
+    before = {str(p.relative_to(tmp_path)) for p in (tmp_path / "judged").rglob("*.parquet")}
+    batch = spark.createDataFrame([("t1", 100, "exclude", None), ("t1", 99, "label", "y"), ("t2", 101, "clear", None), ("t3", 2, "label", "late")], kind)
+    for _ in range(2):
+        kept.fold(batch, 1)
+        found = {r["tile"]: (r["label"], r["excluded"]) for r in kept.records().collect()}
+        assert found == {f"t{i}": ("x", False) for i in range(40) if i not in (1, 2)} | {"t1": (None, True)}
+    assert before <= {str(p.relative_to(tmp_path)) for p in (tmp_path / "judged").rglob("*.parquet")}
+    kept.fold(spark.createDataFrame([("t2", 50, "label", "old")], kind), 2)
+    kept.fold(batch.where("false"), 3)
+    assert kept.records().count() == 39 and kept.tidy() >= 1
+    assert kept.records().count() == 39 and kept.tidy() == 0
+
+
 def test_judgements_fold_in_batches(spark, tmp_path):
     kind = "tile string, at long, action string, label string"
     path = str(tmp_path / "records")
