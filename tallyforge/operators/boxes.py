@@ -122,12 +122,16 @@ def beats(model: DataFrame, teacher: DataFrame) -> DataFrame:
     return model.join(F.broadcast(t)).select("recall", "t_recall", "spurious", "t_spurious", (no_worse & better).alias("beats"))
 
 
-def outside_kept(points: DataFrame, kept: DataFrame, key: list[str]) -> DataFrame:
-    """Points (``x, y``) that lie in no kept box (``left, top, width, height``) of their frame: the negatives."""
-    boxes = kept.select(*[F.col(k).alias("k_" + k) for k in key], *[F.col(c).alias("k_" + c) for c in BOX])
+def outside_kept(points: DataFrame, kept: DataFrame, key: list[str], column: int = COLUMN) -> DataFrame:
+    """Points (``x, y``) that lie in no kept box (``left, top, width, height``) of their frame: the negatives.
+
+    A point meets the boxes that reach into its strip of ``column`` pixels only.
+    """
+    boxes = kept.where("width > 0 AND height > 0").select(*[F.col(k).alias("k_" + k) for k in key], *[F.col(c).alias("k_" + c) for c in BOX])
     left, top, width, height = of("k_")
+    boxes = boxes.withColumn("k_strip", F.explode(F.sequence(F.floor(left / column), F.floor((left + width - 1) / column))))
     inside = (F.col("x") >= left) & (F.col("x") < left + width) & (F.col("y") >= top) & (F.col("y") < top + height)
-    on = inside
+    on = inside & (F.floor(F.col("x") / column) == F.col("k_strip"))
     for k in key:
         on = on & (F.col(k) == F.col("k_" + k))
     return points.join(boxes, on, "left_anti")

@@ -407,7 +407,10 @@ def finish(ws: Workspace, recipe: Recipe) -> dict:
     signed = validation.agg(F.min("actual") >= 0).first()[0] or False
     banded = evaluate.apply_band(test, band, by, nonnegative=bool(signed))
     y, p = F.col("actual"), F.col("prediction")
-    row = banded.agg(evaluate.wape(y, p).alias("e"), evaluate.coverage(y, F.col("lower"), F.col("upper")).alias("c"), F.count(y).alias("n"), F.count_distinct("period").alias("steps"), evaluate.band_width(F.col("lower"), F.col("upper")).alias("w"), evaluate.spread(y).alias("s")).first()
+    row = banded.agg(evaluate.wape(y, p).alias("e"), evaluate.coverage(y, F.col("lower"), F.col("upper")).alias("c"), F.count(y).alias("n"), F.count_distinct("period").alias("steps")).first()
+    spans = {"w": (F.col("upper") - F.col("lower"), 0.5), "low": (y, 0.1), "high": (y, 0.9)}
+    wide = evaluate.quantiles(banded, [], spans, evaluate.crowded(banded, [])).first()
+    own_spread = None if wide["low"] is None else wide["high"] - wide["low"]
     if ws.spec.mode == "series":
         last = [c for f in ws.families.values() for c in f]
         parts = None
@@ -419,7 +422,8 @@ def finish(ws: Workspace, recipe: Recipe) -> dict:
         steps = row["steps"]
     else:
         frame, steps = ws.frames["all"], None
-        overall = frame.where("split IN ('train', 'val') AND y IS NOT NULL").agg(F.median("y")).first()[0]
+        known_rows = frame.where("split IN ('train', 'val') AND y IS NOT NULL")
+        overall = evaluate.quantiles(known_rows, [], {"m": (F.col("y"), 0.5)}, evaluate.crowded(known_rows, [])).first()["m"]
         baseline = test.withColumn("prediction", F.lit(overall)).agg(evaluate.wape(y, p)).first()[0]
     forecast = evaluate.apply_band(rest[0], band, by, nonnegative=bool(signed))
-    return {"validation": validation, "test": test, "forecast": forecast, "verdict": evaluate.judge(row["e"], baseline, row["c"], row["n"], steps, width=row["w"], own_spread=row["s"])}
+    return {"validation": validation, "test": test, "forecast": forecast, "verdict": evaluate.judge(row["e"], baseline, row["c"], row["n"], steps, width=wide["w"], own_spread=own_spread)}

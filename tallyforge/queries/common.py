@@ -9,7 +9,7 @@ from tallyforge.spec import Censor, Column as Col, PrepSpec
 
 WEEKS = 7.0
 #: Orders by date and priority: a series for each priority.
-SERIES = PrepSpec("series", (Col("o_orderdate", "time"), Col("o_orderpriority", "dimension"), Col("o_totalprice", "target")), step="month", horizon=6)
+SERIES = PrepSpec("series", (Col("o_orderdate", "time"), Col("o_orderpriority", "dimension"), Col("o_totalprice", "target", "sum")), step="month", horizon=6)
 #: Waiting time to the same customer's next order; the last one is open.
 CASES = PrepSpec("row", (Col("o_orderdate", "anchor"), Col("o_orderpriority", "dimension"), Col("o_totalprice", "measure"), Col("weeks", "target")), censor=Censor("week"))
 

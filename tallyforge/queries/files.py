@@ -50,6 +50,18 @@ def file_late_sign(spark, sf_dir):
     return _read_back(files.read_delimited(spark, path + "/*.csv"))
 
 
+def file_frame_sizes(spark, sf_dir):
+    """Images of which there is a header only, one for each nation, and a file that is none: sizes by the headers."""
+    path = new_path(spark)
+    n = F.col("n_nationkey")
+    number = lambda x: F.lpad(F.hex(x.cast("int")), 8, "0")
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(100 + n), number(2000 - 3 * n), F.lit("0802000000"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.unhex(head).cast("string").alias("value")).unionByName(spark.range(1).select(F.lit(-1).alias("n_nationkey"), F.lit("no image").alias("value")), allowMissingColumns=True)
+    rows.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    sizes = files.frame_sizes(spark, path)
+    return sizes.select(F.regexp_extract("path", r"n_nationkey=(-?\d+)", 1).cast("int").alias("nation"), "frame_width", "frame_height")
+
+
 def file_encodings(spark, sf_dir):
     """What is found out about the files of three encodings: how many kinds of first line each has."""
     path = new_path(spark)
@@ -169,12 +181,13 @@ def file_prepared(spark, sf_dir):
     return files.prepared(spark, lambda: first.where("false"), folder, key)
 
 
-NAMES = ("file_delimited", "file_cp1252", "file_late_sign", "file_encodings", "file_json", "file_lines", "file_lines_skipping", "file_bad_lines", "file_keyed", "file_decisions", "file_modes", "file_provenance", "file_listing", "file_feature_maps", "file_run", "file_export", "file_prepared")
+NAMES = ("file_delimited", "file_cp1252", "file_late_sign", "file_frame_sizes", "file_encodings", "file_json", "file_lines", "file_lines_skipping", "file_bad_lines", "file_keyed", "file_decisions", "file_modes", "file_provenance", "file_listing", "file_feature_maps", "file_run", "file_export", "file_prepared")
 QUERIES = {name: globals()[name] for name in NAMES}
 _ROWS = "SELECT o_orderkey, o_orderpriority, o_totalprice, 'Köln \u20ac' || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN ';' || chr(10) || 'x' ELSE '' END AS note FROM orders"
 ORACLES = {
     "file_delimited": _ROWS,
     "file_cp1252": _ROWS,
+    "file_frame_sizes": "SELECT n_nationkey::INTEGER AS nation, (100 + n_nationkey)::INTEGER AS frame_width, (2000 - 3 * n_nationkey)::INTEGER AS frame_height FROM nation",
     "file_late_sign": "SELECT o_orderkey, o_orderpriority, o_totalprice, CASE WHEN o_orderkey = max(o_orderkey) OVER () THEN 'Köln' ELSE 'plain' END AS note FROM orders",
     "file_encodings": "SELECT * FROM (VALUES ('utf-16', 'o_orderkey,sign'), ('utf-8', 'o_orderkey,sign'), ('cp1252', 'o_orderkey,sign')) t(encoding, line)",
     "file_json": _ROWS,

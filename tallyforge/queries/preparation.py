@@ -12,6 +12,7 @@ from tallyforge.operators import features, splits
 from tallyforge.plans import prepare
 from tallyforge.queries.common import CASES, CASES_SQL, PANEL_SQL, SERIES, c, cases, orders, rounded, table
 from tallyforge.sources import files
+from tallyforge.sources.shared import new_path
 from tallyforge.spec import Column, PrepSpec
 
 CUT = dt.date(1997, 1, 1)
@@ -108,6 +109,22 @@ def hash_split(spark, sf_dir):
     return drawn.groupBy("split").agg(F.count("*").alias("n"))
 
 
+def stamped_split(spark, sf_dir):
+    """Orders with the part that their customer is in, stamped on and read back; a second stamp is refused."""
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_custkey")
+    path = new_path(spark)
+    splits.stamp_split(rows, c("o_custkey"), {"train": 70, "val": 20, "test": 10}, 3).write.parquet(path)
+    back = spark.read.parquet(path)
+    try:
+        splits.stamp_split(back, c("o_custkey"), {"train": 70, "val": 20, "test": 10}, 4)
+        refused = False
+    except splits.SplitError:
+        refused = True
+    parts = back.groupBy("split").agg(F.count_distinct("o_custkey").alias("customers"))
+    torn = back.groupBy("o_custkey").agg(F.count_distinct("split").alias("n")).agg((F.max("n") == 1).alias("whole"))  # one row
+    return parts.join(F.broadcast(torn)).withColumn("refused", F.lit(refused))
+
+
 def sample_share(spark, sf_dir):
     """Whole customers in a sample of a fifth: the rows that stay, by customer."""
     rows = orders(spark, sf_dir).withColumn("n_all", F.count("*").over(Window.partitionBy("o_custkey")))
@@ -116,7 +133,7 @@ def sample_share(spark, sf_dir):
 
 def describe_columns(spark, sf_dir):
     rows = orders(spark, sf_dir)
-    return files.describe(rows).select("column", "kind", "levels", "missing", "role")
+    return files.describe(rows, "row").withColumn("samples", F.array_join("samples", "|"))
 
 
 def locale_numbers(spark, sf_dir):
@@ -170,7 +187,7 @@ QUERIES = {
     "prep_panel_month": _panel("month"), "prep_panel_week": _panel("week"), "prep_panel_quarter": _panel("quarter"), "prep_agg_all": prep_agg_all,
     "prep_scaffold": prep_scaffold, "prep_infer_step": prep_infer_step, "prep_history": prep_history, "prep_series_summary": prep_series_summary,
     "row_bounds": row_bounds, "row_predict": row_predict, "row_summary": row_summary, "row_numbers": row_numbers, "labels_as_of": labels_as_of,
-    "row_split_masks": row_split_masks, "series_cuts": series_cuts, "hash_split": hash_split, "sample_share": sample_share, "describe_columns": describe_columns,
+    "row_split_masks": row_split_masks, "series_cuts": series_cuts, "hash_split": hash_split, "stamped_split": stamped_split, "sample_share": sample_share, "describe_columns": describe_columns,
     "locale_numbers": locale_numbers, "features_lags": features_lags, "features_rolling": features_rolling, "features_ewm": features_ewm,
     "features_calendar": features_calendar, "features_bucket_rows": features_bucket_rows, "features_rows": features_rows,
 }
@@ -178,6 +195,10 @@ QUERIES = {
 _LOWER = "CASE WHEN weeks IS NULL THEN date_diff('day', anchor, (SELECT max(o_orderdate)::DATE FROM orders {w})) / 7.0::DOUBLE ELSE weeks END"
 _BOUNDS = f"{CASES_SQL}, b AS (SELECT o_orderkey AS row, anchor, o_orderpriority, o_orderstatus, o_totalprice, weeks, {_LOWER.format(w='')} AS lower, coalesce(weeks, 'infinity'::DOUBLE) AS upper FROM cases)"
 
+_COLUMNS = (("o_orderkey", "number", "measure"), ("o_custkey", "number", "measure"), ("o_orderstatus", "text", "dimension"), ("o_totalprice", "number", "measure"), ("o_orderdate", "date", "anchor"), ("o_orderpriority", "text", "dimension"))
+_DESCRIBED = """SELECT '{name}' AS "column", '{kind}' AS kind, count(DISTINCT {name}) AS levels, count(*) - count({name}) AS missing,
+(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {name}::VARCHAR AS v FROM orders WHERE {name} IS NOT NULL ORDER BY v LIMIT 5)) AS samples, '{role}' AS role FROM orders"""
+
 ORACLES = {
     "prep_panel_month": _panel_sql("month", "1 MONTH"), "prep_panel_week": _panel_sql("week", "7 DAY"), "prep_panel_quarter": _panel_sql("quarter", "3 MONTH"),
     "prep_agg_all": """
@@ -219,14 +240,12 @@ SELECT step, place, CASE WHEN place < k - late THEN 'train' WHEN place < k - t T
 WITH k AS (SELECT count(DISTINCT c_custkey) AS n FROM customer), s AS (SELECT * FROM (VALUES ('train', 70), ('val', 20), ('test', 10)) t(split, w)),
 q AS (SELECT split, n * w // 100 AS base, n * w % 100 AS rest, n, w FROM s, k), x AS (SELECT *, row_number() OVER (ORDER BY rest DESC, w DESC) AS r, sum(base) OVER () AS had FROM q)
 SELECT split, (base + CASE WHEN r <= n - had THEN 1 ELSE 0 END)::BIGINT AS n FROM x""",
+    "stamped_split": """
+WITH k AS (SELECT count(DISTINCT o_custkey) AS n FROM orders), s AS (SELECT * FROM (VALUES ('train', 70), ('val', 20), ('test', 10)) t(split, w)),
+q AS (SELECT split, n * w // 100 AS base, n * w % 100 AS rest, n, w FROM s, k), x AS (SELECT *, row_number() OVER (ORDER BY rest DESC, w DESC) AS r, sum(base) OVER () AS had FROM q)
+SELECT split, (base + CASE WHEN r <= n - had THEN 1 ELSE 0 END)::BIGINT AS customers, TRUE AS whole, TRUE AS refused FROM x""",
     "sample_share": "SELECT o_custkey, count(*) AS n, count(*) AS n_all FROM orders WHERE ('0x' || substr(md5('1:' || o_custkey), 1, 8))::BIGINT % 100 < 20 GROUP BY 1",
-    "describe_columns": """
-SELECT 'o_orderkey' AS "column", 'number' AS kind, count(DISTINCT o_orderkey) AS levels, count(*) - count(o_orderkey) AS missing, 'measure' AS role FROM orders
-UNION ALL SELECT 'o_custkey', 'number', count(DISTINCT o_custkey), count(*) - count(o_custkey), 'measure' FROM orders
-UNION ALL SELECT 'o_orderstatus', 'text', count(DISTINCT o_orderstatus), count(*) - count(o_orderstatus), 'dimension' FROM orders
-UNION ALL SELECT 'o_totalprice', 'number', count(DISTINCT o_totalprice), count(*) - count(o_totalprice), 'measure' FROM orders
-UNION ALL SELECT 'o_orderdate', 'date', count(DISTINCT o_orderdate), count(*) - count(o_orderdate), 'anchor' FROM orders
-UNION ALL SELECT 'o_orderpriority', 'text', count(DISTINCT o_orderpriority), count(*) - count(o_orderpriority), 'dimension' FROM orders""",
+    "describe_columns": " UNION ALL ".join(_DESCRIBED.format(name=name, kind=kind, role=role) for name, kind, role in _COLUMNS),
     "locale_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS german, round(o_totalprice, 2) AS english FROM orders",
     "features_lags": f"""WITH {PANEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY step) AS k FROM panel), x AS (SELECT max(step) AS last FROM panel),
 t AS (SELECT series, step, y, k FROM r UNION ALL SELECT series, unnest(generate_series(max(step)::TIMESTAMP + INTERVAL 1 MONTH, (SELECT last FROM x)::TIMESTAMP, INTERVAL 1 MONTH))::DATE, 0, NULL FROM panel GROUP BY series),

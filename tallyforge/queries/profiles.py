@@ -9,7 +9,7 @@ from tallyforge.plans import prepare
 from tallyforge.queries.common import CASES, CASES_SQL, PANEL_SQL, SERIES, c, cases, orders, rounded
 from tallyforge.spec import Column, PrepSpec
 
-WEEKLY = PrepSpec("series", (Column("o_orderdate", "time"), Column("o_orderpriority", "dimension"), Column("n", "measure", "count"), Column("o_totalprice", "target")), step="week", horizon=8)
+WEEKLY = PrepSpec("series", (Column("o_orderdate", "time"), Column("o_orderpriority", "dimension"), Column("n", "measure", "count"), Column("o_totalprice", "target", "sum")), step="week", horizon=8)
 
 
 def weekly(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import codecs
 import csv
 import hashlib
+import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,16 +219,29 @@ def typed_numbers(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: parsed_number(F.col(c), f) for c, f in formats.items()}) if formats else rows
 
 
-def describe(rows: DataFrame) -> DataFrame:
-    """One row per column: kind, distinct and missing counts, its first and last value and a suggested role; one pass."""
-    kinds = {"string": "text", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "boolean": "text"}
+#: Samples of a column, and parts in which a column's values are looked through for them.
+SAMPLES, SAMPLE_PARTS = 5, 64
 
-    def facts(f: T.StructField):
-        c, kind = F.col(f.name), kinds.get(f.dataType.typeName(), "number")
-        role = {"text": "dimension", "date": "anchor", "number": "measure"}[kind]
-        return F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.count_distinct(c).alias("levels"), F.count_if(c.isNull()).alias("missing"), F.array(F.min(c.cast("string")), F.max(c.cast("string"))).alias("samples"), F.lit(role).alias("role"))
 
-    return rows.agg(F.array(*[facts(f) for f in rows.schema.fields]).alias("f")).select(F.inline("f"))
+def describe(rows: DataFrame, mode: str = "series") -> DataFrame:
+    """One row per column: kind, distinct and missing counts, up to five samples and a suggested role.
+
+    Each (column, value) is counted once, however many rows have it; samples are a column's least values as text.
+    """
+    kinds = {"string": "text", "date": "date", "timestamp": "date", "timestamp_ntz": "date", "boolean": "text"}
+    roles = {"text": "dimension", "date": "anchor" if mode == "row" else "time", "number": "measure"}
+    fields = [(f.name, kinds.get(f.dataType.typeName(), "number")) for f in rows.schema.fields]
+    pairs = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n, _ in fields])))
+    counts = pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
+    facts = counts.groupBy("column").agg(F.count("value").alias("levels"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    best = lambda *by: F.row_number().over(Window.partitionBy("column", *by).orderBy("value"))
+    some = counts.where("value IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("value"), F.lit(SAMPLE_PARTS)))
+    some = some.withColumn("k", best("part")).where(F.col("k") <= SAMPLES).withColumn("k", best()).where(F.col("k") <= SAMPLES)
+    samples = some.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    named = rows.sparkSession.createDataFrame([(n, k, roles[k]) for n, k in fields], "column string, kind string, role string")
+    out = named.join(facts, "column", "left").join(samples, "column", "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("column", "kind", count("levels"), count("missing"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "role")
 
 
 def fingerprint(spark: SparkSession, path: str, name_only: bool = True) -> str:
@@ -307,8 +322,48 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
 
 
+#: Bytes of an image that are looked at for its size.
+IMAGE_HEAD = 1 << 18
+
+
+def image_size(head: bytes) -> tuple[int, int] | None:
+    """Width and height by an image's header: PNG, GIF, BMP or JPEG; None for what is none of them."""
+    if head.startswith(b"\x89PNG\r\n\x1a\n") and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    if head[:6] in (b"GIF87a", b"GIF89a") and len(head) >= 10:
+        return struct.unpack("<HH", head[6:10])
+    if head.startswith(b"BM") and len(head) >= 26:
+        width, height = struct.unpack("<ii", head[18:26])
+        return width, abs(height)
+    if not head.startswith(b"\xff\xd8"):
+        return None
+    at = 2
+    while at + 9 <= len(head):
+        if head[at] != 0xFF:
+            return None
+        kind = head[at + 1]
+        if kind == 0xFF:  # padding
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # the frame's own header
+            height, width = struct.unpack(">HH", head[at + 5 : at + 9])
+            return width, height
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD8:  # markers without a body
+            at += 2
+        else:
+            at += 2 + struct.unpack(">H", head[at + 2 : at + 4])[0]
+    return None
+
+
 def frame_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("frame_width"), F.col("image.height").alias("frame_height"))
+    """``path, frame_width, frame_height`` of images, by their headers; files that are no images are left out."""
+
+    def look(batches):
+        for batch in batches:
+            found = [(p, *size) for p, h in zip(batch["path"], batch["head"]) if (size := image_size(bytes(h)))]
+            yield pd.DataFrame(found, columns=["path", "frame_width", "frame_height"])
+
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring("content", 1, IMAGE_HEAD).alias("head"))
+    return heads.mapInPandas(look, "path string, frame_width int, frame_height int")
 
 
 def read_feature_maps(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyforge.plans import prepare
 from tallyforge.spec import Censor, Column, PrepSpec, SpecError, parse_spec
 
 DAY = dt.date(2023, 7, 3)
-SPEC = PrepSpec("series", (Column("day", "time"), Column("project", "dimension"), Column("orders", "measure", "last"), Column("units", "target")), step="week", horizon=8)
+SPEC = PrepSpec("series", (Column("day", "time"), Column("project", "dimension"), Column("orders", "measure", "last"), Column("units", "target", "sum")), step="week", horizon=8)
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,7 @@ def test_panel_has_no_gaps_and_fills_by_rule(sales):
 
 def test_nulls_in_dimensions(spark):
     rows = spark.createDataFrame([(DAY, "A", None, 1.0), (DAY, None, "A", 2.0), (DAY, None, None, None)], "day date, x string, y string, v double")
-    spec = PrepSpec("series", (Column("day", "time"), Column("x", "dimension"), Column("y", "dimension"), Column("v", "target")), step="day")
+    spec = PrepSpec("series", (Column("day", "time"), Column("x", "dimension"), Column("y", "dimension"), Column("v", "target", "sum")), step="day")
     assert {r["__series"] for r in prepare.grouped_steps(rows, spec, "day").collect()} == {"A", ""}
 
 
