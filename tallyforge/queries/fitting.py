@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import boosting, forecast, models
 from tallyforge.queries.common import CASES, CASES_SQL, SERIES, c, cases, orders, rounded, table
-from tallyforge.sources.shared import new_path, written
+from tallyforge.sources.shared import new_path, table_folder, written
 from tallyforge.spec import LOWER, UPPER, Column, PrepSpec
 from tallyforge.streaming import judgements
 
@@ -17,8 +17,8 @@ _FITTED: dict = {}
 
 
 def _once(spark, sf_dir, name, build):
-    """What ``build`` gives, worked out once for each application and folder: a fit serves its query and the check of it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``build`` gives, worked out once for each application, folder and run: a fit serves its query and the check of it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, table_folder(spark))
     if key not in _FITTED:
         _FITTED[key] = written(build())
     return _FITTED[key]

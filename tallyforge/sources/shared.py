@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the runs that are going on, the innermost last.
+_RUNS: list[str] = []
+
+
+def table_folder(spark: SparkSession) -> str:
+    """The folder of the run that is going on, else the shared folder."""
+    return _RUNS[-1] if _RUNS else shared_folder(spark).rstrip("/")
+
+
 def new_path(spark: SparkSession, kind: str = "table") -> str:
-    """A path in the shared folder that nobody else has."""
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A path there that nobody else has."""
+    return f"{table_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def own_tables(spark: SparkSession):
+    """A run with a folder of its own for all intermediate tables, which goes with them at its end, also when it fails.
+
+    What a run gives has to be stored elsewhere or used up within it, since its rows are read from these tables.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

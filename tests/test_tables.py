@@ -81,6 +81,29 @@ def test_json_of_both_kinds_in_a_folder(spark, tmp_path):
     assert sorted(r["k"] for r in files.read_json(spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
 
 
+def test_a_run_takes_its_tables_along(spark):
+    import os
+
+    from tallyforge.sources import shared
+
+    with shared.own_tables(spark) as folder:
+        rows = shared.written(spark.range(5))
+        assert rows.count() == 5 and os.listdir(folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://"))
+    with pytest.raises(ValueError), shared.own_tables(spark) as folder:
+        shared.written(spark.range(5))
+        raise ValueError
+    assert not os.path.exists(folder.removeprefix("file://")) and shared.written(spark.range(2)).count() == 2
+
+
+@pytest.mark.parametrize("head, size", [
+    (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\1\x2c\0\0\0\xc8", (300, 200)), (b"GIF89a\x2c\x01\xc8\0", (300, 200)), (b"BM" + b"\0" * 16 + (300).to_bytes(4, "little") + (-200).to_bytes(4, "little", signed=True), (300, 200)),
+    (b"\xff\xd8\xff\xe0\0\x10" + b"J" * 14 + b"\xff\xff\xc2\0\x11\x08\0\xc8\1\x2c\3", (300, 200)), (b"\xff\xd8\xff\xe0\0", None), (b"", None), (b"text", None),
+])
+def test_image_sizes(head, size):
+    assert files.image_size(head) == size
+
+
 def test_number_formats(spark):
     rows = spark.createDataFrame([("1.234,50", "1,234.50", "12", "x", "1,5"), ("755,96", "2", "3.5", "1", "1,234"), (None, "", None, None, None)], "a string, b string, c string, d string, e string")
     assert {r["column"]: r["format"] for r in files.number_formats(rows).collect()} == {"a": "decimal_comma", "b": "thousands_comma", "c": None, "d": None, "e": "decimal_comma"}
