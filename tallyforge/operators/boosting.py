@@ -53,12 +53,12 @@ class Tree:
     missing_left: np.ndarray
     value: np.ndarray
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The node where each row ends."""
-        node, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
-        for _ in range(int(math.log2(len(self.column) + 1))):
+    def leaves(self, bins: np.ndarray, steps: int | None = None) -> np.ndarray:
+        """The node where each row ends, or where it is after so many steps."""
+        node, start, flat = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins)) * bins.shape[1], bins.ravel()
+        for _ in range(int(math.log2(len(self.column) + 1)) - 1 if steps is None else steps):
             column = self.column[node]
-            own = bins[rows, np.maximum(column, 0)]
+            own = np.take(flat, start + np.maximum(column, 0))
             left = np.where(own == BINS, self.missing_left[node], own <= self.bin[node])
             node = np.where(column < 0, node, 2 * node + 2 - left)
         return node
@@ -258,7 +258,7 @@ def _sums(blocks, objective: str, trees, growing: list[list[Tree]], level: int,
                 continue
             bins, g_h = block.bins[use], derivatives(objective, scores[model][use], block.y[use], block.seen[use], width)
             for k, tree in enumerate(own):
-                node = tree.leaves(bins) - (nodes - 1)
+                node = tree.leaves(bins, level) - (nodes - 1)
                 here = node >= 0
                 at = (((model * classes + k) * nodes + node[here])[:, None] * columns * (BINS + 1) + offset + bins[here]).ravel()
                 for i in (0, 1):

@@ -53,32 +53,44 @@ def _raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
-def first_lines(spark: SparkSession, path: str, *facts: Column) -> DataFrame:
-    """``path, head`` and aggregates over all lines: the first bytes of each file's first line that isn't blank."""
-    lines = _raw_lines(spark, path)
-    begin = F.min(F.when((F.col("block") == 0) & (F.trim("value") != ""), F.col("at")))
-    found = lines.groupBy("path").agg(begin.alias("at"), *facts)
-    heads = lines.where("block = 0").select("path", "at", F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("head"))
+def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One stored row for each split of each file: its bytes and lines, where its lines begin, whether they are UTF-8, and
+    how many of them have an odd number of quotes; one pass over all bytes in the JVM."""
+    begin = F.min(F.when((F.col("block") == 0) & (F.trim("value") != ""), F.col("at"))).alias("head_at")
+    sums = F.max("size").alias("size"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    return written(_raw_lines(spark, path).groupBy("path", "block").agg(*sums, begin, F.min("at").alias("least"), F.sum(_odd_quotes()).alias("odd")))
+
+
+def _odd_quotes() -> Column:
+    """1 for a line whose quotes are odd in number, else 0."""
+    return (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+
+
+def first_lines(spark: SparkSession, path: str, blocks: DataFrame, *facts: Column) -> DataFrame:
+    """``path, head`` and aggregates over a file's splits: the first bytes of each file's first line that isn't blank."""
+    found = blocks.groupBy("path").agg(F.min("head_at").alias("at"), *facts)
+    heads = _raw_lines(spark, path).where("block = 0").select("path", "at", F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("head"))
     return found.join(heads, ["path", "at"], "left").drop("at")
 
 
-def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``path, encoding, line`` of every file that isn't empty: its encoding, told from all of its bytes, and its first line.
+def encodings(spark: SparkSession, path: str, blocks: DataFrame | None = None) -> DataFrame:
+    """``path, encoding, line, odd`` of every file that isn't empty: its encoding, told from all of its bytes, its first
+    line, and whether it has a line with an odd number of quotes.
 
     Lines are checked in the JVM wherever they are split to. Spark's line reader drops the mark of UTF-8 at a file's
     start, so it shows in a file that is longer than its lines.
     """
-    bare = F.max("size") - F.sum(F.octet_length("value") + 1)
-    found = first_lines(spark, path, F.bool_and(F.is_valid_utf8("value")).alias("utf8"), (bare >= 2).alias("marked"))
+    bare = F.max("size") - F.sum("bytes")
+    found = first_lines(spark, path, _blocks(spark, path) if blocks is None else blocks, F.bool_and("utf8").alias("utf8"), (bare >= 2).alias("marked"), (F.sum("odd") > 0).alias("odd"))
 
     def tell(batches):
         for batch in batches:
             heads = [b"" if h is None else (codecs.BOM_UTF8 if m else b"") + bytes(h) for h, m in zip(batch["head"], batch["marked"])]
             batch["encoding"] = [resolve_encoding(h, utf8=bool(u)) for h, u in zip(heads, batch["utf8"])]
             batch["line"] = [(h.decode(k, errors="ignore").splitlines() or [""])[0] for h, k in zip(heads, batch["encoding"])]
-            yield batch[["path", "encoding", "line"]]
+            yield batch[["path", "encoding", "line", "odd"]]
 
-    return found.mapInPandas(tell, "path string, encoding string, line string")
+    return found.mapInPandas(tell, "path string, encoding string, line string, odd boolean")
 
 
 #: What cp1252 has where ISO-8859-1 has control characters; the five places that it leaves free stay.
@@ -99,21 +111,18 @@ def _read_kind(spark: SparkSession, paths: list[str], kind: str, sep: str, schem
     return rows.select(*mended)
 
 
-def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def records(spark: SparkSession, paths: str | list[str], blocks: DataFrame | None = None) -> DataFrame:
     """``path, first, value``: records of files whose quoted fields may hold line breaks; ``first`` marks a file's first.
 
     A line with an odd number of quotes opens a record of several lines or ends one, in turn, so the number of such
     lines before a line tells which record it is part of. They are counted per split first, so every split knows how it
     begins; only splits with such a line, or that begin within a record, are sorted, and only lines of records that
-    have several are put together. All others are passed on where they are read.
+    have several are put together. All others are passed on where they are read. ``blocks`` are those of the same paths.
     """
-    lines = _raw_lines(spark, paths)
-    odd = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
-    lines = lines.withColumn("odd", odd)
-    counts = lines.groupBy("path", "block").agg(F.sum("odd").alias("own"), F.min("at").alias("least"))
+    lines = _raw_lines(spark, paths).withColumn("odd", _odd_quotes())
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("own").over(earlier), F.lit(0)))
-    counts = written(counts.select(F.col("path").alias("p"), F.col("block").alias("b"), "before", "least", ((F.col("own") > 0) | (F.col("before") % 2 == 1)).alias("broken")))
+    counts = (_blocks(spark, paths) if blocks is None else blocks).withColumn("before", F.coalesce(F.sum("odd").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("path").alias("p"), F.col("block").alias("b"), "before", "least", ((F.col("odd") > 0) | (F.col("before") % 2 == 1)).alias("broken"))
     known = lines.join(counts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
     known = known.withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("least")))
     inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,7 +146,7 @@ def _inferred(rows: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(kind(i))) for i, n in enumerate(rows.columns)])
 
 
-def _read_records(spark: SparkSession, paths: list[str], kind: str, sep: str, names: list[str], schema: T.StructType | None) -> DataFrame:
+def _read_records(spark: SparkSession, paths: str | list[str], kind: str, sep: str, names: list[str], schema: T.StructType | None, blocks: DataFrame | None) -> DataFrame:
     """Files of one encoding, separator and header, parsed record by record; a long file is many tasks."""
     text = F.col("value")
     if kind == "cp1252":
@@ -145,7 +154,7 @@ def _read_records(spark: SparkSession, paths: list[str], kind: str, sep: str, na
     names = [n if n.strip() else f"_c{i}" for i, n in enumerate(names)]
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     shape = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    found = records(spark, paths).where(~F.col("first")).select(F.rtrim(text, F.lit("\r")).alias("value")).where("value <> ''")
+    found = records(spark, paths, blocks).where(~F.col("first")).select(F.rtrim(text, F.lit("\r")).alias("value")).where("value <> ''")
     rows = found.select(F.from_csv("value", shape.simpleString()[7:-1].replace(":", " "), options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     if schema is None:
         schema = _inferred(rows)
@@ -159,17 +168,21 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
     all of its bytes; files of several kinds are read by kind and put together by name.
 
     Quoted fields may hold line breaks; a long file is many tasks all the same, but for UTF-16, which is read as a
-    whole. ``breaks=False`` says that none do, and Spark's own reader takes the files."""
+    whole. ``breaks=False`` says that none do. Spark's own reader takes the files where none do."""
     told = resolve_encoding(b"", encoding) if encoding and encoding != "auto" else None
-    kinds: dict[tuple[str, str, str], list[str]] = {}
-    for row in encodings(spark, path).orderBy("path").collect():  # one short row per file, as the reader's own listing has
-        kinds.setdefault((told or row["encoding"], separator or sniff_separator(row["line"]), row["line"]), []).append(row["path"])
+    blocks = _blocks(spark, path)
+    kinds: dict[tuple[str, str, str], list] = {}
+    for row in encodings(spark, path, blocks).orderBy("path").collect():  # one short row per file, as the reader's own listing has
+        kinds.setdefault((told or row["encoding"], separator or sniff_separator(row["line"]), row["line"]), []).append(row)
     whole = None
-    for (kind, sep, line), paths in kinds.items():
-        if breaks and kind in ("utf-8", "utf-8-sig", "cp1252"):
-            part = _read_records(spark, paths, kind, sep, next(csv.reader([line], delimiter=sep)), schema)
+    for (kind, sep, line), rows in kinds.items():
+        paths, torn = [r["path"] for r in rows], breaks and any(r["odd"] for r in rows)
+        if torn and kind in ("utf-8", "utf-8-sig", "cp1252"):
+            # splits and the order of lines are those of one and the same scan; files of one kind among several are another
+            scan = (path, blocks) if len(kinds) == 1 else (paths, None)
+            part = _read_records(spark, scan[0], kind, sep, next(csv.reader([line], delimiter=sep)), schema, scan[1])
         else:
-            part = _read_kind(spark, paths, kind, sep, schema, breaks or kind.startswith("utf-16"))
+            part = _read_kind(spark, paths, kind, sep, schema, torn or kind.startswith("utf-16"))
         whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
     if whole is None:
         raise ValueError(f"no file at {path}")
@@ -180,7 +193,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     """JSON files that each hold one array or one object a line."""
     kinds: dict[bool, list[str]] = {}
     array = F.ltrim(F.col("head").cast("string")).startswith("[")
-    for row in first_lines(spark, path).select("path", F.coalesce(array, F.lit(False)).alias("array")).orderBy("path").collect():  # one short row per file
+    for row in first_lines(spark, path, _blocks(spark, path)).select("path", F.coalesce(array, F.lit(False)).alias("array")).orderBy("path").collect():  # one short row per file
         kinds.setdefault(row["array"], []).append(row["path"])
     whole = None
     for array, paths in kinds.items():
