@@ -14,29 +14,49 @@ from tallyforge.llm.shared import ready, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on all of them, does not reject."""
+    """Documents that the quality classifier, fitted on all of them, does not reject.
+
+    Null, empty and wordless texts have no features: the scorer's bias decides on them, which keeps them unless most texts
+    are junk. Texts are read whole, however long; repeated rows are judged alike. Columns stay as they are. An empty table stays empty.
+    """
     ready(spark)
     return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, white space aside: the longest as it stands, then the smallest id.
+
+    Null texts are equal to empty ones, and one of them stays. Of rows that repeat an id and a text one stays. Rows without
+    an id take part and lose ties. Columns stay as they are. An empty table stays empty.
+    """
     return drop_copies(docs, stored=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similar shingle sets form."""
+    """One document of each group that links of similar shingle sets form: the smallest id's, missing ids last.
+
+    Texts without words are no group and stay. Rows that repeat an id take part each; of repeated texts one stays. Texts
+    are read whole. Columns stay as they are. An empty table stays empty.
+    """
     ready(spark)
     return keep_one(docs, stored=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
+    """Documents as often as the mix of the sources takes them: their taken words over their size, rounded.
+
+    A null source is a source, the last in order; documents without words are not taken; rows that repeat an id take part
+    each. Columns stay as they are. An empty table stays empty.
+    """
     return apply_mix(docs, stored=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation of each document, what the next best change in it, and the scores of all."""
+    """Piece ids of the best segmentation of each document, what the next best change in it, and the scores of all.
+
+    A null text is encoded as an empty one: no pieces. Rows that repeat an id are encoded each, long texts stretch by
+    stretch. An empty table gives an empty result.
+    """
     import public_tokenizers
 
     ready(spark)
