@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import all_of, known
-from tallyforge.sources.shared import with_running
+from tallyforge.sources.shared import written
 
 # When a forecast may be trusted, the band's level, and the names of the checks.
 BASELINE_RATIO, COVERAGE_RANGE, MIN_TEST_ROWS, MIN_TEST_STEPS = 0.9, (0.65, 0.95), 30, 13
 LEVEL = 0.8
 #: Rows of a group up to which its values are sorted in one task; beyond, over all tasks. The results are the same.
 CROWD = 2_000_000
+#: Of a sketch's quantiles the places are right to a share of 1 / SKETCH; a bracket reaches twice as far to both sides.
+SKETCH = 10_000
+BRACKET = 2 / SKETCH
 BEATS, CALIBRATED, SHARP, ENOUGH = "beats the naive baseline", "band is calibrated", "band is sharper than the data's own spread", "enough history to judge"
 
 
@@ -40,38 +43,73 @@ def open_consistency(p: Column, lower: Column) -> Column:
     return F.avg(F.when(p >= lower, 1.0).otherwise(0.0))
 
 
+def _may_crowd(rows: DataFrame, most: int) -> bool:
+    """Whether Spark's own estimate of all rows' size is above a few bytes for each of ``most`` rows."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 8 * most
+
+
 def crowded(rows: DataFrame, by: list[str], most: int = CROWD) -> bool:
     """Whether a group has more rows than one task should hold the values of. Where Spark's own estimate of all rows'
     size is below a few bytes for each of ``most`` rows there is nothing to count."""
-    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 8 * most:
+    if not _may_crowd(rows, most):
         return False
     return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most
 
 
+def stored(rows: DataFrame, most: int = CROWD) -> DataFrame:
+    """``rows``, as a table where there may be too many for one task: what is read several times is worked out once."""
+    return written(rows) if _may_crowd(rows, most) else rows
+
+
 def quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], spread_out: bool, extra: tuple[Column, ...] = ()) -> DataFrame:
     """``by...`` with the aggregates ``extra`` and exact quantiles, ``wanted`` as name: (value, share); nulls don't count.
 
     Both ways give the same numbers. One aggregates the values of a group in one task. The other, for crowded groups,
-    counts equal values where they are, sorts the distinct ones by range over all tasks and picks the values at the
-    places next to each share.
+    brackets each quantile by a sketch, counts the values below the bracket where they are, and shuffles only the distinct
+    values within it, among which the places next to each share are found. ``rows`` are read twice, no row is shuffled.
     """
     if not spread_out:
         return rows.groupBy(*by).agg(*extra, *[F.percentile(value, share).alias(name) for name, (value, share) in wanted.items()])
+    heads, values = [], [value.cast("double") for value, _ in wanted.values()]
+    for i, (value, (_, share)) in enumerate(zip(values, wanted.values())):
+        edges = F.array(F.lit(max(share - BRACKET, 0.0)), F.lit(min(share + BRACKET, 1.0)))
+        heads += [F.count(value).alias(f"__n{i}"), F.percentile_approx(value, edges, SKETCH).alias(f"__e{i}")]
+    facts = written(rows.groupBy(*by).agg(*extra, *heads))
+    found = _picked(rows, by, wanted, values, facts, True)
+    if not found.where(" OR ".join(f"(__n{i} > 0 AND {name} IS NULL)" for i, name in enumerate(wanted))).isEmpty():
+        found = _picked(rows, by, wanted, values, facts, False)  # a sketch was off: all distinct values are counted
+    return found.drop(*[f"__n{i}" for i in range(len(wanted))])
+
+
+def _picked(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], values: list[Column], facts: DataFrame, bracketed: bool) -> DataFrame:
+    """``facts`` with the quantiles, by the distinct values within their brackets and the number of those below; null
+    where a bracket misses the place."""
     keys = [f"__by{i}" for i in range(len(by))]
-    out = rows.groupBy(*by).agg(*(extra or (F.count("*").alias("__rows"),)))
-    for name, (value, share) in wanted.items():
-        counts = rows.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], value.cast("double").alias("__v")).where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-        placed = with_running(counts, [*keys, "__v"], "__c", "__to")
-        heads = placed.groupBy(*[F.col(k).alias(f"{k}h") for k in keys]).agg(F.min("__to").alias("__from"), F.sum("__c").alias("__all"))
-        both = placed.join(heads, all_of(F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys)) if by else placed.join(F.broadcast(heads))  # one row
-        at = (F.col("__all") - 1) * share
-        holds = lambda place: (F.col("__to") <= place) & (place < F.col("__to") + F.col("__c"))
-        near = [F.max(F.when(holds(F.col("__from") + edge(at)), F.col("__v"))) for edge in (F.floor, F.ceil)]
-        got = both.groupBy(*keys).agg(near[0].alias("__low"), near[1].alias("__high"), F.max(at).alias("__at"))
-        value_at = F.when((F.floor("__at") == F.ceil("__at")) | (F.col("__low") == F.col("__high")), F.col("__low")).otherwise((F.ceil("__at") - F.col("__at")) * F.col("__low") + (F.col("__at") - F.floor("__at")) * F.col("__high"))
-        got = got.select(*keys, value_at.alias(name))
-        out = out.join(got, all_of(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)), "left").drop(*keys) if by else out.join(F.broadcast(got), how="left")  # one row
-    return out if extra else out.drop("__rows")
+    edges = facts.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[f"__e{i}" for i in range(len(wanted))])
+    both = rows.join(edges, all_of(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys))) if by else rows.join(F.broadcast(edges))  # one row
+    parts = []
+    for i, (value, (_, share)) in enumerate(zip(values, wanted.values())):
+        low, high = F.get(f"__e{i}", F.lit(0)), F.get(f"__e{i}", F.lit(1))
+        below = (value < low) if bracketed and share > BRACKET else F.lit(False)
+        above = (value > high) if bracketed and share < 1 - BRACKET else F.lit(False)
+        parts.append(F.when(value.isNotNull() & ~above, F.struct(F.lit(i).alias("i"), below.alias("below"), F.when(~below, value).alias("v"))))
+    each = both.select(*keys, F.explode(F.array_compact(F.array(*parts))).alias("p"))
+    counts = each.groupBy(*keys, F.col("p.i").alias("i"), F.col("p.below").alias("below"), F.col("p.v").alias("v")).agg(F.count("*").alias("c"))
+    before = Window.partitionBy(*keys, "i").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("from", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    sizes = facts.select(*[F.col(b).alias(f"{k}f") for b, k in zip(by, keys)], *[f"__n{i}" for i in range(len(wanted))])
+    counts = counts.where("NOT below")
+    placed = counts.join(sizes, all_of(F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys)) if by else counts.join(F.broadcast(sizes))  # one row
+    near, ends = [], []
+    for i, (name, (_, share)) in enumerate(wanted.items()):
+        at = (F.col(f"__n{i}") - 1) * share
+        holds = lambda place: (F.col("i") == i) & (F.col("from") <= place) & (place < F.col("from") + F.col("c"))  # noqa: B023, E731
+        near += [F.max(F.when(holds(edge(at)), F.col("v"))).alias(f"__{side}{i}") for side, edge in (("low", F.floor), ("high", F.ceil))]
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+        ends.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    got = placed.groupBy(*keys).agg(*near)
+    out = facts.join(got, all_of(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)), "left") if by else facts.join(F.broadcast(got), how="left")  # one row
+    return written(out.select(*by, *[c for c in facts.columns if c not in by and c not in edges.columns], *ends))
 
 
 def fit_band(rows: DataFrame, by: list[str] | None = None, level: float = LEVEL, relative: bool | None = None, y: str = "actual", p: str = "prediction", most: int = CROWD) -> DataFrame:
@@ -119,6 +157,14 @@ def spread(y: Column) -> Column:
     return F.percentile(y, 0.9) - F.percentile(y, 0.1)
 
 
+def band_facts(banded: DataFrame, by: list[str], *extra: Column, y: str = "actual", most: int = CROWD) -> DataFrame:
+    """``by...``, the aggregates ``extra``, and ``width`` and ``spread``: ``band_width`` and ``spread`` of groups of any size."""
+    value = F.col(y)
+    wanted = {"width": (F.col("upper") - F.col("lower"), 0.5), "__low": (value, 0.1), "__high": (value, 0.9)}
+    found = quantiles(banded, by, wanted, crowded(banded, by, most), extra)
+    return found.withColumn("spread", F.col("__high") - F.col("__low")).drop("__low", "__high")
+
+
 def group_median(train: DataFrame, test: DataFrame, key: str, y: str, out: str = "baseline", most: int = CROWD) -> DataFrame:
     """``test`` with each row's group median of the training rows; unseen groups get the overall one."""
     seen = train.where(known(F.col(y)))

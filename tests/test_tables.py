@@ -313,3 +313,21 @@ def test_promotions_never_destroy_a_set(spark):
     assert sets.promote_to(rows, None, "new").count() == 1
     assert sets.draw_size(rows, rows.union(rows), ["recording"]) == "new"
     assert sets.draw_size(rows, rows, ["recording"]) == "replace" == sets.draw_size(rows, None, ["recording"])
+
+
+def test_quantiles_of_crowded_groups_shuffle_no_rows(spark, monkeypatch):
+    """Only what lies within the brackets is shuffled; where a bracket misses the place, all distinct values are counted."""
+    from tallyforge.operators import evaluate
+    from tallyforge.sources.shared import written
+
+    rows = written(spark.range(200_000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") / 7.0).alias("v"), (F.col("id") % 5).alias("w")))
+    wanted = {"a": (F.col("v"), 0.1), "b": (F.col("v"), 0.5), "c": (F.col("v"), 0.9), "d": (F.col("w"), 0.5)}
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    monkeypatch.setattr(evaluate, "SKETCH", 100)
+    for bracket in (0.02, -0.01):
+        monkeypatch.setattr(evaluate, "BRACKET", bracket)
+        for by in ([], ["g"]):
+            one = sorted(map(tuple, evaluate.quantiles(rows, by, wanted, False).collect()))
+            began = sent()
+            assert sorted(map(tuple, evaluate.quantiles(rows, by, wanted, True).collect())) == one
+            assert bracket < 0 or sent() - began < 2 << 20
