@@ -48,26 +48,30 @@ def open_consistency(spark, sf_dir):
 
 def band_fit(spark, sf_dir):
     """Bands per bucket, relative by the data's own sign, and one absolute band."""
-    rows = judged(spark, sf_dir)
+    rows = evaluate.stored(judged(spark, sf_dir))
     both = evaluate.fit_band(rows, ["bucket"]).unionByName(evaluate.fit_band(rows.withColumn("bucket", F.lit("all")), ["bucket"], relative=False))
     return rounded(both, 5, lo=4, hi=4, floor=2)
 
 
 def band_few(spark, sf_dir):
     """Symmetric bands from few residuals, none under four: one for each customer and bucket."""
-    return rounded(evaluate.fit_band(judged(spark, sf_dir), ["bucket", "o_custkey"]), 4)
+    return rounded(evaluate.fit_band(evaluate.stored(judged(spark, sf_dir)), ["bucket", "o_custkey"]), 4)
 
 
 def band_apply(spark, sf_dir):
-    rows = judged(spark, sf_dir)
+    rows = evaluate.stored(judged(spark, sf_dir))
     banded = evaluate.apply_band(rows, evaluate.fit_band(rows, ["bucket"]), ["bucket"], nonnegative=True)
     return rounded(banded.select("o_orderkey", "lower", "upper"), 1)
 
 
+def _banded(spark, sf_dir):
+    rows = evaluate.stored(judged(spark, sf_dir))
+    return evaluate.apply_band(rows, evaluate.fit_band(rows, ["bucket"]), ["bucket"])
+
+
 def band_coverage(spark, sf_dir):
-    rows = judged(spark, sf_dir)
-    banded = evaluate.apply_band(rows, evaluate.fit_band(rows, ["bucket"]), ["bucket"])
-    return rounded(banded.groupBy("bucket").agg(evaluate.coverage(c("actual"), c("lower"), c("upper")).alias("coverage"), evaluate.band_width(c("lower"), c("upper")).alias("width"), evaluate.spread(c("actual")).alias("spread")), 4, width=1, spread=1)
+    facts = evaluate.band_facts(_banded(spark, sf_dir), ["bucket"], evaluate.coverage(c("actual"), c("lower"), c("upper")).alias("coverage"))
+    return rounded(facts.select("bucket", "coverage", "width", "spread"), 4, width=1, spread=1)
 
 
 def _split(spark, sf_dir):
