@@ -1,6 +1,6 @@
 """Second-order boosted trees over binned columns, with waiting times, counts, values and classes as targets.
 
-Columns are cut into bins once.  For each level of a tree every task adds up its rows' first and second derivatives by
+Columns are cut into bins once, and rows that are then alike become one with a weight.  For each level of a tree every task adds up its rows' first and second derivatives by
 (model, class, node, column, bin); the sums, whose size does not depend on the rows, meet in a tree of reductions, and
 the best split of each node is read off them, with the side on which missing values do better.  Two models grow in the
 same passes: a probe that does not see the newest rows and tells on them when to stop, and the one that is kept.
@@ -23,6 +23,8 @@ from tallyforge.sources.shared import written
 
 #: Bins of a column besides the one of missing values, and rows that are packed together.
 BINS, PACKED = 64, 1 << 14
+#: Rows unlike one another that a task counts before it gives them on.
+GATHERED = 1 << 18
 #: Parts whose sums meet on the driver at once; those of more meet in tasks first.
 FLAT = 16
 #: After so many rounds what all trees say is worked out from the rows as they came, not from those of the round before.
@@ -186,7 +188,43 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(rows: DataFrame, features: list[str | Column], edges: list[np.ndarray], y: Column, seen: Column, newest: Column) -> DataFrame:
-    """Rows packed by the thousand: ``bins`` (rows x columns), ``y`` and the two flags of each row as bytes."""
+    """Rows packed by the thousand: ``bins`` (rows x columns), ``y``, the two flags of each row as bytes, and its ``weight``.
+
+    Rows that are alike in all of these are one row whose weight is their number: tasks count what they read, a shuffle adds
+    the counts up.
+    """
+    width = len(edges)
+
+    def count(batches):
+        held, n = [], 0
+        for batch in batches:
+            column = lambda i: np.asarray(batch.column(i).cast(pa.float64()).fill_null(float("nan")))  # noqa: B023, E731
+            x = np.stack([column(i) for i in range(width)], axis=1) if edges else np.zeros((batch.num_rows, 0))
+            flags = [np.asarray(batch.column(width + k)).astype(np.uint8)[:, None] for k in (1, 2)]
+            rows_ = np.concatenate([binned(x, edges), column(width).view(np.uint8).reshape(-1, 8), *flags], axis=1)
+            held.append(counted(pa.FixedSizeBinaryArray.from_buffers(pa.binary(width + 10), len(rows_), [None, pa.py_buffer(rows_.tobytes())]), None))
+            n += len(held[-1])
+            if n >= GATHERED:
+                held = [together(held)]
+                n = len(held[0])
+                if n >= GATHERED // 2:  # few are alike
+                    yield from given(held)
+                    held, n = [], 0
+        if held:
+            yield from given([together(held)])
+
+    def counted(keys, n):
+        table = pa.table({"key": keys, "n": pa.array(np.ones(len(keys), np.int64)) if n is None else n})
+        found = table.group_by("key").aggregate([("n", "sum")])
+        return pa.table({"key": found["key"], "n": found["n_sum"]})
+
+    def together(held):
+        table = pa.concat_tables(held)
+        return counted(table["key"], table["n"])
+
+    def given(held):
+        for table in held:
+            yield from table.cast(pa.schema([("key", pa.binary()), ("n", pa.int64())])).to_batches(PACKED)
 
     def pack(batches):
         held, n = [], 0
@@ -201,14 +239,14 @@ def packed(rows: DataFrame, features: list[str | Column], edges: list[np.ndarray
 
     def block(held):
         table = pa.Table.from_batches(held)
-        column = lambda i: np.asarray(table.column(i).cast(pa.float64()).fill_null(float("nan")))
-        x = np.stack([column(i) for i in range(len(edges))], axis=1) if edges else np.zeros((table.num_rows, 0))
-        parts = binned(x, edges), column(len(edges)), *(np.asarray(table.column(len(edges) + k)).astype(np.uint8) for k in (1, 2))
-        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["bins", "y", "seen", "newest"])
+        raw = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(table.num_rows, width + 10)
+        parts = raw[:, :width], raw[:, width : width + 8], raw[:, width + 8], raw[:, width + 9], np.asarray(table["n"]).astype(np.float64)
+        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["bins", "y", "seen", "newest", "weight"])
 
     flags = [F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in (("s", seen), ("n", newest))]
     wide = rows.select(*[_number(f).alias(f"x{i}") for i, f in enumerate(features)], y.cast("double").alias("y"), *flags)
-    return wide.mapInArrow(pack, "bins binary, y binary, seen binary, newest binary")
+    alike = wide.mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return alike.mapInArrow(pack, "bins binary, y binary, seen binary, newest binary, weight binary")
 
 
 @dataclass
@@ -217,14 +255,15 @@ class _Block:
     y: np.ndarray
     seen: np.ndarray
     newest: np.ndarray
+    weight: np.ndarray  # how many rows each stands for
     scores: list[np.ndarray]  # of each model
 
 
 def _block(columns: int, base: list[float]):
     def unpack(row) -> _Block:
-        y = np.frombuffer(row["y"], np.float64)
+        y, weight = (np.frombuffer(row[n], np.float64) for n in ("y", "weight"))
         flags = [np.frombuffer(row[n], np.uint8).astype(bool) for n in ("seen", "newest")]
-        return _Block(np.frombuffer(row["bins"], np.uint8).reshape(len(y), columns), y, *flags, [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
+        return _Block(np.frombuffer(row["bins"], np.uint8).reshape(len(y), columns), y, *flags, weight, [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
 
     return unpack
 
@@ -250,19 +289,19 @@ def _sums(blocks, objective: str, trees, growing: list[list[Tree]], level: int,
     for block in blocks:
         scores = _added(block, trees)
         if block.newest.any():
-            loss += losses(objective, scores[PROBE][block.newest], block.y[block.newest], block.seen[block.newest]).sum()
-            n += int(block.newest.sum())
+            loss += losses(objective, scores[PROBE][block.newest], block.y[block.newest], block.seen[block.newest]) @ block.weight[block.newest]
+            n += block.weight[block.newest].sum()
         for model, own in enumerate(growing):
             use = ~block.newest if model == PROBE else np.ones(len(block.y), dtype=bool)
             if not own or not use.any():
                 continue
-            bins, g_h = block.bins[use], derivatives(objective, scores[model][use], block.y[use], block.seen[use], width)
+            bins, weight, g_h = block.bins[use], block.weight[use], derivatives(objective, scores[model][use], block.y[use], block.seen[use], width)
             for k, tree in enumerate(own):
                 node = tree.leaves(bins, level) - (nodes - 1)
                 here = node >= 0
                 at = (((model * classes + k) * nodes + node[here])[:, None] * columns * (BINS + 1) + offset + bins[here]).ravel()
                 for i in (0, 1):
-                    total[i] += np.bincount(at, np.repeat(g_h[i][here, k], columns), minlength=total.shape[1])
+                    total[i] += np.bincount(at, np.repeat(g_h[i][here, k] * weight[here], columns), minlength=total.shape[1])
     return np.concatenate([total.ravel(), [loss, n]])
 
 
@@ -452,7 +491,7 @@ def start_of(objective: str, y: np.ndarray, classes: int) -> tuple[list[float],
 
 def fit_local(bins: np.ndarray, settings: Settings, y: np.ndarray, seen: np.ndarray, newest: np.ndarray, base: list[float], width: float) -> Boosted:
     """The same fit inside one task, on a bounded number of rows that are binned already."""
-    block = _Block(bins, y, seen, newest, [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
+    block = _Block(bins, y, seen, newest, np.ones(len(y)), [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
 
     def sums(trees, growing, level):
         return _sums([block], settings.objective, trees, growing, level, bins.shape[1], width)
@@ -476,7 +515,7 @@ def histogram(rows: DataFrame, features: list[str], model: Boosted, y: Column, s
                 scores = _added(block, [[], model.trees])[KEPT]
                 g, h = (x[:, 0] for x in derivatives(model.objective, scores, block.y, block.seen, 1.0))
                 at = (np.arange(columns) * (BINS + 1) + block.bins).ravel()
-                sums = [np.bincount(at, w, minlength=columns * (BINS + 1)) for w in (np.repeat(g, columns), np.repeat(h, columns), np.ones(len(at)))]
+                sums = [np.bincount(at, np.repeat(w * block.weight, columns), minlength=columns * (BINS + 1)) for w in (g, h, np.ones(len(g)))]
                 own = np.flatnonzero(sums[2])
                 bins = own % (BINS + 1)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own // (BINS + 1)]), pa.array(bins, mask=bins == BINS), *(pa.array(x[own]) for x in sums)], ["feature", "bin", "g", "h", "n"])
@@ -485,6 +524,16 @@ def histogram(rows: DataFrame, features: list[str], model: Boosted, y: Column, s
     return parts.groupBy("feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").cast("long").alias("n"))
 
 
+def prediction(model: Boosted, features: list[str | Column]) -> Column:
+    """What a model with one value says of each row."""
+
+    @F.pandas_udf("double")
+    def says(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(output(model.objective, model.scores(x.to_numpy(dtype=np.float64, na_value=np.nan)))[:, 0])
+
+    return says(F.struct(*[_number(f).alias(f"x{i}") for i, f in enumerate(features)]))
+
+
 def predictions(model: Boosted, features: list[str | Column]) -> Column:
     """What the model says of each row: an array with one value, or with each class's chance."""
 

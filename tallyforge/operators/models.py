@@ -66,9 +66,9 @@ def fit_model(
 
 def predict(fitted: Fitted, rows: DataFrame, columns: list[Column] | None = None) -> DataFrame:
     """``rows`` with ``prediction``, or with ``class`` and ``probability`` and all ``probabilities`` by class order."""
-    says = boosting.predictions(fitted.model, columns or fitted.features)
     if fitted.objective not in ("logistic", "softprob"):
-        return rows.withColumn("prediction", says[0])
+        return rows.withColumn("prediction", boosting.prediction(fitted.model, columns or fitted.features))
+    says = boosting.predictions(fitted.model, columns or fitted.features)
     names, most = F.lit(fitted.classes), F.array_max("probabilities")
     return rows.withColumn("probabilities", says).withColumns({"class": F.element_at(names, F.array_position("probabilities", most).cast("int")), "probability": most})
 

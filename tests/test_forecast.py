@@ -302,3 +302,20 @@ def test_running_totals(spark):
         assert r["before"] == total
         total += r["n"]
     assert len(got) == 1000
+
+
+def test_rows_alike_are_packed_as_one_with_a_weight(spark):
+    """What a fit goes over again and again grows with the rows that differ, not with all; the trees are those of all rows."""
+    import numpy as np
+
+    from tallyforge.operators import boosting
+
+    rows = spark.range(30_000).select((F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") % 4).cast("double").alias("b"))
+    rows = rows.withColumn("y", 1 + F.col("a") * 3 + F.coalesce("b", F.lit(9.0)))
+    kept = boosting.packed(rows, ["a", "b"], boosting.bin_edges(rows, ["a", "b"]), F.col("y"), F.lit(True), F.col("a") > 3).collect()
+    assert sum(len(r["y"]) // 8 for r in kept) == 25 and sum(np.frombuffer(r["weight"]).sum() for r in kept) == 30_000
+    fitted = models.fit_model(rows, "squared", ["a", "b"], depth=3, rounds=4, rate=0.5).model
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows.collect()])
+    bins, every = boosting.binned(x[:, :2], fitted.edges), np.ones(len(x), dtype=bool)
+    local = boosting.fit_local(bins, boosting.Settings("squared", 3, 4, 0.5), x[:, 2], every, ~every, fitted.base, 1.0)
+    assert np.allclose(local.scores_of(bins), fitted.scores_of(bins), rtol=1e-8)
