@@ -331,3 +331,13 @@ def test_quantiles_of_crowded_groups_shuffle_no_rows(spark, monkeypatch):
             began = sent()
             assert sorted(map(tuple, evaluate.quantiles(rows, by, wanted, True).collect())) == one
             assert bracket < 0 or sent() - began < 2 << 20
+
+
+def test_near_counts_are_those_of_all_pairs(spark):
+    """Crowded corners, repeated ids, ids below zero; blocks of a few rows each; and no pair is joined."""
+    rows = spark.range(3000).select((F.col("id") - 50 - F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(0)).alias("id"), (F.col("id") * 7 % 23).alias("left"), (F.col("id") * 11 % 9 - 4).alias("top"), F.lit(5).alias("width"), F.lit(5).alias("height"))
+    want = boxes.near_pairs(rows, 2).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
+    want = sorted(map(tuple, want.collect()))
+    for block in (64, 1000, 10_000):
+        assert sorted(map(tuple, boxes.near_counts(rows, 2, block).collect())) == want
+    assert boxes.near_counts(rows.where("false"), 2).count() == 0
