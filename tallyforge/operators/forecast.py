@@ -77,7 +77,7 @@ def row_workspace(source: DataFrame, spec: PrepSpec, as_of: str | None = None, *
 
 def series_workspace(source: DataFrame, spec: PrepSpec, step: str, with_ewm: bool = True) -> Workspace:
     """One frame per horizon bucket, split by the steps' places in time."""
-    grid, ahead = panel(source, spec, step), scaffold(source, spec, step)
+    grid, ahead = written(panel(source, spec, step)), written(scaffold(source, spec, step))  # read for every bucket and profile; the source is read twice
     cuts = splits.series_cuts(grid, spec.horizon)
     train_steps = cuts.where("split = 'train'").agg(F.max(STEP)).first()[0]
     in_train = F.col(STEP) <= F.lit(train_steps)
@@ -398,7 +398,7 @@ def finish(ws: Workspace, recipe: Recipe) -> dict:
     with ThreadPoolExecutor(3) as pool:  # three fits that do not wait for one another
         parts = [pool.submit(phase, ws, recipe, *span) for span in ((("train",), "val"), (("train", "val"), "test"))]
         parts += [pool.submit(ahead_of, ws, recipe)] if ws.spec.task != "classification" else []
-        validation, test, *rest = (p.result() for p in parts)
+        validation, test, *rest = (evaluate.stored(p.result()) for p in parts)  # read several times
     if ws.spec.task == "classification":
         error = test.agg(F.avg(F.when(F.col("class") == F.col("actual"), 0.0).otherwise(1.0)).alias("e"), F.count("*").alias("n")).first()
         prior = evaluate.class_prior(ws.frames["all"].where("split IN ('train', 'val')"), "y").agg(F.max("share")).first()[0]

@@ -319,3 +319,12 @@ def test_rows_alike_are_packed_as_one_with_a_weight(spark):
     bins, every = boosting.binned(x[:, :2], fitted.edges), np.ones(len(x), dtype=bool)
     local = boosting.fit_local(bins, boosting.Settings("squared", 3, 4, 0.5), x[:, 2], every, ~every, fitted.base, 1.0)
     assert np.allclose(local.scores_of(bins), fitted.scores_of(bins), rtol=1e-8)
+
+
+def test_series_frames_do_not_read_the_source_again(spark, sales, tmp_path):
+    sales.write.parquet(f"{tmp_path}/source")
+    ws = forecast.series_workspace(spark.read.parquet(f"{tmp_path}/source"), SPEC, "week", with_ewm=False)
+    try:
+        assert not any(f"{tmp_path}" in file for frame in ws.frames.values() for file in frame.inputFiles())
+    finally:
+        ws.release()
