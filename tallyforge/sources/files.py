@@ -157,6 +157,7 @@ def _read_records(spark: SparkSession, paths: str | list[str], kind: str, sep: s
     found = records(spark, paths, blocks).where(~F.col("first")).select(F.rtrim(text, F.lit("\r")).alias("value")).where("value <> ''")
     rows = found.select(F.from_csv("value", shape.simpleString()[7:-1].replace(":", " "), options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     if schema is None:
+        rows = written(rows)  # records are put together once, for their types and for the result
         schema = _inferred(rows)
     given = {f.name: f.dataType for f in schema.fields}
     typed = [F.col(f"`{n}`").try_cast(given[n]).alias(n) for n in names if n in given]

@@ -341,3 +341,10 @@ def test_near_counts_are_those_of_all_pairs(spark):
     for block in (64, 1000, 10_000):
         assert sorted(map(tuple, boxes.near_counts(rows, 2, block).collect())) == want
     assert boxes.near_counts(rows.where("false"), 2).count() == 0
+
+
+def test_torn_records_are_put_together_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('k;note\n1;"a;\nb"\n2;Köln\n'.encode("cp1252"))
+    rows = files.read_delimited(spark, f"{tmp_path}/*.csv")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a;\nb"), (2, "Köln")]
+    assert not any(str(tmp_path) in file for file in rows.inputFiles())
