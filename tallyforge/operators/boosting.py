@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.sources.shared import written
@@ -25,6 +26,8 @@ from tallyforge.sources.shared import written
 BINS, PACKED = 64, 1 << 14
 #: Rows unlike one another that a task counts before it gives them on.
 GATHERED = 1 << 18
+#: Values of unlike rows up to which one task fits on them; beyond, each level of a round is a job. The trees are the same.
+ONE_TASK = 1 << 20
 #: Parts whose sums meet on the driver at once; those of more meet in tasks first.
 FLAT = 16
 #: After so many rounds what all trees say is worked out from the rows as they came, not from those of the round before.
@@ -169,9 +172,16 @@ def losses(objective: str, scores: np.ndarray, y: np.ndarray, seen: np.ndarray)
 
 def bin_edges(rows: DataFrame, features: list[str | Column], bins: int = BINS) -> list[np.ndarray]:
     """Upper edges of each column's bins but the last, from quantile sketches of all rows in one pass."""
+    return _edges(rows.agg(*_sketches(features, bins)).first(), len(features)) if features else []
+
+
+def _sketches(features: list[str | Column], bins: int = BINS) -> list[Column]:
     shares = [F.lit(k / bins) for k in range(1, bins)]
-    row = rows.agg(*[F.percentile_approx(_number(f), F.array(*shares), 10_000).alias(f"q{i}") for i, f in enumerate(features)]).first()
-    return [np.unique(np.array(row[i] or [], dtype=np.float64)) for i in range(len(features))]
+    return [F.percentile_approx(_number(f), F.array(*shares), 10_000).alias(f"__q{i}") for i, f in enumerate(features)]
+
+
+def _edges(row: Row, columns: int) -> list[np.ndarray]:
+    return [np.unique(np.array(row[f"__q{i}"] or [], dtype=np.float64)) for i in range(columns)]
 
 
 def _number(feature: str | Column) -> Column:
@@ -405,16 +415,20 @@ def grow(sums, s: Settings, columns: int, base: list[float], probing: bool, refr
     return trees[KEPT]
 
 
-def start(objective: str, y: Column, seen: Column, rows: DataFrame, classes: int) -> tuple[list[float], float]:
-    """Where predictions begin, and the width of absolute errors: from one row of aggregates."""
+def heads(objective: str, features: list[str | Column], y: Column) -> list[Column]:
+    """Aggregates over all rows that a fit begins with: the bins of each column, and where predictions begin."""
+    middle = F.percentile_approx(y, 0.5) if objective == "absolute" else F.avg(F.ln(y) if objective == "aft" else y)
+    return [*_sketches(features), middle.alias("__m")]
+
+
+def start(objective: str, y: Column, rows: DataFrame, classes: int, middle: float | None) -> tuple[list[float], float]:
+    """Where predictions begin, and the width of absolute errors, by the middle that ``heads`` tells."""
     if objective == "softprob":
         return [0.0] * classes, 1.0
     if objective == "absolute":
-        middle = rows.agg(F.percentile_approx(y, 0.5).alias("m")).first()["m"] or 0.0
-        spread = rows.agg(F.avg(F.abs(y - middle)).alias("w")).first()["w"] or 0.0
-        return [float(middle)], max(0.1 * spread, 1e-9)
-    mean = rows.agg(F.avg(F.ln(y) if objective == "aft" else y).alias("m")).first()["m"] or 0.0
-    return _begin(objective, round(mean, 12)), 1.0
+        spread = rows.agg(F.avg(F.abs(y - (middle or 0.0))).alias("w")).first()["w"] or 0.0
+        return [float(middle or 0.0)], max(0.1 * spread, 1e-9)
+    return _begin(objective, round(middle or 0.0, 12)), 1.0
 
 
 def _begin(objective: str, mean: float) -> list[float]:
@@ -426,18 +440,23 @@ def _begin(objective: str, mean: float) -> list[float]:
     return [float(mean)]
 
 
-def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Column, seen: Column | None = None, newest: Column | None = None, classes: int = 1) -> Boosted:
+def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Column, seen: Column | None = None, newest: Column | None = None, classes: int = 1, head: Row | None = None) -> Boosted:
     """Boosted trees on ``rows``. ``y`` is the target (a class's code for classes, time waited for waits), ``seen`` tells ended
     waits from open ones, ``newest`` the rows by which the number of rounds is found; without it all rounds are kept.
 
-    Rows are binned and packed once into a table; a pass over it is one job per level of a round.  Sums are reduced in a tree, as
-    an RDD, since every pass is the same imperative fold over whole blocks and its result a single array.
+    ``head`` is the row of ``heads``, where the caller has it from a pass of its own. Rows are binned and packed once into
+    a table.  Where few are unlike one another one task fits on them; else a pass over them is one job per level of a round.
+    Sums are reduced in a tree, as an RDD, since every pass is the same imperative fold over whole blocks and its result a
+    single array.
     """
-    s, seen, spark = settings, F.lit(True) if seen is None else seen, rows.sparkSession
-    base, width = start(s.objective, y, seen, rows, classes)
-    edges = bin_edges(rows, features)
+    s, seen, spark, columns = settings, F.lit(True) if seen is None else seen, rows.sparkSession, len(features)
+    head = rows.agg(*heads(s.objective, features, y)).first() if head is None else head
+    base, width = start(s.objective, y, rows, classes, head["__m"])
+    edges = _edges(head, columns)
     table = written(packed(rows, features, edges, y, seen, F.lit(False) if newest is None else newest))
-    columns = len(features)
+    unlike = table.agg(F.sum(F.length("seen"))).first()[0] or 0
+    if 0 < unlike * max(1, columns) <= ONE_TASK:
+        return Boosted(s.objective, edges, base, _grown_at_once(table, s, columns, base, newest is not None, width))
     base_blocks = table.rdd.map(_block(columns, base)).persist(StorageLevel.MEMORY_AND_DISK)
     parts = base_blocks.getNumPartitions()
     state: dict = {"now": base_blocks, "past": [], "told": [[], []], "turns": 0}
@@ -489,17 +508,34 @@ def start_of(objective: str, y: np.ndarray, classes: int) -> tuple[list[float],
     return _begin(objective, mean), 1.0
 
 
-def fit_local(bins: np.ndarray, settings: Settings, y: np.ndarray, seen: np.ndarray, newest: np.ndarray, base: list[float], width: float) -> Boosted:
-    """The same fit inside one task, on a bounded number of rows that are binned already."""
-    block = _Block(bins, y, seen, newest, np.ones(len(y)), [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
+def _grown(blocks: list[_Block], s: Settings, columns: int, base: list[float], probing: bool, width: float) -> list[list[Tree]]:
+    """The trees from all blocks at hand."""
 
     def sums(trees, growing, level):
-        return _sums([block], settings.objective, trees, growing, level, bins.shape[1], width)
+        return _sums(blocks, s.objective, trees, growing, level, columns, width)
 
     def refresh(trees):
-        block.scores = _added(block, trees)
+        for block in blocks:
+            block.scores = _added(block, trees)
 
-    return Boosted(settings.objective, [], base, grow(sums, settings, bins.shape[1], base, bool(newest.any()), refresh))
+    return grow(sums, s, columns, base, probing, refresh)
+
+
+def _grown_at_once(table: DataFrame, s: Settings, columns: int, base: list[float], probing: bool, width: float) -> list[list[Tree]]:
+    """The trees from one task that reads all blocks; there are ONE_TASK values at most."""
+
+    def run(batches):
+        unpack = _block(columns, base)
+        blocks = [unpack(row) for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_grown(blocks, s, columns, base, probing, width))], pa.binary())], ["trees"])
+
+    return pickle.loads(table.coalesce(1).mapInArrow(run, "trees binary").first()["trees"])
+
+
+def fit_local(bins: np.ndarray, settings: Settings, y: np.ndarray, seen: np.ndarray, newest: np.ndarray, base: list[float], width: float) -> Boosted:
+    """The same fit inside one task, on a bounded number of rows that are binned already."""
+    block = _Block(bins, y, seen, newest, np.ones(len(y)), [np.tile(np.array(base), (len(y), 1)) for _ in (PROBE, KEPT)])
+    return Boosted(settings.objective, [], base, _grown([block], settings, bins.shape[1], base, bool(newest.any()), width))
 
 
 def histogram(rows: DataFrame, features: list[str], model: Boosted, y: Column, seen: Column | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ def series_workspace(source: DataFrame, spec: PrepSpec, step: str, with_ewm: boo
     for lo, hi in features.buckets_for(spec.horizon):
         frame, own = features.series_features(grid, ahead, spec, (lo, hi), step, in_train, profile["genes"]["period"], profile["genes"]["measure_lags"], with_ewm)
         name = f"{lo}-{hi}"
-        frames[name] = splits.bucket_splits(frame, cuts).withColumn("period", F.col("step")).cache()  # every recipe fits on it
+        frames[name] = written(splits.bucket_splits(frame, cuts).withColumn("period", F.col("step")))  # every recipe fits on it
         families[name] = own
     return Workspace(spec, frames, families, profile, step, step, cuts)
 

@@ -50,6 +50,8 @@ def fit_model(
     facts = [F.count("*").alias("n"), F.min(F.col(y).try_cast("double")).alias("low")]
     facts += [F.array_sort(F.collect_set(F.col(y).cast("string"))).alias("classes")] if labels else []
     facts += [F.percentile(F.unix_date(order), NEWEST).alias("cut")] if order else []
+    known_y = F.col("__t") if objective == "aft" else F.col(y)
+    facts += boosting.heads(objective, columns or features, known_y) if not labels else []  # a class's code is not known yet
     found = good.agg(*facts).first()
     if found["n"] < MIN_ROWS:
         raise FitError(f"{found['n']} usable rows, {MIN_ROWS} needed")
@@ -58,9 +60,9 @@ def fit_model(
     classes = list(found["classes"]) if labels else []
     if labels:
         objective = "logistic" if len(classes) == 2 else "softprob"
-    target = F.col("__t") if objective == "aft" else F.array_position(F.lit(classes), F.col(y).cast("string")) - 1 if labels else F.col(y)
+    target = F.array_position(F.lit(classes), F.col(y).cast("string")) - 1 if labels else known_y
     settings = boosting.Settings(objective, depth, rounds, rate, patience)
-    model = boosting.fit(good, columns or features, settings, target, F.col("__seen") if objective == "aft" else None, F.unix_date(order) > found["cut"] if order else None, max(1, len(classes)) if objective == "softprob" else 1)
+    model = boosting.fit(good, columns or features, settings, target, F.col("__seen") if objective == "aft" else None, F.unix_date(order) > found["cut"] if order else None, max(1, len(classes)) if objective == "softprob" else 1, None if labels else found)
     return Fitted(objective, model, features, classes)
 
 

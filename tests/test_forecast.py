@@ -328,3 +328,43 @@ def test_series_frames_do_not_read_the_source_again(spark, sales, tmp_path):
         assert not any(f"{tmp_path}" in file for frame in ws.frames.values() for file in frame.inputFiles())
     finally:
         ws.release()
+
+
+@pytest.mark.parametrize(("objective", "order"), [("squared", "day"), ("absolute", None), ("aft", "day"), ("softprob", None), ("logistic", None)])
+def test_few_unlike_rows_are_fitted_in_one_task(spark, monkeypatch, objective, order):
+    """A job for each level of a round only where rows are many; the trees are the same."""
+    from tallyforge.operators import boosting
+
+    rows = spark.range(4000).select((F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") % 4).cast("double").alias("b"), F.date_add(F.lit(DAY), (F.col("id") / 10).cast("int")).alias("day"))
+    rows = rows.withColumn("wait", 1 + F.col("a") * 3 + F.coalesce("b", F.lit(9.0))).withColumns({"__lower": F.col("wait"), "__upper": F.when(F.col("a") < 4, F.col("wait"))})
+    kinds = 2 if objective == "logistic" else 3
+    rows = rows.withColumn("y", F.col("a").cast("int") % kinds if objective in ("softprob", "logistic") else F.col("wait")).cache()
+
+    def fitted(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return models.fit_model(rows, objective, ["a", "b"], order=order, depth=3, rounds=6, rate=0.4).model
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    one = fitted(f"one-{objective}")
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
+    many = fitted(f"many-{objective}")
+    assert jobs(f"one-{objective}") < 18 <= jobs(f"many-{objective}")
+    assert one.base == many.base and len(one.trees) == len(many.trees) > 0
+    for a, b in zip(sum(one.trees, []), sum(many.trees, [])):
+        assert (a.column == b.column).all() and (a.bin == b.bin).all() and (a.missing_left == b.missing_left).all()
+        assert a.value == pytest.approx(b.value, rel=1e-7, abs=1e-12)
+    rows.unpersist()
+
+
+def test_series_frames_are_as_few_parts_as_their_rows_need(spark, sales):
+    """A fit is dozens of jobs over each frame; a few hundred rows are not as many tasks as a shuffle has partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        ws = forecast.series_workspace(sales, SPEC, "week", with_ewm=False)
+        assert all(frame.rdd.getNumPartitions() <= 8 for frame in ws.frames.values())
+        ws.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
