@@ -36,8 +36,9 @@ REFRESH = 16
 MIN_WEIGHT, SHRINK = 1.0, 1.0
 TWEEDIE_POWER, AFT_SCALE = 1.5, 1.0
 PROBE, KEPT = 0, 1
-#: Of a gain only so many digits count, so that the order in which sums were added up does not decide.
-DIGITS = 9
+#: Of a gain only so many digits count, so that the order in which sums were added up does not decide; of a leaf's value
+#: more, since it is added up over all rows.
+DIGITS, LEAF_DIGITS = 9, 12
 
 _GRID = np.arange(-12.0, 12.0, 1 / 512)
 _TAIL = np.array([math.erfc(z / math.sqrt(2)) / 2 for z in _GRID])
@@ -315,9 +316,9 @@ def _sums(blocks, objective: str, trees, growing: list[list[Tree]], level: int,
     return np.concatenate([total.ravel(), [loss, n]])
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
+def _rounded(x: np.ndarray, to: int = DIGITS) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        digits = DIGITS - 1 - np.floor(np.log10(np.abs(x), where=x != 0, out=np.zeros_like(x)))
+        digits = to - 1 - np.floor(np.log10(np.abs(x), where=x != 0, out=np.zeros_like(x)))
     scale = 10.0 ** np.clip(digits, -300, 300)
     return np.round(x * scale) / scale
 
@@ -340,7 +341,7 @@ def best_split(g: np.ndarray, h: np.ndarray, min_weight: float = MIN_WEIGHT, shr
 
 
 def _leaf(g: float, h: float, rate: float, shrink: float) -> float:
-    return float(_rounded(np.array([-rate * g / (h + shrink)]))[0])
+    return float(_rounded(np.array([-rate * g / (h + shrink)]), LEAF_DIGITS)[0])
 
 
 def _empty(depth: int) -> Tree:

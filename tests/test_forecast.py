@@ -368,3 +368,11 @@ def test_series_frames_are_as_few_parts_as_their_rows_need(spark, sales):
         ws.release()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_sums_over_many_rows_keep_the_leaves_digits():
+    """A leaf's value, added up over as many rows as there may be, is right to a tenth."""
+    from tallyforge.operators import boosting
+
+    n, g = 50_000_000, 1e9 / 3
+    assert boosting._leaf(g, n, 0.5, 1.0) * n == pytest.approx(-0.5 * g / (n + 1) * n, abs=0.01)
