@@ -59,7 +59,7 @@ def band_few(spark, sf_dir):
 
 
 def band_apply(spark, sf_dir):
-    rows = evaluate.stored(judged(spark, sf_dir))
+    rows = evaluate.stored(judged(spark, sf_dir).select("o_orderkey", "bucket", "actual", "prediction"))
     banded = evaluate.apply_band(rows, evaluate.fit_band(rows, ["bucket"]), ["bucket"], nonnegative=True)
     return rounded(banded.select("o_orderkey", "lower", "upper"), 1)
 

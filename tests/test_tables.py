@@ -348,3 +348,13 @@ def test_torn_records_are_put_together_once(spark, tmp_path):
     rows = files.read_delimited(spark, f"{tmp_path}/*.csv")
     assert sorted(map(tuple, rows.collect())) == [(1, "a;\nb"), (2, "Köln")]
     assert not any(str(tmp_path) in file for file in rows.inputFiles())
+
+
+def test_bands_store_only_what_they_read(spark, monkeypatch):
+    from tallyforge.operators import evaluate
+    from tallyforge.queries.evaluation import band_apply
+
+    kept, own = [], evaluate.stored
+    monkeypatch.setattr(evaluate, "stored", lambda rows, *most: kept.append(set(rows.columns)) or own(rows, *most))
+    assert band_apply(spark, "/root/testdata/sf0.001").columns == ["o_orderkey", "lower", "upper"]
+    assert kept == [{"o_orderkey", "bucket", "actual", "prediction"}]
