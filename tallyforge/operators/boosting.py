@@ -91,11 +91,12 @@ class Boosted:
         return self.scores_of(binned(x, self.edges))
 
     def scores_of(self, bins: np.ndarray) -> np.ndarray:
+        bins, at = _unlike(bins)
         out = np.tile(np.array(self.base), (len(bins), 1))
         for trees in self.trees:
             for k, tree in enumerate(trees):
                 out[:, k] += tree.says(bins)
-        return out
+        return out[at]
 
     def save(self, path: str) -> None:
         lists = [[{n: getattr(t, n).tolist() for n in ("column", "bin", "missing_left", "value")} for t in trees] for trees in self.trees]
@@ -198,6 +199,16 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _unlike(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of bins that differ, and which of them each row is."""
+    if not bins.size:
+        return bins, np.arange(len(bins))
+    raw = pa.py_buffer(np.ascontiguousarray(bins, dtype=np.uint8))
+    found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bins.shape[1]), len(bins), [None, raw]).dictionary_encode()
+    own = np.frombuffer(found.dictionary.buffers()[1], np.uint8, len(found.dictionary) * bins.shape[1])
+    return own.reshape(-1, bins.shape[1]), np.asarray(found.indices)
+
+
 def packed(rows: DataFrame, features: list[str | Column], edges: list[np.ndarray], y: Column, seen: Column, newest: Column) -> DataFrame:
     """Rows packed by the thousand: ``bins`` (rows x columns), ``y``, the two flags of each row as bytes, and its ``weight``.
 
@@ -416,22 +427,33 @@ def grow(sums, s: Settings, columns: int, base: list[float], probing: bool, refr
     return trees[KEPT]
 
 
-def heads(objective: str, features: list[str | Column], y: Column) -> list[Column]:
-    """Aggregates over all rows that a fit begins with: the bins of each column, and where predictions begin."""
-    middle = F.percentile_approx(y, 0.5) if objective == "absolute" else F.avg(F.ln(y) if objective == "aft" else y)
-    return [*_sketches(features), middle.alias("__m")]
+def heads(objectives: list[str], features: list[str | Column], y: Column) -> list[Column]:
+    """Aggregates over all rows that fits begin with: the bins of each column, and where each objective's predictions begin."""
+    middle = lambda o: F.percentile_approx(y, 0.5) if o == "absolute" else F.avg(F.ln(y) if o == "aft" else y)
+    return [*_sketches(features), *[middle(o).alias(f"__m_{o}") for o in dict.fromkeys(objectives)]]
 
 
-def start(objective: str, y: Column, rows: DataFrame, classes: int, middle: float | None) -> tuple[list[float], float]:
-    """Where predictions begin, and the width of absolute errors, by the middle that ``heads`` tells."""
+def start(objective: str, table: DataFrame, classes: int, middle: float | None) -> tuple[list[float], float]:
+    """Where predictions begin, and the width of absolute errors over packed rows, by the middle that ``heads`` tells."""
     if objective == "softprob":
         return [0.0] * classes, 1.0
     if objective == "absolute":
-        spread = rows.agg(F.avg(F.abs(y - (middle or 0.0))).alias("w")).first()["w"] or 0.0
-        return [float(middle or 0.0)], max(0.1 * spread, 1e-9)
+        return [float(middle or 0.0)], max(0.1 * _spread(table, middle or 0.0), 1e-9)
     return _begin(objective, round(middle or 0.0, 12)), 1.0
 
 
+def _spread(table: DataFrame, middle: float) -> float:
+    """The mean distance from the middle, of packed rows by their weights."""
+
+    def fold(batches):
+        for batch in batches:
+            both = [[np.frombuffer(x, np.float64) for x in batch.column(i).to_pylist()] for i in (0, 1)]
+            sums = np.sum([(w @ np.abs(y - middle), w.sum()) for y, w in zip(*both)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], ["off", "n"])
+
+    return table.select("y", "weight").mapInArrow(fold, "off double, n double").agg(F.try_divide(F.sum("off"), F.sum("n"))).first()[0] or 0.0
+
+
 def _begin(objective: str, mean: float) -> list[float]:
     if objective in ("tweedie", "poisson"):
         return [math.log(max(mean, 1e-9))]
@@ -441,23 +463,31 @@ def _begin(objective: str, mean: float) -> list[float]:
     return [float(mean)]
 
 
-def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Column, seen: Column | None = None, newest: Column | None = None, classes: int = 1, head: Row | None = None) -> Boosted:
-    """Boosted trees on ``rows``. ``y`` is the target (a class's code for classes, time waited for waits), ``seen`` tells ended
-    waits from open ones, ``newest`` the rows by which the number of rounds is found; without it all rounds are kept.
+def fit(
+    rows: DataFrame, features: list[str | Column], settings: list[Settings], y: Column, seen: Column | None = None, newest: Column | None = None, classes: int = 1, head: Row | None = None
+) -> list[Boosted]:
+    """Boosted trees on ``rows``, a model for each of the settings. ``y`` is the target (a class's code for classes, time waited
+    for waits), ``seen`` tells ended waits from open ones, ``newest`` the rows by which the number of rounds is found; without
+    it all rounds are kept.
 
     ``head`` is the row of ``heads``, where the caller has it from a pass of its own. Rows are binned and packed once into
-    a table.  Where few are unlike one another one task fits on them; else a pass over them is one job per level of a round.
-    Sums are reduced in a tree, as an RDD, since every pass is the same imperative fold over whole blocks and its result a
-    single array.
+    a table, from which all the models are fitted.  Where few are unlike one another one task fits on them; else a pass over
+    them is one job per level of a round.
     """
-    s, seen, spark, columns = settings, F.lit(True) if seen is None else seen, rows.sparkSession, len(features)
-    head = rows.agg(*heads(s.objective, features, y)).first() if head is None else head
-    base, width = start(s.objective, y, rows, classes, head["__m"])
+    spark, columns = rows.sparkSession, len(features)
+    head = rows.agg(*heads([s.objective for s in settings], features, y)).first() if head is None else head
     edges = _edges(head, columns)
-    table = written(packed(rows, features, edges, y, seen, F.lit(False) if newest is None else newest))
+    table = written(packed(rows, features, edges, y, F.lit(True) if seen is None else seen, F.lit(False) if newest is None else newest))
     unlike = table.agg(F.sum(F.length("seen"))).first()[0] or 0
-    if 0 < unlike * max(1, columns) <= ONE_TASK:
-        return Boosted(s.objective, edges, base, _grown_at_once(table, s, columns, base, newest is not None, width))
+    wanted = [(s, *start(s.objective, table, classes, head[f"__m_{s.objective}"])) for s in settings]
+    at_once = 0 < unlike * max(1, columns) <= ONE_TASK
+    grown = _grown_at_once(table, wanted, columns, newest is not None) if at_once else [_grown_by_passes(spark, table, *w, columns, newest is not None) for w in wanted]
+    return [Boosted(s.objective, edges, base, trees) for (s, base, _), trees in zip(wanted, grown)]
+
+
+def _grown_by_passes(spark: SparkSession, table: DataFrame, s: Settings, base: list[float], width: float, columns: int, probing: bool) -> list[list[Tree]]:
+    """The trees from a job per level of a round. Sums are reduced in a tree, as an RDD, since every pass is the same imperative
+    fold over whole blocks and its result a single array."""
     base_blocks = table.rdd.map(_block(columns, base)).persist(StorageLevel.MEMORY_AND_DISK)
     parts = base_blocks.getNumPartitions()
     state: dict = {"now": base_blocks, "past": [], "told": [[], []], "turns": 0}
@@ -492,7 +522,7 @@ def fit(rows: DataFrame, features: list[str | Column], settings: Settings, y: Co
         state["now"] = (base_blocks if anew else state["now"]).map(add).persist(StorageLevel.MEMORY_AND_DISK)
 
     try:
-        return Boosted(s.objective, edges, base, grow(sums, s, columns, base, newest is not None, refresh))
+        return grow(sums, s, columns, base, probing, refresh)
     finally:
         for blocks in (base_blocks, state["now"], *state["past"]):
             blocks.unpersist()
@@ -522,13 +552,13 @@ def _grown(blocks: list[_Block], s: Settings, columns: int, base: list[float], p
     return grow(sums, s, columns, base, probing, refresh)
 
 
-def _grown_at_once(table: DataFrame, s: Settings, columns: int, base: list[float], probing: bool, width: float) -> list[list[Tree]]:
-    """The trees from one task that reads all blocks; there are ONE_TASK values at most."""
+def _grown_at_once(table: DataFrame, wanted: list[tuple[Settings, list[float], float]], columns: int, probing: bool) -> list[list[list[Tree]]]:
+    """The trees of each of the wanted models from one task that reads all blocks; there are ONE_TASK values at most."""
 
     def run(batches):
-        unpack = _block(columns, base)
-        blocks = [unpack(row) for batch in batches for row in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_grown(blocks, s, columns, base, probing, width))], pa.binary())], ["trees"])
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        grown = [_grown([_block(columns, base)(row) for row in rows], s, columns, base, probing, width) for s, base, width in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(grown)], pa.binary())], ["trees"])
 
     return pickle.loads(table.coalesce(1).mapInArrow(run, "trees binary").first()["trees"])
 
@@ -571,6 +601,18 @@ def prediction(model: Boosted, features: list[str | Column]) -> Column:
     return says(F.struct(*[_number(f).alias(f"x{i}") for i, f in enumerate(features)]))
 
 
+def each_prediction(models: list[Boosted], features: list[str | Column]) -> Column:
+    """What models with one value say of each row, in one pass: a struct with a field ``p0``, ``p1`` and so on for each."""
+    names = [f"p{i}" for i in range(len(models))]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def says(x: pd.DataFrame) -> pd.DataFrame:
+        values = x.to_numpy(dtype=np.float64, na_value=np.nan)
+        return pd.DataFrame({n: output(m.objective, m.scores(values))[:, 0] for n, m in zip(names, models)})
+
+    return says(F.struct(*[_number(f).alias(f"x{i}") for i, f in enumerate(features)]))
+
+
 def predictions(model: Boosted, features: list[str | Column]) -> Column:
     """What the model says of each row: an array with one value, or with each class's chance."""
 

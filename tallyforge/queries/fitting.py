@@ -97,12 +97,9 @@ def _ruled(spark, sf_dir):
 
 def boost_values(spark, sf_dir):
     """Boosted trees of each objective for values on rows whose value is a rule: what they say of each order."""
-    rows, out = _ruled(spark, sf_dir), None
-    for objective in ("squared", "absolute", "tweedie", "poisson", "aft"):
-        fitted = models.fit_model(rows, objective, ["priority", "month"], depth=2, rounds=16, rate=0.6)
-        part = models.predict(fitted, rows).select("o_orderkey", F.lit(objective).alias("objective"), F.round("prediction", 1).alias("prediction"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = _ruled(spark, sf_dir)
+    fitted = models.fit_models(rows, ["squared", "absolute", "tweedie", "poisson", "aft"], ["priority", "month"], depth=2, rounds=16, rate=0.6)
+    return models.predict_each(fitted, rows).select("o_orderkey", "objective", F.round("prediction", 1).alias("prediction"))
 
 
 def boost_classes(spark, sf_dir):

@@ -376,3 +376,62 @@ def test_sums_over_many_rows_keep_the_leaves_digits():
 
     n, g = 50_000_000, 1e9 / 3
     assert boosting._leaf(g, n, 0.5, 1.0) * n == pytest.approx(-0.5 * g / (n + 1) * n, abs=0.01)
+
+
+def test_objectives_of_the_same_rows_share_the_passes_over_them(spark):
+    """Rows are gone over once for all objectives that learn from them, not once for each; the models are those of fits apart."""
+    rows = spark.range(4000).select((F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") % 4).cast("double").alias("b"))
+    rows = rows.withColumn("y", 1 + F.col("a") * 3 + F.coalesce("b", F.lit(9.0))).withColumns({"__lower": F.col("y"), "__upper": F.when(F.col("a") < 4, F.col("y"))}).cache()
+    read, wanted = spark.sparkContext.accumulator(0), ["squared", "aft", "absolute", "tweedie", "poisson"]
+
+    @F.udf("double")
+    def told(a):
+        read.add(1)
+        return a
+
+    settings = dict(depth=3, rounds=6, rate=0.4)
+    seen = rows.withColumn("a", told.asNondeterministic()("a"))
+    together = models.fit_models(seen, wanted, ["a", "b"], **settings)
+    assert rows.count() * 4 == read.value  # for values and for waits: one to find where to begin, one to pack the rows
+    assert [f.objective for f in together] == wanted
+    for one in together:
+        apart = models.fit_model(rows, one.objective, ["a", "b"], **settings).model
+        assert one.model.base == pytest.approx(apart.base, rel=1e-9) and len(one.model.trees) == len(apart.trees) == 6
+        for x, y in zip(sum(one.model.trees, []), sum(apart.trees, [])):
+            assert (x.column == y.column).all() and (x.bin == y.bin).all() and (x.missing_left == y.missing_left).all()
+            assert x.value == pytest.approx(y.value, rel=1e-7, abs=1e-12)
+    with pytest.raises(models.FitError):
+        models.fit_models(rows, ["squared", "guess"], ["a", "b"])
+
+    said = models.predict_each(together, rows.withColumn("objective", F.lit("old")))
+    assert said.columns == ["a", "b", "y", "__lower", "__upper", "objective", "prediction"]
+    for one in together:
+        key = ["a", "b", "prediction"]
+        assert sorted(map(str, said.where(F.col("objective") == one.objective).select(key).collect())) == sorted(map(str, models.predict(one, rows).select(key).collect()))
+    with pytest.raises(ValueError):
+        models.predict_each([], rows)
+    rows.unpersist()
+
+
+def test_rows_alike_are_scored_once_in_a_batch(monkeypatch):
+    """The trees are asked about the rows of a batch that differ in their bins."""
+    import numpy as np
+
+    from tallyforge.operators import boosting
+
+    tree = boosting.Tree(np.array([1, -1, 0, -1, -1, -1, -1]), np.array([2, 0, 1, 0, 0, 0, 0]), np.zeros(7, bool), np.arange(7.0))
+    model = boosting.Boosted("squared", [np.arange(5.0), np.arange(5.0)], [10.0], [[tree], [tree]])
+    x = np.random.default_rng(4).integers(0, 6, (10_000, 2)).astype(float)
+    x[::9, 0] = np.nan
+    want = 10 + 2 * tree.says(boosting.binned(x, model.edges))
+    says, asked = boosting.Tree.says, []
+    monkeypatch.setattr(boosting.Tree, "says", lambda own, bins: asked.append(len(bins)) or says(own, bins))
+    assert (model.scores(x)[:, 0] == want).all() and asked == [42, 42]
+    assert model.scores(x[:0]).shape == (0, 1)
+
+
+def test_all_objectives_say_their_values_in_one_pass(spark):
+    from tallyforge.queries import fitting
+
+    plan = fitting.boost_values(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("ArrowEvalPython") == 1
